@@ -81,13 +81,15 @@ def round_half_up(c: ColumnOrName, digits: int) -> Column:
     a different summation order).
     """
     s = float(10 ** digits)
-    return (F.floor(_c(c) * s + F.lit(0.5 + 1e-7)) / s).cast("double")
+    t = _c(c) * s
+    return (F.floor(t + F.lit(0.5 + 1e-7) + F.abs(t) * F.lit(1e-11)) / s).cast("double")
 
 
 def sql_round(expr: str, digits: int) -> str:
     """SQL text of :func:`round_half_up` (for DuckDB / Spark SQL)."""
     s = float(10 ** digits)
-    return f"CAST(floor(({expr}) * {s} + {0.5 + 1e-7}) / {s} AS DOUBLE)"
+    t = f"(({expr}) * {s})"
+    return f"CAST(floor({t} + {0.5 + 1e-7} + abs({t}) * 1e-11) / {s} AS DOUBLE)"
 
 
 def round_half_even(c: ColumnOrName, digits: int = 0) -> Column:

@@ -165,3 +165,37 @@ def projects(spark: SparkSession, d: str) -> DataFrame:
                      (F.col("bal") / 1000.0).alias("sizePv"),
                      (F.col("ns") * 1000.0).alias("capex"),
                      (F.col("n_regionkey") + 1).cast("int").alias("timezoneOffsetUtc")))
+
+
+def title(c: str):
+    return F.initcap(F.col(c))
+
+
+def site_map(spark: SparkSession, d: str) -> DataFrame:
+    """Static site-file -> (projectName, country) list (J6); sites of one
+    region are left unmapped to exercise the inner join."""
+    n = table(spark, d, "nation")
+    r = table(spark, d, "region")
+    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "inner")
+    return j.where(F.col("r_name") != "MIDDLE EAST").select(
+        F.col("n_name").alias("site_name"),
+        F.regexp_replace("n_name", "_", " ").alias("projectName"),
+        F.initcap("r_name").alias("country"))
+
+
+# Fixed values for the tests: project overrides for two sites, and an
+# exchange-rate table (LCU per USD) with gaps in the years.
+PROJECT_OVERRIDES = [("NATION_1", "Nations 1 and 2"), ("NATION_2", "Nations 1 and 2")]
+FX_RATES = [("Africa", 1996, 100.0), ("Africa", 1999, 110.0),
+            ("America", 1995, 1.0), ("America", 2000, 1.2),
+            ("Asia", 1998, 7.5), ("Asia", 2002, None),
+            ("Europe", 1995, 0.9), ("Europe", 1997, 0.95), ("Europe", 2001, 1.1)]
+COUNTRIES = ["Africa", "America", "Asia", "Europe"]
+
+
+def project_overrides(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PROJECT_OVERRIDES, "site_name string, project string")
+
+
+def fx_rates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FX_RATES, "country string, year int, rate double")

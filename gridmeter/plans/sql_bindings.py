@@ -100,3 +100,25 @@ def with_(names, body: str, extra: dict | None = None) -> str:
     parts = [f"{n} AS ({CTES[n][0]}\n)" for n in order]
     parts += [f"{k} AS ({v}\n)" for k, v in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+
+
+def title(x: str) -> str:
+    """DuckDB text of Spark ``initcap`` (words split on spaces)."""
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(w[1:1]) || w[2:]), ' ')")
+
+
+CTES["site_map"] = (f"""
+SELECT n_name AS site_name, replace(n_name, '_', ' ') AS projectName, {title('r_name')} AS country
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'MIDDLE EAST'""", ())
+
+CTES["project_overrides"] = ("""
+SELECT * FROM (VALUES ('NATION_1', 'Nations 1 and 2'), ('NATION_2', 'Nations 1 and 2')) t(site_name, project)""", ())
+
+CTES["fx_rates"] = ("""
+SELECT country, CAST(year AS INTEGER) AS year, CAST(rate AS DOUBLE) AS rate FROM (VALUES
+  ('Africa', 1996, 100.0), ('Africa', 1999, 110.0), ('America', 1995, 1.0), ('America', 2000, 1.2),
+  ('Asia', 1998, 7.5), ('Asia', 2002, NULL), ('Europe', 1995, 0.9), ('Europe', 1997, 0.95),
+  ('Europe', 2001, 1.1)) t(country, year, rate)""", ())
+
+COUNTRIES_SQL = "('Africa', 'America', 'Asia', 'Europe')"
