@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["q_clean", "q_usage"]
+_MODULES = ["q_clean", "q_usage", "q_grid"]
 
 
 def _load():
