@@ -150,7 +150,43 @@ def stations(spark: SparkSession, d: str) -> DataFrame:
                                  F.concat(F.lit("OLDER-"), k.cast("string"))).alias("olderMeteringSiteIds"),
                      F.when(F.pmod(k, F.lit(7)) == 0, F.lit(0.0)).otherwise(F.col("s_acctbal") / 100.0).alias("lat"),
                      F.when(F.pmod(k, F.lit(7)) == 0, F.lit(0.0)).otherwise(F.col("s_acctbal") / 50.0).alias("long"),
-                     (F.pmod(F.col("s_nationkey"), F.lit(5)) - 1).cast("int").alias("timezoneOffsetUtc")))
+                     (F.pmod(F.col("s_nationkey"), F.lit(5)) - 1).cast("int").alias("timezoneOffsetUtc"),
+                     F.when(F.pmod(k, F.lit(5)) == 0, _uuid_like(k)).otherwise(
+                         F.regexp_replace(F.concat(F.lit("Station "), F.col("n_name"), F.lit(" "),
+                                                   k.cast("string")), " ", "_")).alias("site_file")))
+
+
+def _uuid_like(k):
+    h = F.md5(k.cast("string"))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+def readings_with_site(spark: SparkSession, d: str) -> DataFrame:
+    """Heartbeats carrying a site id: current ids and the two legacy id
+    forms of the stations, and ids of no station."""
+    ev = table(spark, d, "events")
+    k = F.pmod(F.col("user_id"), F.lit(120)).cast("string")
+    m = F.pmod(F.col("event_id"), F.lit(3))
+    site = (F.when(m == 0, F.concat(F.lit("SITE-"), k)).when(m == 1, F.concat(F.lit("OLD-"), k))
+             .otherwise(F.concat(F.lit("OLDER-"), k)))
+    return ev.select(F.col("event_id").alias("row_id"),
+                     F.col("user_id").cast("string").alias("meter_customer_code"),
+                     meter_type_of("user_id").alias("meter_type"),
+                     site.alias("site"), _ts("ts").alias("heartbeatStart"),
+                     F.col("value").alias("truePowerAvg"),
+                     F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(F.col("value"))
+                      .alias("truePowerInst"),
+                     F.when(F.col("event_type") == "error", F.lit(0)).otherwise(F.lit(1)).alias("state"))
+
+
+def tariffs(spark: SparkSession, d: str) -> DataFrame:
+    """Tariff changes per station: one per line item (l_suppkey station,
+    l_shipdate start, l_discount rate, return flag as the tariff name)."""
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_suppkey").alias("station"), _ts("l_shipdate").alias("startingDatetime"),
+                     F.col("l_orderkey").alias("tariff_order"), F.col("l_linenumber").alias("tariff_line"),
+                     F.col("l_returnflag").alias("name"), F.col("l_discount").alias("totalRate"))
 
 
 def projects(spark: SparkSession, d: str) -> DataFrame:

@@ -69,8 +69,23 @@ SELECT 'SITE-' || CAST(s_suppkey AS VARCHAR) AS meteringSiteId,
        concat_ws(',', 'OLD-' || CAST(s_suppkey AS VARCHAR), 'OLDER-' || CAST(s_suppkey AS VARCHAR)) AS olderMeteringSiteIds,
        CASE WHEN s_suppkey % 7 = 0 THEN 0.0 ELSE s_acctbal / 100.0 END AS lat,
        CASE WHEN s_suppkey % 7 = 0 THEN 0.0 ELSE s_acctbal / 50.0 END AS long,
-       CAST(s_nationkey % 5 - 1 AS INTEGER) AS timezoneOffsetUtc
+       CAST(s_nationkey % 5 - 1 AS INTEGER) AS timezoneOffsetUtc,
+       CASE WHEN s_suppkey % 5 = 0 THEN concat_ws('-', substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 8),
+              substring(md5(CAST(s_suppkey AS VARCHAR)), 9, 4), substring(md5(CAST(s_suppkey AS VARCHAR)), 13, 4),
+              substring(md5(CAST(s_suppkey AS VARCHAR)), 17, 4), substring(md5(CAST(s_suppkey AS VARCHAR)), 21, 12))
+            ELSE replace('Station ' || n_name || ' ' || CAST(s_suppkey AS VARCHAR), ' ', '_') END AS site_file
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""", ()),
+    "readings_with_site": ("""
+SELECT event_id AS row_id, CAST(user_id AS VARCHAR) AS meter_customer_code,
+       CASE user_id % 10 WHEN 0 THEN 'totalizer' WHEN 1 THEN 'pue' ELSE 'customer' END AS meter_type,
+       CASE event_id % 3 WHEN 0 THEN 'SITE-' WHEN 1 THEN 'OLD-' ELSE 'OLDER-' END || CAST(user_id % 120 AS VARCHAR) AS site,
+       ts AS heartbeatStart, value AS truePowerAvg,
+       CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS truePowerInst,
+       CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS state
+FROM events""", ()),
+    "tariffs": ("""
+SELECT l_suppkey AS station, l_shipdate AS startingDatetime, l_orderkey AS tariff_order,
+       l_linenumber AS tariff_line, l_returnflag AS name, l_discount AS totalRate FROM lineitem""", ()),
     "projects": ("""
 SELECT n_name AS projectName, r_name AS country, a.bal / 1000.0 AS sizePv,
        a.ns * 1000.0 AS capex, CAST(n_regionkey + 1 AS INTEGER) AS timezoneOffsetUtc
