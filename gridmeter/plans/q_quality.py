@@ -1,0 +1,156 @@
+"""Registered queries: data-quality profiling and coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.core import round_half_up as r_, sql_round as rs
+from ..operators import quality as Q
+from . import bindings as B
+from .q_grid import _clean_site, _lp_steps
+from .sql_bindings import with_
+
+
+def _r(spark, d):
+    return B.readings(spark, d)
+
+
+def q_counts_by_key(spark, d):
+    return Q.counts_by_key(_r(spark, d), ["meter_type", "state"])
+
+
+def q_meters_by_type(spark, d):
+    return Q.count_and_distinct(_r(spark, d), ["meter_type"], "meter_customer_code")
+
+
+def q_coverage(spark, d):
+    return Q.coverage(_r(spark, d), "heartbeatStart", "meter_customer_code")
+
+
+def q_coverage_by_group(spark, d):
+    r = _r(spark, d)
+    c = Q.coverage(r, "heartbeatStart", "meter_customer_code", ["meter_type"])
+    e = r.groupBy("meter_type").agg(F.max("energy").alias("max_energy"))
+    return c.join(e, "meter_type", "inner").select("meter_type", "first_ts", "last_ts", "n_rows", "n_keys",
+                                                   r_("max_energy", 2).alias("max_energy"))
+
+
+def q_field_divergence(spark, d):
+    p = B.power_readings(spark, d)
+    spread = F.abs(F.col("voltageMax") - F.col("voltageMin"))
+    g = p.groupBy("meter_type").agg(
+        F.sum(F.when(F.col("voltageAvg") > F.col("voltageMax"), 1).otherwise(0)).cast("long").alias("n_avg_above_max"),
+        F.avg(spread).alias("avg_spread"), F.max(spread).alias("max_spread"))
+    return g.select("meter_type", "n_avg_above_max", r_("avg_spread", 4).alias("avg_spread"),
+                    r_("max_spread", 4).alias("max_spread"))
+
+
+def q_latest_n(spark, d):
+    r = _r(spark, d)
+    return (r.orderBy(F.desc("heartbeatStart"), F.desc("row_id")).limit(10)
+             .select("row_id", "meter_customer_code", "heartbeatStart", r_("energy", 2).alias("energy")))
+
+
+def q_state_share(spark, d):
+    s = Q.state_share(_r(spark, d), "state", ["meter_type"])
+    return s.select("meter_type", "state", "n", r_("share", 6).alias("share"))
+
+
+def q_completeness(spark, d):
+    c = Q.completeness(_r(spark, d), "meter_customer_code", "heartbeatStart")
+    return c.select("meter_customer_code", "day", "n_readings", r_("completeness", 6).alias("completeness"))
+
+
+def q_uptime_by_month(spark, d):
+    u = Q.uptime_by_month(_r(spark, d), "heartbeatStart", F.col("state") == 1, ["meter_type"])
+    return u.select("meter_type", "ym", r_("uptime", 6).alias("uptime"), "n")
+
+
+def q_grid_losses(spark, d):
+    g = Q.grid_losses(_clean_site(spark, d))
+    return g.select("site_name", "slot_start", r_("totalizer_kwh", 6).alias("totalizer_kwh"),
+                    r_("customer_kwh", 6).alias("customer_kwh"), r_("loss_kwh", 6).alias("loss_kwh"))
+
+
+def q_cutoff_flags(spark, d):
+    c = Q.cutoff_flags(B.readings_with_site(spark, d))
+    return c.select("row_id", "meter_customer_code", "heartbeatStart", r_("truePowerAvg", 4).alias("truePowerAvg"))
+
+
+def q_payments_by_year(spark, d):
+    p = B.payments(spark, d)
+    return p.groupBy(F.year("transactionDatetime").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_flag_sums(spark, d):
+    p = B.payments(spark, d)
+    return p.groupBy("country").agg(
+        F.sum("isTest").cast("long").alias("n_test"), F.sum("isReversed").cast("long").alias("n_reversed"),
+        F.sum("isSignup").cast("long").alias("n_signup"), F.count(F.lit(1)).alias("n_rows"),
+        F.count("isReversed").alias("n_reversed_known"))
+
+
+QUERIES = {
+    "counts_by_key": q_counts_by_key,
+    "meters_by_type": q_meters_by_type,
+    "coverage": q_coverage,
+    "coverage_by_group": q_coverage_by_group,
+    "field_divergence": q_field_divergence,
+    "latest_n": q_latest_n,
+    "state_share": q_state_share,
+    "completeness": q_completeness,
+    "uptime_by_month": q_uptime_by_month,
+    "grid_losses": q_grid_losses,
+    "cutoff_flags": q_cutoff_flags,
+    "payments_by_year": q_payments_by_year,
+    "flag_sums": q_flag_sums,
+}
+
+
+def _grid_losses_sql():
+    lp = _lp_steps()
+    steps = {k: lp[k] for k in ["r", "s", "t", "tv", "v", "cl", "fl", "tc", "tm", "ta", "tar", "x", "y",
+                                "z", "zz", "o", "cs"]}
+    return with_(["readings", "customers"], f"""SELECT site_name, slot_start,
+        {rs('totalizer_kwh', 6)} AS totalizer_kwh, {rs('customer_kwh', 6)} AS customer_kwh,
+        {rs('totalizer_kwh - customer_kwh', 6)} AS loss_kwh FROM (
+          SELECT site_name, slot_start,
+                 sum(CASE WHEN meter_type = 'totalizer' THEN energy_kwh END) AS totalizer_kwh,
+                 sum(CASE WHEN meter_type = 'customer' THEN energy_kwh END) AS customer_kwh
+          FROM cs GROUP BY site_name, slot_start)
+        WHERE totalizer_kwh IS NOT NULL AND customer_kwh IS NOT NULL""", steps)
+
+
+SQL = {
+    "counts_by_key": with_(["readings"], """SELECT meter_type, state, count(*) AS n FROM readings
+        GROUP BY meter_type, state"""),
+    "meters_by_type": with_(["readings"], """SELECT meter_type, count(*) AS n_rows,
+        count(DISTINCT meter_customer_code) AS n_distinct FROM readings GROUP BY meter_type"""),
+    "coverage": with_(["readings"], """SELECT min(heartbeatStart) AS first_ts, max(heartbeatStart) AS last_ts,
+        count(*) AS n_rows, count(DISTINCT meter_customer_code) AS n_keys FROM readings"""),
+    "coverage_by_group": with_(["readings"], f"""SELECT meter_type, min(heartbeatStart) AS first_ts,
+        max(heartbeatStart) AS last_ts, count(*) AS n_rows, count(DISTINCT meter_customer_code) AS n_keys,
+        {rs('max(energy)', 2)} AS max_energy FROM readings GROUP BY meter_type"""),
+    "field_divergence": with_(["power_readings"], f"""SELECT meter_type,
+        CAST(sum(CASE WHEN voltageAvg > voltageMax THEN 1 ELSE 0 END) AS BIGINT) AS n_avg_above_max,
+        {rs('avg(abs(voltageMax - voltageMin))', 4)} AS avg_spread,
+        {rs('max(abs(voltageMax - voltageMin))', 4)} AS max_spread FROM power_readings GROUP BY meter_type"""),
+    "latest_n": with_(["readings"], f"""SELECT row_id, meter_customer_code, heartbeatStart,
+        {rs('energy', 2)} AS energy FROM readings ORDER BY heartbeatStart DESC, row_id DESC LIMIT 10"""),
+    "state_share": with_(["readings"], f"""SELECT meter_type, state, n, {rs('n / sum(n) OVER (PARTITION BY meter_type)', 6)}
+        AS share FROM (SELECT meter_type, state, count(*) AS n FROM readings GROUP BY meter_type, state)"""),
+    "completeness": with_(["readings"], f"""SELECT meter_customer_code, CAST(heartbeatStart AS DATE) AS day,
+        count(*) AS n_readings, {rs('count(*) / 96.0', 6)} AS completeness FROM readings
+        GROUP BY meter_customer_code, CAST(heartbeatStart AS DATE)"""),
+    "uptime_by_month": with_(["readings"], f"""SELECT meter_type, strftime(heartbeatStart, '%Y-%m') AS ym,
+        {rs('avg(CASE WHEN state = 1 THEN 1.0 ELSE 0.0 END)', 6)} AS uptime, count(*) AS n FROM readings
+        GROUP BY ALL"""),
+    "grid_losses": _grid_losses_sql(),
+    "cutoff_flags": with_(["readings_with_site"], f"""SELECT row_id, meter_customer_code, heartbeatStart,
+        {rs('truePowerAvg', 4)} AS truePowerAvg FROM readings_with_site WHERE truePowerInst = 0 AND truePowerAvg > 0"""),
+    "payments_by_year": with_(["payments"], """SELECT CAST(year(transactionDatetime) AS INTEGER) AS year,
+        count(*) AS n FROM payments GROUP BY ALL"""),
+    "flag_sums": with_(["payments"], """SELECT country, CAST(sum(isTest) AS BIGINT) AS n_test,
+        CAST(sum(isReversed) AS BIGINT) AS n_reversed, CAST(sum(isSignup) AS BIGINT) AS n_signup,
+        count(*) AS n_rows, count(isReversed) AS n_reversed_known FROM payments GROUP BY country"""),
+}
