@@ -20,10 +20,12 @@ keeps a whole meter in one task:
   row per meter-bucket), so the big side is shuffled exactly once.
 * the daily profile is a partial/final hash aggregate to (meter, slot) and
   then a 96-entry array per meter.
-* per-meter facts (profile, modal tariff) are attached to the small
-  (meter, bucket) key set first and then joined to the transitions on
-  (meter, bucket) -- the key the transitions are already partitioned by --
-  so the hot meter's rows stay spread over its buckets.
+* the transitions feed three branches (profile, meter keys, expansion)
+  and are materialized once in the checkpoint folder.
+* per-meter facts (96-slot profile, modal tariff) form one small row per
+  meter, joined to the valid transitions on the meter keys; AQE's skew-join
+  handling splits the partition of a hot meter (the meter table side is
+  replicated per split), so no task holds a whole hot meter.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import nan_to_null, slot_of_day, to_number, to_timestamp_utc
+from ..session import materialize as _materialize
 
 SLOT_MINUTES = 15
 DAY_SECONDS = 86400
@@ -157,15 +160,16 @@ def expand(trans: DataFrame, meta: DataFrame, keys=("meter_customer_code", "mete
            slot_minutes=SLOT_MINUTES) -> DataFrame:
     """Spread every valid transition over its ``n_slots`` slots.
 
-    ``meta`` has one row per (keys, _b) with ``w``/``has``/``w_total`` (NULL
-    when the meter has no profile) and ``tariff``.  Slot k starts at
+    ``meta`` has one row per meter with ``w``/``has``/``w_total`` (NULL when
+    the meter has no profile) and ``tariff``.  It is joined on the meter
+    keys; a hot meter's partition is split by AQE's skew-join handling.  Slot k starts at
     ``t_prev + k*slot`` (not snapped to a grid) and gets
     ``diff*w/sum(w)``, or ``diff/n`` when all weights are 0; single-slot
     transitions keep their diff.  Labels: observed / profile / uniform.
     """
     keys = list(keys)
     spd = 24 * 60 // slot_minutes
-    v = trans.where("valid").join(meta, [*keys, "_b"], "left")
+    v = trans.where("valid").join(meta, keys, "left")
     tod0 = slot_of_day("t_prev", slot_minutes)
     # sum of weights over the gap in closed form: full days + remainder.
     rem = F.pmod(F.col("n_slots"), F.lit(spd)).cast("int")
@@ -198,12 +202,14 @@ def expand(trans: DataFrame, meta: DataFrame, keys=("meter_customer_code", "mete
 def clean_readings(readings: DataFrame, code="meter_customer_code", mtype="meter_type",
                    ts="heartbeatStart", energy="energy", state="state",
                    tariff="meter_tariff_name", order_extra=(), slot_minutes=SLOT_MINUTES,
-                   bucket_seconds=DAY_SECONDS, return_transitions=False):
+                   bucket_seconds=DAY_SECONDS, return_transitions=False, materialize=True):
     """The full cleaning pipeline (G4): raw heartbeats -> 6-column clean series.
 
     Meters with < 2 rows or without a valid transition yield nothing.
     With ``return_transitions`` also returns the transitions frame (for the
-    conservation check, which must see the same pairs).
+    conservation check, which must see the same pairs).  The transitions
+    feed three branches (profile, key set, expansion); ``materialize``
+    checkpoints them once instead of recomputing the big shuffle per branch.
     """
     r = coerce_readings(readings, code, mtype, ts, energy, state, tariff,
                         order_extra=[c for c in order_extra if c not in (energy,)])
@@ -211,10 +217,12 @@ def clean_readings(readings: DataFrame, code="meter_customer_code", mtype="meter
     extra = [energy] + [c for c in order_extra if c != energy]
     keys = [code, mtype]
     t = transitions(r, keys, ts, energy, state, extra, slot_minutes, 1, bucket_seconds)
+    if materialize:
+        t = _materialize(t, "transitions")
     prof = daily_profile(t, keys, slot_minutes)
     tar = modal_tariff(r, code, tariff, "tariff")
-    bkeys = t.where("valid").select(*keys, "_b").distinct()
-    meta = bkeys.join(prof, keys, "left").join(tar, [code], "left")
+    # one row per meter: its profile and its customer's modal tariff
+    meta = t.where("valid").select(*keys).distinct().join(prof, keys, "left").join(tar, [code], "left")
     out = expand(t, meta, keys, slot_minutes)
     out = out.withColumnsRenamed({code: "meter_customer_code", mtype: "meter_type"}) \
         if (code, mtype) != ("meter_customer_code", "meter_type") else out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import month_ordinal, neq_nullsafe, year_month
+from ..functions.core import month_ordinal, neq_nullsafe
 
 RESIDENTIAL = "Residential"
 
@@ -38,10 +38,20 @@ def monthly_consumption(clean: DataFrame, site: str = "site_name", code="meter_c
     ``site`` stays a key (S19): a customer seen in two site files counts twice.
     """
     c = clean.where(F.col(meter_type) == "customer")
-    return (c.groupBy(F.col(code).alias("meter_customer_code"),
-                      consumption_class(tariff).alias("cust_class"),
-                      year_month(ts).alias("ym"), F.col(site).alias("site_name"))
-             .agg(F.sum(energy).alias("monthly_kwh")))
+    # group on an integer month; the yyyy-MM label is made per group, not per row
+    m = F.year(ts) * 100 + F.month(ts)
+    g = (c.groupBy(F.col(code).alias("meter_customer_code"),
+                   consumption_class(tariff).alias("cust_class"),
+                   m.alias("_m"), F.col(site).alias("site_name"))
+          .agg(F.sum(energy).alias("monthly_kwh")))
+    return g.select("meter_customer_code", "cust_class", _ym_label("_m").alias("ym"), "site_name",
+                    "monthly_kwh")
+
+
+def _ym_label(m: str):
+    """yyyy-MM from an integer year*100+month."""
+    return F.concat(F.lpad(F.floor(F.col(m) / 100).cast("string"), 4, "0"), F.lit("-"),
+                    F.lpad(F.pmod(F.col(m), F.lit(100)).cast("string"), 2, "0"))
 
 
 def map_sites(df: DataFrame, site_map: DataFrame, site="site_name") -> DataFrame:
@@ -152,8 +162,9 @@ def monthly_revenue(pay_cls: DataFrame) -> DataFrame:
     """Revenue per (customer, country, class, project, month) (A3)."""
     keys = ["customerAccountNumber", "country", "cust_class", "projectName"]
     p = pay_cls.dropna(subset=keys)
-    return (p.groupBy(*keys, year_month("transactionDatetime").alias("ym"))
-             .agg(F.sum("amount").alias("monthly_revenue")))
+    m = F.year("transactionDatetime") * 100 + F.month("transactionDatetime")
+    g = p.groupBy(*keys, m.alias("_m")).agg(F.sum("amount").alias("monthly_revenue"))
+    return g.select(*keys, _ym_label("_m").alias("ym"), "monthly_revenue")
 
 
 def arpu(monthly_rev: DataFrame, min_site_n: int = 30) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import running_sum
-from ..session import prepare
+from ..session import materialize, prepare
 
 RESET_EVERY = 37
 
@@ -42,7 +42,12 @@ def meter_type_of(user_col: str):
 
 def readings(spark: SparkSession, d: str, slot_minutes: int = 15) -> DataFrame:
     """Raw heartbeats: meter_customer_code, meter_type, heartbeatStart,
-    energy (cumulative kWh), state, meter_tariff_name, row_id."""
+    energy (cumulative kWh), state, meter_tariff_name, row_id.
+
+    The counter is derived by a running sum; several branches of the
+    cleaning plan read the readings, so the derived table is written once
+    to the checkpoint folder (as a real readings table would be read).
+    """
     ev = table(spark, d, "events").select(
         "event_id", _ts("ts").alias("ts"), "user_id", "event_type",
         F.round(F.col("value") * 100).cast("long").alias("cents"))
@@ -51,14 +56,14 @@ def readings(spark: SparkSession, d: str, slot_minutes: int = 15) -> DataFrame:
     hb = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / F.lit(slot_s)) * F.lit(slot_s))
     energy = (F.when(F.pmod(F.col("event_id"), F.lit(RESET_EVERY)) == 0, F.lit(0.0))
                .otherwise(F.col("cum").cast("double") / F.lit(100.0)))
-    return cum.select(
+    return materialize(cum.select(
         F.col("user_id").cast("string").alias("meter_customer_code"),
         meter_type_of("user_id").alias("meter_type"),
         hb.alias("heartbeatStart"),
         energy.alias("energy"),
         F.when(F.col("event_type") == "error", F.lit(0)).otherwise(F.lit(1)).alias("state"),
         F.col("event_type").alias("meter_tariff_name"),
-        F.col("event_id").alias("row_id"))
+        F.col("event_id").alias("row_id")), "readings")
 
 
 def power_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -74,20 +79,26 @@ def power_readings(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_type").alias("meter_tariff_name"))
 
 
-def customers(spark: SparkSession, d: str) -> DataFrame:
-    """customerAccountNumber, customerType, projectName, country."""
+def customers_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """c_custkey plus customerAccountNumber, customerType, projectName, country."""
     c = table(spark, d, "customer")
     n = F.broadcast(table(spark, d, "nation"))      # 25 rows, fixed
     r = F.broadcast(table(spark, d, "region"))      # 5 rows, fixed
     return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
              .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
-             .select(F.col("c_custkey").cast("string").alias("customerAccountNumber"),
+             .select("c_custkey",
+                     F.col("c_custkey").cast("string").alias("customerAccountNumber"),
                      F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("Residential"))
                       .otherwise(F.col("c_mktsegment")).alias("customerType"),
                      F.col("n_name").alias("projectName"),
                      F.col("r_name").alias("country")))
 
 
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """customerAccountNumber, customerType, projectName, country."""
+    return customers_keyed(spark, d).drop("c_custkey")
+
+
 def clean_series_long(spark: SparkSession, d: str) -> DataFrame:
     """A multi-year clean series: one row per line item.
 
@@ -96,9 +107,9 @@ def clean_series_long(spark: SparkSession, d: str) -> DataFrame:
     """
     li = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", _ts("l_shipdate").alias("slot_start"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    cu = customers(spark, d)
+    cu = customers_keyed(spark, d)
     j = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-           .join(cu, F.col("o_custkey").cast("string") == cu.customerAccountNumber, "left"))
+           .join(cu, F.col("o_custkey") == cu.c_custkey, "left"))
     return j.select(
         F.col("o_custkey").cast("string").alias("meter_customer_code"),
         F.lit("customer").alias("meter_type"),
@@ -115,11 +126,12 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
     paymentProcessor, flags (isTest, isReversed, isSignup, isBalanceTransfer),
     country, projectName, currency."""
     o = table(spark, d, "orders")
-    cu = customers(spark, d).select("customerAccountNumber", "projectName", "country")
+    cu = customers_keyed(spark, d).select("c_custkey", "projectName", "country")
     pr = F.col("o_orderpriority")
     st = F.col("o_orderstatus")
     p = o.select(
         F.col("o_orderkey").alias("id"),
+        "o_custkey",
         F.col("o_custkey").cast("string").alias("customerAccountNumber"),
         F.col("o_totalprice").alias("amount"),
         _ts("o_orderdate").alias("transactionDatetime"),
@@ -131,7 +143,7 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
         F.when(pr == "1-URGENT", F.lit(1)).otherwise(F.lit(0)).cast("tinyint").alias("isSignup"),
         F.when(pr == "4-NOT SPECIFIED", F.lit(None)).otherwise(F.lit(0))
          .cast("tinyint").alias("isBalanceTransfer"))
-    return (p.join(cu, "customerAccountNumber", "left")
+    return (p.join(cu, p.o_custkey == cu.c_custkey, "left").drop("o_custkey", "c_custkey")
              .withColumn("currency", F.lit("LCU")))
 
 

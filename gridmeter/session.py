@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of finished queries are removed with their frames
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -52,6 +55,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df, name: str = "frame"):
+    """Cut the lineage of a frame that several branches reuse: write it once
+    as a Parquet table under the shared ``spark.checkpoint.dir`` and read it
+    back.  Executor loss then costs no recomputation of the upstream
+    shuffles, and the frame is computed once (``Dataset.checkpoint`` would
+    compute an unpersisted frame twice)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "gridmeter") -> SparkSession:
     """Build (or reuse) a session with the defaults above."""
