@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["q_clean", "q_usage", "q_grid", "q_release", "q_quality"]
+_MODULES = ["q_clean", "q_usage", "q_grid", "q_release", "q_quality", "q_stream"]
 
 
 def _load():
