@@ -13,15 +13,15 @@ Data flow (all native DataFrame operators, no UDF):
 Scale design.  A single meter may hold a large share of all rows, so no step
 keeps a whole meter in one task:
 
-* ``transitions`` orders rows inside (meter, time bucket) windows; the first
-  row of every bucket is copied as a "ghost" row into the previous non-empty
-  bucket of the same meter, so ``lead()`` inside a bucket still sees the true
-  successor.  The ghost rows come from a map-side-combined aggregate (one
-  row per meter-bucket), so the big side is shuffled exactly once.
+* ``transitions`` orders rows inside (meter, time bucket) windows -- one
+  shuffle and one sort of the input; the last row of every bucket gets the
+  first row of the meter's next non-empty bucket from a small per-bucket
+  table (one row per meter-bucket), so ``lead()`` crosses bucket borders
+  without any task holding a whole meter.
 * the daily profile is a partial/final hash aggregate to (meter, slot) and
   then a 96-entry array per meter.
-* the transitions feed three branches (profile, meter keys, expansion)
-  and are materialized once in the checkpoint folder.
+* the window output feeds three branches (profile, meter keys, expansion)
+  and is materialized once in the checkpoint folder.
 * per-meter facts (96-slot profile, modal tariff) form one small row per
   meter, joined to the valid transitions on the meter keys; AQE's skew-join
   handling splits the partition of a hot meter (the meter table side is
@@ -84,7 +84,7 @@ def _bucket(ts: Column, bucket_seconds: int) -> Column:
 
 def transitions(df: DataFrame, keys=("meter_customer_code", "meter_type"), ts="heartbeatStart",
                 counter="energy", state="state", order_extra=(), slot_minutes=SLOT_MINUTES,
-                ok_state=1, bucket_seconds=DAY_SECONDS) -> DataFrame:
+                ok_state=1, bucket_seconds=DAY_SECONDS, materialize=False) -> DataFrame:
     """One row per consecutive pair of readings of a meter (G1, W1, W2, FLT15).
 
     Rows are ordered by ``(ts, *order_extra)`` (a total order; S14).
@@ -93,32 +93,37 @@ def transitions(df: DataFrame, keys=("meter_customer_code", "meter_type"), ts="h
 
     valid  = diff >= 0 and both states == ok_state and round(gap/slot) >= 1
     clean  = valid and exactly one slot apart.
+
+    One window pass over (meter, bucket) gives every row its successor
+    inside the bucket and flags the bucket's first row.  The last row of a
+    bucket (one per meter-bucket, a small set) takes the first row of the
+    meter's next non-empty bucket through a window over the small
+    per-bucket table and a join on (meter, bucket).  ``materialize`` writes
+    the window output once to the checkpoint folder.
     """
     keys = list(keys)
     order = [ts, *order_extra]
     payload = order + [c for c in (counter, state) if c not in order]
     base = (df.select(*keys, *payload)
-              .withColumn("_b", _bucket(F.col(ts), bucket_seconds))
-              .withColumn("_ghost", F.lit(False)))
-    # first row of every (meter, bucket); combined map-side.
-    firsts = (base.groupBy(*keys, "_b")
-                  .agg(F.min(F.struct(*payload)).alias("_f")))
-    prev_b = F.lag("_b").over(Window.partitionBy(*keys).orderBy("_b"))
-    ghosts = (firsts.withColumn("_pb", prev_b)
-                    .where(F.col("_pb").isNotNull())
-                    .select(*keys, F.col("_pb").alias("_b"),
-                            *[F.col("_f")[c].alias(c) for c in payload],
-                            F.lit(True).alias("_ghost")))
-    u = base.unionByName(ghosts)
+              .withColumn("_b", _bucket(F.col(ts), bucket_seconds)))
     w = Window.partitionBy(*keys, "_b").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    nxt = F.lead(F.struct(F.col(ts).alias("t"), F.col(counter).alias("e"),
-                          F.col(state).alias("s"))).over(w)
-    t = (u.withColumn("_n", nxt)
-          .where(~F.col("_ghost") & F.col("_n").isNotNull())
-          .select(*keys, "_b",
-                  F.col(ts).alias("t_prev"), F.col("_n.t").alias("t_next"),
-                  F.col(counter).alias("e_prev"), F.col("_n.e").alias("e_next"),
-                  F.col(state).alias("s_prev"), F.col("_n.s").alias("s_next")))
+    row = F.struct(F.col(ts).alias("t"), F.col(counter).alias("e"), F.col(state).alias("s"))
+    win = (base.withColumn("_n", F.lead(row).over(w))
+               .withColumn("_first", F.row_number().over(w) == 1)
+               .select(*keys, "_b", row.alias("_p"), "_n", "_first"))
+    if materialize:
+        win = _materialize(win, "series")
+    inner = win.where(F.col("_n").isNotNull()).select(*keys, "_b", "_p", "_n")
+    firsts = win.where("_first").select(*keys, "_b", F.col("_p").alias("_f"))
+    nxt = (firsts.withColumn("_nf", F.lead("_f").over(Window.partitionBy(*keys).orderBy("_b")))
+                 .where(F.col("_nf").isNotNull()).select(*keys, "_b", "_nf"))
+    lasts = (win.where(F.col("_n").isNull()).select(*keys, "_b", "_p")
+                .join(nxt, [*keys, "_b"], "inner")
+                .select(*keys, "_b", "_p", F.col("_nf").alias("_n")))
+    t = inner.unionByName(lasts).select(
+        *keys, "_b", F.col("_p.t").alias("t_prev"), F.col("_n.t").alias("t_next"),
+        F.col("_p.e").alias("e_prev"), F.col("_n.e").alias("e_next"),
+        F.col("_p.s").alias("s_prev"), F.col("_n.s").alias("s_next"))
     slot_us = slot_minutes * 60 * 1_000_000
     gap = F.bround((F.unix_micros("t_next") - F.unix_micros("t_prev")) / F.lit(float(slot_us)), 0)
     t = (t.withColumn("diff", F.col("e_next") - F.col("e_prev"))
@@ -216,9 +221,8 @@ def clean_readings(readings: DataFrame, code="meter_customer_code", mtype="meter
     # energy is a natural tie-breaker after the timestamp.
     extra = [energy] + [c for c in order_extra if c != energy]
     keys = [code, mtype]
-    t = transitions(r, keys, ts, energy, state, extra, slot_minutes, 1, bucket_seconds)
-    if materialize:
-        t = _materialize(t, "transitions")
+    t = transitions(r, keys, ts, energy, state, extra, slot_minutes, 1, bucket_seconds,
+                    materialize=materialize)
     prof = daily_profile(t, keys, slot_minutes)
     tar = modal_tariff(r, code, tariff, "tariff")
     # one row per meter: its profile and its customer's modal tariff
