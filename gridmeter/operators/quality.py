@@ -6,6 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def is_blank(col: str):
+    """NULL or empty after trimming (FLT16)."""
+    return F.col(col).isNull() | (F.trim(F.col(col).cast("string")) == "")
+
+
+def null_blank_profile(df: DataFrame, cols) -> DataFrame:
+    """Rows and NULL-or-blank count per column (FLT16, A22), one row per column."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")] + [
+        F.sum(F.when(is_blank(c), 1).otherwise(0)).cast("long").alias(f"_b_{c}") for c in cols]
+    wide = df.agg(*aggs)
+    long = wide.select("n_rows", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_b_{c}").alias("n_null_or_blank")) for c in cols
+    ])).alias("_s"))
+    return long.select(F.col("_s.column").alias("column"), "n_rows", F.col("_s.n_null_or_blank"))
+
+
+def most_frequent(df: DataFrame, key: str, value: str, out: str = "value") -> DataFrame:
+    """Most frequent non-NULL value per key by count (A10, O6); ties -> the
+    smallest value (a documented total order; the reference takes the
+    first one met)."""
+    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    return (c.groupBy(key)
+             .agg(F.min_by(value, F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias(out),
+                  F.max("_n").alias("n")))
+
+
 def counts_by_key(df: DataFrame, keys) -> DataFrame:
     """count(*) by key(s), largest first."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys)

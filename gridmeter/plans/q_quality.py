@@ -90,7 +90,30 @@ def q_flag_sums(spark, d):
         F.count("isReversed").alias("n_reversed_known"))
 
 
+def q_null_blank_profile(spark, d):
+    p = B.payments(spark, d)
+    return Q.null_blank_profile(p, ["isTest", "isReversed", "isBalanceTransfer", "projectName",
+                                    "paymentProcessor"])
+
+
+def q_tariff_by_count(spark, d):
+    return Q.most_frequent(_r(spark, d), "meter_customer_code", "meter_tariff_name", "tariff")
+
+
+def q_readings_with_customer(spark, d):
+    """LEFT join of heartbeats and customers, first five by time."""
+    r = _r(spark, d)
+    c = B.customers(spark, d).select(F.col("customerAccountNumber").alias("meter_customer_code"),
+                                     "customerType", "projectName")
+    return (r.join(c, "meter_customer_code", "left")
+             .orderBy("heartbeatStart", "row_id").limit(5)
+             .select("row_id", "meter_customer_code", "heartbeatStart", "customerType", "projectName"))
+
+
 QUERIES = {
+    "null_blank_profile": q_null_blank_profile,
+    "tariff_by_count": q_tariff_by_count,
+    "readings_with_customer": q_readings_with_customer,
     "counts_by_key": q_counts_by_key,
     "meters_by_type": q_meters_by_type,
     "coverage": q_coverage,
@@ -122,6 +145,23 @@ def _grid_losses_sql():
 
 
 SQL = {
+    "null_blank_profile": with_(["payments"], """SELECT c AS "column", n_rows, n_null_or_blank FROM (
+        SELECT count(*) AS n_rows,
+          CAST(sum(CASE WHEN isTest IS NULL OR trim(CAST(isTest AS VARCHAR)) = '' THEN 1 ELSE 0 END) AS BIGINT) AS a,
+          CAST(sum(CASE WHEN isReversed IS NULL OR trim(CAST(isReversed AS VARCHAR)) = '' THEN 1 ELSE 0 END) AS BIGINT) AS b,
+          CAST(sum(CASE WHEN isBalanceTransfer IS NULL OR trim(CAST(isBalanceTransfer AS VARCHAR)) = '' THEN 1 ELSE 0 END) AS BIGINT) AS c2,
+          CAST(sum(CASE WHEN projectName IS NULL OR trim(projectName) = '' THEN 1 ELSE 0 END) AS BIGINT) AS d,
+          CAST(sum(CASE WHEN paymentProcessor IS NULL OR trim(paymentProcessor) = '' THEN 1 ELSE 0 END) AS BIGINT) AS e
+        FROM payments) UNPIVOT (n_null_or_blank FOR c IN (a AS 'isTest', b AS 'isReversed', c2 AS 'isBalanceTransfer',
+          d AS 'projectName', e AS 'paymentProcessor'))"""),
+    "tariff_by_count": with_(["readings"], """SELECT meter_customer_code, tariff, n FROM (
+        SELECT meter_customer_code, meter_tariff_name AS tariff, count(*) AS n, row_number() OVER (
+          PARTITION BY meter_customer_code ORDER BY count(*) DESC, meter_tariff_name) AS rn
+        FROM readings WHERE meter_tariff_name IS NOT NULL GROUP BY meter_customer_code, meter_tariff_name)
+        WHERE rn = 1"""),
+    "readings_with_customer": with_(["readings", "customers"], """SELECT row_id, meter_customer_code,
+        heartbeatStart, c.customerType, c.projectName FROM readings r LEFT JOIN customers c
+        ON c.customerAccountNumber = r.meter_customer_code ORDER BY heartbeatStart, row_id LIMIT 5"""),
     "counts_by_key": with_(["readings"], """SELECT meter_type, state, count(*) AS n FROM readings
         GROUP BY meter_type, state"""),
     "meters_by_type": with_(["readings"], """SELECT meter_type, count(*) AS n_rows,

@@ -156,7 +156,9 @@ def q_site_medians(spark, d):
     a = _arpu(spark, d)
     g = a.groupBy("country", "projectName").agg(F.percentile("arpu", 0.5).alias("median_arpu"),
                                                 F.count(F.lit(1)).alias("n"))
-    return g.select("country", "projectName", r_("median_arpu", 4).alias("median_arpu"), "n")
+    # sites ordered by their median within each country (O3)
+    return (g.select("country", "projectName", r_("median_arpu", 4).alias("median_arpu"), "n")
+             .orderBy("country", "median_arpu", "projectName"))
 
 
 def q_describe_by_class(spark, d):
