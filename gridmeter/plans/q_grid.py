@@ -59,8 +59,14 @@ def q_pivot_counts(spark, d):
 
 
 # ------------------------------------------------------------------ load profile
-def _clean_site(spark, d):
-    c = C.clean_readings(B.readings(spark, d, 15), order_extra=["row_id"])
+def _clean_site(spark, d, only=None):
+    """Clean series with the customer's site.  ``only`` (meter codes) limits
+    the meters before cleaning -- cleaning is per meter, so this equals
+    filtering the clean series afterwards, for a fraction of the work."""
+    r = B.readings(spark, d, 15)
+    if only is not None:
+        r = r.join(only, "meter_customer_code", "left_semi")
+    c = C.clean_readings(r, order_extra=["row_id"])
     cu = B.customers(spark, d).select(F.col("customerAccountNumber").alias("meter_customer_code"),
                                       F.col("projectName").alias("site_name"))
     return c.join(cu, "meter_customer_code", "inner")
@@ -92,7 +98,8 @@ def q_time_of_day(spark, d):
 
 
 def _lp(spark, d, observed_only=False):
-    return P.load_profile(_clean_site(spark, d), _offsets(spark, d), _matching(spark, d),
+    m = _matching(spark, d)
+    return P.load_profile(_clean_site(spark, d, m), _offsets(spark, d), m,
                           observed_only=observed_only)
 
 
