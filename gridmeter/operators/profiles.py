@@ -5,8 +5,10 @@ once per level (``explode`` of two (level, group) pairs) and grouped by
 (level, group), so the data is shuffled once.  Hour statistics are taken
 over the 15-minute values of the hour's four slots (not over hourly sums).
 
-Exact quantiles (``percentile``) keep a value->count map per group; at
-very large scale pass ``approx=True`` (``percentile_approx``).
+Quantiles are exact by default with :func:`stats.exact_quantiles` (an
+approximate bracket, then an exact rank inside it), so no task holds a whole
+time-of-day group; ``method="map"`` uses ``percentile`` (a value->count map
+per group) and ``method="approx"`` ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import contains_ci
+from ..session import materialize as _materialize
+from . import stats as S
 
 SLOT_MINUTES = 15
 
@@ -45,7 +49,7 @@ def customers_by_tariff(modal: DataFrame, pattern: str, code="meter_customer_cod
 
 def load_profile(clean: DataFrame, offsets: DataFrame, customers: DataFrame | None = None,
                  observed_only: bool = False, site="site_name", code="meter_customer_code",
-                 approx: bool = False, slot_minutes=SLOT_MINUTES) -> DataFrame:
+                 method: str = "exact", slot_minutes=SLOT_MINUTES) -> DataFrame:
     """mean, sample std, n, median, q1, q3 of slot energy by local slot and
     by local hour (A7), for customer meters of the selected customers.
 
@@ -63,11 +67,21 @@ def load_profile(clean: DataFrame, offsets: DataFrame, customers: DataFrame | No
         F.struct(F.lit("slot").alias("level"), F.col("tod_slot").alias("grp")),
         F.struct(F.lit("hour").alias("level"), F.col("tod_hour").alias("grp")))).alias("_l"))
     lv = lv.select("_l.level", "_l.grp", "x")
-    q = (F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if approx
-         else F.percentile("x", [0.25, 0.5, 0.75]))
+    if method == "exact":
+        # read by the moments and three quantile passes: written once
+        lv = _materialize(lv, "profile-values")
+    moments = lv.groupBy("level", "grp").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+                                             F.count("x").alias("n"))
+    if method == "exact":
+        q = S.exact_quantiles(lv, "x", ["level", "grp"], [0.25, 0.5, 0.75], materialize=False)
+        return (moments.join(q, ["level", "grp"], "inner")
+                       .select("level", "grp", "mean", "std", "n", F.col("q1").alias("median"),
+                               F.col("q0").alias("q1"), F.col("q2").alias("q3")))
+    qf = (F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if method == "approx"
+          else F.percentile("x", [0.25, 0.5, 0.75]))
     return (lv.groupBy("level", "grp")
               .agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-                   F.count("x").alias("n"), q.alias("_q"))
+                   F.count("x").alias("n"), qf.alias("_q"))
               .select("level", "grp", "mean", "std", "n", F.col("_q")[1].alias("median"),
                       F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3")))
 

@@ -14,11 +14,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.core import _c
+from ..session import materialize as _materialize
 
 
 # ------------------------------------------------------------------ binning
@@ -302,3 +303,63 @@ def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("slope"),
                      F.regr_intercept("_y", "_x").alias("intercept"))
                 .where(F.col("n") >= min_n))
+
+
+# ------------------------------------------------------------------ exact quantiles at scale
+def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
+                    few_groups: bool = True, materialize: bool = True) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, without holding a
+    group in one task or a value->count map per group (H-1).
+
+    1. per group: n, min, max and ``percentile_approx`` at ``p -/+ 3/accuracy``
+       -- their ranks are within n/accuracy of the target, so the two values
+       bracket the exact order statistics (groups with n <= 4*accuracy take
+       [min, max] as the bracket);
+    2. per group: how many values lie below each bracket;
+    3. only values inside a bracket (about 6n/accuracy per group and
+       probability) are ranked by a window, and the two order statistics
+       around ``h = (n-1)p`` are interpolated as ``percentile`` does.
+
+    Returns ``by`` columns plus ``q0, q1, ...`` (one per probability).
+    ``few_groups``: the group keys have a fixed, small cardinality (e.g. 120
+    time-of-day groups), so the per-group bracket table is broadcast.
+    ``materialize``: the (group, value) input is read three times, so it is
+    written once to the checkpoint folder instead of recomputing upstream.
+    """
+    by = list(by)
+    probs = [float(p) for p in probs]
+    eps = 3.0 / accuracy
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    if materialize:
+        d = _materialize(d, "quantile-input")
+    lo_p = [max(p - eps, 0.0) for p in probs]
+    hi_p = [min(p + eps, 1.0) for p in probs]
+    g = d.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+                           F.percentile_approx("_x", lo_p + hi_p, accuracy).alias("_a"))
+    k = len(probs)
+    small = F.col("_n") <= 4 * accuracy
+    br = []
+    for i, p in enumerate(probs):
+        lo = F.when(small | F.lit(lo_p[i] <= 0.0), F.col("_min")).otherwise(F.col("_a")[i])
+        hi = F.when(small | F.lit(hi_p[i] >= 1.0), F.col("_max")).otherwise(F.col("_a")[k + i])
+        h = (F.col("_n") - 1).cast("double") * F.lit(p)
+        br.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), h.alias("h")))
+    groups = g.select(*by, "_n", F.explode(F.array(*br)).alias("_q")).select(*by, "_n", "_q.*")
+    # one row per (group, probability): small next to the data
+    j = d.join(F.broadcast(groups) if few_groups else groups, by, "inner")
+    below = j.groupBy(*by, "i").agg(F.sum(F.when(F.col("_x") < F.col("lo"), 1).otherwise(0))
+                                    .cast("long").alias("_below"))
+    inside = j.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+    w = Window.partitionBy(*by, "i").orderBy("_x")
+    ranked = inside.withColumn("_r", F.row_number().over(w) - 1).join(below, [*by, "i"], "inner")
+    pos = F.col("_r") + F.col("_below")
+    lo_k, hi_k = F.floor("h"), F.ceil("h")
+    picked = ranked.groupBy(*by, "i").agg(
+        F.first("h").alias("h"),
+        F.max(F.when(pos == lo_k, F.col("_x"))).alias("_vl"),
+        F.max(F.when(pos == hi_k, F.col("_x"))).alias("_vh"))
+    hc = F.col("h")
+    val = F.when(F.ceil(hc) == F.floor(hc), F.col("_vl")).otherwise(
+        (F.ceil(hc) - hc) * F.col("_vl") + (hc - F.floor(hc)) * F.col("_vh"))
+    out = picked.groupBy(*by).pivot("i", list(range(k))).agg(F.first(val))
+    return out.select(*by, *[F.col(str(i)).alias(f"q{i}") for i in range(k)])

@@ -120,3 +120,18 @@ def test_histogram_dense_total(spark):
     assert len(h) == 250
     inside = [v for v in np.linspace(40, 310, 1000) if 50 <= v <= 300]
     assert sum(r["count"] for r in h) == len(inside)
+
+
+@pytest.mark.parametrize("accuracy", [100, 10000])
+def test_exact_quantiles_equal_percentile(spark, accuracy):
+    """Bracketed exact quantiles equal Spark's map-based percentile, also when
+    the groups are larger than the bracket threshold (accuracy 100)."""
+    rng = np.random.default_rng(1)
+    rows = [("a", float(v)) for v in rng.exponential(2.0, 30000)] + \
+        [("b", float(v)) for v in rng.integers(0, 5, 200)] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in S.exact_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], accuracy).collect()}
+    ref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("p")).collect()}
+    assert got.keys() == ref.keys()
+    for g in ref:
+        assert got[g] == pytest.approx(ref[g], abs=1e-12)
