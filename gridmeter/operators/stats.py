@@ -102,9 +102,9 @@ def hist_density(hist: DataFrame, width: float) -> DataFrame:
     """Density ``n/(N*width)`` and weighted mean per series from binned counts."""
     tot = hist.groupBy("series").agg(
         F.sum("count").alias("total"),
-        (F.sum(F.col("bin_center") * F.col("count")) / F.sum("count")).alias("series_mean"))
+        F.try_divide(F.sum(F.col("bin_center") * F.col("count")), F.sum("count")).alias("series_mean"))
     return (hist.join(tot, "series", "inner")
-                .withColumn("density", F.col("count") / (F.col("total") * F.lit(width))))
+                .withColumn("density", F.try_divide(F.col("count"), F.col("total") * F.lit(width))))
 
 
 def log_histogram(df: DataFrame, value: str, by: str, cls: str, bins: int = 49,
@@ -228,7 +228,7 @@ def one_sample_t(df: DataFrame, value: str, by) -> DataFrame:
     v = F.col(value)
     return (df.where(v.isNotNull()).groupBy(*by)
               .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
-              .withColumn("t", F.col("mean") / (F.col("sd") / F.sqrt("n")))
+              .withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")))
               .withColumn("dof", (F.col("n") - 1).cast("long")))
 
 

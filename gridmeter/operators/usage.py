@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import month_ordinal, neq_nullsafe
+from .stats import exact_quantiles
 
 RESIDENTIAL = "Residential"
 
@@ -147,7 +148,7 @@ def fx_convert(pay: DataFrame, rates: DataFrame, amount="amount", ts="transactio
     fx = nearest_year_rates(keys, rates, country, "year").withColumnRenamed("year", "tx_year")
     # one row per (country, year): bounded by countries x years
     return (p.join(F.broadcast(fx), [country, "tx_year"], "inner")
-             .withColumn(amount, F.col(amount) / F.col("fx_rate"))
+             .withColumn(amount, F.try_divide(F.col(amount), F.col("fx_rate")))
              .drop("tx_year", "fx_rate"))
 
 
@@ -185,8 +186,10 @@ def quantile_cap(df: DataFrame, value: str, q: float, by=()) -> DataFrame:
     by = list(by)
     if not by:
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
-    caps = df.groupBy(*by).agg(F.percentile(value, q).alias("_cap"))
-    # one row per group; ``by`` are low-cardinality keys (country, class)
+    # exact quantile without a value->count map per group (a country may
+    # hold a third of all rows); one row per group
+    caps = exact_quantiles(df, value, by, [q]).select(*by, F.col("q0").alias("_cap"))
+    # ``by`` are low-cardinality keys (country, class)
     out = df.join(F.broadcast(caps), by, "inner").where(F.col(value) <= F.col("_cap")).drop("_cap")
     return out.drop("_g") if "_g" in out.columns else out
 

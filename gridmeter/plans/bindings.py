@@ -75,7 +75,7 @@ def power_readings(spark: SparkSession, d: str) -> DataFrame:
         meter_type_of("user_id").alias("meter_type"),
         _ts("ts").alias("heartbeatStart"),
         v.alias("voltageAvg"), (v * 0.95).alias("voltageMin"), (v * 1.05).alias("voltageMax"),
-        (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("powerFactorAvg"),
+        (F.expr("try_cast(get_json_object(props, '$.k') AS DOUBLE)") / 100.0).alias("powerFactorAvg"),
         F.col("event_type").alias("meter_tariff_name"))
 
 
