@@ -25,11 +25,17 @@ def allow_columns(df: DataFrame, cols) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
 
+# "Blank" follows Python's ``str.strip()``: the characters for which
+# ``str.isspace()`` holds (built from that rule, not listed by hand).
+_PY_SPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+_NONBLANK = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in _PY_SPACE) + "]"
+
+
 def pseudonym(col, salt: str):
     """SHA-256 hex of ``str(value) || salt``; NULL stays NULL and values
     that are empty or only whitespace stay as they are (PRJ3)."""
     s = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
-    return F.when(s.rlike(r"\S"), F.sha2(F.concat(s, F.lit(salt)), 256)).otherwise(s)
+    return F.when(s.rlike(_NONBLANK), F.sha2(F.concat(s, F.lit(salt)), 256)).otherwise(s)
 
 
 def pseudonymize(df: DataFrame, cols, salt: str) -> DataFrame:
