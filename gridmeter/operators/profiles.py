@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import contains_ci
-from ..session import materialize as _materialize
 from . import stats as S
 
 SLOT_MINUTES = 15
@@ -68,15 +67,13 @@ def load_profile(clean: DataFrame, offsets: DataFrame, customers: DataFrame | No
         F.struct(F.lit("hour").alias("level"), F.col("tod_hour").alias("grp")))).alias("_l"))
     lv = lv.select("_l.level", "_l.grp", "x")
     if method == "exact":
-        # read by the moments and three quantile passes: written once
-        lv = _materialize(lv, "profile-values")
-    moments = lv.groupBy("level", "grp").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-                                             F.count("x").alias("n"))
-    if method == "exact":
-        q = S.exact_quantiles(lv, "x", ["level", "grp"], [0.25, 0.5, 0.75], materialize=False)
-        return (moments.join(q, ["level", "grp"], "inner")
-                       .select("level", "grp", "mean", "std", "n", F.col("q1").alias("median"),
-                               F.col("q0").alias("q1"), F.col("q2").alias("q3")))
+        # the values are read by three passes; recomputing them would repeat
+        # the joins and shuffles of the cleaning output, so they are written
+        # once (materialize); the moments ride along in the first pass
+        q = S.exact_quantiles(lv, "x", ["level", "grp"], [0.25, 0.5, 0.75], materialize=True, extra_aggs=[
+            F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.count("_x").alias("n")])
+        return q.select("level", "grp", "mean", "std", "n", F.col("q1").alias("median"),
+                        F.col("q0").alias("q1"), F.col("q2").alias("q3"))
     qf = (F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if method == "approx"
           else F.percentile("x", [0.25, 0.5, 0.75]))
     return (lv.groupBy("level", "grp")

@@ -307,7 +307,7 @@ def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
 
 # ------------------------------------------------------------------ exact quantiles at scale
 def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
-                    few_groups: bool = True, materialize: bool = True) -> DataFrame:
+                    few_groups: bool = True, materialize: bool = False, extra_aggs=()) -> DataFrame:
     """Exact linearly interpolated quantiles per group, without holding a
     group in one task or a value->count map per group (H-1).
 
@@ -323,8 +323,10 @@ def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
     Returns ``by`` columns plus ``q0, q1, ...`` (one per probability).
     ``few_groups``: the group keys have a fixed, small cardinality (e.g. 120
     time-of-day groups), so the per-group bracket table is broadcast.
-    ``materialize``: the (group, value) input is read three times, so it is
-    written once to the checkpoint folder instead of recomputing upstream.
+    ``materialize``: the (group, value) input is read three times; when its
+    upstream is expensive, write it once to the checkpoint folder.
+    ``extra_aggs``: further aggregate columns over ``_x`` (the value) computed
+    in the first pass and returned with the quantiles.
     """
     by = list(by)
     probs = [float(p) for p in probs]
@@ -334,8 +336,10 @@ def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
         d = _materialize(d, "quantile-input")
     lo_p = [max(p - eps, 0.0) for p in probs]
     hi_p = [min(p + eps, 1.0) for p in probs]
+    extra = list(extra_aggs)
     g = d.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-                           F.percentile_approx("_x", lo_p + hi_p, accuracy).alias("_a"))
+                           F.percentile_approx("_x", lo_p + hi_p, accuracy).alias("_a"), *extra)
+    extra_names = [c for c in g.columns if c not in (*by, "_n", "_min", "_max", "_a")]
     k = len(probs)
     small = F.col("_n") <= 4 * accuracy
     br = []
@@ -362,4 +366,7 @@ def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
     val = F.when(F.ceil(hc) == F.floor(hc), F.col("_vl")).otherwise(
         (F.ceil(hc) - hc) * F.col("_vl") + (hc - F.floor(hc)) * F.col("_vh"))
     out = picked.groupBy(*by).pivot("i", list(range(k))).agg(F.first(val))
-    return out.select(*by, *[F.col(str(i)).alias(f"q{i}") for i in range(k)])
+    out = out.select(*by, *[F.col(str(i)).alias(f"q{i}") for i in range(k)])
+    if extra_names:
+        out = out.join(g.select(*by, *extra_names), by, "inner")
+    return out

@@ -188,7 +188,7 @@ def quantile_cap(df: DataFrame, value: str, q: float, by=()) -> DataFrame:
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
     # exact quantile without a value->count map per group (a country may
     # hold a third of all rows); one row per group
-    caps = exact_quantiles(df, value, by, [q]).select(*by, F.col("q0").alias("_cap"))
+    caps = exact_quantiles(df, value, by, [q], materialize=True).select(*by, F.col("q0").alias("_cap"))
     # ``by`` are low-cardinality keys (country, class)
     out = df.join(F.broadcast(caps), by, "inner").where(F.col(value) <= F.col("_cap")).drop("_cap")
     return out.drop("_g") if "_g" in out.columns else out

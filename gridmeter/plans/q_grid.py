@@ -59,11 +59,11 @@ def q_pivot_counts(spark, d):
 
 
 # ------------------------------------------------------------------ load profile
-def _clean_site(spark, d, only=None):
+def _clean_site(spark, d, only=None, readings=None):
     """Clean series with the customer's site.  ``only`` (meter codes) limits
     the meters before cleaning -- cleaning is per meter, so this equals
     filtering the clean series afterwards, for a fraction of the work."""
-    r = B.readings(spark, d, 15)
+    r = readings if readings is not None else B.readings(spark, d, 15)
     if only is not None:
         r = r.join(only, "meter_customer_code", "left_semi")
     c = C.clean_readings(r, order_extra=["row_id"])
@@ -77,8 +77,8 @@ def _offsets(spark, d):
                                        F.col("timezoneOffsetUtc").alias("utc_offset"))
 
 
-def _matching(spark, d):
-    r = C.coerce_readings(B.readings(spark, d))
+def _matching(spark, d, readings=None):
+    r = C.coerce_readings(readings if readings is not None else B.readings(spark, d))
     modal = C.modal_tariff(r, "meter_customer_code", "meter_tariff_name", "tariff")
     return P.customers_by_tariff(modal, TARIFF_PATTERN)
 
@@ -98,8 +98,9 @@ def q_time_of_day(spark, d):
 
 
 def _lp(spark, d, observed_only=False):
-    m = _matching(spark, d)
-    return P.load_profile(_clean_site(spark, d, m), _offsets(spark, d), m,
+    r = B.readings(spark, d, 15)
+    m = _matching(spark, d, r)
+    return P.load_profile(_clean_site(spark, d, m, r), _offsets(spark, d), m,
                           observed_only=observed_only)
 
 
