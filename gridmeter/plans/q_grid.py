@@ -243,7 +243,7 @@ def _lp_steps():
 
 
 CARBON_STEPS = {
-    "an0": """SELECT site_name, meter_customer_code, year(slot_start) AS year,
+    "an0": """SELECT site_name, meter_customer_code, CAST(year(slot_start) AS INTEGER) AS year,
         coalesce(regexp_matches(tariff, '(?i)Residential'), false) AS is_residential, sum(energy_kwh) AS annual_kwh
         FROM clean_long WHERE meter_type = 'customer' GROUP BY ALL""",
     "an1": """SELECT an0.*, coalesce(po.project, replace(an0.site_name, '_', ' ')) AS project

@@ -18,7 +18,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    n, problems = compare(spark, con, SF, QUERIES[name], SQL.get(name))
+    n, problems = compare(spark, con, SF, QUERIES[name], SQL.get(name), types=True)
     assert not problems, problems
     assert n >= 0
 
