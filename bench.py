@@ -31,7 +31,11 @@ def main():
     qs = catalog.queries()
     def run(n):
         t0 = time.perf_counter()
-        qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - report and go on with the others
+            print(f"bench: {n} failed: {str(e)[:300]}", file=sys.stderr)
+            return None
         return round(time.perf_counter() - t0, 3)
 
     # pass 1 warms the JVM (JIT, generated code) and is reported as cold_total;
@@ -39,9 +43,11 @@ def main():
     cold = {n: run(n) for n in names}
     times = {n: run(n) for n in names}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
+    ok = [v for v in times.values() if v is not None]
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(ok), 3),
                       "unit": "sec", "queries": times, "sf": sf,
-                      "cold_total": round(sum(cold.values()), 3)}))
+                      "cold_total": round(sum(v for v in cold.values() if v is not None), 3),
+                      "failed": [n for n, v in times.items() if v is None]}))
     spark.stop()
 
 

@@ -23,7 +23,11 @@ REQUIRED_CONF = {
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a hot meter/site partition is split and its join partner replicated
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # reducers sized by bytes, not by the number of cores
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # checkpoint files of finished queries are removed with their frames
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
