@@ -144,7 +144,23 @@ def q_tariff_asof(spark, d):
                     r_("totalRate", 4).alias("totalRate"))
 
 
+def q_tariff_rate_check(spark, d):
+    """Does a row's own rate equal the tariff in force at its time (X1 check)?
+    Counts per station of matching, differing and unmatched rows."""
+    li = B.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("station"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_discount").alias("own_rate"))
+    right = B.tariffs(spark, d).where(F.col("totalRate") > 0)
+    j = Q.asof_join(li, right, "station", "ts", "startingDatetime", ["totalRate"],
+                    ["tariff_order", "tariff_line"])
+    return (j.groupBy("station")
+             .agg(F.sum(F.when(F.col("totalRate") == F.col("own_rate"), 1).otherwise(0)).cast("long").alias("n_equal"),
+                  F.sum(F.when(F.col("totalRate") != F.col("own_rate"), 1).otherwise(0)).cast("long").alias("n_differ"),
+                  F.sum(F.when(F.col("totalRate").isNull(), 1).otherwise(0)).cast("long").alias("n_no_tariff")))
+
+
 QUERIES = {
+    "tariff_rate_check": q_tariff_rate_check,
     "release_drop_cols": q_release_drop_cols,
     "release_allowlist": q_release_allowlist,
     "pseudonymize": q_pseudonymize,
@@ -190,6 +206,16 @@ _LOOKUP = {
 }
 
 SQL = {
+    "tariff_rate_check": with_(["tariffs"], """SELECT l.station,
+        CAST(sum(CASE WHEN t.totalRate = l.own_rate THEN 1 ELSE 0 END) AS BIGINT) AS n_equal,
+        CAST(sum(CASE WHEN t.totalRate <> l.own_rate THEN 1 ELSE 0 END) AS BIGINT) AS n_differ,
+        CAST(sum(CASE WHEN t.totalRate IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_no_tariff
+        FROM (SELECT l_suppkey AS station, l_shipdate AS ts, l_discount AS own_rate FROM lineitem) l
+        ASOF LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station, startingDatetime
+                          ORDER BY tariff_order DESC, tariff_line DESC) AS rn FROM tariffs WHERE totalRate > 0)
+                        WHERE rn = 1) t
+        ON l.station = t.station AND l.ts >= t.startingDatetime
+        GROUP BY l.station"""),
     "release_drop_cols": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
     "release_allowlist": with_(["stations"], """SELECT meteringSiteId, meteringBaseStation, projectName,
         timezoneOffsetUtc, olderMeteringSiteIds FROM stations"""),
