@@ -307,18 +307,20 @@ def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
 
 # ------------------------------------------------------------------ exact quantiles at scale
 def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
-                    few_groups: bool = True, materialize: bool = False, extra_aggs=()) -> DataFrame:
+                    few_groups: bool = True, materialize: bool = False, extra_aggs=(),
+                    small_n: int = 2000) -> DataFrame:
     """Exact linearly interpolated quantiles per group, without holding a
     group in one task or a value->count map per group (H-1).
 
-    1. per group: n, min, max and ``percentile_approx`` at ``p -/+ 3/accuracy``
-       -- their ranks are within n/accuracy of the target, so the two values
-       bracket the exact order statistics (groups with n <= 4*accuracy take
-       [min, max] as the bracket);
-    2. per group: how many values lie below each bracket;
-    3. only values inside a bracket (about 6n/accuracy per group and
+    1. per group: n, min, max and ``percentile_approx`` at ``p -/+ eps`` with
+       ``eps = 3/accuracy + 2/small_n``: the approximate ranks are within
+       n/accuracy of the target, so for n > small_n the two values bracket
+       the exact order statistics around ``h = (n-1)p`` (groups with
+       n <= small_n take [min, max]);
+    2. per group, in one aggregate: how many values lie below each bracket;
+    3. only values inside a bracket (about 2*eps*n per group and
        probability) are ranked by a window, and the two order statistics
-       around ``h = (n-1)p`` are interpolated as ``percentile`` does.
+       around h are interpolated as ``percentile`` does.
 
     Returns ``by`` columns plus ``q0, q1, ...`` (one per probability).
     ``few_groups``: the group keys have a fixed, small cardinality (e.g. 120
@@ -330,7 +332,8 @@ def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
     """
     by = list(by)
     probs = [float(p) for p in probs]
-    eps = 3.0 / accuracy
+    k = len(probs)
+    eps = 3.0 / accuracy + 2.0 / small_n
     d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     if materialize:
         d = _materialize(d, "quantile-input")
@@ -340,28 +343,30 @@ def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
     g = d.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
                            F.percentile_approx("_x", lo_p + hi_p, accuracy).alias("_a"), *extra)
     extra_names = [c for c in g.columns if c not in (*by, "_n", "_min", "_max", "_a")]
-    k = len(probs)
-    small = F.col("_n") <= 4 * accuracy
-    br = []
+    small = F.col("_n") <= small_n
+    cols = []
     for i, p in enumerate(probs):
-        lo = F.when(small | F.lit(lo_p[i] <= 0.0), F.col("_min")).otherwise(F.col("_a")[i])
-        hi = F.when(small | F.lit(hi_p[i] >= 1.0), F.col("_max")).otherwise(F.col("_a")[k + i])
-        h = (F.col("_n") - 1).cast("double") * F.lit(p)
-        br.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), h.alias("h")))
-    groups = g.select(*by, "_n", F.explode(F.array(*br)).alias("_q")).select(*by, "_n", "_q.*")
-    # one row per (group, probability): small next to the data
+        cols.append(F.when(small | F.lit(lo_p[i] <= 0.0), F.col("_min")).otherwise(F.col("_a")[i]).alias(f"_lo{i}"))
+        cols.append(F.when(small | F.lit(hi_p[i] >= 1.0), F.col("_max")).otherwise(F.col("_a")[k + i]).alias(f"_hi{i}"))
+    groups = g.select(*by, "_n", *cols)
+    # one row per group: small next to the data
     j = d.join(F.broadcast(groups) if few_groups else groups, by, "inner")
-    below = j.groupBy(*by, "i").agg(F.sum(F.when(F.col("_x") < F.col("lo"), 1).otherwise(0))
-                                    .cast("long").alias("_below"))
-    inside = j.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+    below = j.groupBy(*by).agg(*[F.sum(F.when(F.col("_x") < F.col(f"_lo{i}"), 1).otherwise(0))
+                                 .cast("long").alias(f"_below{i}") for i in range(k)])
+    hits = F.filter(F.array(*[F.when((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")),
+                                     F.lit(i)) for i in range(k)]), lambda c: c.isNotNull())
+    inside = j.select(*by, "_n", "_x", F.explode(hits).alias("i"))
     w = Window.partitionBy(*by, "i").orderBy("_x")
-    ranked = inside.withColumn("_r", F.row_number().over(w) - 1).join(below, [*by, "i"], "inner")
-    pos = F.col("_r") + F.col("_below")
-    lo_k, hi_k = F.floor("h"), F.ceil("h")
-    picked = ranked.groupBy(*by, "i").agg(
-        F.first("h").alias("h"),
-        F.max(F.when(pos == lo_k, F.col("_x"))).alias("_vl"),
-        F.max(F.when(pos == hi_k, F.col("_x"))).alias("_vh"))
+    ranked = inside.withColumn("_r", F.row_number().over(w) - 1).join(below, by, "inner")
+    below_i = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(k)]), F.col("i") + 1)
+    p_i = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1)
+    h = (F.col("_n") - 1).cast("double") * p_i
+    pos = F.col("_r") + below_i
+    picked = (ranked.withColumn("h", h)
+                    .groupBy(*by, "i")
+                    .agg(F.first("h").alias("h"),
+                         F.max(F.when(pos == F.floor("h"), F.col("_x"))).alias("_vl"),
+                         F.max(F.when(pos == F.ceil("h"), F.col("_x"))).alias("_vh")))
     hc = F.col("h")
     val = F.when(F.ceil(hc) == F.floor(hc), F.col("_vl")).otherwise(
         (F.ceil(hc) - hc) * F.col("_vl") + (hc - F.floor(hc)) * F.col("_vh"))

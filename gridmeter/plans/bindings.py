@@ -23,6 +23,7 @@ from ..operators.series import running_sum
 from ..session import materialize, prepare
 
 RESET_EVERY = 37
+MATERIALIZE_READINGS = False
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,14 +57,15 @@ def readings(spark: SparkSession, d: str, slot_minutes: int = 15) -> DataFrame:
     hb = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / F.lit(slot_s)) * F.lit(slot_s))
     energy = (F.when(F.pmod(F.col("event_id"), F.lit(RESET_EVERY)) == 0, F.lit(0.0))
                .otherwise(F.col("cum").cast("double") / F.lit(100.0)))
-    return materialize(cum.select(
+    out = cum.select(
         F.col("user_id").cast("string").alias("meter_customer_code"),
         meter_type_of("user_id").alias("meter_type"),
         hb.alias("heartbeatStart"),
         energy.alias("energy"),
         F.when(F.col("event_type") == "error", F.lit(0)).otherwise(F.lit(1)).alias("state"),
         F.col("event_type").alias("meter_tariff_name"),
-        F.col("event_id").alias("row_id")), "readings")
+        F.col("event_id").alias("row_id"))
+    return materialize(out, "readings") if MATERIALIZE_READINGS else out
 
 
 def power_readings(spark: SparkSession, d: str) -> DataFrame:

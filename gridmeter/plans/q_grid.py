@@ -12,6 +12,7 @@ from ..operators import stats as S
 from . import bindings as B
 from .q_clean import _sql_steps
 from .sql_bindings import with_
+from ..session import materialize
 
 V = (50.0, 300.0, 250)
 PF = (0.0, 1.0, 200)
@@ -99,7 +100,8 @@ def q_time_of_day(spark, d):
 
 def _lp(spark, d, observed_only=False):
     r = B.readings(spark, d, 15)
-    m = _matching(spark, d, r)
+    # the matching meters are a small table read by two joins: written once
+    m = materialize(_matching(spark, d, r), "matching-meters")
     return P.load_profile(_clean_site(spark, d, m, r), _offsets(spark, d), m,
                           observed_only=observed_only)
 

@@ -135,3 +135,14 @@ def test_exact_quantiles_equal_percentile(spark, accuracy):
     assert got.keys() == ref.keys()
     for g in ref:
         assert got[g] == pytest.approx(ref[g], abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [2001, 2500, 7000])
+def test_exact_quantiles_just_above_small_n(spark, n):
+    rng = np.random.default_rng(n)
+    vals = np.round(rng.normal(0, 1, n), 3)          # many ties
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    r = S.exact_quantiles(df, "x", ["g"], probs).collect()[0]
+    got = [r[f"q{i}"] for i in range(len(probs))]
+    assert got == pytest.approx(list(np.quantile(vals, probs)), abs=1e-12)
