@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import neq_nullsafe, not_in_nullsafe
+from ..functions.core import broadcast_if_small, neq_nullsafe, not_in_nullsafe
 
 
 def drop_columns(df: DataFrame, cols) -> DataFrame:
@@ -125,11 +125,12 @@ def site_lookup(stations: DataFrame) -> DataFrame:
 def resolve_site(readings: DataFrame, stations: DataFrame, site="site") -> DataFrame:
     """Add ``site_name`` right after ``site``; unmapped ids -> 'unknown' (J5, PRJ4).
 
-    The lookup has one row per site id (stations are a dimension of a few
-    thousand rows at most) and is broadcast.
+    The lookup has one row per site id (a dimension: stations and their
+    legacy ids); it is broadcast after a check of its size, else joined by
+    a shuffle.
     """
     lk = site_lookup(stations).withColumnRenamed("site", site)
-    j = readings.join(F.broadcast(lk), site, "left")
+    j = readings.join(broadcast_if_small(lk), site, "left")
     cols = []
     for c in readings.columns:
         cols.append(F.col(c))
