@@ -35,7 +35,16 @@ def q_tenure_lowess(spark, d):
                     r_("smooth", 4).alias("smooth"))
 
 
+def q_revenue_tenure_lowess(spark, d):
+    from .q_usage import _monthly2_r
+    t = U.tenure_curve(_monthly2_r(spark, d), "monthly_revenue", ["country"], 10)
+    s = SM.lowess(t, "country", "months_since_first", "mean", frac=0.2)
+    return s.select("country", "months_since_first", r_("mean", 2).alias("mean"),
+                    r_("smooth", 2).alias("smooth"))
+
+
 QUERIES = {
+    "revenue_tenure_lowess": q_revenue_tenure_lowess,
     "stream_ingest": q_stream_ingest,
     "stream_daily_usage": q_stream_daily_usage,
     "tenure_lowess": q_tenure_lowess,

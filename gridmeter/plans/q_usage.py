@@ -201,7 +201,41 @@ def q_quantile_cap(spark, d):
                     r_("monthly_revenue", 2).alias("monthly_revenue"))
 
 
+def q_acpu_log_histogram(spark, d):
+    h = S.log_histogram(_acpu(spark, d), "acpu", "country", "cust_class")
+    return h.select("country", "cust_class", "bin", r_("edge_lo", 4).alias("edge_lo"),
+                    r_("edge_hi", 4).alias("edge_hi"), "count", r_("density", 12).alias("density"),
+                    r_("class_mean", 4).alias("class_mean"), "n_class")
+
+
+def q_acpu_boxplot_stats(spark, d):
+    b = S.boxplot_stats(_acpu(spark, d), "acpu", ["country", "projectName"])
+    return b.select("country", "projectName", "n",
+                    *[r_(c, 4).alias(c) for c in ["q1", "median", "q3", "whisker_lo", "whisker_hi"]],
+                    "n_outliers")
+
+
+def q_consumption_slope_histogram(spark, d):
+    h = S.clipped_histogram(_cslopes(spark, d), "slope", "country", 60)
+    return h.select("country", "bin", r_("edge_lo", 6).alias("edge_lo"), "count")
+
+
+def q_consumption_slope_ttest(spark, d):
+    t = S.one_sample_t(_cslopes(spark, d), "slope", ["country"])
+    return t.select("country", "n", r_("mean", 6).alias("mean"), r_("t", 6).alias("t"), "dof")
+
+
+def q_revenue_tenure_curve(spark, d):
+    t = U.tenure_curve(_monthly2_r(spark, d), "monthly_revenue", ["country"], 10)
+    return t.select("country", "months_since_first", r_("mean", 2).alias("mean"), "count")
+
+
 QUERIES = {
+    "acpu_log_histogram": q_acpu_log_histogram,
+    "acpu_boxplot_stats": q_acpu_boxplot_stats,
+    "consumption_slope_histogram": q_consumption_slope_histogram,
+    "consumption_slope_ttest": q_consumption_slope_ttest,
+    "revenue_tenure_curve": q_revenue_tenure_curve,
     "monthly_consumption": q_monthly_consumption,
     "map_site_project": q_map_site_project,
     "acpu": q_acpu,
@@ -304,7 +338,7 @@ def _summary_sql(src, code, total, mean):
         active_months, first_month, last_month, {rs(mean, 4)} AS {mean}, date_range_months FROM {src}"""
 
 
-def _qhist_sql():
+def _qhist_sql(src="arpu", val="arpu", exclude_unknown=True):
     from ..operators.stats import sql_bin_index
     bins = 49
     a = "log10(lo)"
@@ -314,18 +348,18 @@ def _qhist_sql():
     def edge(i):
         return (f"(CASE WHEN ({i}) <= 0 THEN lo WHEN ({i}) >= {bins} THEN hi "
                 f"ELSE pow(10.0, CAST({i} AS DOUBLE) * {step} + {a}) END)")
-    i0 = f"CAST(floor((log10(arpu) - {a}) / {step}) AS BIGINT)"
-    i1 = f"(CASE WHEN arpu < {edge(i0)} THEN {i0} - 1 WHEN arpu >= {edge(i0 + ' + 1')} THEN {i0} + 1 ELSE {i0} END)"
-    binc = (f"(CASE WHEN arpu >= lo AND arpu <= hi THEN CAST(CASE WHEN arpu = hi THEN {bins - 1} "
+    i0 = f"CAST(floor((log10({val}) - {a}) / {step}) AS BIGINT)"
+    i1 = f"(CASE WHEN {val} < {edge(i0)} THEN {i0} - 1 WHEN {val} >= {edge(i0 + ' + 1')} THEN {i0} + 1 ELSE {i0} END)"
+    binc = (f"(CASE WHEN {val} >= lo AND {val} <= hi THEN CAST(CASE WHEN {val} = hi THEN {bins - 1} "
             f"ELSE least(greatest({i1}, 0), {bins - 1}) END AS INTEGER) END)")
     del sql_bin_index
     extra = {
-        "hd": "SELECT * FROM arpu WHERE arpu IS NOT NULL AND cust_class <> 'Unknown'",
-        "hq": """SELECT country, greatest(quantile_cont(arpu, 0.01), 0.001) AS lo,
-                 quantile_cont(arpu, 0.99) AS hi FROM hd GROUP BY country""",
+        "hd": f"SELECT * FROM {src} WHERE {val} IS NOT NULL" + (" AND cust_class <> 'Unknown'" if exclude_unknown else ""),
+        "hq": f"""SELECT country, greatest(quantile_cont({val}, 0.01), 0.001) AS lo,
+                 quantile_cont({val}, 0.99) AS hi FROM hd GROUP BY country""",
         "hq2": "SELECT * FROM hq WHERE hi > lo",
         "hj": f"SELECT hd.*, hq2.lo, hq2.hi, {binc} AS bin_i FROM hd JOIN hq2 USING (country)",
-        "hs": """SELECT country, cust_class, avg(arpu) AS class_mean, count(arpu) AS n_class,
+        "hs": f"""SELECT country, cust_class, avg({val}) AS class_mean, count({val}) AS n_class,
                  count(bin_i) AS n_in_range FROM hj GROUP BY ALL""",
         "hc": "SELECT country, cust_class, bin_i, count(*) AS count FROM hj WHERE bin_i IS NOT NULL GROUP BY ALL",
         "hsp": "SELECT hs.*, CAST(unnest(range(49)) AS INTEGER) AS bin_i FROM hs",
@@ -340,11 +374,11 @@ def _qhist_sql():
     return body, extra
 
 
-def _slope_hist_sql():
+def _slope_hist_sql(src="rs"):
     from ..operators.stats import sql_bin_index
     clipped = "least(greatest(slope, lo), hi)"
     extra = {
-        "sd": "SELECT * FROM rs WHERE slope IS NOT NULL",
+        "sd": f"SELECT * FROM {src} WHERE slope IS NOT NULL",
         "sq": "SELECT country, quantile_cont(slope, 0.01) AS lo, quantile_cont(slope, 0.99) AS hi FROM sd GROUP BY country",
         "sb": f"""SELECT country, lo, hi, CASE WHEN hi > lo THEN {sql_bin_index(clipped, 'lo', 'hi', 60)} ELSE 0 END AS bin_i
                   FROM sd JOIN sq USING (country)""",
@@ -441,6 +475,33 @@ def _build_sql():
         {rs('monthly_revenue', 2)} AS monthly_revenue FROM m2r JOIN (SELECT country,
         quantile_cont(monthly_revenue, 0.99) AS cap FROM m2r GROUP BY country) q ON q.country = m2r.country
         WHERE monthly_revenue <= cap""", _R2)
+    # consumption / revenue mirrors of the statistics above
+    st = _steps()
+    body, extra = _qhist_sql("acpu", "acpu", exclude_unknown=False)
+    body = body.replace(f"{rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 10)}",
+                        f"{rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 12)}")
+    ex = {k: st[k] for k in _C}
+    ex.update(extra)
+    sql["acpu_log_histogram"] = with_(["clean_long", "site_map"], body, ex)
+    ex = {k: st[k] for k in _C}
+    ex.update(_box_extra("acpu", "acpu"))
+    sql["acpu_boxplot_stats"] = with_(["clean_long", "site_map"], f"""SELECT country, projectName, n,
+        {rs('q1', 4)} AS q1, {rs('median', 4)} AS median, {rs('q3', 4)} AS q3,
+        {rs('whisker_lo', 4)} AS whisker_lo, {rs('whisker_hi', 4)} AS whisker_hi, n_outliers
+        FROM bq JOIN bw USING (country, projectName)""", ex)
+    body, extra = _slope_hist_sql("cs")
+    body = body.replace(f"{rs('CAST(bin_i AS DOUBLE) * ((first(hi) - first(lo)) / 60.0) + first(lo)', 4)}",
+                        f"{rs('CAST(bin_i AS DOUBLE) * ((first(hi) - first(lo)) / 60.0) + first(lo)', 6)}")
+    ex = {k: st[k] for k in _C2 + ["cs"]}
+    ex.update(extra)
+    sql["consumption_slope_histogram"] = with_(["clean_long", "site_map"], body, ex)
+    sql["consumption_slope_ttest"] = _sql(f"""SELECT country, count(slope) AS n, {rs('avg(slope)', 6)} AS mean,
+        {rs('avg(slope) / (stddev_samp(slope) / sqrt(count(slope)))', 6)} AS t,
+        CAST(count(slope) - 1 AS BIGINT) AS dof FROM cs WHERE slope IS NOT NULL GROUP BY country""",
+                                          _C2 + ["cs"])
+    sql["revenue_tenure_curve"] = _sql(f"""SELECT country, months_since_first, {rs('avg(monthly_revenue)', 2)} AS mean,
+        count(monthly_revenue) AS count FROM m2r GROUP BY country, months_since_first
+        HAVING count(monthly_revenue) >= 10""", _R2)
     return sql
 
 
