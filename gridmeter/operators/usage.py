@@ -63,16 +63,30 @@ def map_sites(df: DataFrame, site_map: DataFrame, site="site_name") -> DataFrame
     return df.join(F.broadcast(site_map), site, "inner")
 
 
+def _ord_label(c):
+    """yyyy-MM of a month ordinal ((year-1970)*12 + month-1)."""
+    o = F.col(c)
+    y = (F.floor(o / F.lit(12)) + 1970).cast("int")
+    m = (F.pmod(o, F.lit(12)) + 1).cast("int")
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"))
+
+
 def per_user_summary(monthly: DataFrame, keys, value: str, ym="ym", prefix="") -> DataFrame:
-    """sum, count, first/last month, mean and span of months."""
+    """sum, count, first/last month, mean and span of months.
+
+    Months are aggregated as integer ordinals (hash aggregate; min/max of a
+    string would force a sort aggregate) and labelled afterwards.
+    """
     ym_ord = month_ordinal(F.to_date(F.concat(F.col(ym), F.lit("-01"))))
-    return (monthly.withColumn("_ord", ym_ord)
-                   .groupBy(*keys)
-                   .agg(F.sum(value).alias(f"total_{prefix}"),
-                        F.count(value).alias("active_months"),
-                        F.min(ym).alias("first_month"), F.max(ym).alias("last_month"),
-                        F.avg(value).alias(prefix or "mean"),
-                        (F.max("_ord") - F.min("_ord") + 1).alias("date_range_months")))
+    g = (monthly.withColumn("_ord", ym_ord)
+                .groupBy(*keys)
+                .agg(F.sum(value).alias(f"total_{prefix}"),
+                     F.count(value).alias("active_months"),
+                     F.min("_ord").alias("_first"), F.max("_ord").alias("_last"),
+                     F.avg(value).alias(prefix or "mean")))
+    return g.select(*keys, f"total_{prefix}", "active_months",
+                    _ord_label("_first").alias("first_month"), _ord_label("_last").alias("last_month"),
+                    prefix or "mean", (F.col("_last") - F.col("_first") + 1).alias("date_range_months"))
 
 
 def min_site_customers(df: DataFrame, n: int, site_keys=("country", "projectName"),
