@@ -26,10 +26,11 @@ def most_frequent(df: DataFrame, key: str, value: str, out: str = "value") -> Da
     """Most frequent non-NULL value per key by count (A10, O6); ties -> the
     smallest value (a documented total order; the reference takes the
     first one met)."""
-    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    return (c.groupBy(key)
-             .agg(F.min_by(value, F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias(out),
-                  F.max("_n").alias("n")))
+    c = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    # one row per (key, distinct value): the window is over a key's few values
+    w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc(value))
+    return (c.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+             .select(key, F.col(value).alias(out), "n"))
 
 
 def counts_by_key(df: DataFrame, keys) -> DataFrame:

@@ -148,9 +148,9 @@ def nearest_year_rates(keys: DataFrame, rates: DataFrame, country="country", yea
     r = rates.where(F.col(rate).isNotNull()).select(
         F.col(country), F.col(year).alias("_ry"), F.col(rate).alias("_rate"))
     j = keys.join(F.broadcast(r), country, "inner")
-    return (j.groupBy(country, year)
-             .agg(F.min_by("_rate", F.struct(F.abs(F.col("_ry") - F.col(year)), F.col("_ry")))
-                  .alias("fx_rate")))
+    # total order (distance, year) as one integer key: a hash aggregate
+    order = F.abs(F.col("_ry") - F.col(year)).cast("long") * F.lit(1_000_000) + F.col("_ry")
+    return j.groupBy(country, year).agg(F.min_by("_rate", order).alias("fx_rate"))
 
 
 def fx_convert(pay: DataFrame, rates: DataFrame, amount="amount", ts="transactionDatetime",

@@ -69,12 +69,12 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """
     parts = []
     for name, df in tables.items():
-        rows = df.groupBy(F.lit(name).alias("table_name")).agg(F.count(F.lit(1)).alias("n_rows"))
-        files = df.select(F.col("_metadata.file_path").alias("f"),
-                          F.col("_metadata.file_size").alias("s")).distinct()
-        size = files.groupBy(F.lit(name).alias("table_name")).agg(F.sum("s").alias("bytes"))
-        parts.append(rows.join(size, "table_name", "left")
-                         .withColumn("n_columns", F.lit(len(df.columns))))
+        # rows per file, then rows and bytes over the files: one aggregate chain, no join
+        per_file = (df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
+                      .groupBy("f", "s").agg(F.count(F.lit(1)).alias("n")))
+        parts.append(per_file.agg(F.sum("n").alias("n_rows"), F.sum("s").alias("bytes"))
+                             .select(F.lit(name).alias("table_name"), "n_rows", "bytes",
+                                     F.lit(len(df.columns)).alias("n_columns")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

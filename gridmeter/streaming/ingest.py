@@ -65,5 +65,6 @@ def daily_usage_stream(spark: SparkSession, stream: DataFrame, key: str, ts_col:
             .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     t = spark.read.parquet(out)
-    latest = t.groupBy(key, "window_start").agg(F.max_by(F.struct("total", "n"), "_batch").alias("v"))
-    return latest.select(key, "window_start", F.col("v.total").alias("total"), F.col("v.n").alias("n"))
+    # one version per (key, window, batch), so each field's max_by picks the same row
+    return t.groupBy(key, "window_start").agg(F.max_by("total", "_batch").alias("total"),
+                                              F.max_by("n", "_batch").alias("n"))
