@@ -67,10 +67,34 @@ def cast_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def clean_payments(df: DataFrame, min_year: int = 2015, ts="transactionDatetime",
-                   processor="paymentProcessor") -> DataFrame:
-    """Drop NULL / zero dates (year < min_year); processor lower + trim (FLT1)."""
+                   processor="paymentProcessor", aliases: dict | None = None) -> DataFrame:
+    """Drop NULL / zero dates (year < min_year); processor lower + trim (FLT1).
+
+    ``aliases`` (off by default, S16) maps further spellings after lower/trim,
+    e.g. ``{"m-pesa": "mpesa"}``; it is a fixed list applied as a CASE.
+    """
+    p = F.trim(F.lower(F.col(processor)))
+    if aliases:
+        m = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+        p = F.coalesce(m[p], p)
     return (df.where(F.col(ts).isNotNull() & (F.year(ts) >= min_year))
-              .withColumn(processor, F.trim(F.lower(F.col(processor)))))
+              .withColumn(processor, p))
+
+
+def release_table(df: DataFrame, table: str, salt: str, min_year: int = 2015) -> DataFrame:
+    """Release one source table: drop its listed columns, pseudonymise its
+    listed columns, then the per-table cleaning (payments) (PRJ1, PRJ3, FLT1)."""
+    from .. import release_spec as RS
+    out = pseudonymize(drop_columns(df, RS.DROP_COLS.get(table, [])), RS.PSEUDO_COLS.get(table, []), salt)
+    if table in RS.PAYMENT_TABLES:
+        out = clean_payments(out, min_year)
+    if table == "minigridprojects":
+        out = drop_test_sites(out)
+    if table == "vrmgeneration":
+        out = exclude_values(out, "Project_Name", RS.EXCLUDED_GENERATION_SITES)
+    if table == "meteringbasestations":
+        out = allow_columns(out, RS.STATION_SAFE_COLS)
+    return out
 
 
 def drop_test_sites(df: DataFrame, lat="lat", lon="long") -> DataFrame:

@@ -159,7 +159,20 @@ def q_tariff_rate_check(spark, d):
                   F.sum(F.when(F.col("totalRate").isNull(), 1).otherwise(0)).cast("long").alias("n_no_tariff")))
 
 
+def q_release_customers(spark, d):
+    """The customers table through the release spec (drop, pseudonymise)."""
+    return R.release_table(B.customers(spark, d), "customers", SALT)
+
+
+def q_release_payments(spark, d):
+    """Payments through the release spec (pseudonymise, clean dates/processor)."""
+    p = R.release_table(B.payments(spark, d), "paymentconfirmations", SALT, 1997)
+    return p.select("id", "customerAccountNumber", "paymentProcessor", "transactionDatetime")
+
+
 QUERIES = {
+    "release_customers": q_release_customers,
+    "release_payments": q_release_payments,
     "tariff_rate_check": q_tariff_rate_check,
     "release_drop_cols": q_release_drop_cols,
     "release_allowlist": q_release_allowlist,
@@ -206,6 +219,11 @@ _LOOKUP = {
 }
 
 SQL = {
+    "release_customers": with_(["customers"], f"""SELECT {_pseudo('customerAccountNumber')} AS customerAccountNumber,
+        customerType, projectName, country FROM customers"""),
+    "release_payments": with_(["payments"], f"""SELECT id, {_pseudo('customerAccountNumber')} AS customerAccountNumber,
+        trim(lower(paymentProcessor)) AS paymentProcessor, transactionDatetime FROM payments
+        WHERE transactionDatetime IS NOT NULL AND year(transactionDatetime) >= 1997"""),
     "tariff_rate_check": with_(["tariffs"], """SELECT l.station,
         CAST(sum(CASE WHEN t.totalRate = l.own_rate THEN 1 ELSE 0 END) AS BIGINT) AS n_equal,
         CAST(sum(CASE WHEN t.totalRate <> l.own_rate THEN 1 ELSE 0 END) AS BIGINT) AS n_differ,

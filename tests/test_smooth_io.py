@@ -75,3 +75,24 @@ def test_table_profile_counts(spark):
 def test_year_predicates():
     assert IO.year_predicates("ts", [2018, 2019]) == [
         "ts >= '2018-01-01' AND ts < '2019-01-01'", "ts >= '2019-01-01' AND ts < '2020-01-01'"]
+
+
+def test_release_table_and_series_writer(spark):
+    from datetime import datetime
+
+    from gridmeter.operators import release as R
+    pay = spark.createDataFrame(
+        [("A1", " M-Pesa ", datetime(2020, 1, 1), "x"), ("B2", "mpesa", None, "y"),
+         ("C3", "Cash", datetime(2001, 1, 1), "z")],
+        "customerAccountNumber string, paymentProcessor string, transactionDatetime timestamp, phoneNumber string")
+    out = R.release_table(pay, "paymentconfirmations", "salt").collect()
+    assert len(out) == 1 and "phoneNumber" not in out[0].asDict()
+    assert out[0].paymentProcessor == "m-pesa" and len(out[0].customerAccountNumber) == 64
+    al = R.clean_payments(pay, 2015, aliases={"m-pesa": "mpesa"}).collect()
+    assert [r.paymentProcessor for r in al] == ["mpesa"]
+    path = os.path.join(tempfile.mkdtemp(prefix="gm-io-", dir="/tmp"), "s")
+    s = spark.createDataFrame([("s1", "c", "customer", datetime(2024, 1, 1), 1.0)],
+                              "site_name string, meter_customer_code string, meter_type string, "
+                              "slot_start timestamp, energy_kwh double")
+    IO.write_series(s, path)
+    assert spark.read.parquet(path).where("site_name = 's1'").count() == 1
