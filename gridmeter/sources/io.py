@@ -56,6 +56,17 @@ def read_sites(spark: SparkSession, paths, name_pattern: str = r"^(.*)\.parquet$
     return df.withColumn(col, F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1))
 
 
+def read_parquet_ns(spark: SparkSession, path: str, ts_cols) -> DataFrame:
+    """Parquet written with nanosecond timestamps (pandas/Arrow defaults),
+    which Spark rejects: the session reads them as int64 nanoseconds
+    (``spark.sql.legacy.parquet.nanosAsLong``; left set for the scan) and
+    they become microsecond TIMESTAMPs (H-4)."""
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    df = spark.read.parquet(path)
+    return df.withColumns({c: F.timestamp_micros(F.floor(F.col(c) / F.lit(1000)).cast("long"))
+                           for c in ts_cols})
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Typed CSV with header (SRC7)."""
     return spark.read.schema(schema).option("header", True).csv(path)

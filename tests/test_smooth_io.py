@@ -96,3 +96,17 @@ def test_release_table_and_series_writer(spark):
                               "slot_start timestamp, energy_kwh double")
     IO.write_series(s, path)
     assert spark.read.parquet(path).where("site_name = 's1'").count() == 1
+
+
+def test_read_nanosecond_timestamps(spark):
+    from datetime import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    d = tempfile.mkdtemp(prefix="gm-io-", dir="/tmp")
+    t = pa.table({"ts": pa.array([1_700_000_000_123_456_789, None], pa.timestamp("ns")),
+                  "v": pa.array([1.0, 2.0])})
+    pq.write_table(t, os.path.join(d, "x.parquet"), coerce_timestamps=None, version="2.6")
+    got = IO.read_parquet_ns(spark, d, ["ts"]).orderBy("v").collect()
+    assert got[0].ts == datetime(2023, 11, 14, 22, 13, 20, 123456)
+    assert got[1].ts is None
