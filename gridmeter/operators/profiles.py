@@ -94,10 +94,11 @@ def load_profile_ci(stats: DataFrame, slot_minutes=SLOT_MINUTES) -> DataFrame:
                                                 F.col("id").cast("int").alias("grp"))))
     j = spine.join(stats, ["level", "grp"], "left")
     scale = F.when(F.col("level") == "slot", F.lit(1000.0)).otherwise(F.lit(1000.0 * spd / 24))
-    half = F.lit(1.96) * F.col("std") / F.sqrt("n")
+    centre = F.col("mean") * scale
+    margin = F.lit(1.96) * F.col("std") / F.sqrt("n") * scale
     return j.select("level", "grp", F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-                    (F.col("mean") * scale).alias("mean_wh"),
-                    (F.greatest(F.col("mean") - half, F.lit(0.0)) * scale).alias("ci_lo_wh"),
-                    ((F.col("mean") + half) * scale).alias("ci_hi_wh"),
+                    centre.alias("mean_wh"),
+                    F.greatest(centre - margin, F.lit(0.0)).alias("ci_lo_wh"),
+                    (centre + margin).alias("ci_hi_wh"),
                     (F.col("median") * scale).alias("median_wh"),
                     (F.col("q1") * scale).alias("q1_wh"), (F.col("q3") * scale).alias("q3_wh"))

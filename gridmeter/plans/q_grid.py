@@ -311,10 +311,10 @@ def _build_sql():
         {rs('mean', 6)} AS mean, {rs('std', 6)} AS std, {rs('median', 6)} AS median,
         {rs('q1', 6)} AS q1, {rs('q3', 6)} AS q3 FROM ls""", {k: v for k, v in lp.items() if k != "lso"})
     sc = "(CASE WHEN sp.level = 'slot' THEN 1000.0 ELSE 4000.0 END)"
-    half = "(1.96 * std / sqrt(n))"
+    half = f"(1.96 * std / sqrt(n) * {sc})"
     sql["load_profile_ci"] = with_(["readings", "customers", "projects"], f"""SELECT sp.level, sp.grp,
         coalesce(n, 0) AS n, {rs(f'mean * {sc}', 4)} AS mean_wh,
-        {rs(f'greatest(mean - {half}, 0.0) * {sc}', 4)} AS ci_lo_wh, {rs(f'(mean + {half}) * {sc}', 4)} AS ci_hi_wh,
+        {rs(f'greatest(mean * {sc} - {half}, 0.0)', 4)} AS ci_lo_wh, {rs(f'mean * {sc} + {half}', 4)} AS ci_hi_wh,
         {rs(f'median * {sc}', 4)} AS median_wh, {rs(f'q1 * {sc}', 4)} AS q1_wh, {rs(f'q3 * {sc}', 4)} AS q3_wh
         FROM (SELECT 'slot' AS level, CAST(range AS INTEGER) AS grp FROM range(96)
               UNION ALL SELECT 'hour', CAST(range AS INTEGER) FROM range(24)) sp
