@@ -201,6 +201,13 @@ def q_quantile_cap(spark, d):
                     r_("monthly_revenue", 2).alias("monthly_revenue"))
 
 
+def q_arpu_usd(spark, d):
+    """ARPU with amounts converted to USD at the nearest year's rate."""
+    p = U.fx_convert(_rev(spark, d), B.fx_rates(spark))
+    m = U.monthly_revenue(U.payments_with_class(p, B.customers(spark, d)))
+    return _summary_out(U.arpu(m, MIN_SITE_N), "customerAccountNumber", "total_revenue", "arpu")
+
+
 def q_acpu_log_histogram(spark, d):
     h = S.log_histogram(_acpu(spark, d), "acpu", "country", "cust_class")
     return h.select("country", "cust_class", "bin", r_("edge_lo", 4).alias("edge_lo"),
@@ -231,6 +238,7 @@ def q_revenue_tenure_curve(spark, d):
 
 
 QUERIES = {
+    "arpu_usd": q_arpu_usd,
     "acpu_log_histogram": q_acpu_log_histogram,
     "acpu_boxplot_stats": q_acpu_boxplot_stats,
     "consumption_slope_histogram": q_consumption_slope_histogram,
@@ -403,6 +411,7 @@ def _box_extra(src="arpu", val="arpu"):
 
 
 def _build_sql():
+    from .sql_bindings import title
     sql = {}
     sql["monthly_consumption"] = _sql(f"""SELECT meter_customer_code, cust_class, ym, site_name,
         {rs('monthly_kwh', 4)} AS monthly_kwh FROM mc""", ["mc"])
@@ -475,8 +484,21 @@ def _build_sql():
         {rs('monthly_revenue', 2)} AS monthly_revenue FROM m2r JOIN (SELECT country,
         quantile_cont(monthly_revenue, 0.99) AS cap FROM m2r GROUP BY country) q ON q.country = m2r.country
         WHERE monthly_revenue <= cap""", _R2)
-    # consumption / revenue mirrors of the statistics above
+    # ARPU in USD: the payments pass through the nearest-year rate first
     st = _steps()
+    exu = {k: st[k] for k in _R}
+    exu["rev"] = f"""SELECT r0.customerAccountNumber, r0.amount / fx.rate AS amount, r0.currency, r0.country,
+        r0.projectName, r0.transactionDatetime FROM ({st['rev']}) r0 JOIN (
+          SELECT country, year, rate FROM (
+            SELECT k.country, k.year, r.rate, row_number() OVER (
+              PARTITION BY k.country, k.year ORDER BY abs(r.year - k.year), r.year) AS rn
+            FROM (SELECT DISTINCT {title('trim(country)')} AS country, year(transactionDatetime) AS year
+                  FROM payments) k
+            JOIN fx_rates r ON r.country = k.country AND r.rate IS NOT NULL) WHERE rn = 1) fx
+        ON fx.country = r0.country AND fx.year = year(r0.transactionDatetime)"""
+    sql["arpu_usd"] = with_(["payments", "customers", "fx_rates"],
+                            _summary_sql("arpu", "customerAccountNumber", "total_revenue", "arpu"), exu)
+    # consumption / revenue mirrors of the statistics above
     body, extra = _qhist_sql("acpu", "acpu", exclude_unknown=False)
     body = body.replace(f"{rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 10)}",
                         f"{rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 12)}")
