@@ -64,18 +64,18 @@ def coerce_readings(df: DataFrame, code="meter_customer_code", mtype="meter_type
 
 
 def modal_tariff(df: DataFrame, code="meter_customer_code", tariff="meter_tariff_name",
-                 out="tariff", unknown="Unknown") -> DataFrame:
+                 out="tariff", unknown="Unknown", by=()) -> DataFrame:
     """Most common non-NULL tariff per customer; ties -> smallest value;
     ``unknown`` when the customer has no non-empty tariff (A9, S6, S27).
 
     ``mode`` keeps one counter per distinct value and merges partially, so a
     hot customer is combined map-side.
     """
-    return (df.groupBy(code)
+    return (df.groupBy(*by, code)
               .agg(F.mode(F.col(tariff), True).alias("_mode"),
                    F.max(F.length(tariff) > 0).alias("_any"))
-              .select(code, F.when(F.col("_any"), F.col("_mode"))
-                              .otherwise(F.lit(unknown)).alias(out)))
+              .select(*by, code, F.when(F.col("_any"), F.col("_mode"))
+                                   .otherwise(F.lit(unknown)).alias(out)))
 
 
 def _bucket(ts: Column, bucket_seconds: int) -> Column:
@@ -207,26 +207,34 @@ def expand(trans: DataFrame, meta: DataFrame, keys=("meter_customer_code", "mete
 def clean_readings(readings: DataFrame, code="meter_customer_code", mtype="meter_type",
                    ts="heartbeatStart", energy="energy", state="state",
                    tariff="meter_tariff_name", order_extra=(), slot_minutes=SLOT_MINUTES,
-                   bucket_seconds=DAY_SECONDS, return_transitions=False, materialize=True):
+                   bucket_seconds=DAY_SECONDS, return_transitions=False, materialize=True, by=()):
     """The full cleaning pipeline (G4): raw heartbeats -> 6-column clean series.
 
+    ``by``: further key columns in front of the meter keys (e.g. the site,
+    as the reference cleans one site file at a time: meters and modal
+    tariffs are then per site); they are kept in the output.
+
     Meters with < 2 rows or without a valid transition yield nothing.
     With ``return_transitions`` also returns the transitions frame (for the
     conservation check, which must see the same pairs).  The transitions
     feed three branches (profile, key set, expansion); ``materialize``
     checkpoints them once instead of recomputing the big shuffle per branch.
     """
+    by = list(by)
     r = coerce_readings(readings, code, mtype, ts, energy, state, tariff,
-                        order_extra=[c for c in order_extra if c not in (energy,)])
+                        order_extra=by + [c for c in order_extra if c not in (energy,)])
+    if by:
+        r = r.dropna(subset=by)
     # energy is a natural tie-breaker after the timestamp.
     extra = [energy] + [c for c in order_extra if c != energy]
-    keys = [code, mtype]
+    keys = [*by, code, mtype]
     t = transitions(r, keys, ts, energy, state, extra, slot_minutes, 1, bucket_seconds,
                     materialize=materialize)
     prof = daily_profile(t, keys, slot_minutes)
-    tar = modal_tariff(r, code, tariff, "tariff")
+    tar = modal_tariff(r, code, tariff, "tariff", by=by)
     # one row per meter: its profile and its customer's modal tariff
-    meta = t.where("valid").select(*keys).distinct().join(prof, keys, "left").join(tar, [code], "left")
+    meta = (t.where("valid").select(*keys).distinct().join(prof, keys, "left")
+             .join(tar, [*by, code], "left"))
     out = expand(t, meta, keys, slot_minutes)
     out = out.withColumnsRenamed({code: "meter_customer_code", mtype: "meter_type"}) \
         if (code, mtype) != ("meter_customer_code", "meter_type") else out
