@@ -63,3 +63,21 @@ def test_no_sort_aggregates_cross_joins_or_stray_python(spark):
         if found:
             bad[name] = found
     assert bad == {}
+
+
+def test_cleaning_windows_are_per_meter_day(spark):
+    """The ordered window of the cleaning runs per (meter, day) bucket, never
+    over a whole meter; the only per-meter window runs over the small
+    per-day table."""
+    from gridmeter.operators import clean as C
+    from gridmeter.plans import bindings as B
+    r = C.coerce_readings(B.readings(spark, "/root/testdata/sf0.001"), order_extra=["row_id"])
+    t = C.transitions(r, order_extra=["energy", "row_id"])
+    s = _formatted(t)
+    specs = [ln for ln in s.splitlines() if "windowspecdefinition(" in ln]
+    # windows ordered by time over the heartbeats (not over the per-day table)
+    by_time = [ln.split("windowspecdefinition(")[1] for ln in specs if "heartbeatStart" in ln]
+    assert len(by_time) >= 2, specs
+    for spec in by_time:
+        partition = spec.split("heartbeatStart")[0]
+        assert "_b#" in partition, spec
