@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gridmeter.plans import catalog  # noqa: E402
-from gridmeter.session import get_session  # noqa: E402
+from gridmeter.session import get_session, release_materialized  # noqa: E402
 
 HEADLINE = [
     "clean_series", "clean_readings", "energy_conservation", "monthly_consumption", "acpu", "arpu",
@@ -36,6 +36,8 @@ def main():
         except Exception as e:  # noqa: BLE001 - report and go on with the others
             print(f"bench: {n} failed: {str(e)[:300]}", file=sys.stderr)
             return None
+        finally:
+            release_materialized(spark)      # the query's scratch tables
         return round(time.perf_counter() - t0, 3)
 
     # pass 1 warms the JVM (JIT, generated code) and is reported as cold_total;

@@ -71,9 +71,26 @@ def materialize(df, name: str = "frame"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def release_materialized(spark: SparkSession) -> int:
+    """Delete the folders this process materialized (call when the frames
+    that read them are no longer used, e.g. after a job); returns the count."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "gridmeter") -> SparkSession:
     """Build (or reuse) a session with the defaults above."""

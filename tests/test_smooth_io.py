@@ -131,3 +131,12 @@ def test_cli_jobs(spark):
     assert cli.main(["monthly", "--clean", f"{base}/clean", "--site-map", f"{base}/site_map",
                      "--out", f"{base}/monthly"]) == 0
     assert spark.read.option("header", True).csv(f"{base}/monthly").count() > 0
+
+
+def test_release_materialized(spark):
+    from gridmeter.session import _WRITTEN, materialize, release_materialized
+    df = materialize(spark.range(10), "t")
+    path = _WRITTEN[-1]
+    assert df.count() == 10 and os.path.exists(path.replace("file:", ""))
+    assert release_materialized(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
