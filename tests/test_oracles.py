@@ -4,11 +4,12 @@
 import pytest
 
 import __spark_entry__ as E
+from gridmeter.plans import catalog
 from tools.check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
