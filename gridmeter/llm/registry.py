@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, token_files
+from . import bpe, exact_dedup, mixing, token_files, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 SQL = {
