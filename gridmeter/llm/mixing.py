@@ -8,7 +8,7 @@ size, the words taken come within about one document of the target.
 
 The running sum is two-level, so that no task holds a source: sums inside
 (source, size class, hash block of the id) windows, plus the total of all earlier
-blocks, a window over at most about 150 classes x 1024 blocks of a source,
+blocks, a window over at most about 150 classes x 64 blocks of a source,
 whatever its rows.  Sums are integers (units of 2^-28 copies), so that blocks
 meet without rounding.  Weights and targets are computed over the table of
 sources, one row each.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of
+from .common import WORD, materialize, table, text_of
 
 UNIT = 2 ** 28
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -68,7 +68,7 @@ def sample_copies(docs: DataFrame, goal: DataFrame, seed: str = "mix") -> DataFr
     d = docs.join(g, docs["source"].eqNullSafe(g["_src"])).drop("_src")
     h = hash60(F.col("doc_id"))
     d = d.withColumn("_h", h).withColumn("_k", F.floor(F.log2(F.col("size") + F.lit(1.0)) * F.lit(8.0)).cast("int")) \
-         .withColumn("_b", F.shiftright("_h", 50).cast("int"))
+         .withColumn("_b", F.shiftright("_h", 54).cast("int"))
     block = ["source", "_k", "_b"]
     tot = d.groupBy(*block).agg(F.sum("_e").alias("_t"))
     earlier = Window.partitionBy("source").orderBy("_k", "_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,6 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """doc_id, source, size, source_size, target, copies, taken of each row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                     words(text_col).alias("size"))
+    d = materialize(d, "sizes")  # the texts are read once
     goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     return sample_copies(d, goal, seed).withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -99,7 +100,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: each row of ``docs`` as often as it is taken, columns as they were."""
     d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
                     F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
-    lean = d.select("doc_id", "source", "size")
+    lean = materialize(d.select("doc_id", "source", "size"), "sizes")
     goal = targets(lean.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     c = sample_copies(lean, goal, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(
         F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
