@@ -53,6 +53,7 @@ def group_copies(r: DataFrame) -> DataFrame:
           .withColumn("apart", F.coalesce("apart", F.lit(""))))
     g = d.groupBy("recipe", "apart").agg(F.min("doc_id").alias("keep_id"),
                                          F.count(F.lit(1)).alias("group_size"))
+    g = materialize(g, "groups")  # so that the join deals both sides anew and splits the rows of a large group
     return d.join(g, ["recipe", "apart"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256")
