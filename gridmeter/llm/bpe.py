@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decode
 
 def slices(batch: pa.RecordBatch, col: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``most`` bytes of one column (one row at least)."""
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         base = size[at - 1] if at else 0
