@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def encode(docs: DataFrame, bounds: list[int], path: str, end_id: int | None) ->
         for whole in batches:
             for b in slices(whole, "text"):
                 ids = b.column("doc_id")
-                file = np.searchsorted(first, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False), "right")
+                file = np.searchsorted(first, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "right")
                 file = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(first) + 1, file)
                 yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), ids, pa.array(
                     [t.encode(x or "") + end for x in b.column("text").to_pylist()], pa.binary())], schema=out)
@@ -185,7 +186,7 @@ def read_token_files(spark: SparkSession, folder: str, path: str | None = None,
     m = m.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
                     + [("ids", pa.list_(pa.int32()))] * with_ids)
-    nulls = null_file(folder)
+    nulls = null_file(folder)  # the last number: so many files there are at most
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = tokenizer(path).dtype
@@ -203,7 +204,7 @@ def read_token_files(spark: SparkSession, folder: str, path: str | None = None,
                     yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     kinds = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return m.repartition("file").mapInArrow(read, kinds)
+    return m.repartition(nulls + 1, "file").mapInArrow(read, kinds)
 
 
 def null_file(folder: str) -> int:
