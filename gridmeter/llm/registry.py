@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, token_files, toxicity
+from . import bpe, exact_dedup, jaccard, mixing, token_files, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 SQL = {
