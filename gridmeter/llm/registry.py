@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard, mixing, token_files, toxicity
+from . import bpe, exact_dedup, jaccard, mixing, suffix_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_files": token_files.op5_token_files,
