@@ -51,16 +51,17 @@ def features(word: str) -> list[int]:
     return [crc32(g.encode()) % BUCKETS for g in sorted(grams | {w})]
 
 
-def bag(text: str, kept: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: str, kept: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of a text and their shares."""
-    ids: list[int] = []
+    parts = []
     for w in sorted(set(_WORDS.findall(text.lower()))):
         f = kept.get(w)
         if f is None:
-            f = kept[w] = features(w)
-        ids += f
-    col, n = np.unique(np.array(ids, np.int64), return_counts=True)
-    return col, n / (len(ids) + PADDING)
+            f = kept[w] = np.array(features(w), np.int32).tobytes()
+        parts.append(f)
+    ids = np.frombuffer(b"".join(parts), np.int32)
+    col, n = np.unique(ids, return_counts=True)
+    return col, (n / (len(ids) + PADDING)).astype(np.float32)
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -68,8 +69,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> tuple[np.ndarray
     y = np.array(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32), 0.0
-    kept: dict[str, list[int]] = {}
+    kept: dict[str, bytes] = {}
     bags = [bag(t, kept) for t in texts]
+    kept.clear()
     part = np.arange(len(y)) % HOLD == 0
     if min(y[part].sum(), (1 - y[part]).sum()) < 10 or min(y[~part].sum(), (1 - y[~part]).sum()) < 10:
         weight = fit(bags, y, seed)  # too few rows to spare
@@ -106,7 +108,7 @@ def prune(weight: np.ndarray, bags: list, y: np.ndarray) -> tuple[np.ndarray, fl
 def fit(bags: list, y: np.ndarray, seed: int) -> np.ndarray:
     """The weight of each feature for label 1 over label 0, from joint training."""
     rng = np.random.default_rng(seed)
-    table_, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    table_, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     g_table, g_soft, g_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(EPOCHS):
