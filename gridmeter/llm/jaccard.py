@@ -32,7 +32,6 @@ smallest id; a class whose ids are all null has a null ``component_id``.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -67,11 +66,26 @@ def scramble(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones(1, np.uint64)
-    return (np.concatenate([one, np.cumprod(np.full(n, _BASE, np.uint64))]),
-            np.concatenate([one, np.cumprod(np.full(n, pow(_BASE, -1, 2 ** 64), np.uint64))]))
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
+_STEP = 1 << 18
+_UP, _DOWN = _powers(_BASE, _STEP), _powers(pow(_BASE, -1, 2 ** 64), _STEP)
+
+
+def word_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of b[s:e] for each word: differences of one running sum, taken step by step."""
+    at_s, at_e, carry = np.empty(len(s), np.uint64), np.empty(len(s), np.uint64), _U(0)
+    for k, o in enumerate(range(0, len(b), _STEP)):
+        part = b[o:o + _STEP]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[part] * _UP[:len(part)])]) * _U(pow(_BASE, k * _STEP, 2 ** 64)) + carry
+        for at, x, first in ((at_s, s, 0), (at_e, e, 1)):
+            i, j = np.searchsorted(x, o + first), np.searchsorted(x, o + len(part) + first)
+            at[i:j] = sums[x[i:j] - o]
+        carry = sums[-1]
+    high = np.array([pow(_BASE, -k * _STEP, 2 ** 64) for k in range(len(b) // _STEP + 1)], np.uint64)
+    return scramble((at_e - at_s) * _DOWN[s % _STEP] * high[s // _STEP])
 
 
 def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
@@ -87,10 +101,7 @@ def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
     inside = ~_GAP[b]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    room = 1 << max(16, int(len(raw)).bit_length())
-    up, down = _powers(room)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[b] * up[:len(b)])])
-    word = scramble((sums[e] - sums[s]) * down[s])
+    word = word_hashes(b, s, e)
     first = np.searchsorted(s, np.concatenate([[0], end[:-1] + 1]))
     last = np.searchsorted(s, end)
     h = np.zeros(len(word), np.uint64)
@@ -269,7 +280,8 @@ def linked(rows: DataFrame, t: Threshold, n: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "node", "side"], ascending=[True, True, False]).drop_duplicates(["part", "node"])
-        sets = shingle_sets(pa.array(pdf["text"], pa.string()), n)
+        whole = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
+        sets = [s for part in slices(whole, "text") for s in shingle_sets(part.column(0), n)]
         root = list(range(len(sets)))
         part, side = pdf["part"].to_numpy(), pdf["side"].to_numpy()
         edge = np.flatnonzero(np.diff(part, prepend=part[0] - 1, append=part[-1] + 1))
