@@ -51,8 +51,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 LENGTH, MINIMIZER = 50, 16
-BLOCK_BYTES, BUCKET_BYTES, SLICE = 16 << 20, 8 << 20, 1 << 17
-HOT = 5_000
+BLOCK_BYTES, BUCKET_BYTES, SLICE = 16 << 20, 4 << 20, 1 << 17
+HOT = 100_000
 
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
@@ -179,17 +179,19 @@ class Pieces:
         self.piece = np.cumsum(new) - 1  # of each occurrence in order
         self.bucket_of = bucket[o][self.first] if len(o) else np.empty(0, np.int64)
 
-    def sent(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """bucket, lengths, smallest ids and texts of the distinct pieces."""
+    def sent(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        """bucket, lengths, smallest ids, texts of the distinct pieces, and whether several documents have them."""
         if not len(self.order):
             return
         start, size = self.start_of[self.order], self.count_of[self.order] + self.length - 1
-        least = np.minimum.reduceat(self.block.ids[self.block.doc(start)], self.first)
+        ids = self.block.ids[self.block.doc(start)]
+        least = np.minimum.reduceat(ids, self.first)
+        several = (least != np.maximum.reduceat(ids, self.first)).astype(np.uint8)
         start, size = start[self.first], size[self.first]
         for i, rows in grouped(self.bucket_of):
             n = size[rows]
             take = np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield i, n.astype(np.uint8).tobytes(), zlib.compress(least[rows].tobytes(), 1), zlib.compress(self.block.bytes[take].tobytes(), 3)
+            yield i, n.astype(np.uint8).tobytes(), zlib.compress(least[rows].tobytes(), 1), zlib.compress(self.block.bytes[take].tobytes(), 3), several[rows].tobytes()
 
     def cover(self, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Which bytes go, from the smallest id of each window of each piece, by bucket."""
@@ -225,66 +227,72 @@ class CollectionBwt:
 
     Rows of ``text`` hold the strings flush right.  Strings end in terminators of
     their own, smaller than any symbol; symbol 0 of the transform stands before a
-    string's start.  Both live in files of the round, read and written in order.
+    string's start.  A round's file holds both, 16 bits for each suffix (the symbol
+    before it, and the prefix that it shares with the one above); it is read and
+    the next one written in order.
     """
 
     def __init__(self, text: np.ndarray, size: np.ndarray, folder: str):
         self.text, self.size, self.n = text, size, len(text)
-        self.names = [os.path.join(folder, x) for x in ("bwt", "lcp")]
-        self._put(0, text[:, -1], np.zeros(self.n, np.uint8))
-        self.place = np.arange(self.n)  # of each string's suffix so far
+        self.name = os.path.join(folder, "round")
+        text[:, -1].astype(np.uint16).tofile(f"{self.name}.0")
+        # places of the transform by symbol (0 left out), each symbol's ascending, and where a symbol's begin
+        self.by = np.argsort(text[:, -1], kind="stable").astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(text[:, -1], minlength=256))])
+        # what the last round put in, in the order of ``by``: string, place, index in ``by``
+        self.new = self.by.astype(np.int64), self.by.astype(np.int64), np.arange(self.n)
         self.rounds = int(size.max())
         for j in range(1, self.rounds + 1):
             self._insert(j)
 
-    def _put(self, j: int, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for name, x in zip(self.names, (bwt, lcp)):
-            np.ascontiguousarray(x, np.uint8).tofile(f"{name}.{j}")
-
-    def _get(self, j: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(f"{name}.{j}", np.uint8) for name in self.names)
+    def _get(self, j: int) -> np.ndarray:
+        return np.fromfile(f"{self.name}.{j}", np.uint16)
 
     def _insert(self, j: int) -> None:
         """Put the suffixes of j symbols in: their symbols before, and the prefixes around them."""
-        bwt, lcp = self._get(j - 1)
-        own = np.flatnonzero(self.size >= j)
-        r = self.place[own]
-        by = np.argsort(bwt, kind="stable").astype(np.int32)
-        index = np.empty(len(by), np.int32)
-        index[by] = np.arange(len(by), dtype=np.int32)
-        none = int(np.count_nonzero(bwt == 0))
-        i = index[r]
-        o = np.argsort(i, kind="stable")
-        own, r, i = own[o], r[o], i[o]
-        q = self.n + i - none  # ascending places in the new array
+        state = self._get(j - 1)
+        own, r, i = self.new
+        by, c = self.by, (state[r] & 255).astype(np.int64)
+        q = self.n + i  # ascending places in the new array
         symbol = np.where(self.size[own] > j, self.text[own, -j - 1 if j < self.text.shape[1] else 0], 0).astype(np.uint8)
-        c = bwt[r]
-        padded = np.append(lcp, 0)
-        before = by[np.maximum(i - 1, 0)]
-        has = (i > none) & (bwt[before] == c)
-        up = np.zeros(len(r), np.uint8)
-        up[has] = least(padded, before[has] + 1, r[has] + 1) + 1
-        after = by[np.minimum(i + 1, len(by) - 1)]
-        more = (i + 1 < len(by)) & (bwt[after] == c)
-        down = least(padded, r[more] + 1, after[more] + 1) + 1
-        old = np.ones(len(bwt) + len(q), bool)
+        padded = np.append((state >> 8).astype(np.uint8), 0)
+        has, more = i > self.begin[c], i + 1 < self.begin[c + 1]
+        up = np.zeros(len(r), np.uint16)
+        up[has] = least(padded, by[i[has] - 1] + 1, r[has] + 1) + 1
+        down = least(padded, r[more] + 1, by[i[more] + 1] + 1) + 1
+        old = np.ones(len(state) + len(q), bool)
         old[q] = False
-        new_bwt, new_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        new_bwt[old], new_lcp[old] = bwt, lcp
-        new_bwt[q], new_lcp[q] = symbol, up
-        new_lcp[q[more] + 1] = down
-        self.place[own] = q
-        self._put(j, new_bwt, new_lcp)
-        for name in self.names:
-            os.remove(f"{name}.{j - 1}")
+        moved = np.flatnonzero(old).astype(np.int32)
+        new = np.empty(len(old), np.uint16)
+        new[moved], new[q] = state, symbol | (up << 8)
+        below = q[more] + 1
+        new[below] = (new[below] & 255) | (down.astype(np.uint16) << 8)
+        new.tofile(f"{self.name}.{j}")
+        os.remove(f"{self.name}.{j - 1}")
+        # the old places move, and the new ones come in among those of their symbol
+        by = moved[by]
+        o = np.argsort(symbol, kind="stable")
+        o = o[np.count_nonzero(symbol == 0):]
+        own, q, symbol = own[o], q[o], symbol[o]
+        count = np.bincount(symbol, minlength=256)
+        at, before = np.empty(len(q), np.int64), 0
+        for s in np.flatnonzero(count).tolist():
+            part = slice(before, before + count[s])
+            at[part] = self.begin[s] + np.searchsorted(by[self.begin[s]:self.begin[s + 1]], q[part])
+            before += count[s]
+        at += np.arange(len(q))
+        keep = np.ones(len(by) + len(q), bool)
+        keep[at] = False
+        self.by = np.empty(len(keep), np.int32)
+        self.by[keep], self.by[at] = by, q
+        self.begin[1:] += np.cumsum(count)
+        self.new = own, q, at
 
     def least_of_windows(self, value: np.ndarray, length: int) -> np.ndarray:
         """For each window of each string in order, the least value of a string with the same window."""
-        bwt, lcp = self._get(self.rounds)
-        by = np.argsort(bwt, kind="stable").astype(np.int32)
-        to = np.empty(len(by), np.int32)
-        to[by] = np.arange(len(by), dtype=np.int32)
-        to += np.int32(self.n - np.count_nonzero(bwt == 0))
+        lcp = self._get(self.rounds) >> 8
+        to = np.zeros(len(lcp), np.int32)  # from a suffix to the one that is a symbol longer
+        to[self.by] = np.arange(self.n, self.n + len(self.by), dtype=np.int32)
         group = np.cumsum(lcp < length)
         place, alive = np.arange(self.n), np.arange(self.n)
         windows = self.size - length + 1
@@ -315,11 +323,16 @@ def least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def answer(rows: list[tuple[bytes, bytes, bytes]], length: int) -> list[np.ndarray]:
-    """For each block's pieces (lengths, ids, texts), the smallest id of each window."""
+def answer(rows: list[tuple[bytes, bytes, bytes, bytes]], length: int) -> list[np.ndarray]:
+    """For each block's pieces (lengths, ids, texts, several), the smallest id of each window.
+
+    A piece that one document has, and none of whose windows has the hash of
+    another piece's, repeats nothing; the others make up the collection.
+    """
     size = [np.frombuffer(r[0], np.uint8).astype(np.int64) for r in rows]
     ids = np.concatenate([np.frombuffer(zlib.decompress(r[1]), np.int64) for r in rows])
     flat = np.concatenate([np.frombuffer(zlib.decompress(r[2]), np.uint8) for r in rows])
+    several = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
     n = np.concatenate(size)
     flat = np.where(flat == 0, np.uint8(255), flat)  # 255 is in no UTF-8 text, and 0 means something here
     wide = int(n.max())
@@ -328,15 +341,34 @@ def answer(rows: list[tuple[bytes, bytes, bytes]], length: int) -> list[np.ndarr
     _, first, of = np.unique(np.ascontiguousarray(text).view(f"V{wide}").ravel(), return_index=True, return_inverse=True)
     low = np.full(len(first), _LAST)
     np.minimum.at(low, of, ids)
-    with tempfile.TemporaryDirectory() as folder:
-        got = CollectionBwt(text[first], n[first], folder).least_of_windows(low, length)
+    text, size_of = text[first], n[first]
+    windows = size_of - length + 1
+    begin = np.cumsum(windows) - windows
+    got = np.repeat(low, windows)
+    meets = (np.bincount(of) > 1) | (np.bincount(of, several) > 0) | meeting(text, size_of, length)
+    if meets.any():
+        with tempfile.TemporaryDirectory() as folder:
+            least_ = CollectionBwt(text[meets], size_of[meets], folder).least_of_windows(low[meets], length)
+        got[np.repeat(meets, windows)] = least_
     w = n - length + 1
-    w1 = w[first]
-    at = (np.cumsum(w1) - w1)[of]
-    all_ = got[np.repeat(at, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)]
+    all_ = got[np.repeat(begin[of], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)]
     return np.split(all_, np.cumsum([int((s - length + 1).sum()) for s in size])[:-1])
 
 
+def meeting(text: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Which strings (rows, flush right) have a window whose hash another one's, or another of its own, has too."""
+    h = rolling(text.ravel(), length) if text.size >= length else np.empty(0, np.uint64)
+    windows = size - length + 1
+    row = np.repeat(np.arange(len(text)), windows)
+    start = row * text.shape[1] + text.shape[1] - np.repeat(size, windows) + np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    h = h[start]
+    o = np.argsort(h)
+    same = np.diff(h[o]) == 0
+    twice = np.zeros(len(h), bool)
+    twice[o[1:][same]] = twice[o[:-1][same]] = True
+    return np.bincount(row, twice, len(text)) > 0
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, m: int = MINIMIZER,
             hot: int = HOT, stride: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row."""
@@ -379,10 +411,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         rows = list(chosen(t, s).sent()) if t.num_rows else []
         block = t["block"][0].as_py() if t.num_rows else 0
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()),
-                         **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "sizes"), (2, "ids"), (3, "texts"))}})
+                         **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "sizes"), (2, "ids"), (3, "texts"), (4, "several"))}})
 
     def transform(t: pa.Table) -> pa.Table:
-        got = answer(list(zip(*(t[c].to_pylist() for c in ("sizes", "ids", "texts")))), length)
+        got = answer(list(zip(*(t[c].to_pylist() for c in ("sizes", "ids", "texts", "several")))), length)
         return pa.table({"block": t["block"].cast(pa.int64()), "bucket": t["bucket"].cast(pa.int64()),
                          "kind": pa.array([1] * len(got), pa.int32()),
                          "shared": pa.array([zlib.compress(x.tobytes(), 1) for x in got], pa.binary()),
@@ -412,7 +444,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     told = d.groupBy("block").applyInArrow(tell, "bucket bigint, block bigint, keys binary, two binary, other binary")
     shared = told.groupBy("bucket").applyInArrow(compare, "block bigint, shared binary, hot binary")
     shared = materialize(shared, "shared-keys")
-    sent = d.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "bucket bigint, block bigint, sizes binary, ids binary, texts binary")
+    sent = d.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "bucket bigint, block bigint, sizes binary, ids binary, texts binary, several binary")
     answers = sent.groupBy("bucket").applyInArrow(transform, "block bigint, bucket bigint, kind int, shared binary, hot binary")
     both = shared.select("block", F.lit(-1).cast("bigint").alias("bucket"), F.lit(0).alias("kind"), "shared", "hot").union(answers)
     return d.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(

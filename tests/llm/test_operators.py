@@ -91,7 +91,7 @@ def test_collection_transform_on_small_alphabets(tmp_path):
         letters = b"ab" if trial % 2 else b"abcdefgh \x00"
         ps = sorted({bytes(rng.choice(letters) for _ in range(rng.randrange(6, 20))) for _ in range(rng.randrange(2, 60))})
         ids = np.array([rng.randrange(100) for _ in ps])
-        row = (np.array([len(p) for p in ps], np.uint8).tobytes(), zlib.compress(ids.astype(np.int64).tobytes()), zlib.compress(b"".join(ps)))
+        row = (np.array([len(p) for p in ps], np.uint8).tobytes(), zlib.compress(ids.astype(np.int64).tobytes()), zlib.compress(b"".join(ps)), bytes(len(ps)))
         low = {}
         for p, i in zip(ps, ids):
             for k in range(len(p) - 4):
