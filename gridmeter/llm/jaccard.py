@@ -21,7 +21,7 @@ result is the class (connected component) of each document.
     cannot change a class.  So a large group of near copies costs time in proportion
     to its size, and no task holds it whole.
 
-Sizes, D and parts depend on the size of a set, in bands by a factor of 1.5; a set near
+Sizes, D and parts depend on the size of a set, in bands by a factor of 2; a set near
 the lower end of its band has keys of the band below, too.
 
 Defined results: null or empty texts have no shingles, link with nothing, and are
@@ -48,7 +48,7 @@ from .components import components
 
 GROUPS, LEAF = 128, 16
 BLOCK, LEADERS = 3000, 256
-BAND = 1.5
+BAND, BUCKET_BYTES = 2.0, 8 << 20
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -256,20 +256,66 @@ def scanned(docs: DataFrame, t: Threshold, n: int, id_col: str, text_col: str) -
     return d.select("doc_id", "seen", "text").mapInArrow(run, "doc_id bigint, seen bigint, n_shingles bigint, sig binary, node bigint, keys binary")
 
 
-def key_rows(scan: DataFrame) -> DataFrame:
-    """(key, node), a row for each key of each scanned row."""
-    out = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+def stars(scan: DataFrame) -> DataFrame:
+    """(u, v): each node that shares a key, and the smallest node found for the key.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column("keys").to_pylist()
-            node = np.repeat(b.column("node").to_numpy(), [len(k) // 8 for k in keys])
-            pair = np.unique(np.stack([np.frombuffer(b"".join(keys), np.int64), node], 1), axis=0) if len(node) else np.empty((0, 2), np.int64)
-            for i in range(0, max(1, len(pair)), 200_000):
-                p = pair[i:i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], schema=out)
+    A task joins the nodes that share a key in its own batch and sends the key
+    on with the smallest of them only, so a key that very many sets share costs
+    a bucket one entry for each batch.  Keys are dealt into buckets as packed
+    arrays, 40 bits of each beside the bucket: keys that agree by chance add
+    candidates, nothing else.
+    """
+    size = scan.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    buckets = -(-size // BUCKET_BYTES) or 1
+    packed = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary()), ("edges", pa.binary())])
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    return scan.select("node", "keys").mapInArrow(run, "key bigint, node bigint")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = b.column("keys").to_pylist()
+            key = np.frombuffer(b"".join(parts), np.uint64)
+            if not len(key):
+                continue
+            node = np.repeat(b.column("node").to_numpy(), [len(k) // 8 for k in parts])
+            o = np.lexsort((node, key))
+            key, node = key[o], node[o]
+            first = np.diff(key, prepend=key[:1] + _U(1)) != 0
+            low = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+            edge = np.unique(np.stack([node, low], 1)[node != low], axis=0)
+            key, node = key[first], node[first]
+            bucket = (key % _U(buckets)).astype(np.int64)
+            o = np.lexsort((node, bucket))
+            key, node, bucket = key[o], node[o], bucket[o]
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            home = (edge[:, 0].astype(np.uint64) % _U(buckets)).astype(np.int64) if len(edge) else np.empty(0, np.int64)
+            rows = []
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)]):
+                k = (key[i:j] // _U(buckets)).view(np.uint8).reshape(-1, 8)[:, :5]
+                n, c = np.unique(node[i:j], return_counts=True)
+                rows.append((int(bucket[i]), k.tobytes(), n.tobytes(), c.astype(np.uint16).tobytes() if c.max() < 1 << 16 else c.astype(np.uint32).tobytes(), b""))
+            rows += [(int(h), b"", b"", b"", edge[home == h].tobytes()) for h in np.unique(home)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), packed)], schema=packed)
+
+    def meet(t: pa.Table) -> pa.Table:
+        keys, nodes, edges = [], [], [np.empty((0, 2), np.int64)]
+        for k, n, c, e in zip(*(t[x].to_pylist() for x in ("keys", "nodes", "counts", "edges"))):
+            n = np.frombuffer(n, np.int64)
+            wide = np.zeros((len(k) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
+            keys.append(wide.view(np.uint64).ravel())
+            nodes.append(np.repeat(n, np.frombuffer(c, np.uint16 if len(c) == 2 * len(n) else np.uint32)))
+            edges.append(np.frombuffer(e, np.int64).reshape(-1, 2))
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        o = np.lexsort((node, key))
+        key, node = key[o], node[o]
+        first = np.diff(key, prepend=key[:1] + _U(1)) != 0
+        low = node[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else node
+        edges.append(np.stack([node, low], 1)[node != low])
+        e = np.unique(np.concatenate(edges), axis=0)
+        return pa.table([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], schema=out)
+
+    rows = scan.select("node", "keys").mapInArrow(pack, "bucket bigint, keys binary, nodes binary, counts binary, edges binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
 
 
 def linked(rows: DataFrame, t: Threshold, n: int) -> DataFrame:
@@ -299,10 +345,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id of every row."""
     t = Threshold(num, den)
     scan = materialize(scanned(docs, t, n, id_col, text_col), "shingles")
-    keys = key_rows(scan)
-    shared = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("key", "v")
-    star = keys.join(shared, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    may = materialize(components(star), "candidates")  # node, label: what may be linked
+    may = materialize(components(stars(scan)), "candidates")  # node, label: what may be linked
     many = may.groupBy("label").count()
     # one row of documents stands for each node
     stand = scan.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "seen")).alias("s"))
