@@ -34,11 +34,21 @@ PF_RANGE = (0.0, 1.0, 200)
 
 
 def _export(spark, a):
-    df = R.release_table(spark.read.parquet(a.input), a.table, a.salt)
-    if a.table == "sparkmeterreadings" and "heartbeatStart" in df.columns:
-        df = df.withColumn("year", F.year("heartbeatStart"))
+    raw = spark.read.parquet(a.input)
+    if a.table == "sparkmeterreadings" and "heartbeatStart" in raw.columns:
+        # half-open time range; readings without a time have no year to go to
+        ts = F.col("heartbeatStart")
+        raw = raw.where((ts >= F.lit(f"{a.from_year}-01-01").cast("timestamp"))
+                        & (ts < F.lit(f"{a.to_year + 1}-01-01").cast("timestamp")))
+        if a.stations:
+            raw = R.resolve_site(raw, spark.read.parquet(a.stations))
+        df = R.release_table(raw, a.table, a.salt, unlisted=True)
+        df = df.withColumn("site_name", R.safe_name("site_name")).withColumn("year", F.year("heartbeatStart"))
         return IO.incremental_write(df, a.out, ["site_name", "year"], overwrite=a.overwrite,
                                     dry_run=a.dry_run)
+    df = R.release_table(raw, a.table, a.salt, unlisted=a.unlisted)
+    if not a.overwrite and IO.written_partitions(spark, a.out, []) is not None:
+        return 0                                   # a finished output is kept
     return IO.write_parquet(df, a.out, "overwrite", dry_run=a.dry_run)
 
 
@@ -53,14 +63,14 @@ def _clean(spark, a):
 
 
 def _monthly(spark, a):
-    clean = spark.read.parquet(a.clean)
+    clean = R.without_uuid_sites(spark.read.parquet(a.clean), "site_name")
     site_map = spark.read.option("header", True).csv(a.site_map)
     m = U.map_sites(U.monthly_consumption(clean), site_map)
     IO.write_csv(m, a.out)
 
 
 def _carbon(spark, a):
-    clean = spark.read.parquet(a.clean)
+    clean = R.without_uuid_sites(spark.read.parquet(a.clean), "site_name")
     over = (spark.read.option("header", True).csv(a.overrides) if a.overrides
             else spark.createDataFrame([], "site_name string, project string"))
     res = K.carbon_accounting(K.annual_consumption(clean, over), spark.read.parquet(a.projects))
@@ -82,10 +92,13 @@ def _power_quality(spark, a):
 def _load_profile(spark, a):
     clean = spark.read.parquet(a.clean)
     raw = C.coerce_readings(spark.read.parquet(a.readings))
-    modal = C.modal_tariff(raw, "meter_customer_code", "meter_tariff_name", "tariff")
-    customers = P.customers_by_tariff(modal, a.tariff)
+    site = ["site_name"] if "site_name" in raw.columns else []
+    modal = C.modal_tariff(raw, "meter_customer_code", "meter_tariff_name", "tariff") if not site else \
+        C.modal_tariff(raw.withColumn("_key", F.struct("site_name", "meter_customer_code")), "_key", "meter_tariff_name", "tariff") \
+         .select("_key.*", "tariff")
+    customers = P.customers_by_tariff(modal, a.tariff, site="site_name" if site else None)
     offsets = P.site_utc_offset(spark.read.parquet(a.stations), spark.read.parquet(a.projects))
-    stats = P.load_profile(clean, offsets, customers, observed_only=a.observed_only)
+    stats = P.load_profile(clean, offsets, customers, observed_only=a.observed_only, default_offset=a.default_offset)
     IO.write_csv(P.load_profile_ci(stats), a.out)
 
 
@@ -99,6 +112,10 @@ def main(argv=None) -> int:
     e.add_argument("--salt", required=True)
     e.add_argument("--overwrite", action="store_true")
     e.add_argument("--dry-run", action="store_true")
+    e.add_argument("--unlisted", action="store_true", help="release a table that no rule names")
+    e.add_argument("--stations", help="stations table, to resolve site ids of readings")
+    e.add_argument("--from-year", type=int, default=2015)
+    e.add_argument("--to-year", type=int, default=2100)
     c = sub.add_parser("clean")
     c.add_argument("--readings", required=True)
     c.add_argument("--out", required=True)
@@ -120,6 +137,7 @@ def main(argv=None) -> int:
     for o in ("--clean", "--readings", "--stations", "--projects", "--tariff", "--out"):
         lp.add_argument(o, required=True)
     lp.add_argument("--observed-only", action="store_true")
+    lp.add_argument("--default-offset", type=int, help="UTC offset of sites without one (else an error)")
     a = ap.parse_args(argv)
     spark = get_session()
     jobs = {"export": _export, "clean": _clean, "monthly": _monthly, "carbon": _carbon,

@@ -116,12 +116,3 @@ def slot_of_day(c: ColumnOrName, slot_minutes: int = 15) -> Column:
     """0-based slot index of the UTC time of day (floor of seconds)."""
     sec = F.unix_seconds(_c(c))
     return F.floor(F.pmod(sec, F.lit(86400)) / F.lit(slot_minutes * 60)).cast("int")
-
-
-# ---------------------------------------------------------------- joins
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast a lookup side only after checking its size: the row count
-    (one small job over a dimension-sized frame) must be at most
-    ``max_rows``; beyond it the frame is returned as is and the join
-    shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

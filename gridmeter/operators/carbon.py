@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import contains_ci
@@ -18,10 +18,10 @@ EF_ABOVE = 0.80 / 1000
 def site_rollup(df: DataFrame, overrides: DataFrame, site="site_name", out="project") -> DataFrame:
     """Project of a site: override map, else the site name with '_' -> ' ' (J7).
 
-    ``overrides`` (site_name, project) is a fixed list, broadcast.
+    ``overrides`` (site_name, project) is a short list.
     """
     o = overrides.select(F.col("site_name").alias(site), F.col("project").alias("_ov"))
-    return (df.join(F.broadcast(o), site, "left")
+    return (df.join(o, site, "left")
               .withColumn(out, F.coalesce(F.col("_ov"), F.regexp_replace(F.col(site), "_", " ")))
               .drop("_ov"))
 
@@ -57,8 +57,8 @@ def project_years(annual: DataFrame) -> DataFrame:
     project dropped (partial years) (A12, J8)."""
     py = (annual.withColumn("co2e_tonne", co2e())
                 .groupBy("project", "year").agg(F.sum("co2e_tonne").alias("co2e_tonne")))
-    rng = py.groupBy("project").agg(F.min("year").alias("_min"), F.max("year").alias("_max"))
-    return (py.join(rng, "project", "inner")
+    w = Window.partitionBy("project")              # a row for each year
+    return (py.withColumn("_min", F.min("year").over(w)).withColumn("_max", F.max("year").over(w))
               .where((F.col("year") > F.col("_min")) & (F.col("year") < F.col("_max")))
               .drop("_min", "_max"))
 

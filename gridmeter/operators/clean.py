@@ -113,17 +113,15 @@ def transitions(df: DataFrame, keys=("meter_customer_code", "meter_type"), ts="h
                .select(*keys, "_b", row.alias("_p"), "_n", "_first"))
     if materialize:
         win = _materialize(win, "series")
-    inner = win.where(F.col("_n").isNotNull()).select(*keys, "_b", "_p", "_n")
     firsts = win.where("_first").select(*keys, "_b", F.col("_p").alias("_f"))
     nxt = (firsts.withColumn("_nf", F.lead("_f").over(Window.partitionBy(*keys).orderBy("_b")))
                  .where(F.col("_nf").isNotNull()).select(*keys, "_b", "_nf"))
-    lasts = (win.where(F.col("_n").isNull()).select(*keys, "_b", "_p")
-                .join(nxt, [*keys, "_b"], "inner")
-                .select(*keys, "_b", "_p", F.col("_nf").alias("_n")))
-    t = inner.unionByName(lasts).select(
-        *keys, "_b", F.col("_p.t").alias("t_prev"), F.col("_n.t").alias("t_next"),
-        F.col("_p.e").alias("e_prev"), F.col("_n.e").alias("e_next"),
-        F.col("_p.s").alias("s_prev"), F.col("_n.s").alias("s_next"))
+    # only a bucket's last row has no successor of its own
+    t = (win.join(nxt, [*keys, "_b"], "left")
+            .withColumn("_n", F.coalesce("_n", "_nf")).where(F.col("_n").isNotNull())
+            .select(*keys, "_b", F.col("_p.t").alias("t_prev"), F.col("_n.t").alias("t_next"),
+                    F.col("_p.e").alias("e_prev"), F.col("_n.e").alias("e_next"),
+                    F.col("_p.s").alias("s_prev"), F.col("_n.s").alias("s_next")))
     slot_us = slot_minutes * 60 * 1_000_000
     gap = F.bround((F.unix_micros("t_next") - F.unix_micros("t_prev")) / F.lit(float(slot_us)), 0)
     t = (t.withColumn("diff", F.col("e_next") - F.col("e_prev"))

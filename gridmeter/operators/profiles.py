@@ -41,26 +41,32 @@ def site_utc_offset(stations: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def customers_by_tariff(modal: DataFrame, pattern: str, code="meter_customer_code",
-                        tariff="tariff") -> DataFrame:
-    """Customers whose modal tariff contains ``pattern`` (regex, any case)."""
-    return modal.where(contains_ci(tariff, pattern)).select(code).distinct()
+                        tariff="tariff", site: str | None = None) -> DataFrame:
+    """Customers whose modal tariff contains ``pattern`` (regex, any case) (J4, S12);
+    with ``site``, (site, code) pairs, as a code may stand for others elsewhere."""
+    return modal.where(contains_ci(tariff, pattern)).select(*([site] if site else []), code).distinct()
 
 
 def load_profile(clean: DataFrame, offsets: DataFrame, customers: DataFrame | None = None,
                  observed_only: bool = False, site="site_name", code="meter_customer_code",
-                 method: str = "exact", slot_minutes=SLOT_MINUTES) -> DataFrame:
+                 method: str = "exact", slot_minutes=SLOT_MINUTES, default_offset: int | None = None) -> DataFrame:
     """mean, sample std, n, median, q1, q3 of slot energy by local slot and
     by local hour (A7), for customer meters of the selected customers.
 
-    ``offsets`` is (site, utc_offset): one row per site.  ``customers``
-    (code) restricts the meters by a left-semi join (J4).
+    ``offsets`` is (site, utc_offset): one row per site.  A site without an
+    offset takes ``default_offset``; without one it is an error, never left
+    out.  ``customers`` restricts the meters by a left-semi join (J4), on
+    (site, code) if it has the site, else on the code.
     """
     c = clean.where(F.col("meter_type") == "customer")
     if observed_only:
         c = c.where(F.col("imputation_method") == "observed")
     if customers is not None:
-        c = c.join(customers, code, "left_semi")
-    c = c.join(offsets.select(site, "utc_offset"), site, "inner")
+        c = c.join(customers, [k for k in (site, code) if k in customers.columns], "left_semi")
+    c = c.join(offsets.select(site, "utc_offset"), site, "left")
+    missing = (F.lit(default_offset).cast("int") if default_offset is not None else
+               F.raise_error(F.concat(F.lit("no UTC offset for site "), F.coalesce(F.col(site), F.lit("NULL")))).cast("int"))
+    c = c.withColumn("utc_offset", F.coalesce(F.col("utc_offset").cast("int"), missing))
     t = time_of_day(c, offset="utc_offset", slot_minutes=slot_minutes)
     lv = t.select(F.col("energy_kwh").alias("x"), F.explode(F.array(
         F.struct(F.lit("slot").alias("level"), F.col("tod_slot").alias("grp")),

@@ -44,11 +44,11 @@ def count_and_distinct(df: DataFrame, by, distinct_col: str) -> DataFrame:
                                F.countDistinct(distinct_col).alias("n_distinct"))
 
 
-def coverage(df: DataFrame, ts: str, key: str, by=()) -> DataFrame:
-    """min/max timestamp, rows and distinct keys, optionally by group."""
+def coverage(df: DataFrame, ts: str, key: str, by=(), extra_aggs=()) -> DataFrame:
+    """min/max timestamp, rows, distinct keys and further aggregates, optionally by group."""
     return df.groupBy(*by).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
                                F.count(F.lit(1)).alias("n_rows"),
-                               F.countDistinct(key).alias("n_keys"))
+                               F.countDistinct(key).alias("n_keys"), *extra_aggs)
 
 
 def state_share(df: DataFrame, state="state", by=()) -> DataFrame:
@@ -64,7 +64,7 @@ def state_share(df: DataFrame, state="state", by=()) -> DataFrame:
         j = c.join(tot, by, "inner")
     else:
         tot = c.agg(F.sum("n").alias("_t")).withColumn("_k", F.lit(1))
-        j = c.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k", "inner").drop("_k")
+        j = c.withColumn("_k", F.lit(1)).join(tot, "_k", "inner").drop("_k")
     return j.withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
@@ -99,44 +99,57 @@ def cutoff_flags(df: DataFrame, inst="truePowerInst", avg="truePowerAvg") -> Dat
     return df.where((F.col(inst) == 0) & (F.col(avg) > 0))
 
 
-def tariff_changes(tariffs: DataFrame, station: str, ts: str, rate: str, order_extra=()) -> DataFrame:
+def tariff_changes(tariffs: DataFrame, station: str, ts: str, rate: str, order_extra=(),
+                   bucket: str = "month") -> DataFrame:
     """Tariff history per station: rows whose rate differs from the previous
-    one (X4).  Tariff tables are small (one row per change)."""
-    w = Window.partitionBy(station).orderBy(ts, *order_extra)
-    return (tariffs.withColumn("prev_rate", F.lag(rate).over(w))
-                   .where(F.col("prev_rate").isNull() | (F.col("prev_rate") != F.col(rate))))
+    one (X4).
+
+    The previous row is looked up inside (station, bucket); a bucket's first row
+    takes the last rate of the station's bucket before, from a table with one
+    row per station and bucket.  No task holds a station.
+    """
+    d = tariffs.withColumn("_bk", F.date_trunc(bucket, F.col(ts)))
+    inside = Window.partitionBy(station, "_bk")
+    up = inside.orderBy(ts, *order_extra)
+    d = (d.withColumn("prev_rate", F.lag(rate).over(up)).withColumn("_i", F.row_number().over(up))
+          .withColumn("_n", F.count(F.lit(1)).over(inside)))
+    ends = (d.where(F.col("_i") == F.col("_n"))
+             .select(F.col(station).alias("_st"), F.col("_bk").alias("_b"),
+                     F.lag(rate).over(Window.partitionBy(station).orderBy("_bk")).alias("_before")))
+    j = d.join(ends, d[station].eqNullSafe(ends["_st"]) & d["_bk"].eqNullSafe(ends["_b"]))
+    j = j.withColumn("prev_rate", F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("prev_rate")))
+    return (j.where(F.col("prev_rate").isNull() | (F.col("prev_rate") != F.col(rate)))
+             .drop("_bk", "_i", "_n", "_st", "_b", "_before"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
               values, order_extra=(), bucket: str = "month") -> DataFrame:
     """For every left row, the values of the latest right row of the same key
-    with ``right_ts <= left_ts`` (X1); left rows before the first right row
-    get NULLs.
-
-    Right rows become validity intervals ``[ts, next_ts)`` (a window over the
-    small right table; among equal start times the last in ``order_extra``
-    order wins), each interval is copied to the time buckets it overlaps,
-    and the join is an equi-join on (key, bucket) plus the range test.  The
-    work of a hot key is thus spread over its buckets, not one task.  The
-    open last interval is capped at the key's latest left timestamp.
+    with ``right_ts <= left_ts`` (X1); left rows before the first right row,
+    or without a key or timestamp, get NULLs.
+
+    Both sides are unioned and ordered inside (key, bucket) windows, where the
+    last right row so far is carried along (among equal times the last in
+    ``order_extra`` order wins).  What a bucket carries over from earlier ones
+    comes from a table with one row per (key, bucket).  Each side is read and
+    shuffled once, pairs are never formed, and a hot key spreads over its
+    buckets.
     """
     values = list(values)
-    w = Window.partitionBy(key).orderBy(right_ts, *order_extra)
-    r = (right.select(key, right_ts, *order_extra, *values)
-              .withColumn("_to", F.lead(right_ts).over(w)))
-    r = r.where(F.col("_to").isNull() | (F.col("_to") > F.col(right_ts)))
-    lmax = left.groupBy(key).agg(F.max(left_ts).alias("_lmax"))
-    r = r.join(lmax, key, "inner")
-    end = F.least(F.coalesce(F.col("_to"), F.col("_lmax")), F.col("_lmax"))
-    step = F.expr(f"INTERVAL 1 {bucket.upper()}")
-    rb = (r.where(F.col(right_ts) <= F.col("_lmax"))
-           .withColumn("_bk", F.explode(F.sequence(F.date_trunc(bucket, F.col(right_ts)),
-                                                   F.date_trunc(bucket, end), step)))
-           .select(F.col(key).alias("_rkey"), "_bk", F.col(right_ts).alias("_from"), "_to",
-                   *[F.col(v).alias(f"_v_{v}") for v in values]))
-    lb = left.withColumn("_bk", F.date_trunc(bucket, F.col(left_ts)))
-    cond = ((lb[key] == rb["_rkey"]) & (lb["_bk"] == rb["_bk"]) & (rb["_from"] <= lb[left_ts])
-            & (rb["_to"].isNull() | (lb[left_ts] < rb["_to"])))
-    j = lb.join(rb, cond, "left")
-    return j.select(*[lb[c] for c in left.columns],
-                    *[F.col(f"_v_{v}").alias(v) for v in values])
+    names = left.columns
+    row, got = F.struct(*[F.col(c) for c in names]), F.struct(*[F.col(v) for v in values])
+    extra = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_extra)]
+    a = left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), row.alias("_row"))
+    b = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), *extra, got.alias("_got"))
+    u = a.unionByName(b, allowMissingColumns=True).withColumn("_bk", F.date_trunc(bucket, F.col("_ts")))
+    inside = Window.partitionBy("_k", "_bk")
+    up = inside.orderBy("_ts", "_side", *[f"_o{i}" for i in range(len(extra))])
+    u = (u.withColumn("_own", F.last("_got", True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+          .withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(inside)))
+    earlier = Window.partitionBy("_k").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (u.where(F.col("_i") == F.col("_n"))
+             .select(F.col("_k").alias("_ek"), F.col("_bk").alias("_ebk"), F.last("_own", True).over(earlier).alias("_before")))
+    u = u.where("_side = 1")
+    j = u.join(ends, (u["_k"] == ends["_ek"]) & (u["_bk"] == ends["_ebk"]), "left")
+    v = F.when(F.col("_k").isNotNull() & F.col("_ts").isNotNull(), F.coalesce("_own", "_before"))
+    return j.select("_row", v.alias("_v")).select("_row.*", *[F.col("_v")[c].alias(c) for c in values])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import broadcast_if_small, neq_nullsafe, not_in_nullsafe
+from ..functions.core import neq_nullsafe, not_in_nullsafe
 
 
 def drop_columns(df: DataFrame, cols) -> DataFrame:
@@ -27,7 +27,7 @@ def allow_columns(df: DataFrame, cols) -> DataFrame:
 
 # "Blank" follows Python's ``str.strip()``: the characters for which
 # ``str.isspace()`` holds (built from that rule, not listed by hand).
-_PY_SPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+_PY_SPACE = "".join(c for c in map(chr, range(0x3100)) if c.isspace())
 _NONBLANK = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in _PY_SPACE) + "]"
 
 
@@ -56,16 +56,31 @@ def normalize_types(df: DataFrame) -> DataFrame:
 
 
 def cast_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Unsafe cast to a target schema (``try_cast``; missing -> NULL) (PRJ6)."""
+    """Cast to a target schema; missing columns become NULL (PRJ6).
+
+    A value that does not fit its type is an error (ANSI cast), not a NULL;
+    :func:`cast_failures` counts such values beforehand.
+    """
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
-            cols.append(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name))
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols)
 
 
+def cast_failures(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """(column_name, n_failed): values that :func:`cast_to_schema` would refuse."""
+    both = [f for f in schema.fields if f.name in df.columns]
+    bad = [F.sum(F.when(F.col(f.name).isNotNull() & F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").isNull(), 1)
+                  .otherwise(0)).cast("long") for f in both]
+    return (df.agg(F.array(*bad).alias("_n"))
+              .select(F.posexplode("_n").alias("_i", "n_failed"))
+              .select(F.element_at(F.array(*[F.lit(f.name) for f in both]), F.col("_i") + 1).alias("column_name"),
+                      F.coalesce("n_failed", F.lit(0)).alias("n_failed")))
+
+
 def clean_payments(df: DataFrame, min_year: int = 2015, ts="transactionDatetime",
                    processor="paymentProcessor", aliases: dict | None = None) -> DataFrame:
     """Drop NULL / zero dates (year < min_year); processor lower + trim (FLT1).
@@ -81,10 +96,19 @@ def clean_payments(df: DataFrame, min_year: int = 2015, ts="transactionDatetime"
               .withColumn(processor, p))
 
 
-def release_table(df: DataFrame, table: str, salt: str, min_year: int = 2015) -> DataFrame:
+def release_table(df: DataFrame, table: str, salt: str, min_year: int = 2015,
+                  unlisted: bool = False) -> DataFrame:
     """Release one source table: drop its listed columns, pseudonymise its
-    listed columns, then the per-table cleaning (payments) (PRJ1, PRJ3, FLT1)."""
+    listed columns, then the per-table cleaning (payments) (PRJ1, PRJ3, FLT1).
+
+    A table that no rule names is refused (a misspelt name would be released
+    raw) unless ``unlisted`` says that it has nothing to hide.
+    """
     from .. import release_spec as RS
+    ruled = {*RS.DROP_COLS, *RS.PSEUDO_COLS, *RS.PAYMENT_TABLES, "minigridprojects", "vrmgeneration",
+             "meteringbasestations"}
+    if table not in ruled and not unlisted:
+        raise ValueError(f"no release rules for table {table!r}")
     out = pseudonymize(drop_columns(df, RS.DROP_COLS.get(table, [])), RS.PSEUDO_COLS.get(table, []), salt)
     if table in RS.PAYMENT_TABLES:
         out = clean_payments(out, min_year)
@@ -119,6 +143,11 @@ def uuid_shape(col: str):
                       (F.length(c) - F.length(F.regexp_replace(c, "-", "")) == 4), F.lit(False))
 
 
+def without_uuid_sites(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose site file is named like a UUID left out, by either rule (FLT11)."""
+    return df.where(~(uuid_prefix(col) | uuid_shape(col)))
+
+
 def safe_name(col):
     """File-safe site name: '/' -> '-', ' ' -> '_'."""
     c = F.col(col) if isinstance(col, str) else col
@@ -149,12 +178,11 @@ def site_lookup(stations: DataFrame) -> DataFrame:
 def resolve_site(readings: DataFrame, stations: DataFrame, site="site") -> DataFrame:
     """Add ``site_name`` right after ``site``; unmapped ids -> 'unknown' (J5, PRJ4).
 
-    The lookup has one row per site id (a dimension: stations and their
-    legacy ids); it is broadcast after a check of its size, else joined by
-    a shuffle.
+    The lookup has one row per site id (stations and their legacy ids); AQE
+    broadcasts it by its measured size or shuffles both sides.
     """
     lk = site_lookup(stations).withColumnRenamed("site", site)
-    j = readings.join(broadcast_if_small(lk), site, "left")
+    j = readings.join(lk, site, "left")
     cols = []
     for c in readings.columns:
         cols.append(F.col(c))
@@ -164,9 +192,13 @@ def resolve_site(readings: DataFrame, stations: DataFrame, site="site") -> DataF
 
 
 def merge_years(frames) -> DataFrame:
-    """Union of yearly pieces cast to the first piece's schema (U2, PRJ6)."""
+    """Union of yearly pieces (U2, PRJ6): a column has the type of the first piece
+    that has it, and a column that only a later year has is kept."""
     frames = list(frames)
-    schema = frames[0].schema
+    fields = {}
+    for f in (f for df in frames for f in df.schema.fields):
+        fields.setdefault(f.name, T.StructField(f.name, f.dataType))
+    schema = T.StructType(list(fields.values()))
     return reduce(lambda a, b: a.unionByName(b), [cast_to_schema(f, schema) for f in frames])
 
 

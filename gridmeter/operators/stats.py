@@ -13,10 +13,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.core import _c
 from ..session import materialize as _materialize
@@ -120,18 +118,19 @@ def log_histogram(df: DataFrame, value: str, by: str, cls: str, bins: int = 49,
     d = df.where(F.col(value).isNotNull())
     if exclude_classes:
         d = d.where(~F.col(cls).isin(list(exclude_classes)))
-    q = d.groupBy(by).agg(F.percentile(value, q_lo).alias("_qlo"), F.percentile(value, q_hi).alias("_qhi"))
-    q = q.select(by, F.greatest("_qlo", F.lit(floor_lo)).alias("lo"), F.col("_qhi").alias("hi"))
-    q = q.where(F.col("hi") > F.col("lo"))
+    q = exact_quantiles(d, value, [by], [q_lo, q_hi])
+    q = q.select(by, F.greatest("q0", F.lit(floor_lo)).alias("lo"), F.col("q1").alias("hi"))
+    # a group whose quantiles coincide keeps its bins, all of width 0
+    q = q.withColumn("hi", F.greatest("lo", "hi"))
     a, b = F.log10("lo"), F.log10("hi")
     step = (b - a) / F.lit(float(bins))
 
     def edge(i):
         return (F.when(i <= 0, F.col("lo")).when(i >= bins, F.col("hi"))
-                 .otherwise(F.pow(F.lit(10.0), i.cast("double") * step + a)))
-    j = d.join(F.broadcast(q), by, "inner")   # one row per group (countries)
+                 .otherwise(F.least(F.greatest(F.pow(F.lit(10.0), i.cast("double") * step + a), F.col("lo")), F.col("hi"))))
+    j = _with_group(d, q, [by])
     x = F.col(value)
-    i0 = F.floor((F.log10(x) - a) / step)
+    i0 = F.floor(F.try_divide(F.log10(x) - a, step))
     i1 = F.when(x < edge(i0), i0 - 1).when(x >= edge(i0 + 1), i0 + 1).otherwise(i0)
     binc = F.when((x >= F.col("lo")) & (x <= F.col("hi")),
                   F.when(x == F.col("hi"), F.lit(bins - 1))
@@ -144,32 +143,33 @@ def log_histogram(df: DataFrame, value: str, by: str, cls: str, bins: int = 49,
                 .agg(F.count(F.lit(1)).alias("count")))
     spine = stats.select(by, cls, "n_class", "n_in_range", "class_mean",
                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = (spine.join(counts, [by, cls, "bin"], "left")
-                .join(F.broadcast(q), by, "inner")
+    c = counts.withColumnsRenamed({by: "_by", cls: "_cls", "bin": "_bin"})
+    out = (_with_group(spine.join(c, [spine[by].eqNullSafe(c["_by"]), spine[cls].eqNullSafe(c["_cls"]),
+                                      spine["bin"] == c["_bin"]], "left").drop("_by", "_cls", "_bin"), q, [by])
                 .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
                 .withColumn("edge_lo", edge(F.col("bin")))
                 .withColumn("edge_hi", edge(F.col("bin") + 1)))
     dens = F.when(F.col("n_in_range") > 0,
-                  F.col("count") / (F.col("n_in_range") * (F.col("edge_hi") - F.col("edge_lo"))))
+                  F.try_divide(F.col("count"), F.col("n_in_range") * (F.col("edge_hi") - F.col("edge_lo"))))
     return out.select(by, cls, "bin", "edge_lo", "edge_hi", "count", dens.alias("density"),
                       "class_mean", "n_class")
 
 
 def clipped_histogram(df: DataFrame, value: str, by: str, bins: int = 60,
                       q_lo: float = 0.01, q_hi: float = 0.99) -> DataFrame:
-    """Values clipped to the group's [q01, q99] and put in equal bins (H4)."""
+    """Values clipped to the group's [q01, q99] and put in equal bins, empty
+    bins included (H4, J16)."""
     d = df.where(F.col(value).isNotNull())
-    q = d.groupBy(by).agg(F.percentile(value, q_lo).alias("lo"), F.percentile(value, q_hi).alias("hi"))
-    j = d.join(F.broadcast(q), by, "inner")   # one row per group
+    q = exact_quantiles(d, value, [by], [q_lo, q_hi]).select(by, F.col("q0").alias("lo"), F.col("q1").alias("hi"))
+    j = _with_group(d, q, [by])
     clipped = F.least(F.greatest(F.col(value), F.col("lo")), F.col("hi"))
-    b = j.select(by, "lo", "hi", F.when(F.col("hi") > F.col("lo"),
-                                         bin_index(clipped, F.col("lo"), F.col("hi"), bins))
-                 .otherwise(F.lit(0)).alias("bin"))
-    return (b.groupBy(by, "bin").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                                     F.count(F.lit(1)).alias("count"))
-             .withColumn("edge_lo", F.col("bin").cast("double") *
-                         ((F.col("hi") - F.col("lo")) / F.lit(float(bins))) + F.col("lo"))
-             .select(by, "bin", "edge_lo", "count"))
+    i = F.when(F.col("hi") > F.col("lo"), bin_index(clipped, F.col("lo"), F.col("hi"), bins)).otherwise(F.lit(0))
+    n = j.select(by, i.alias("bin")).groupBy(by, "bin").agg(F.count(F.lit(1)).alias("count"))
+    n = n.withColumnsRenamed({by: "_by", "bin": "_bin"})
+    spine = q.select(by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edge = F.col("bin").cast("double") * ((F.col("hi") - F.col("lo")) / F.lit(float(bins))) + F.col("lo")
+    return (spine.join(n, [spine[by].eqNullSafe(n["_by"]), spine["bin"] == n["_bin"]], "left")
+                 .select(by, "bin", edge.alias("edge_lo"), F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
 # ------------------------------------------------------------------ box plots
@@ -178,26 +178,24 @@ def boxplot_stats(df: DataFrame, value: str, by) -> DataFrame:
     outlier count per group (H5, A6, O3)."""
     by = list(by)
     d = df.where(F.col(value).isNotNull())
-    q = d.groupBy(*by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"),
-                           F.count(value).alias("n"))
-    q = q.select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(d, value, by, [0.25, 0.5, 0.75], extra_aggs=[F.count("_x").alias("n")])
+    q = q.select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     x = F.col(value)
-    w = (d.join(q, by, "inner")
+    w = (_with_group(d, q, by)
           .groupBy(*by)
           .agg(F.min(F.when(x >= lo, x)).alias("whisker_lo"),
                F.max(F.when(x <= hi, x)).alias("whisker_hi"),
                F.count(F.when((x < lo) | (x > hi), x)).alias("n_outliers")))
-    return q.join(w, by, "inner")
+    return _with_group(q, w, by)
 
 
 def boxplot_outliers(df: DataFrame, value: str, by, id_col: str) -> DataFrame:
     """Rows outside the whiskers (the box plot's fliers)."""
     by = list(by)
     s = boxplot_stats(df, value, by).select(*by, "whisker_lo", "whisker_hi")
-    j = df.where(F.col(value).isNotNull()).join(s, by, "inner")
+    j = _with_group(df.where(F.col(value).isNotNull()), s, by)
     return (j.where((F.col(value) < F.col("whisker_lo")) | (F.col(value) > F.col("whisker_hi")))
              .select(*by, id_col, value))
 
@@ -206,13 +204,11 @@ def describe(df: DataFrame, value: str, by, percentiles=(0.25, 0.5, 0.75, 0.95))
     """pandas ``describe(percentiles=...)`` per group."""
     by = list(by)
     ps = list(percentiles)
-    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.percentile(value, ps).alias("_p"), F.max(value).alias("max"))
+    g = exact_quantiles(df, value, by, ps, extra_aggs=[
+        F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+        F.min("_x").alias("min"), F.max("_x").alias("max")])
     return g.select(*by, "count", "mean", "std", "min",
-                    *[F.col("_p")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)],
-                    "max")
+                    *[F.col(f"q{i}").alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)], "max")
 
 
 # ------------------------------------------------------------------ regressions
@@ -232,64 +228,38 @@ def one_sample_t(df: DataFrame, value: str, by) -> DataFrame:
               .withColumn("dof", (F.col("n") - 1).cast("long")))
 
 
-def _betacf(a, b, x, itmax=300, eps=3e-16):
-    """Continued fraction of the regularised incomplete beta (Lentz's method)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, itmax + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc_reg(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t with ``dof`` degrees of freedom."""
-    if t is None or dof is None or dof <= 0 or math.isnan(t):
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-def _t_pvalue_batch(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else None
-                      for a, b in zip(t, dof)], dtype="float64")
+#: intervals of the integration in :func:`t_pvalue`
+T_STEPS = 4000
 
 
 def t_pvalue(t, dof) -> Column:
-    """Two-sided p-value column (Arrow-batched pandas UDF; applied to one
-    row per group only, after the aggregation)."""
-    return F.pandas_udf(_t_pvalue_batch, DoubleType())(_c(t), _c(dof))
+    """Two-sided p-value of Student's t (native).
+
+    With ``t = sqrt(dof) tan(a)`` the density becomes ``cos(a)^(dof-1)``; the
+    p-value is one minus its integral up to ``|t|`` over that of the whole,
+    both by Simpson's rule.  From 30 degrees of freedom on the whole ends at
+    t = 40, beyond which there is less than 1e-27.
+    """
+    t, dof = F.abs(_c(t)), _c(dof).cast("double")
+    end = F.when(dof < 30, F.lit(math.pi / 2)).otherwise(F.atan(F.lit(40.0) / F.sqrt(dof)))
+    at = F.least(F.atan(t / F.sqrt(dof)), end)
+
+    def area(upto):
+        weight = lambda i: F.when((i == 0) | (i == T_STEPS), 1.0).otherwise(2.0 + 2.0 * F.pmod(i, F.lit(2)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(T_STEPS)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(
+            F.greatest(F.cos(i * upto / F.lit(float(T_STEPS))), F.lit(0.0)), dof - 1)) * upto
+    return F.when(dof > 0, F.greatest(1 - area(at) / area(end), F.lit(0.0)))
+
+
+def sql_t_pvalue(t: str, dof: str) -> str:
+    """SQL text of :func:`t_pvalue` (DuckDB)."""
+    end = f"(CASE WHEN {dof} < 30 THEN {math.pi / 2!r} ELSE atan(40.0 / sqrt({dof})) END)"
+    at = f"least(atan(abs({t}) / sqrt({dof})), {end})"
+
+    def area(upto):
+        return (f"(list_sum(list_transform(range(0, {T_STEPS + 1}), lambda i: (CASE WHEN i IN (0, {T_STEPS}) THEN 1.0 ELSE 2.0 + 2.0 * (i % 2) END)"
+                f" * pow(greatest(cos(i * {upto} / {float(T_STEPS)}::DOUBLE), 0.0::DOUBLE), {dof} - 1.0))) * {upto})")
+    return f"greatest(1 - {area(at)} / {area(end)}, 0.0)"
 
 
 def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
@@ -306,72 +276,62 @@ def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
 
 
 # ------------------------------------------------------------------ exact quantiles at scale
-def exact_quantiles(df: DataFrame, value: str, by, probs, accuracy: int = 10000,
-                    few_groups: bool = True, materialize: bool = False, extra_aggs=(),
-                    small_n: int = 2000) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, by, probs, materialize: bool = False, extra_aggs=(),
+                    buckets: int = 256) -> DataFrame:
     """Exact linearly interpolated quantiles per group, without holding a
-    group in one task or a value->count map per group (H-1).
-
-    1. per group: n, min, max and ``percentile_approx`` at ``p -/+ eps`` with
-       ``eps = 3/accuracy + 2/small_n``: the approximate ranks are within
-       n/accuracy of the target, so for n > small_n the two values bracket
-       the exact order statistics around ``h = (n-1)p`` (groups with
-       n <= small_n take [min, max]);
-    2. per group, in one aggregate: how many values lie below each bracket;
-    3. only values inside a bracket (about 2*eps*n per group and
-       probability) are ranked by a window, and the two order statistics
-       around h are interpolated as ``percentile`` does.
-
-    Returns ``by`` columns plus ``q0, q1, ...`` (one per probability).
-    ``few_groups``: the group keys have a fixed, small cardinality (e.g. 120
-    time-of-day groups), so the per-group bracket table is broadcast.
-    ``materialize``: the (group, value) input is read three times; when its
-    upstream is expensive, write it once to the checkpoint folder.
-    ``extra_aggs``: further aggregate columns over ``_x`` (the value) computed
-    in the first pass and returned with the quantiles.
+    group, or all rows of one value, in one task (H-1).
+
+    1. rows are reduced to (group, value, count), so a value that repeats is
+       one row whatever its share;
+    2. ``buckets`` cuts per group, approximate quantiles of its distinct
+       values, deal the values into buckets.  Any cuts give right results, as
+       the bucket totals are exact: cuts only even out the buckets;
+    3. running totals over a group's buckets (at most ``buckets + 1`` rows)
+       say which bucket holds the order statistics around ``h = (n-1)p``;
+    4. only those buckets get a running count over their values, and the two
+       order statistics are interpolated as ``percentile`` does.
+
+    Returns ``by`` columns plus ``q0, q1, ...`` (one per probability); NULL
+    group keys are a group.
+    ``materialize``: the input is read several times; when its upstream is
+    expensive, write it once to the checkpoint folder.
+    ``extra_aggs``: further aggregate columns over ``_x`` (the value).
     """
     by = list(by)
     probs = [float(p) for p in probs]
-    k = len(probs)
-    eps = 3.0 / accuracy + 2.0 / small_n
-    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    d = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_k"), F.col(value).cast("double").alias("_x"))
     if materialize:
         d = _materialize(d, "quantile-input")
-    lo_p = [max(p - eps, 0.0) for p in probs]
-    hi_p = [min(p + eps, 1.0) for p in probs]
-    extra = list(extra_aggs)
-    g = d.groupBy(*by).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-                           F.percentile_approx("_x", lo_p + hi_p, accuracy).alias("_a"), *extra)
-    extra_names = [c for c in g.columns if c not in (*by, "_n", "_min", "_max", "_a")]
-    small = F.col("_n") <= small_n
-    cols = []
-    for i, p in enumerate(probs):
-        cols.append(F.when(small | F.lit(lo_p[i] <= 0.0), F.col("_min")).otherwise(F.col("_a")[i]).alias(f"_lo{i}"))
-        cols.append(F.when(small | F.lit(hi_p[i] >= 1.0), F.col("_max")).otherwise(F.col("_a")[k + i]).alias(f"_hi{i}"))
-    groups = g.select(*by, "_n", *cols)
-    # one row per group: small next to the data
-    j = d.join(F.broadcast(groups) if few_groups else groups, by, "inner")
-    below = j.groupBy(*by).agg(*[F.sum(F.when(F.col("_x") < F.col(f"_lo{i}"), 1).otherwise(0))
-                                 .cast("long").alias(f"_below{i}") for i in range(k)])
-    hits = F.filter(F.array(*[F.when((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")),
-                                     F.lit(i)) for i in range(k)]), lambda c: c.isNotNull())
-    inside = j.select(*by, "_n", "_x", F.explode(hits).alias("i"))
-    w = Window.partitionBy(*by, "i").orderBy("_x")
-    ranked = inside.withColumn("_r", F.row_number().over(w) - 1).join(below, by, "inner")
-    below_i = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(k)]), F.col("i") + 1)
-    p_i = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1)
-    h = (F.col("_n") - 1).cast("double") * p_i
-    pos = F.col("_r") + below_i
-    picked = (ranked.withColumn("h", h)
-                    .groupBy(*by, "i")
-                    .agg(F.first("h").alias("h"),
-                         F.max(F.when(pos == F.floor("h"), F.col("_x"))).alias("_vl"),
-                         F.max(F.when(pos == F.ceil("h"), F.col("_x"))).alias("_vh")))
-    hc = F.col("h")
-    val = F.when(F.ceil(hc) == F.floor(hc), F.col("_vl")).otherwise(
-        (F.ceil(hc) - hc) * F.col("_vl") + (hc - F.floor(hc)) * F.col("_vh"))
-    out = picked.groupBy(*by).pivot("i", list(range(k))).agg(F.first(val))
-    out = out.select(*by, *[F.col(str(i)).alias(f"q{i}") for i in range(k)])
-    if extra_names:
-        out = out.join(g.select(*by, *extra_names), by, "inner")
-    return out
+    vc = d.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = vc.groupBy("_k").agg(
+        F.sum("_c").alias("_n"),
+        F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"))
+    v = (vc.join(cuts.select("_k", "_cuts"), "_k")
+           .select("_k", "_x", "_c", F.size(F.filter("_cuts", lambda c: c <= F.col("_x"))).alias("_b")))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (v.groupBy("_k", "_b").agg(F.sum("_c").alias("_t"))
+               .withColumn("_below", F.coalesce(F.sum("_t").over(before), F.lit(0))))
+    h = (F.col("_n") - 1).cast("double") * F.col("_p")
+    wanted = (cuts.select("_k", "_n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "_p"))
+                  .select("_k", "_i", h.alias("_h"), F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("_r")))
+    hit = (wanted.join(totals, "_k").where((F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_t")))
+                 .select("_k", "_b", "_i", "_h", "_r", "_below"))
+    upto = Window.partitionBy("_k", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    rows = (v.join(hit.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi")
+             .withColumn("_upto", F.sum("_c").over(upto)))
+    at = F.col("_r") - F.col("_below")
+    found = rows.join(hit, ["_k", "_b"]).where((F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto")))
+    lo, hi = (F.max(F.when(F.col("_r") == f("_h"), F.col("_x"))) for f in (F.floor, F.ceil))
+    up = F.max(F.col("_h") - F.floor("_h"))
+    q = (found.groupBy("_k", "_i").agg(F.when(up == 0, lo).otherwise(lo * (1 - up) + hi * up).alias("_q"))
+              .groupBy("_k").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))]))
+    if extra_aggs:
+        q = q.join(d.groupBy("_k").agg(*extra_aggs), "_k")
+    return q.select("_k.*", *[c for c in q.columns if c != "_k"])
+
+
+def _with_group(df: DataFrame, groups: DataFrame, by) -> DataFrame:
+    """Attach per-group columns to the rows of each group, NULL keys included."""
+    g = groups.withColumnsRenamed({k: f"_g_{k}" for k in by})
+    on = [df[k].eqNullSafe(g[f"_g_{k}"]) for k in by]
+    return df.join(g, on, "inner").drop(*[f"_g_{k}" for k in by])

@@ -7,7 +7,7 @@ are one row per customer; per-site tables one row per site.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import month_ordinal, neq_nullsafe
@@ -58,9 +58,9 @@ def _ym_label(m: str):
 def map_sites(df: DataFrame, site_map: DataFrame, site="site_name") -> DataFrame:
     """Static site -> (projectName, country) map, inner: unmapped sites drop.
 
-    ``site_map`` is a fixed list (one row per site file) and is broadcast.
+    ``site_map`` is a list with one row per site file.
     """
-    return df.join(F.broadcast(site_map), site, "inner")
+    return df.join(site_map, site, "inner")
 
 
 def _ord_label(c):
@@ -113,14 +113,15 @@ def acpu(monthly_mapped: DataFrame, min_site_n: int = 30) -> DataFrame:
 def months_since_first(df: DataFrame, code: str, ym="ym") -> DataFrame:
     """Months since the customer's first month over all its rows.
 
-    The first month is a per-customer aggregate joined back (one row per
-    customer), not a window, so no task holds a whole customer.
+    ``df`` has a row per customer and month (and site), so a window over a
+    customer holds a few hundred rows at most, and the monthly frame is read
+    and shuffled once.
     """
     ord_ = month_ordinal(F.to_date(F.concat(F.col(ym), F.lit("-01"))))
-    first = df.groupBy(code).agg(F.min(ord_).alias("_first"))
-    return (df.join(first, code, "left")
-              .withColumn("months_since_first", (ord_ - F.col("_first")).cast("int"))
-              .drop("_first"))
+    first = F.min("_ord").over(Window.partitionBy(code))
+    return (df.withColumn("_ord", ord_)
+              .withColumn("months_since_first", (F.col("_ord") - first).cast("int"))
+              .drop("_ord"))
 
 
 # ------------------------------------------------------------ revenue
@@ -142,12 +143,11 @@ def nearest_year_rates(keys: DataFrame, rates: DataFrame, country="country", yea
     """Rate per (country, year): exact year, else nearest year, tie -> earlier.
 
     ``keys`` are the distinct (country, year) pairs in use; ``rates`` is the
-    published rate table (countries x years, a fixed-size list) and is
-    broadcast.  NULL rates are ignored.
+    published rate table (countries x years).  NULL rates are ignored.
     """
     r = rates.where(F.col(rate).isNotNull()).select(
         F.col(country), F.col(year).alias("_ry"), F.col(rate).alias("_rate"))
-    j = keys.join(F.broadcast(r), country, "inner")
+    j = keys.join(r, country, "inner")
     # total order (distance, year) as one integer key: a hash aggregate
     order = F.abs(F.col("_ry") - F.col(year)).cast("long") * F.lit(1_000_000) + F.col("_ry")
     return j.groupBy(country, year).agg(F.min_by("_rate", order).alias("fx_rate"))
@@ -160,8 +160,7 @@ def fx_convert(pay: DataFrame, rates: DataFrame, amount="amount", ts="transactio
     p = pay.withColumn("tx_year", F.year(ts))
     keys = p.select(country, F.col("tx_year").alias("year")).distinct()
     fx = nearest_year_rates(keys, rates, country, "year").withColumnRenamed("year", "tx_year")
-    # one row per (country, year): bounded by countries x years
-    return (p.join(F.broadcast(fx), [country, "tx_year"], "inner")
+    return (p.join(fx, [country, "tx_year"], "inner")
              .withColumn(amount, F.try_divide(F.col(amount), F.col("fx_rate")))
              .drop("tx_year", "fx_rate"))
 
@@ -203,8 +202,7 @@ def quantile_cap(df: DataFrame, value: str, q: float, by=()) -> DataFrame:
     # exact quantile without a value->count map per group (a country may
     # hold a third of all rows); one row per group
     caps = exact_quantiles(df, value, by, [q], materialize=True).select(*by, F.col("q0").alias("_cap"))
-    # ``by`` are low-cardinality keys (country, class)
-    out = df.join(F.broadcast(caps), by, "inner").where(F.col(value) <= F.col("_cap")).drop("_cap")
+    out = df.join(caps, by, "inner").where(F.col(value) <= F.col("_cap")).drop("_cap")
     return out.drop("_g") if "_g" in out.columns else out
 
 

@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import running_sum
-from ..session import materialize, prepare
+from ..session import prepare
 
 RESET_EVERY = 37
-MATERIALIZE_READINGS = False
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,9 +44,7 @@ def readings(spark: SparkSession, d: str, slot_minutes: int = 15) -> DataFrame:
     """Raw heartbeats: meter_customer_code, meter_type, heartbeatStart,
     energy (cumulative kWh), state, meter_tariff_name, row_id.
 
-    The counter is derived by a running sum; several branches of the
-    cleaning plan read the readings, so the derived table is written once
-    to the checkpoint folder (as a real readings table would be read).
+    The counter is derived by a running sum.
     """
     ev = table(spark, d, "events").select(
         "event_id", _ts("ts").alias("ts"), "user_id", "event_type",
@@ -65,7 +62,7 @@ def readings(spark: SparkSession, d: str, slot_minutes: int = 15) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit(0)).otherwise(F.lit(1)).alias("state"),
         F.col("event_type").alias("meter_tariff_name"),
         F.col("event_id").alias("row_id"))
-    return materialize(out, "readings") if MATERIALIZE_READINGS else out
+    return out
 
 
 def power_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -123,12 +120,11 @@ def clean_series_long(spark: SparkSession, d: str) -> DataFrame:
         "country")
 
 
-def payments(spark: SparkSession, d: str) -> DataFrame:
-    """Payment confirmations: id, customerAccountNumber, amount, transactionDatetime,
+def payments(spark: SparkSession, d: str, located: bool = True) -> DataFrame:
+    """Payment confirmations (country, projectName only if ``located``): id, customerAccountNumber, amount, transactionDatetime,
     paymentProcessor, flags (isTest, isReversed, isSignup, isBalanceTransfer),
     country, projectName, currency."""
     o = table(spark, d, "orders")
-    cu = customers_keyed(spark, d).select("c_custkey", "projectName", "country")
     pr = F.col("o_orderpriority")
     st = F.col("o_orderstatus")
     p = o.select(
@@ -145,8 +141,11 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
         F.when(pr == "1-URGENT", F.lit(1)).otherwise(F.lit(0)).cast("tinyint").alias("isSignup"),
         F.when(pr == "4-NOT SPECIFIED", F.lit(None)).otherwise(F.lit(0))
          .cast("tinyint").alias("isBalanceTransfer"))
-    return (p.join(cu, p.o_custkey == cu.c_custkey, "left").drop("o_custkey", "c_custkey")
-             .withColumn("currency", F.lit("LCU")))
+    p = p.withColumn("currency", F.lit("LCU"))
+    if not located:
+        return p.drop("o_custkey")
+    cu = customers_keyed(spark, d).select("c_custkey", "projectName", "country")
+    return p.join(cu, p.o_custkey == cu.c_custkey, "left").drop("o_custkey", "c_custkey")
 
 
 def stations(spark: SparkSession, d: str) -> DataFrame:

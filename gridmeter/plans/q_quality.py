@@ -29,9 +29,8 @@ def q_coverage(spark, d):
 
 def q_coverage_by_group(spark, d):
     r = _r(spark, d)
-    c = Q.coverage(r, "heartbeatStart", "meter_customer_code", ["meter_type"])
-    e = r.groupBy("meter_type").agg(F.max("energy").alias("max_energy"))
-    return c.join(e, "meter_type", "inner").select("meter_type", "first_ts", "last_ts", "n_rows", "n_keys",
+    c = Q.coverage(r, "heartbeatStart", "meter_customer_code", ["meter_type"], [F.max("energy").alias("max_energy")])
+    return c.select("meter_type", "first_ts", "last_ts", "n_rows", "n_keys",
                                                    r_("max_energy", 2).alias("max_energy"))
 
 
@@ -78,7 +77,7 @@ def q_cutoff_flags(spark, d):
 
 
 def q_payments_by_year(spark, d):
-    p = B.payments(spark, d)
+    p = B.payments(spark, d, located=False)
     return p.groupBy(F.year("transactionDatetime").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.core import round_half_up as r_, sql_round as rs, to_number
 from ..operators import quality as Q
 from ..operators import release as R
+from ..session import checkpoint_dir
 from ..sources import io as IO
 from . import bindings as B
 from .sql_bindings import with_
@@ -15,6 +18,8 @@ SALT = "salt"
 CUSTOMER_DROP = ["c_name", "c_phone", "c_acctbal"]          # c_phone is not in the table
 STATION_SAFE = ["meteringSiteId", "meteringBaseStation", "projectName", "timezoneOffsetUtc",
                 "olderMeteringSiteIds"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 EXCLUDED_PROJECTS = ["NATION_3", "NATION_4"]
 
 
@@ -49,14 +54,16 @@ def q_coerce_numeric(spark, d):
 
 
 def q_clean_payments(spark, d):
-    p = R.clean_payments(B.payments(spark, d), 1997)
+    p = R.clean_payments(B.payments(spark, d, located=False), 1997)
     return p.select("id", "paymentProcessor", "transactionDatetime", r_("amount", 2).alias("amount"))
 
 
 def q_bad_date_payments(spark, d):
-    p = B.payments(spark, d)
-    return (p.where(F.year("transactionDatetime") < 1996)
-             .orderBy("transactionDatetime", "id").limit(20)
+    """Missing dates first, then the earliest."""
+    p = B.payments(spark, d, located=False)
+    ts = F.col("transactionDatetime")
+    return (p.where(ts.isNull() | (F.year(ts) < 1996))
+             .orderBy(ts.asc_nulls_first(), "id").limit(20)
              .select("id", "customerAccountNumber", "transactionDatetime"))
 
 
@@ -71,6 +78,11 @@ def q_exclude_sites(spark, d):
 
 
 def q_exclude_uuid_sites(spark, d):
+    """Sites whose file is not named like a UUID, by either rule."""
+    return R.without_uuid_sites(B.stations(spark, d), "site_file").select("site_file")
+
+
+def q_uuid_site_flags(spark, d):
     s = B.stations(spark, d)
     return s.select("site_file", R.uuid_prefix("site_file").alias("uuid_prefix"),
                     R.uuid_shape("site_file").alias("uuid_shape"))
@@ -87,11 +99,44 @@ def q_resolve_site(spark, d):
 
 
 def q_merge_years(spark, d):
-    o = B.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    a = o.where(F.year("o_orderdate") <= 1997)
+    """Years of different types, and a column that only the later ones have."""
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    a = o.where(F.year("o_orderdate") <= 1997).drop("o_orderstatus")
     b = o.where(F.year("o_orderdate") > 1997).withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
     m = R.merge_years([a, b])
-    return m.select("o_orderkey", r_("o_totalprice", 2).alias("o_totalprice"), "o_orderdate")
+    return m.select("o_orderkey", r_("o_totalprice", 2).alias("o_totalprice"), "o_orderdate", "o_orderstatus")
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}"
+
+
+def q_incremental_write_rerun(spark, d):
+    """A resumable write, run three times; NULL keys are written once, too."""
+    o = B.table(spark, d, "orders").select(
+        "o_orderkey", r_("o_totalprice", 2).alias("o_totalprice"),
+        F.when(F.pmod("o_orderkey", F.lit(3)) > 0, F.concat(F.lit("site "), F.pmod("o_orderkey", F.lit(3)))).alias("site_name"),
+        F.year("o_orderdate").alias("year"))
+    path = _folder(spark, "incremental")
+    IO.incremental_write(o.where("year < 1996 OR site_name IS NULL"), path, ["site_name", "year"])
+    for _ in range(2):
+        IO.incremental_write(o, path, ["site_name", "year"])
+    return spark.read.schema(o.schema).parquet(path)
+
+
+def q_write_read_csv(spark, d):
+    c = B.table(spark, d, "customer").select("c_custkey", "c_name", r_("c_acctbal", 2).alias("c_acctbal"))
+    path = _folder(spark, "csv")
+    IO.write_csv(c, path)
+    return IO.read_csv(spark, path, c.schema)
+
+
+def q_write_read_series(spark, d):
+    t = B.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", r_("l_quantity", 2).alias("l_quantity"), F.col("l_returnflag").alias("site_name"), "l_shipdate")
+    path = _folder(spark, "series")
+    IO.write_series(t, path, sort=("l_orderkey", "l_linenumber", "l_shipdate"))
+    return spark.read.schema(t.schema).parquet(path).drop("l_shipdate")
 
 
 def q_union_sites(spark, d):
@@ -122,8 +167,12 @@ def q_active_sites(spark, d):
 
 
 def q_table_profile(spark, d):
-    names = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events"]
-    return IO.table_profile({n: B.table(spark, d, n) for n in names})
+    """Rows and columns of every table."""
+    return q_table_bytes(spark, d).drop("bytes")
+
+
+def q_table_bytes(spark, d):
+    return IO.table_profile({n: B.table(spark, d, n) for n in TABLES})
 
 
 def q_tariff_history(spark, d):
@@ -166,7 +215,7 @@ def q_release_customers(spark, d):
 
 def q_release_payments(spark, d):
     """Payments through the release spec (pseudonymise, clean dates/processor)."""
-    p = R.release_table(B.payments(spark, d), "paymentconfirmations", SALT, 1997)
+    p = R.release_table(B.payments(spark, d, located=False), "paymentconfirmations", SALT, 1997)
     return p.select("id", "customerAccountNumber", "paymentProcessor", "transactionDatetime")
 
 
@@ -184,6 +233,10 @@ QUERIES = {
     "drop_test_sites": q_drop_test_sites,
     "exclude_sites": q_exclude_sites,
     "exclude_uuid_sites": q_exclude_uuid_sites,
+    "uuid_site_flags": q_uuid_site_flags,
+    "incremental_write_rerun": q_incremental_write_rerun,
+    "write_read_csv": q_write_read_csv,
+    "write_read_series": q_write_read_series,
     "safe_site_name": q_safe_site_name,
     "resolve_site": q_resolve_site,
     "merge_years": q_merge_years,
@@ -191,6 +244,7 @@ QUERIES = {
     "time_range_scan": q_time_range_scan,
     "active_sites": q_active_sites,
     "table_profile": q_table_profile,
+    "table_bytes": q_table_bytes,
     "tariff_history": q_tariff_history,
     "tariff_asof": q_tariff_asof,
 }
@@ -248,19 +302,28 @@ SQL = {
         transactionDatetime, {rs('amount', 2)} AS amount FROM payments
         WHERE transactionDatetime IS NOT NULL AND year(transactionDatetime) >= 1997"""),
     "bad_date_payments": with_(["payments"], """SELECT id, customerAccountNumber, transactionDatetime
-        FROM payments WHERE year(transactionDatetime) < 1996 ORDER BY transactionDatetime, id LIMIT 20"""),
+        FROM payments WHERE transactionDatetime IS NULL OR year(transactionDatetime) < 1996
+        ORDER BY transactionDatetime NULLS FIRST, id LIMIT 20"""),
     "drop_test_sites": with_(["stations"], f"""SELECT meteringSiteId, {rs('lat', 4)} AS lat, {rs('long', 4)} AS long
         FROM stations WHERE lat IS DISTINCT FROM 0 OR long IS DISTINCT FROM 0"""),
     "exclude_sites": with_(["stations"], """SELECT meteringSiteId, projectName FROM stations
         WHERE NOT coalesce(projectName IN ('NATION_3', 'NATION_4'), false)"""),
-    "exclude_uuid_sites": with_(["stations"], """SELECT site_file,
+    "exclude_uuid_sites": with_(["stations"], """SELECT site_file FROM stations
+        WHERE NOT coalesce(regexp_matches(site_file, '^[0-9a-f]{8}-'), false)
+          AND NOT coalesce(length(site_file) = 36 AND length(site_file) - length(replace(site_file, '-', '')) = 4, false)"""),
+    "incremental_write_rerun": f"""SELECT o_orderkey, {rs('o_totalprice', 2)} AS o_totalprice,
+        CASE WHEN o_orderkey % 3 > 0 THEN 'site ' || (o_orderkey % 3) END AS site_name, year(o_orderdate)::INTEGER AS year FROM orders""",
+    "write_read_csv": f"SELECT c_custkey, c_name, {rs('c_acctbal', 2)} AS c_acctbal FROM customer",
+    "write_read_series": f"""SELECT l_orderkey, l_linenumber, {rs('l_quantity', 2)} AS l_quantity, l_returnflag AS site_name FROM lineitem""",
+    "uuid_site_flags": with_(["stations"], """SELECT site_file,
         coalesce(regexp_matches(site_file, '^[0-9a-f]{8}-'), false) AS uuid_prefix,
         coalesce(length(site_file) = 36 AND length(site_file) - length(replace(site_file, '-', '')) = 4, false)
           AS uuid_shape FROM stations"""),
     "safe_site_name": with_(["stations"], """SELECT meteringSiteId,
         replace(replace(meteringBaseStation, '/', '-'), ' ', '_') AS safe_name FROM stations"""),
     "resolve_site": with_(["stations", "readings_with_site"], "SELECT row_id, site, site_name FROM rs", _LOOKUP),
-    "merge_years": f"""SELECT o_orderkey, {rs('o_totalprice', 2)} AS o_totalprice, o_orderdate FROM orders""",
+    "merge_years": f"""SELECT o_orderkey, {rs('o_totalprice', 2)} AS o_totalprice, o_orderdate,
+        CASE WHEN year(o_orderdate) > 1997 THEN o_orderstatus END AS o_orderstatus FROM orders""",
     "union_sites": f"""SELECT 'customer' AS source, c_custkey AS key, c_nationkey AS nationkey,
         {rs('c_acctbal', 2)} AS acctbal, c_mktsegment FROM customer UNION ALL
         SELECT 'supplier', s_suppkey, s_nationkey, {rs('s_acctbal', 2)}, NULL FROM supplier""",
@@ -284,3 +347,8 @@ SQL = {
                         WHERE rn = 1) t
         ON l.station = t.station AND l.ts >= t.startingDatetime"""),
 }
+
+SQL["table_profile"] = " UNION ALL ".join(
+    f"""SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS n_rows, c.n_columns, c.columns FROM (
+        SELECT count(*)::INTEGER AS n_columns, string_agg(column_name, ',' ORDER BY ordinal_position) AS columns
+        FROM information_schema.columns WHERE table_name = '{n}') c""" for n in TABLES)

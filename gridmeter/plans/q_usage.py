@@ -149,13 +149,13 @@ def q_slope_ttest(spark, d):
 
 def q_slope_ttest_pvalue(spark, d):
     t = S.one_sample_t(_rslopes(spark, d), "slope", ["country"])
-    return t.select("country", "n", "t", S.t_pvalue("t", "dof").alias("p"))
+    return t.select("country", "n", r_("t", 6).alias("t"), r_(S.t_pvalue("t", "dof"), 6).alias("p"))
 
 
 def q_site_medians(spark, d):
     a = _arpu(spark, d)
-    g = a.groupBy("country", "projectName").agg(F.percentile("arpu", 0.5).alias("median_arpu"),
-                                                F.count(F.lit(1)).alias("n"))
+    g = S.exact_quantiles(a, "arpu", ["country", "projectName"], [0.5], extra_aggs=[F.count(F.lit(1)).alias("n")])
+    g = g.withColumnRenamed("q0", "median_arpu")
     # sites ordered by their median within each country (O3)
     return (g.select("country", "projectName", r_("median_arpu", 4).alias("median_arpu"), "n")
              .orderBy("country", "median_arpu", "projectName"))
@@ -355,8 +355,8 @@ def _qhist_sql(src="arpu", val="arpu", exclude_unknown=True):
 
     def edge(i):
         return (f"(CASE WHEN ({i}) <= 0 THEN lo WHEN ({i}) >= {bins} THEN hi "
-                f"ELSE pow(10.0, CAST({i} AS DOUBLE) * {step} + {a}) END)")
-    i0 = f"CAST(floor((log10({val}) - {a}) / {step}) AS BIGINT)"
+                f"ELSE least(greatest(pow(10.0, CAST({i} AS DOUBLE) * {step} + {a}), lo), hi) END)")
+    i0 = f"CAST(floor((log10({val}) - {a}) / nullif({step}, 0)) AS BIGINT)"
     i1 = f"(CASE WHEN {val} < {edge(i0)} THEN {i0} - 1 WHEN {val} >= {edge(i0 + ' + 1')} THEN {i0} + 1 ELSE {i0} END)"
     binc = (f"(CASE WHEN {val} >= lo AND {val} <= hi THEN CAST(CASE WHEN {val} = hi THEN {bins - 1} "
             f"ELSE least(greatest({i1}, 0), {bins - 1}) END AS INTEGER) END)")
@@ -365,7 +365,7 @@ def _qhist_sql(src="arpu", val="arpu", exclude_unknown=True):
         "hd": f"SELECT * FROM {src} WHERE {val} IS NOT NULL" + (" AND cust_class <> 'Unknown'" if exclude_unknown else ""),
         "hq": f"""SELECT country, greatest(quantile_cont({val}, 0.01), 0.001) AS lo,
                  quantile_cont({val}, 0.99) AS hi FROM hd GROUP BY country""",
-        "hq2": "SELECT * FROM hq WHERE hi > lo",
+        "hq2": "SELECT country, lo, greatest(lo, hi) AS hi FROM hq",
         "hj": f"SELECT hd.*, hq2.lo, hq2.hi, {binc} AS bin_i FROM hd JOIN hq2 USING (country)",
         "hs": f"""SELECT country, cust_class, avg({val}) AS class_mean, count({val}) AS n_class,
                  count(bin_i) AS n_in_range FROM hj GROUP BY ALL""",
@@ -377,12 +377,12 @@ def _qhist_sql(src="arpu", val="arpu", exclude_unknown=True):
     }
     body = f"""SELECT country, cust_class, bin_i AS "bin", {rs('edge_lo', 4)} AS edge_lo, {rs('edge_hi', 4)} AS edge_hi,
         CAST(count AS BIGINT) AS count,
-        {rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 10)} AS density,
+        {rs('CASE WHEN n_in_range > 0 THEN count / nullif(n_in_range * (edge_hi - edge_lo), 0) END', 10)} AS density,
         {rs('class_mean', 4)} AS class_mean, n_class FROM ho"""
     return body, extra
 
 
-def _slope_hist_sql(src="rs"):
+def _slope_hist_sql(src="rs", digits=4):
     from ..operators.stats import sql_bin_index
     clipped = "least(greatest(slope, lo), hi)"
     extra = {
@@ -391,8 +391,11 @@ def _slope_hist_sql(src="rs"):
         "sb": f"""SELECT country, lo, hi, CASE WHEN hi > lo THEN {sql_bin_index(clipped, 'lo', 'hi', 60)} ELSE 0 END AS bin_i
                   FROM sd JOIN sq USING (country)""",
     }
-    body = f"""SELECT country, bin_i AS "bin", {rs('CAST(bin_i AS DOUBLE) * ((first(hi) - first(lo)) / 60.0) + first(lo)', 4)} AS edge_lo,
-        count(*) AS count FROM sb GROUP BY country, bin_i"""
+    edge = "CAST(s.bin_i AS DOUBLE) * ((hi - lo) / 60.0) + lo"
+    body = f"""SELECT s.country, s.bin_i AS "bin", {rs(edge, digits)} AS edge_lo, coalesce(c.n, 0) AS count
+        FROM (SELECT sq.*, CAST(unnest(range(60)) AS INTEGER) AS bin_i FROM sq) s
+        LEFT JOIN (SELECT country, bin_i, count(*) AS n FROM sb GROUP BY country, bin_i) c
+        ON c.country IS NOT DISTINCT FROM s.country AND c.bin_i = s.bin_i"""
     return body, extra
 
 
@@ -456,6 +459,9 @@ def _build_sql():
         {rs('avg(slope) / (stddev_samp(slope) / sqrt(count(slope)))', 6)} AS t,
         CAST(count(slope) - 1 AS BIGINT) AS dof FROM rs WHERE slope IS NOT NULL GROUP BY country""",
                               _R2 + ["rs"])
+    sql["slope_ttest_pvalue"] = _sql(f"""SELECT country, n, {rs('t', 6)} AS t, {rs(S.sql_t_pvalue('t', 'dof'), 6)} AS p FROM (
+        SELECT country, count(slope) AS n, avg(slope) / (stddev_samp(slope) / sqrt(count(slope))) AS t,
+        CAST(count(slope) - 1 AS DOUBLE) AS dof FROM rs WHERE slope IS NOT NULL GROUP BY country)""", _R2 + ["rs"])
     sql["site_medians"] = _sql(f"""SELECT country, projectName, {rs('quantile_cont(arpu, 0.5)', 4)} AS median_arpu,
         count(*) AS n FROM arpu GROUP BY country, projectName""", _R)
     pc = ", ".join(f"{rs(f'quantile_cont(acpu, {p})', 1)} AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.95))
@@ -500,8 +506,8 @@ def _build_sql():
                             _summary_sql("arpu", "customerAccountNumber", "total_revenue", "arpu"), exu)
     # consumption / revenue mirrors of the statistics above
     body, extra = _qhist_sql("acpu", "acpu", exclude_unknown=False)
-    body = body.replace(f"{rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 10)}",
-                        f"{rs('CASE WHEN n_in_range > 0 THEN count / (n_in_range * (edge_hi - edge_lo)) END', 12)}")
+    body = body.replace(f"{rs('CASE WHEN n_in_range > 0 THEN count / nullif(n_in_range * (edge_hi - edge_lo), 0) END', 10)}",
+                        f"{rs('CASE WHEN n_in_range > 0 THEN count / nullif(n_in_range * (edge_hi - edge_lo), 0) END', 12)}")
     ex = {k: st[k] for k in _C}
     ex.update(extra)
     sql["acpu_log_histogram"] = with_(["clean_long", "site_map"], body, ex)
@@ -511,9 +517,7 @@ def _build_sql():
         {rs('q1', 4)} AS q1, {rs('median', 4)} AS median, {rs('q3', 4)} AS q3,
         {rs('whisker_lo', 4)} AS whisker_lo, {rs('whisker_hi', 4)} AS whisker_hi, n_outliers
         FROM bq JOIN bw USING (country, projectName)""", ex)
-    body, extra = _slope_hist_sql("cs")
-    body = body.replace(f"{rs('CAST(bin_i AS DOUBLE) * ((first(hi) - first(lo)) / 60.0) + first(lo)', 4)}",
-                        f"{rs('CAST(bin_i AS DOUBLE) * ((first(hi) - first(lo)) / 60.0) + first(lo)', 6)}")
+    body, extra = _slope_hist_sql("cs", 6)
     ex = {k: st[k] for k in _C2 + ["cs"]}
     ex.update(extra)
     sql["consumption_slope_histogram"] = with_(["clean_long", "site_map"], body, ex)

@@ -73,7 +73,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, columns and file bytes per table (SRC8, SRC9).
+    """Rows, columns (number and list) and file bytes per table (SRC8, SRC9).
 
     File bytes are summed over the distinct files of the scan (from the
     ``_metadata`` column); the row count reads no data columns.
@@ -85,7 +85,8 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
                       .groupBy("f", "s").agg(F.count(F.lit(1)).alias("n")))
         parts.append(per_file.agg(F.sum("n").alias("n_rows"), F.sum("s").alias("bytes"))
                              .select(F.lit(name).alias("table_name"), "n_rows", "bytes",
-                                     F.lit(len(df.columns)).alias("n_columns")))
+                                     F.lit(len(df.columns)).alias("n_columns"),
+                                     F.lit(",".join(df.columns)).alias("columns")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -101,36 +102,30 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", dry_run
     return None
 
 
-def _cluster(df: DataFrame, keys, files_per_key: int) -> DataFrame:
-    """Cluster rows by the partition keys plus a deterministic salt, so a
-    hot key is written by ``files_per_key`` tasks instead of one (and a
-    retried task sees exactly the same rows)."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_key))
-    return df.repartition(*[F.col(k) for k in keys], salt)
-
-
 def write_partitioned(df: DataFrame, path: str, keys=("site_name", "year"), mode: str = "overwrite",
-                      dry_run: bool = False, files_per_key: int = 8):
+                      dry_run: bool = False):
     """Parquet routed by keys into ``key=value`` folders (SNK2, SNK3).
 
-    A ``dynamic`` partition overwrite only replaces the partitions present.
+    Rows are rebalanced by the keys: AQE splits a large key into as many tasks
+    as its bytes need and joins small ones.  A ``dynamic`` partition overwrite
+    only replaces the partitions present.
     """
     keys = list(keys)
     if dry_run:
         return df.count()
-    (_cluster(df, keys, files_per_key).write.mode(mode)
+    (df.hint("rebalance", *keys).write.mode(mode)
        .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
     return None
 
 
 def write_series(df: DataFrame, path: str, keys=("site_name",),
-                 sort=("meter_customer_code", "meter_type", "slot_start"), mode: str = "overwrite",
-                 files_per_key: int = 8):
-    """Clean series per site (SNK3): partitioned by the site, rows of a meter
-    kept together and in time order inside each file (good compression and
-    row-group pruning by meter and time)."""
+                 sort=("meter_customer_code", "meter_type", "slot_start"), mode: str = "overwrite"):
+    """Clean series per site (SNK3): partitioned by the site; a meter's rows of a
+    month lie in one file, in time order (good compression and row-group
+    pruning by meter and time), and a large site spreads over meters and months."""
     keys = list(keys)
-    (_cluster(df, keys, files_per_key).sortWithinPartitions(*keys, *sort)
+    *meter, ts = sort
+    (df.repartition(*keys, *meter, F.trunc(ts, "month")).sortWithinPartitions(*keys, *sort)
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
@@ -139,21 +134,44 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite"):
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def incremental_write(df: DataFrame, path: str, keys, overwrite: bool = False,
-                      dry_run: bool = False, files_per_key: int = 8):
+def written_partitions(spark: SparkSession, path: str, keys) -> list[tuple] | None:
+    """Key values (as text, None for NULL) of the ``key=value`` folders under
+    ``path``, from the file listing; None where ``path`` does not exist.  Errors
+    of the store are not taken for an empty table."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return None
+    plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    level = [(top, ())]
+    for k in keys:
+        below = []
+        for folder, values in level:
+            for s in fs.listStatus(folder):
+                name = s.getPath().getName()
+                if s.isDirectory() and name.startswith(f"{k}="):
+                    v = name[len(k) + 1:]
+                    below.append((s.getPath(), (*values, None if v == "__HIVE_DEFAULT_PARTITION__" else plain(v))))
+        level = below
+    return [v for _, v in level]
+
+
+def incremental_write(df: DataFrame, path: str, keys, overwrite: bool = False, dry_run: bool = False):
     """Resumable write (SNK5): partitions whose keys already exist under
-    ``path`` are skipped (left-anti join on the written keys) unless
-    ``overwrite``; new partitions are appended."""
+    ``path``, NULL keys included, are skipped unless ``overwrite``; new
+    partitions are appended."""
     keys = list(keys)
     spark = df.sparkSession
     if overwrite:
-        return write_partitioned(df, path, keys, "overwrite", dry_run, files_per_key)
-    try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-        todo = df.join(done, keys, "left_anti")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        todo = df
+        return write_partitioned(df, path, keys, "overwrite", dry_run)
+    done = written_partitions(spark, path, keys)
+    todo = df
+    if done:
+        d = spark.createDataFrame(done, ", ".join(f"_w{i} string" for i in range(len(keys))))
+        same = [F.col(k).cast("string").eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)]
+        todo = df.join(d, same, "left_anti")
     if dry_run:
         return todo.count()
-    _cluster(todo, keys, files_per_key).write.mode("append").partitionBy(*keys).parquet(path)
+    todo.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)
     return None

@@ -1,11 +1,16 @@
 """Structured Streaming ingest of heartbeat files.
 
-``ingest_stream``: new Parquet files of a folder -> drop duplicate heartbeat
-ids within the watermark -> append to a Parquet table.  ``daily_usage_stream``:
-a watermarked tumbling-window aggregate written with ``foreachBatch`` as
-per-batch upserts (latest version of each window wins).  Both run with
-``trigger(availableNow=True)`` so they process what is there and stop;
-checkpoints live under the shared ``spark.checkpoint.dir``.
+Site files arrive in any order of time (a backfill brings 2025 before 2018), so
+nothing is dropped for being late.  Each micro-batch is written with
+``foreachBatch`` into a folder of its own batch id, overwritten if the batch runs
+again, so every file counts once whatever the trigger takes:
+
+- ``ingest_stream`` drops duplicate heartbeat ids inside the batch and against what
+  earlier batches wrote for the same dates (only those partitions are read);
+- ``daily_usage_stream`` writes partial sums per window, added up when read.
+
+Both run with ``trigger(availableNow=True)``; output and checkpoints live under the
+shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -31,40 +36,58 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
     return r.parquet(folder)
 
 
+def _run(stream: DataFrame, write, out: str) -> None:
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", out + "-ckpt")
+               .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def ingest_stream(spark: SparkSession, stream: DataFrame, id_col: str, ts_col: str,
-                  watermark: str = "1 day", out: str | None = None) -> DataFrame:
-    """Deduplicate by id within the watermark and append to Parquet; returns
-    the written table."""
+                  out: str | None = None) -> DataFrame:
+    """Deduplicate by id and append to Parquet; returns the written table.
+
+    Copies of a heartbeat carry the same timestamp, so they meet in one date.
+    """
     out = out or _scratch(spark, "ingest")
-    d = stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col])
-    q = (d.writeStream.format("parquet").option("path", out)
-          .option("checkpointLocation", out + "-ckpt").outputMode("append")
-          .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    names = stream.columns
+
+    def write(batch: DataFrame, batch_id: int):
+        b = batch.dropDuplicates([id_col]).withColumn("_date", F.to_date(ts_col))
+        if _exists(spark, out):
+            s = batch.sparkSession
+            seen = s.read.option("basePath", out).parquet(out).where(F.col("_batch") < batch_id)
+            dates = b.select("_date").distinct().withColumnRenamed("_date", "_d")
+            seen = seen.join(dates, F.col("_date").eqNullSafe(F.col("_d")), "left_semi").select(F.col(id_col).alias("_seen"))
+            b = b.join(seen, b[id_col] == seen["_seen"], "left_anti")
+        b.write.mode("overwrite").partitionBy("_date").parquet(f"{out}/_batch={batch_id}")
+
+    _run(stream, write, out)
+    # a stream without files has written nothing
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_date", T.DateType())])
+    if not _exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(schema).option("basePath", out).parquet(out).select(*names)
 
 
 def daily_usage_stream(spark: SparkSession, stream: DataFrame, key: str, ts_col: str, value: str,
-                       window: str = "1 day", watermark: str = "2 days",
-                       out: str | None = None) -> DataFrame:
-    """Sum and count of ``value`` per key and tumbling window; late rows beyond
-    the watermark are dropped by the engine.  Updated windows of each
-    micro-batch are appended with their batch id; the result keeps the
-    latest version of every window."""
+                       window: str = "1 day", out: str | None = None) -> DataFrame:
+    """Sum and count of ``value`` per key and tumbling window over all rows of the stream."""
     out = out or _scratch(spark, "usage")
-    agg = (stream.withWatermark(ts_col, watermark)
-                 .groupBy(F.col(key), F.window(ts_col, window).alias("w"))
-                 .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n")))
 
-    def upsert(batch: DataFrame, batch_id: int):
-        (batch.select(key, F.col("w.start").alias("window_start"), "total", "n",
-                      F.lit(batch_id).alias("_batch"))
-              .write.mode("append").parquet(out))
+    def write(batch: DataFrame, batch_id: int):
+        (batch.groupBy(F.col(key), F.window(ts_col, window).alias("w"))
+              .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+              .select(key, F.col("w.start").alias("window_start"), "total", "n")
+              .write.mode("overwrite").parquet(f"{out}/_batch={batch_id}"))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
-            .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    t = spark.read.parquet(out)
-    # one version per (key, window, batch), so each field's max_by picks the same row
-    return t.groupBy(key, "window_start").agg(F.max_by("total", "_batch").alias("total"),
-                                              F.max_by("n", "_batch").alias("n"))
+    _run(stream, write, out)
+    if not _exists(spark, out):
+        kind = dict(stream.dtypes)[key]
+        return spark.createDataFrame([], f"`{key}` {kind}, window_start timestamp, total double, n bigint")
+    t = spark.read.option("basePath", out).parquet(out)
+    return t.groupBy(key, "window_start").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

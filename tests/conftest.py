@@ -15,7 +15,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     from gridmeter.session import prepare
-    s = (SparkSession.builder.master("local[*]")
+    s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")

@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from gridmeter.plans import catalog as E
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,21 +34,13 @@ def test_no_python_udf_in_core_plans(spark, name):
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
 
 
-def test_pvalue_udf_runs_after_aggregation(spark):
-    p = _formatted(E.queries()["slope_ttest_pvalue"](spark, SF))
-    tree = p.split("\n\n")[0]
-    # the Arrow UDF sits above the final aggregate (one row per country)
-    assert tree.index("ArrowEvalPython") < tree.index("HashAggregate")
-
-
 def test_monthly_consumption_partial_aggregation(spark):
     p = _plan(E.queries()["monthly_consumption"](spark, SF))
     # map-side partial aggregate before the shuffle, final after it
     assert p.count("HashAggregate") >= 2
 
 
-PY_OPS = {"slope_ttest_pvalue": "ArrowEvalPython", "tenure_lowess": "FlatMapGroupsInPandas",
-          "revenue_tenure_lowess": "FlatMapGroupsInPandas"}
+PY_OPS = {"tenure_lowess": "FlatMapGroupsInPandas", "revenue_tenure_lowess": "FlatMapGroupsInPandas"}
 
 
 def test_no_sort_aggregates_cross_joins_or_stray_python(spark):
@@ -81,3 +73,13 @@ def test_cleaning_windows_are_per_meter_day(spark):
     for spec in by_time:
         partition = spec.split("heartbeatStart")[0]
         assert "_b#" in partition, spec
+
+
+def test_orders_are_scanned_once_for_tenure(spark):
+    p = _plan(E.queries()["revenue_slopes"](spark, "/root/testdata/sf0.001"))
+    assert p.count("FileScan parquet [o_") == 1
+
+
+def test_no_pairs_in_asof_joins(spark):
+    p = _plan(E.queries()["tariff_asof"](spark, "/root/testdata/sf0.001"))
+    assert "NestedLoop" not in p and "Generate" not in p

@@ -29,17 +29,18 @@ def test_hi2_pf_edges_match_numpy(spark):
     assert (got == expect).all()
 
 
-def test_t_test_vector():
+def test_t_test_vector(spark):
     # slopes 1, 2, 3: n=3, mean 2, t=3.4641, df 2, p=0.0742
     t = 2 / (1 / np.sqrt(3))
     assert round(t, 4) == 3.4641
-    assert round(S.t_two_sided_p(t, 2), 4) == 0.0742
-    # df=2 closed form: p = 1 - t/sqrt(2+t^2)
-    for tv in (0.3, 1.7, 5.0):
-        assert abs(S.t_two_sided_p(tv, 2) - (1 - tv / np.sqrt(2 + tv * tv))) < 1e-12
+    # df=2 closed form: p = 1 - t/sqrt(2+t^2); df=1: p = 1 - 2 atan(t)/pi
+    rows = [(tv, 2) for tv in (0.0, 0.3, 1.7, 5.0, float(t))] + [(-1.0, 1), (3.0, 1), (1.9599639845400545, 10_000_000), (None, 3)]
+    got = [r.p for r in spark.createDataFrame(rows, "t double, dof bigint").select(S.t_pvalue("t", "dof").alias("p")).collect()]
+    want = [1 - tv / np.sqrt(2 + tv * tv) for tv, _ in rows[:5]] + [1 - 2 * np.arctan(x) / np.pi for x in (1.0, 3.0)] + [0.05]
+    assert got[:8] == pytest.approx(want, abs=1e-7) and got[8] is None
 
 
-def test_t_pvalue_udf(spark):
+def test_t_pvalue_of_slopes(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0)], "g string, s double")
     r = S.one_sample_t(df, "s", ["g"]).select(S.t_pvalue("t", "dof").alias("p"), "n", "t").collect()[0]
     assert r.n == 3 and round(r.t, 4) == 3.4641 and round(r.p, 4) == 0.0742
@@ -122,23 +123,37 @@ def test_histogram_dense_total(spark):
     assert sum(r["count"] for r in h) == len(inside)
 
 
-@pytest.mark.parametrize("accuracy", [100, 10000])
-def test_exact_quantiles_equal_percentile(spark, accuracy):
-    """Bracketed exact quantiles equal Spark's map-based percentile, also when
-    the groups are larger than the bracket threshold (accuracy 100)."""
+def test_log_histogram_keeps_a_constant_group(spark):
+    df = spark.createDataFrame([("c", "A", 5.0), ("c", "A", 5.0), (None, "A", 1.0), (None, "A", 2.0)], "country string, cls string, x double")
+    h = S.log_histogram(df, "x", "country", "cls").collect()
+    c = [r for r in h if r.country == "c"]
+    assert len(c) == 49 and sum(r["count"] for r in c) == 2 and {r.density for r in c} <= {None, 0.0}
+    assert len([r for r in h if r.country is None]) == 49
+
+
+def test_clipped_histogram_is_dense(spark):
+    df = spark.createDataFrame([("c", float(i)) for i in (1, 2, 100)] + [("d", 7.0)], "country string, x double")
+    h = S.clipped_histogram(df, "x", "country", 60).collect()
+    assert len(h) == 120 and sum(r["count"] for r in h) == 4
+
+
+@pytest.mark.parametrize("buckets", [4, 256])
+def test_exact_quantiles_equal_percentile(spark, buckets):
+    """Also where 60 % of a group are one value, and for a NULL group."""
     rng = np.random.default_rng(1)
     rows = [("a", float(v)) for v in rng.exponential(2.0, 30000)] + \
-        [("b", float(v)) for v in rng.integers(0, 5, 200)] + [("c", 1.0)]
+        [("b", float(v)) for v in rng.integers(0, 5, 200)] + [("c", 1.0)] + \
+        [("t", 0.0)] * 6000 + [("t", float(v)) for v in rng.normal(0, 1, 4000)] + [(None, 1.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: (r.q0, r.q1, r.q2) for r in S.exact_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], accuracy).collect()}
+    got = {r.g: (r.q0, r.q1, r.q2) for r in S.exact_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], buckets=buckets).collect()}
     ref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("p")).collect()}
     assert got.keys() == ref.keys()
     for g in ref:
         assert got[g] == pytest.approx(ref[g], abs=1e-12)
 
 
-@pytest.mark.parametrize("n", [2001, 2500, 7000])
-def test_exact_quantiles_just_above_small_n(spark, n):
+@pytest.mark.parametrize("n", [2, 2001, 7000])
+def test_exact_quantiles_with_ties(spark, n):
     rng = np.random.default_rng(n)
     vals = np.round(rng.normal(0, 1, n), 3)          # many ties
     df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, x double")
