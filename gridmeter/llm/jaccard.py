@@ -5,9 +5,12 @@ one node.  Two nodes link when their Jaccard similarity reaches the threshold; t
 result is the class (connected component) of each document.
 
 1.  Sets whose similarity reaches t differ in at most D elements.  Elements are dealt
-    into D + 1 parts by a hash, so two linked sets agree in a whole part.  A part's
-    signature is a key; keys of one set only go.  What is left are stars (set,
-    smallest set of the key), and their components hold every possible link.
+    into D + 1 + E parts by a hash, so two linked sets agree in E + 1 parts.  A part's
+    signature is a key; empty parts give none, unless a set has over E of them.
+    Shingles that a sample shows to be frequent are left out of the parts of all
+    sets, which leaves no link out and keeps passages that many documents share from
+    making candidates.  Nodes that share a key form stars, and the components of the
+    stars hold every possible link.
 2.  A component's sets are worked on together: shingles are hashed into groups, the
     counts of a set's groups are a point, and an R-tree is built over the points,
     packed by size and by the groups that vary most.  A node keeps the largest count
@@ -21,8 +24,8 @@ result is the class (connected component) of each document.
     cannot change a class.  So a large group of near copies costs time in proportion
     to its size, and no task holds it whole.
 
-Sizes, D and parts depend on the size of a set, in bands by a factor of 2; a set near
-the lower end of its band has keys of the band below, too.
+D and the number of parts go by bands of sizes, each 1.12 times the one below; a set
+has keys in the bands of all sizes that may be linked with its own.
 
 Defined results: null or empty texts have no shingles, link with nothing, and are
 their own class; a text with fewer words than ``n`` has its word sequence as one
@@ -42,13 +45,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import BATCH_CHARS, slices
 from .common import materialize, table
 from .components import components
 
 GROUPS, LEAF = 128, 16
 BLOCK, LEADERS = 3000, 256
-BAND, BUCKET_BYTES = 2.0, 8 << 20
+BAND, BUCKET_BYTES = 1.12, 8 << 20
+#: the bounded sample that frequent shingles are taken from
+SAMPLE, SAMPLE_CHARS, FREQUENT = 3000, 20_000, 4
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -132,43 +137,60 @@ class Threshold:
         """The overlap that sizes adding up to ``total`` need."""
         return -(-self.num * total // (self.num + self.den))
 
-    def differ(self, size: int) -> int:
-        """In how many elements linked sets of up to ``size`` elements differ at most."""
-        return max((t - 2 * self.need(t) for t in range(max(2, 2 * size - 2 * (self.num + self.den)), 2 * size + 1)), default=0)
+    def band(self, size: int) -> int:
+        return int(math.log(size) / math.log(BAND) + 1e-9)
 
-    def schemes(self, size: int) -> list[tuple[int, int]]:
-        """(band, parts) under which a set of this size has keys."""
-        band = int(math.log(size) / math.log(BAND) + 1e-9)
-        low = BAND ** band
-        bands = [band] + [band - 1] * (band > 0 and math.ceil(size * self.num / self.den) < low + 1)
-        # pairs are met in the band of the smaller set: the larger is at most den / num times its size
-        return [(k, self.differ(int(BAND ** (k + 1) * self.den / self.num) + 1) + 1) for k in bands]
+    def differ(self, band: int) -> int:
+        """In how many elements two linked sets differ at most, the smaller of this band."""
+        least = math.ceil(BAND ** (band + 1)) + 1
+        most = least + least * self.den // self.num
+        return max(t - 2 * self.need(t) for t in range(max(2, most - 2 * (self.num + self.den)), most + 1))
 
+    def schemes(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, parts, parts that may be empty) under which a set of this size has keys.
 
-def signature(s: np.ndarray) -> bytes:
-    return scramble(s, 1).sum(dtype=np.uint64).tobytes() + (scramble(s, 2).sum(dtype=np.uint64) + _U(len(s))).tobytes()
+        A pair is met in the band of the smaller set, so a set has keys in the
+        bands of all sizes that may be linked with its own, up to its own.
+        """
+        out = []
+        for band in range(self.band(max(1, -(-size * self.num // self.den))), self.band(size) + 1):
+            d = self.differ(band)
+            if d > 0:
+                empty = -(-6 * d // 100) + 1
+                out.append((band, d + 1 + empty, empty))
+        return out
 
 
-def part_keys(sets: list[np.ndarray], t: Threshold) -> list[bytes]:
-    """The keys of each set, as packed 64-bit integers."""
-    known: dict[int, list[tuple[int, int]]] = {}
+def signature(s: np.ndarray) -> int:
+    """64 bits that stand for the set."""
+    return int(scramble(scramble(s, 1).sum(dtype=np.uint64, keepdims=True) + _U(len(s)), 2).view(np.int64)[0])
+
+
+def part_keys(sets: list[np.ndarray], t: Threshold, frequent: np.ndarray) -> list[np.ndarray]:
+    """The keys of each set: signatures of its parts, without ``frequent`` (sorted) elements."""
+    known: dict[int, list[tuple[int, int, int]]] = {}
     out = []
     for s in sets:
         if not len(s):
-            out.append(b"")
+            out.append(np.empty(0, np.uint64))
             continue
         if len(s) not in known:
-            known[len(s)] = [x for x in t.schemes(len(s)) if x[1] > 1]
-        keys = []
-        for band, parts in known[len(s)]:
-            part = ((scramble(s, 3) >> _U(32)) % _U(parts)).astype(np.int64)
+            known[len(s)] = t.schemes(len(s))
+        schemes = known[len(s)]
+        if len(frequent):
+            s = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+        place, sign, keys = scramble(s, 3) >> _U(32), scramble(s, 4), []
+        for band, parts, empty in schemes:
+            part = (place % _U(parts)).astype(np.int64)
             o = np.argsort(part, kind="stable")
-            p, v = part[o], scramble(s, 4)[o]
+            p = part[o]
             at = np.flatnonzero(np.diff(p, prepend=-1))
             sums = np.zeros(parts, np.uint64)
-            sums[p[at]] = np.add.reduceat(v, at)
-            keys.append(scramble(sums + scramble(np.arange(parts, dtype=np.uint64) + _U(band << 32), 5), 6))
-        out.append(b"".join([k.tobytes() for k in keys]))
+            if len(at):
+                sums[p[at]] = np.add.reduceat(sign[o], at)
+            k = scramble(sums + scramble(np.arange(parts, dtype=np.uint64) + _U(band << 32), 5), 6)
+            keys.append(k[p[at]] if parts - len(at) <= empty else k)
+        out.append(np.concatenate(keys) if keys else np.empty(0, np.uint64))
     return out
 
 
@@ -239,25 +261,56 @@ def classes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, root: l
 
 
 def scanned(docs: DataFrame, t: Threshold, n: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, sig, node (64 bits of sig), seen (hash of the text), keys of every row."""
-    out = pa.schema([("doc_id", pa.int64()), ("seen", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()),
-                     ("node", pa.int64()), ("keys", pa.binary())])
+    """doc_id, n_shingles, node (the signature of its set), seen (hash of the text) of every row."""
+    out = pa.schema([("doc_id", pa.int64()), ("seen", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = shingle_sets(b.column("text"), n)
-                sig = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("seen"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()),
-                     pa.array(np.frombuffer(b"".join([x[:8] for x in sig]), np.int64)), pa.array(part_keys(sets, t), pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("seen"), pa.array([len(s) for s in sets], pa.int64()),
+                                                  pa.array([signature(s) for s in sets], pa.int64())], schema=out)
 
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("seen", F.xxhash64("text"))
-    return d.select("doc_id", "seen", "text").mapInArrow(run, "doc_id bigint, seen bigint, n_shingles bigint, sig binary, node bigint, keys binary")
+    return d.select("doc_id", "seen", "text").mapInArrow(run, "doc_id bigint, seen bigint, n_shingles bigint, node bigint")
+
 
+def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
+    """Shingles of ``FREQUENT`` documents or more of a sample: the first ``SAMPLE`` different texts by hash, of at most ``SAMPLE_CHARS``.
 
-def stars(scan: DataFrame) -> DataFrame:
-    """(u, v): each node that shares a key, and the smallest node found for the key.
+    Parts are signed without them.  Whatever is left out of both sets of a pair,
+    they differ in no more elements than before, so the sample decides how many
+    candidates there are and never which links are found.
+    """
+    d = docs.select(F.col(text_col).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    d = d.select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(SAMPLE)
+    texts = {r.h: r.text for r in d.collect()}
+    sets = [s for k in range(0, len(texts), 200) for s in shingle_sets(pa.array(list(texts.values())[k:k + 200], pa.string()), n)]
+    found, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+    return found[count >= FREQUENT]
+
+
+def contracted(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges and the smallest node that they connect it with (itself left out)."""
+    node, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        new = label.copy()
+        for k in (0, 1):
+            np.minimum.at(new, at[:, k], low)
+            np.minimum.at(new, label[at[:, k]], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    u = np.flatnonzero(label != np.arange(len(node)))
+    return node[u], node[label[u]]
+
+
+def stars(docs: DataFrame, t: Threshold, n: int, text_col: str) -> DataFrame:
+    """(u, v): nodes that share keys, each with the smallest node that its bucket connects it with.
 
     A task joins the nodes that share a key in its own batch and sends the key
     on with the smallest of them only, so a key that very many sets share costs
@@ -265,18 +318,24 @@ def stars(scan: DataFrame) -> DataFrame:
     arrays, 40 bits of each beside the bucket: keys that agree by chance add
     candidates, nothing else.
     """
-    size = scan.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    d = docs.select(F.col(text_col).cast("string").alias("text"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = -(-size // BUCKET_BYTES) or 1
+    frequent = frequent_shingles(docs, n, text_col)
     packed = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary()), ("edges", pa.binary())])
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = b.column("keys").to_pylist()
-            key = np.frombuffer(b"".join(parts), np.uint64)
+        for b in (part for whole in batches for part in slices(whole, "text", 4 * BATCH_CHARS)):
+            nodes, parts = [], []
+            for part in slices(b, "text"):
+                sets = shingle_sets(part.column("text"), n)
+                nodes += [signature(s) for s in sets]
+                parts += part_keys(sets, t, frequent)
+            key = np.concatenate(parts)
             if not len(key):
                 continue
-            node = np.repeat(b.column("node").to_numpy(), [len(k) // 8 for k in parts])
+            node = np.repeat(np.array(nodes, np.int64), [len(k) for k in parts])
             o = np.lexsort((node, key))
             key, node = key[o], node[o]
             first = np.diff(key, prepend=key[:1] + _U(1)) != 0
@@ -291,19 +350,19 @@ def stars(scan: DataFrame) -> DataFrame:
             rows = []
             for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)]):
                 k = (key[i:j] // _U(buckets)).view(np.uint8).reshape(-1, 8)[:, :5]
-                n, c = np.unique(node[i:j], return_counts=True)
-                rows.append((int(bucket[i]), k.tobytes(), n.tobytes(), c.astype(np.uint16).tobytes() if c.max() < 1 << 16 else c.astype(np.uint32).tobytes(), b""))
+                who, c = np.unique(node[i:j], return_counts=True)
+                rows.append((int(bucket[i]), k.tobytes(), who.tobytes(), c.astype(np.uint16).tobytes() if c.max() < 1 << 16 else c.astype(np.uint32).tobytes(), b""))
             rows += [(int(h), b"", b"", b"", edge[home == h].tobytes()) for h in np.unique(home)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), packed)], schema=packed)
 
-    def meet(t: pa.Table) -> pa.Table:
+    def meet(rows: pa.Table) -> pa.Table:
         keys, nodes, edges = [], [], [np.empty((0, 2), np.int64)]
-        for k, n, c, e in zip(*(t[x].to_pylist() for x in ("keys", "nodes", "counts", "edges"))):
-            n = np.frombuffer(n, np.int64)
+        for k, who, c, e in zip(*(rows[x].to_pylist() for x in ("keys", "nodes", "counts", "edges"))):
+            who = np.frombuffer(who, np.int64)
             wide = np.zeros((len(k) // 5, 8), np.uint8)
             wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
             keys.append(wide.view(np.uint64).ravel())
-            nodes.append(np.repeat(n, np.frombuffer(c, np.uint16 if len(c) == 2 * len(n) else np.uint32)))
+            nodes.append(np.repeat(who, np.frombuffer(c, np.uint16 if len(c) == 2 * len(who) else np.uint32)))
             edges.append(np.frombuffer(e, np.int64).reshape(-1, 2))
         key, node = np.concatenate(keys), np.concatenate(nodes)
         o = np.lexsort((node, key))
@@ -311,10 +370,10 @@ def stars(scan: DataFrame) -> DataFrame:
         first = np.diff(key, prepend=key[:1] + _U(1)) != 0
         low = node[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else node
         edges.append(np.stack([node, low], 1)[node != low])
-        e = np.unique(np.concatenate(edges), axis=0)
-        return pa.table([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], schema=out)
+        u, v = contracted(np.concatenate(edges))
+        return pa.table([pa.array(u), pa.array(v)], schema=out)
 
-    rows = scan.select("node", "keys").mapInArrow(pack, "bucket bigint, keys binary, nodes binary, counts binary, edges binary")
+    rows = d.mapInArrow(pack, "bucket bigint, keys binary, nodes binary, counts binary, edges binary")
     return rows.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
 
 
@@ -345,7 +404,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id of every row."""
     t = Threshold(num, den)
     scan = materialize(scanned(docs, t, n, id_col, text_col), "shingles")
-    may = materialize(components(stars(scan)), "candidates")  # node, label: what may be linked
+    may = materialize(components(stars(docs, t, n, text_col)), "candidates")  # node, label: what may be linked
     many = may.groupBy("label").count()
     # one row of documents stands for each node
     stand = scan.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "seen")).alias("s"))

@@ -362,21 +362,26 @@ def test_jaccard_classes(spark, odd, monkeypatch, block, leaders):
     assert sorted(map(tuple, jaccard.jaccard_classes(df).collect()), key=order) == classes_by_force(texts(df), 3, 90, 100)
 
 
-def test_parts_keep_every_pair():
-    """Two sets at the threshold agree in a part, whatever their sizes."""
-    t = jaccard.Threshold(90, 100)
+@pytest.mark.parametrize("num", [90, 80])
+def test_parts_keep_every_pair(num):
+    """Two sets at the threshold share a key, whatever their sizes and whatever is left out of both."""
+    t = jaccard.Threshold(num, 100)
     rng = np.random.default_rng(8)
-    for size in [9, 10, 11, 19, 20, 37, 38, 57, 58, 128, 129, 700]:
-        for _ in range(20):
-            a = np.unique(rng.integers(0, 2 ** 63, size).astype(np.uint64))
-            b = a[rng.permutation(len(a))[:-(-90 * len(a) // 100)]]
-            grow = int(100 * len(b) / 90) - len(b)
-            b = np.unique(np.concatenate([b, rng.integers(0, 2 ** 63, max(0, grow - (len(a) - len(b)))).astype(np.uint64)]))
+    met = 0
+    for size in [5, 9, 10, 11, 19, 20, 37, 38, 57, 58, 64, 128, 129, 311, 700]:
+        for _ in range(40):
+            a = rng.integers(0, 2 ** 63, size).astype(np.uint64)
+            lost = int(rng.integers(0, size // 5 + 1))
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2 ** 63, int(rng.integers(0, size // 4 + 1))).astype(np.uint64)]))
+            a = np.unique(a)
             both = len(np.intersect1d(a, b))
-            if 100 * both < 90 * (len(a) + len(b) - both) or len(a) == len(b) == both:
+            if 100 * both < num * (len(a) + len(b) - both) or len(a) == len(b) == both:
                 continue
-            x, y = (set(np.frombuffer(k, np.int64)) for k in jaccard.part_keys([a, b], t))
-            assert x & y
+            met += 1
+            for frequent in (np.empty(0, np.uint64), np.sort(a[::2]), np.sort(np.concatenate([a, b]))):
+                x, y = (set(k.tolist()) for k in jaccard.part_keys([a, b], t, np.unique(frequent)))
+                assert x & y
+    assert met > 50
 
 
 # ---------------------------------------------------------------- all
