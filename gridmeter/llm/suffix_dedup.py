@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 LENGTH, MINIMIZER = 50, 16
-BLOCK_BYTES, BUCKET_BYTES, SLICE = 16 << 20, 4 << 20, 1 << 17
+BLOCK_BYTES, BUCKET_BYTES, SLICE = 12 << 20, 4 << 20, 1 << 17
 HOT = 100_000
 
 _U = np.uint64
@@ -80,6 +80,16 @@ def rolling(b: np.ndarray, size: int) -> np.ndarray:
         known *= 2
 
 
+def hashes_at(b: np.ndarray, at: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """The hashes of the ``size`` bytes from each place in ``at`` (ascending) on, slice by slice."""
+    out = np.empty(len(at), np.uint64)
+    for a in range(0, len(b) - size + 1, stride):
+        i, j = np.searchsorted(at, (a, a + stride))
+        if i < j:
+            out[i:j] = rolling(b[a:a + stride + size - 1], size)[at[i:j] - a]
+    return out
+
+
 class Block:
     """The texts of one block, one after the other, in the order of their ids."""
 
@@ -138,11 +148,9 @@ class Pieces:
     def __init__(self, block: Block, length: int, m: int, buckets: int, stride: int = SLICE):
         self.block, self.length, self.m, self.buckets = block, length, m, buckets
         self.key, self.start, self.count = block.windows(length, m, stride)
-        b = block.bytes
         # a piece's bytes are known by the hashes of its first and last window
-        h = rolling(b, length) if len(b) >= length else np.empty(0, np.uint64)
-        self.hash = h
-        self.same = _mix(h[self.start] + h[self.start + self.count - 1] * _U(3) + self.count.astype(np.uint64)) if len(self.start) else self.key
+        self.hash = lambda at: hashes_at(block.bytes, at, length, stride)
+        self.same = _mix(self.hash(self.start) + self.hash(self.start + self.count - 1) * _U(3) + self.count.astype(np.uint64))
 
     def told(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """bucket, keys, whether in two documents, distinct pieces (up to 65535) of this block."""
@@ -170,8 +178,9 @@ class Pieces:
         single = np.repeat(self.start[cut], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.start_of = np.concatenate([self.start[whole], single])
         self.count_of = np.concatenate([self.count[whole], np.ones(len(single), np.int64)])
-        key = np.concatenate([self.key[whole], self.hash[single]])
-        same = np.concatenate([self.same[whole], _mix(self.hash[single] + _U(5))])
+        own = self.hash(single)
+        key = np.concatenate([self.key[whole], own])
+        same = np.concatenate([self.same[whole], _mix(own + _U(5))])
         bucket = self.bucket(key)
         o = np.lexsort((self.start_of, same, bucket))
         new = (np.diff(bucket[o], prepend=-1) != 0) | (np.diff(same[o], prepend=same[o][:1] + _U(1)) != 0)
