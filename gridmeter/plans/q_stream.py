@@ -83,3 +83,19 @@ SQL = {
 }
 SQL["stream_ingest_backfill"] = SQL["stream_ingest"]
 SQL["stream_daily_usage_backfill"] = SQL["stream_daily_usage"]
+
+
+def _lowess_sql(curve: str, upto: list[str], digits: int) -> str:
+    from .q_usage import _steps
+    from .sql_bindings import with_
+    body, steps = SM.sql_lowess("tc", "country", "months_since_first", "mean")
+    st = _steps()
+    return with_(["clean_long", "site_map", "payments", "customers"],
+                 f"SELECT country, months_since_first, {rs('mean', digits)} AS mean, {rs('smooth', digits)} AS smooth FROM ({body})",
+                 {**{k: st[k] for k in upto}, "tc": curve, **steps})
+
+
+SQL["tenure_lowess"] = _lowess_sql("""SELECT country, months_since_first, avg(monthly_kwh) AS mean FROM m2c
+    GROUP BY country, months_since_first HAVING count(monthly_kwh) >= 10""", ["mc", "mm", "mw", "m2c"], 4)
+SQL["revenue_tenure_lowess"] = _lowess_sql("""SELECT country, months_since_first, avg(monthly_revenue) AS mean FROM m2r
+    GROUP BY country, months_since_first HAVING count(monthly_revenue) >= 10""", ["rev", "pc", "mr", "m2r"], 2)

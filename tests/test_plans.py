@@ -40,18 +40,14 @@ def test_monthly_consumption_partial_aggregation(spark):
     assert p.count("HashAggregate") >= 2
 
 
-PY_OPS = {"tenure_lowess": "FlatMapGroupsInPandas", "revenue_tenure_lowess": "FlatMapGroupsInPandas"}
-
-
-def test_no_sort_aggregates_cross_joins_or_stray_python(spark):
+def test_no_sort_aggregates_cross_joins_or_python(spark):
     """Every registered plan: hash aggregates only (no sort-based fallback),
-    no cartesian / nested-loop joins, Python only where it is by design."""
+    no cartesian / nested-loop joins, no Python."""
     bad = {}
     for name, fn in sorted(E.queries().items()):
         p = _plan(fn(spark, "/root/testdata/sf0.001"))
         found = [k for k in ("SortAggregate", "CartesianProduct", "BroadcastNestedLoopJoin",
                              "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas") if k in p]
-        found = [k for k in found if PY_OPS.get(name) != k]
         if found:
             bad[name] = found
     assert bad == {}
