@@ -283,8 +283,11 @@ def frequent_shingles(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     candidates there are and never which links are found.
     """
     d = docs.select(F.col(text_col).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    d = d.select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(SAMPLE)
-    texts = {r.h: r.text for r in d.collect()}
+    d = d.select(F.xxhash64("text").alias("h"), "text")
+    # hashes first, so that only the sample's own texts reach the driver
+    last = d.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    some = d.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")) if last is not None else d.limit(0)
+    texts = {r.h: r.text for r in some.collect()}
     sets = [s for k in range(0, len(texts), 200) for s in shingle_sets(pa.array(list(texts.values())[k:k + 200], pa.string()), n)]
     found, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
     return found[count >= FREQUENT]
