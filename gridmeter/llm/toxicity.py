@@ -164,16 +164,26 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  rows_per_class: int = ROWS_PER_CLASS, train_chars: int = TRAIN_CHARS) -> list:
-    """The bounded sample (doc_id, text, toxic), in the order of the ids."""
+                  rows_per_class: int = ROWS_PER_CLASS, train_chars: int = TRAIN_CHARS) -> DataFrame:
+    """The bounded sample (_id, text, toxic)."""
     one = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
                  .where("_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out("_id"))
                  .groupBy("_id").agg(F.max("toxic").alias("toxic")))
     pick = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class) for k in (0, 1)]
     pick = F.broadcast(pick[0].union(pick[1]))  # at most 2 * rows_per_class rows of 12 bytes
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.where(F.length("text") <= train_chars).join(pick, "_id")
-    return sorted(d.collect(), key=lambda r: (r["_id"], r["text"]))
+    return d.where(F.length("text") <= train_chars).join(pick, "_id").select("_id", "text", "toxic")
+
+
+def trained(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and bias from the bounded sample; one task trains, in the order of the ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        weight, bias = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_pydict({"weight": pa.array([weight.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    got = sample.repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    return (np.frombuffer(bytes(got["weight"]), np.float32), got["bias"]) if got else train([], [])
 
 
 def score(docs: DataFrame, weight: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,8 +203,7 @@ def score(docs: DataFrame, weight: np.ndarray, bias: float, id_col: str = "doc_i
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; trains on the rows that are not held out."""
-    rows = training_rows(docs, labels, id_col, text_col)
-    weight, bias = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    weight, bias = trained(training_rows(docs, labels, id_col, text_col))
     s = score(docs, weight, bias, id_col, text_col)
     return s.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -202,8 +211,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` less the rows predicted as toxic; all columns as they were."""
-    rows = training_rows(docs, labels, "doc_id", text_col)
-    weight, bias = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    weight, bias = trained(training_rows(docs, labels, "doc_id", text_col))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
