@@ -111,7 +111,7 @@ def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
     last = np.searchsorted(s, end)
     h = np.zeros(len(word), np.uint64)
     for k in range(n):
-        h[:len(word) - k] += scramble(word[k:], 101 + k)
+        h[:max(0, len(word) - k)] += scramble(word[k:], 101 + k)
     h = scramble(h, n)
     out = []
     for i, j in zip(first.tolist(), last.tolist()):

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,17 @@ def test_parts_keep_every_pair(num):
     assert met > 50
 
 
+@pytest.mark.parametrize("n", [3, 5])
+def test_shingles_of_a_single_short_text(n):
+    """A call may hold fewer words than a shingle has; the sets are those of the text beside a long one."""
+    long = " ".join(f"w{i}" for i in range(40))
+    for words in range(7):
+        t = " ".join("abcdefg"[:words])
+        alone = jaccard.shingle_sets(pa.array([t]), n)
+        assert [len(s) for s in alone] == [1 if 0 < words < n else max(0, words - n + 1)]
+        assert np.array_equal(alone[0], jaccard.shingle_sets(pa.array([t, long]), n)[0])
+
+
 # ---------------------------------------------------------------- all
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
