@@ -23,6 +23,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that also tells which of them are null."""
+    return F.xxhash64(*[x for c in df.columns for x in (F.col(c), F.col(c).isNull())])
+
+
+def one_row(df: DataFrame, *keys: Column) -> DataFrame:
+    """One row of each group of equal keys, the first by a hash; no task holds a group."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, row_hash(df)).alias("_row")).select("_row.*")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared ``spark.checkpoint.dir``."""
     return f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}"

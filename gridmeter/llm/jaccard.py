@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BATCH_CHARS, slices
-from .common import materialize, table
+from .common import materialize, one_row, table
 from .components import components
 
 GROUPS, LEAF = 128, 16
@@ -405,6 +405,14 @@ def linked(rows: DataFrame, t: Threshold, n: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    rows = class_rows(docs, id_col, text_col, n, num, den)
+    least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where("n_shingles > 0").join(least, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id")).union(alone)
+
+
+def class_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, seen (hash of the text), n_shingles, node (the same for all rows of a class that have shingles), written."""
     t = Threshold(num, den)
     scan = materialize(scanned(docs, t, n, id_col, text_col), "shingles")
     may = materialize(components(stars(docs, t, n, text_col)), "candidates")  # node, label: what may be linked
@@ -425,11 +433,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         done = done.unionByName(large_classes(materialize(large, "large"), t, n))
     done = materialize(done.distinct(), "classes")
-    ids = (scan.join(done, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("node")))
-    ids = materialize(ids, "nodes")
-    least = ids.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    alone = ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return ids.where("n_shingles > 0").join(least, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id")).union(alone)
+    ids = scan.join(done, "node", "left").select("doc_id", "seen", "n_shingles", F.coalesce("root", "node").alias("node"))
+    return materialize(ids, "nodes")
 
 
 def large_classes(large: DataFrame, t: Threshold, n: int) -> DataFrame:
@@ -463,10 +468,22 @@ def large_classes(large: DataFrame, t: Threshold, n: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the row of the smallest id of each class; all columns as they were."""
-    c = jaccard_classes(docs, id_col, text_col, n, num, den)
-    gone = c.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with one row of each class; all columns as they were.
+
+    The row of the smallest id stays (null last, then by a hash of the text); rows
+    are told apart by id and text, and of rows equal in both one stays.
+    """
+    rows = class_rows(docs, id_col, text_col, n, num, den).where("n_shingles > 0")
+    mine = F.struct(F.col("doc_id").isNull(), "doc_id", "seen")
+    first = rows.groupBy("node").agg(F.min(mine).alias("_first"))
+    gone = rows.join(first, "node").where(mine != F.col("_first")).select(F.col("doc_id").alias("_id"), F.col("seen").alias("_seen")).distinct()
+    twice = rows.groupBy("doc_id", "seen").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("seen").alias("_seen"))
+    twice = materialize(twice.join(gone, twice["_id"].eqNullSafe(gone["_id"]) & (twice["_seen"] == gone["_seen"]), "left_anti"), "repeated")
+    same = lambda x: docs[id_col].cast("bigint").eqNullSafe(x["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == x["_seen"])
+    left = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, same(twice), "left_anti").union(one_row(docs.join(twice, same(twice), "left_semi"), F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))))
 
 
 def op10_jaccard(spark, sf_dir):

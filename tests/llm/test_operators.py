@@ -396,6 +396,23 @@ def test_shingles_of_a_single_short_text(n):
         assert np.array_equal(alone[0], jaccard.shingle_sets(pa.array([t, long]), n)[0])
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Only near copies go, whatever shares their id, and one row of each class stays."""
+    rng = random.Random(12)
+    t = [passage(rng, 60) for _ in range(9)]
+    rows = [(3, t[0]), (None, t[0] + " x"), (None, t[1]), (None, t[2]), (7, t[0] + " y"), (7, t[3]),  # near copies of 3 beside clean texts of the same id
+            (None, t[4]), (None, t[4] + " x"), (8, t[5]), (8, t[5] + " x"), (9, t[6]), (9, t[6]), (None, t[7]), (None, t[7]),
+            (9, t[8]), (2, t[8] + " x"), (None, ""), (None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = jaccard.one_of_each(df)
+    assert left.columns == df.columns
+    got = collections.Counter(texts(left))
+    sure = [(3, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (9, t[6]), (None, t[7]), (2, t[8] + " x"), (None, ""), (None, None), (5, "")]
+    assert all(got.pop(x, 0) == 1 for x in sure)
+    assert [got.total(), sum(i is None for i, _ in got), sum(i == 8 for i, _ in got)] == [2, 1, 1]
+    assert {x[:len(t[4])] if i is None else x[:len(t[5])] for i, x in got} == {t[4], t[5]}
+
+
 # ---------------------------------------------------------------- all
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
