@@ -20,13 +20,17 @@ repeat an id are documents of their own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table, text_of
+from .common import WORD, materialize, row_hash, table, text_of
 
 UNIT = 2 ** 28
 WEIGHTS = (3.0, 1.0, 2.0)
+#: copies of one of several equal rows that a task writes at a time
+RUN = 1000
 
 
 def hash60(c: Column) -> Column:
@@ -57,10 +61,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
                     F.coalesce(F.least("most", F.col("level") * F.col("w")), F.col("most")).alias("target"))
 
 
-def sample_copies(docs: DataFrame, goal: DataFrame, seed: str = "mix") -> DataFrame:
+def sample_copies(docs: DataFrame, goal: DataFrame, seed: str = "mix", ties: Sequence[str] = ()) -> DataFrame:
     """``docs`` (doc_id, source, size, ...) with ``source_size``, ``target`` and ``copies``.
 
-    ``goal`` has (source, source_size, target).
+    ``goal`` has (source, source_size, target).  ``ties``: columns that order rows of one id.
     """
     g = goal.withColumn("_e", F.coalesce(F.round(F.try_divide(F.col("target"), F.col("source_size")) * F.lit(UNIT)), F.lit(0.0)).cast("bigint")) \
             .withColumn("_u", F.pmod(hash60(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("?")))), F.lit(UNIT))) \
@@ -73,7 +77,7 @@ def sample_copies(docs: DataFrame, goal: DataFrame, seed: str = "mix") -> DataFr
     tot = d.groupBy(*block).agg(F.sum("_e").alias("_t"))
     earlier = Window.partitionBy("source").orderBy("_k", "_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*[F.col(c).alias("o" + c) for c in block], F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
-    upto = Window.partitionBy(*block).orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*block).orderBy("_h", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_in", F.sum("_e").over(upto))
     d = d.join(tot, d["source"].eqNullSafe(tot["osource"]) & (d["_k"] == tot["o_k"]) & (d["_b"] == tot["o_b"]))
     end = F.col("_off") + F.col("_in") + F.col("_u")
@@ -99,16 +103,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
           weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns as they were."""
     d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
-                    F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
-    lean = materialize(d.select("doc_id", "source", "size"), "sizes")
+                    F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), row_hash(docs).alias("seen"))
+    lean = materialize(d.select("doc_id", "source", "size", "seen"), "sizes")
     goal = targets(lean.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    c = sample_copies(lean, goal, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    # rows that repeat an id share its copies: the first (copies mod rows) would take one more
-    c = c.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies", "rows")
-    j = d.join(c, d["doc_id"].eqNullSafe(c["_i"]) & d["source"].eqNullSafe(c["_s"]) & (d["size"] == c["_z"]))
-    n = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    return j.select("row", F.explode(F.sequence(F.lit(1), n)).alias("_n")).select("row.*")
+    keys = ["doc_id", "source", "size", "seen"]
+    # rows that repeat an id have copies of their own; only rows equal in all columns share theirs
+    c = sample_copies(lean, goal, seed, ["size", "seen"]).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    c = c.where("copies > 0").select(*[F.col(k).alias("_" + k) for k in keys], F.floor(F.col("copies") / F.col("rows")).cast("int").alias("each"),
+                                     (F.col("copies") % F.col("rows")).alias("more"))
+    c = materialize(c, "copies")
+    same = d["doc_id"].eqNullSafe(c["_doc_id"]) & d["source"].eqNullSafe(c["_source"]) & (d["size"] == c["_size"]) & (d["seen"] == c["_seen"])
+    times = lambda j, n: j.select("row", F.explode(F.sequence(F.lit(1), n)).alias("_n")).select("row.*")
+    out = times(d.join(c.where("each > 0"), same), F.col("each"))
+    if c.where("more > 0").isEmpty():
+        return out
+    # what equal rows have beyond that: copies of one of them, in runs that are dealt to tasks
+    more = d.join(c.where("more > 0"), same).groupBy(*keys).agg(F.first("row").alias("row"), F.first("more").alias("more"))
+    more = more.select("row", "seen", F.explode(F.sequence(F.lit(0), F.col("more") - 1, F.lit(RUN))).alias("at"), "more").repartition("seen", "at")
+    return out.union(times(more, F.least(F.col("more") - F.col("at"), F.lit(RUN)).cast("int")))
 
 
 def op2_mixing(spark, sf_dir):

@@ -153,6 +153,27 @@ def test_mix_repeats_rows(odd):
     assert copies == {r.doc_id: r.copies for r in mixing.mix(odd).where("doc_id <> 7").collect() if r.copies}
 
 
+@pytest.mark.parametrize("share", [0.01, 1.5])
+def test_mix_repeats_rows_with_null_and_repeated_ids(spark, monkeypatch, share):
+    """Rows that share id, source and size are documents of their own, also those equal in all columns."""
+    monkeypatch.setattr(mixing, "RUN", 2, raising=False)
+    rows = [(None, f"a{i} b c", "s", "en") for i in range(500)] + [(None, "x y z", "s", "en")] * 101 + [(4, f"r{i % 30} q", "s", "en") for i in range(60)]
+    rows += [(i, "p q r s", "t", "de" if i % 2 else None) for i in range(1000, 1200)] + [(None, "e f", None, None)] * 7
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(4)
+    got, want = collections.Counter(), collections.Counter()
+    for r in mixing.mixed(df, share=share).collect():
+        got[r.source, r.doc_id, r.text] += 1
+    for r in mixing.mix(df, share=share).collect():
+        want[r.source, r.doc_id, r.size] += r.copies
+    per = collections.Counter()
+    for (s, i, t), n in got.items():
+        per[s, i, len(t.split())] += n
+    assert per == +want
+    have = collections.Counter((s, i, t) for i, t, s, _ in rows)
+    goal = {r.source: r.target / r.source_size for r in mixing.mix(df, share=share).collect()}
+    assert all(int(goal[k[0]]) * n <= got[k] <= (int(goal[k[0]]) + 1) * n for k, n in have.items())
+
+
 # ---------------------------------------------------------------- 3
 def test_secrets(spark):
     rng = random.Random(9)
