@@ -1,16 +1,19 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 DataFrame and SQL functions throughout; the forest is MLlib's, which runs in the JVM.
-A candidate is a run of key characters with a digit (8 and more) or a long run without
-(24 and more).  The forest sees its length and shares of character classes, character
+A candidate is the value after an assignment to a password, secret, token or key (what
+stands in quotes, or up to white space), the password of user:pass@host, and besides a run
+of key characters with a digit (8 and more) or a long run without (24 and more), whatever
+stands before it.  The forest sees its length and shares of character classes, character
 transitions (changes of class, and the mean log-probability of its letter pairs in
 the words of the corpus), how much of it is dictionary words (words that the corpus has
 ``COMMON`` times), the path (what of a path or address it stands in, and what the
 document's source says of tests or examples), and the words beside it.
 
 It learns from labelled findings: ``labelled`` marks what a rule is sure of: an issuer's
-prefix or an assignment to a password, token or key (1), digits alone, words, or a place in
-an address (0).  At most ``ROWS_PER_LABEL`` different candidates of each label are used, the
+prefix, an assignment to a password, token or key, or a login (1), digits alone, words, a
+place in an address, or a value that only refers to another (0); assigned words that are
+neither are left to the forest.  At most ``ROWS_PER_LABEL`` different candidates of each label are used, the
 first by a hash; findings from elsewhere can be handed in instead.  The tables have no
 labels for secrets, hence the rule.
 
@@ -27,11 +30,22 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_of
 
 _KEY = r"A-Za-z0-9_+/\-"
-CANDIDATE = rf"(?<![{_KEY}])(?:(?=[A-Za-z_+/\-]*[0-9])[{_KEY}]{{8,}}|[{_KEY}]{{24,}})"
+_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|credential|auth)s?"
+_GIVES = r"[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}"
+#: an assigned value and the password of a login; cheap look-behinds stand first, so that few places try the long one
+_QUOTED = rf"(?<=[\"'])(?<=(?i:{_NAMES}{_GIVES})[\"'])(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\s\"']++)"
+_BARE = rf"(?<=[:=>\s])(?<=[:=>]\s{{0,4}})(?<=(?i:{_NAMES}{_GIVES}))[^\s\"'=:>,;)\]}}][^\s\"']*(?<![,;.)\]}}>])"
+_LOGIN = r"(?<=[\w.%+\-/]:)[^\s/\"'<>@][^\s/\"'<>]{0,255}(?=@[\w\[.\-])"
+CANDIDATE = rf"{_QUOTED}|{_BARE}|{_LOGIN}|(?<![{_KEY}])(?:(?=[A-Za-z_+/\-]*[0-9])[{_KEY}]{{8,}}|[{_KEY}]{{24,}})"
 ISSUER = r"^(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|AIza)[A-Za-z0-9_\-]{10,}$"
 ASSIGNED = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|credential|auth)[\"']?\s*[:=]\s*[\"']?$"
+#: any name that the value of a candidate is assigned to; names whose literal values are secrets; values that refer to another
+NAMED = rf"(?i){_NAMES}{_GIVES}[\"']?$"
+OWN = rf"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|credential)s?{_GIVES}[\"']?$"
+REFERS = (r"(?i)^(?:null|none|nil|undefined|true|false|str(?:ing)?|int|bytes|bool(?:ean)?|any|optional|required)$|^\$\{?[a-z_]\w*\}?$|^\{.*\}?$|^<.*>?$"
+          r"|^%[sd(]|^[\w.]+\(|^[*x.]+$|^(?:self|this|os|process|config|settings|env|request|args)\.")
 ROWS_PER_LABEL, COMMON, TREES, DEPTH = 4000, 20, 24, 8
-FEATURES = ["size", "digits", "upper", "lower", "hexa", "marks", "changes", "likely", "known", "in_path", "test_path", "keyword", "assigned", "quoted", "plain_after"]
+FEATURES = ["size", "digits", "upper", "lower", "hexa", "marks", "changes", "likely", "known", "in_path", "test_path", "keyword", "assigned", "quoted", "plain_after", "signs", "login"]
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -40,7 +54,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     d = d.select("doc_id", "path", F.xxhash64("t").alias("row"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"), "t").where(F.size("c") > 0)
     parts = d.select("doc_id", "path", "row", "c", F.split("t", CANDIDATE, -1).alias("p"))
     one = F.transform("c", lambda x, i: F.struct(
-        i.alias("n"), x.alias("cand"), F.right(F.element_at("p", i + 1), F.lit(60)).alias("before"), F.left(F.element_at("p", i + 2), F.lit(40)).alias("after"),
+        i.alias("n"), x.alias("cand"), F.right(F.concat(F.coalesce(F.get("c", i - 1), F.lit("")), F.element_at("p", i + 1)), F.lit(60)).alias("before"), F.left(F.element_at("p", i + 2), F.lit(40)).alias("after"),
         F.length(F.element_at("p", i + 1)).cast("bigint").alias("gap")))
     e = parts.select("doc_id", "path", "row", F.explode(one).alias("f")).select("doc_id", "path", "row", "f.*")
     e = e.dropDuplicates(["doc_id", "row", "n"])
@@ -80,11 +94,13 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     per = likely.join(known, "cand", "left").select(
         F.col("cand").alias("c"), "likely", (F.coalesce("letters", F.lit(0)) / F.length("cand")).alias("known"),
         F.length("cand").cast("double").alias("size"), share("cand", "0-9").alias("digits"), share("cand", "A-Z").alias("upper"),
-        share("cand", "a-z").alias("lower"), share("cand", "0-9a-f").alias("hexa"), share("cand", r"_+/\-").alias("marks"),
+        share("cand", "a-z").alias("lower"), share("cand", "0-9a-f").alias("hexa"), share("cand", r"_+/\-").alias("marks"), share("cand", rf"^{_KEY}").alias("signs"),
         (F.regexp_count("cand", F.lit(kinds)) / F.length("cand")).alias("changes"))
     flag = lambda c: c.cast("double")
+    login = F.col("before").rlike(r"[\w.%+\-/]:$") & ~F.col("before").rlike(r"(?i)\b(?:mailto|e?-?mail|to|from|cc):$") & F.col("after").rlike(r"^@[\w\[.\-]")
+    inside = F.col("before").rlike(r"[/.@:]$") | F.col("after").rlike(r"^(?:[/@]|\.\w)")
     return found.join(per, found["cand"] == per["c"]).drop("c").select(
-        "*", flag(F.col("before").rlike(r"[/.@:]$") | F.col("after").rlike(r"^(?:[/@]|\.\w)")).alias("in_path"),
+        "*", flag(inside & ~login & ~F.col("before").rlike(NAMED)).alias("in_path"), flag(login).alias("login"),
         flag(F.col("path").rlike(r"(?i)test|example|sample|doc|mock")).alias("test_path"),
         flag(F.col("before").rlike(r"(?i)(?:pass|pwd|secret|token|key|auth|credential)\w*\W{0,6}$")).alias("keyword"),
         flag(F.col("before").rlike(r"[:=]\s*[\"']?$")).alias("assigned"), flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).alias("quoted"),
@@ -93,8 +109,15 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def labelled(f: DataFrame) -> DataFrame:
     """``f`` with ``label``: 1, 0, or null where the rule does not know."""
-    yes = F.col("cand").rlike(ISSUER) | (F.col("before").rlike(ASSIGNED) & (F.col("digits") > 0) & (F.col("known") < 0.5))
-    no = (F.col("digits") == 1) | (F.col("known") >= 0.5) | (F.col("in_path") == 1) | F.col("cand").rlike(r"^[A-Za-z\-_]+[0-9]{0,4}$")
+    named, own, refers = F.col("before").rlike(NAMED), F.col("before").rlike(OWN), F.col("cand").rlike(REFERS)
+    login, quoted, digits = F.col("login") == 1, F.col("quoted") == 1, F.col("digits") > 0
+    yes = F.col("cand").rlike(ISSUER) | ~refers & (
+        F.col("before").rlike(ASSIGNED) & digits & (F.col("known") < 0.5) & (F.col("size") >= 8)
+        | own & (F.col("size") >= 6) & (digits | quoted) & ~F.col("cand").rlike(r"\s")
+        | login & F.col("before").rlike(r"://[^\s/@\"']*:$") & (digits | (F.col("known") < 0.5)))
+    words = (F.col("known") >= 0.5) | F.col("cand").rlike(r"^[A-Za-z\-_]+[0-9]{0,4}$")
+    no = (refers | ~named & ~login & ((F.col("digits") == 1) | words | (F.col("in_path") == 1))
+          | named & ~quoted & words & (F.col("plain_after") == 1) & ~digits | named & ~own & (F.col("digits") == 1) & (F.col("size") < 8))
     return f.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
 
 

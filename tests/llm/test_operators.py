@@ -194,6 +194,32 @@ def test_secrets(spark):
     assert len([r for r in got if r.doc_id == 1]) == len({(r.doc_id, r.n) for r in got if r.doc_id == 1})
 
 
+def test_secrets_of_any_signs_and_length(spark):
+    """Assigned values and passwords of addresses are judged whatever they consist of."""
+    rng = random.Random(10)
+    word = lambda n, s="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(s) for _ in range(n))
+    rows, planted, not_secret = [], set(), set()
+    for i in range(360):
+        mixed, short, letters = word(6) + "!" + word(4) + "#9", "h" + word(5, "uvwxyz") + "2", word(18, "qWeRtYuIoPaSdFgHjKl")
+        before, value, after, is_secret = [
+            ('password = "', mixed, '"', 1), ('client_secret: "', letters, '"', 1), ("pwd=", short, "", 1), ("postgres://app:", word(10), "@host/db", 1), ("redis://user1234567:", mixed, "@10.0.0.1", 1),
+            ("the secret: ", "always", " be kind", 0), ("password = ", "get_password(user", ")", 0), ("token: ", "null", ",", 0), ("see https://example.org/", "page" + str(10000 + i), "/index", 0)][i % 9]
+        rows.append((i, f"{passage(rng, 12)} {before}{value}{after} {passage(rng, 8)}", "x"))
+        if is_secret:
+            planted.add((i, value))
+        elif i % 9 < 8:
+            not_secret.add((i, value))
+    said = {1000: ('password = "P@ss!w0rd#9x"', "P@ss!w0rd#9x"), 1001: ('password = "correct-horse-battery"', "correct-horse-battery"), 1002: ('client_secret: "qWeRtYuIoPaSdFgHjKl"', "qWeRtYuIoPaSdFgHjKl"),
+            1003: ("pwd=hunter2", "hunter2"), 1004: ("postgres://app:Zk39fjQ2xx@host", "Zk39fjQ2xx"), 1005: ('password = "never closed', "never")}
+    rows += [(i, t, "x") for i, (t, _) in said.items()] + [(2000 + i, "always be kind and correct the horse battery of the hunter", "x") for i in range(30)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    of = {i: t for i, t, _ in rows}
+    assert all(of[r.doc_id][r.start:r.start + r.length] == r.cand for r in got)
+    seen, found = {(r.doc_id, r.cand) for r in got}, {(r.doc_id, r.cand) for r in got if r.secret}
+    assert planted | not_secret | {(i, v) for i, (_, v) in said.items()} <= seen
+    assert planted | {(i, v) for i, (_, v) in said.items() if i < 1005} <= found and not not_secret & found
+
+
 # ---------------------------------------------------------------- 4, 5
 def test_bpe(spark, odd):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
