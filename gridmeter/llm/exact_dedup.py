@@ -11,7 +11,8 @@ each chunk, and one (identifier, digest) pair for each distinct chunk of a task.
 
 Defined results: a null text counts as empty; empty texts equal each other.
 A null ``doc_id`` is never the one that stays unless the whole group has none;
-rows that repeat the smallest ``doc_id`` of their group all count as kept.
+rows that repeat the smallest ``doc_id`` of their group all count as kept
+(``one_of_each``, the pipeline's stage, leaves one of them).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table, text_of
+from .common import SPACE, materialize, one_row, table, text_of
 
 CHUNK = r"(?s).{256,4096}?[.!?;}>]|.{1,4096}"
 
@@ -65,13 +66,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return group_copies(materialize(recipes(docs, id_col, text_col, fingerprint), "recipes"))
 
 
+def same_rows(docs: DataFrame, some: DataFrame, id_col: str, text_col: str) -> Column:
+    """Whether a row of ``docs`` has id and text of a row of ``some`` (_id, _sha)."""
+    return docs[id_col].eqNullSafe(some["_id"]) & (F.sha2(normalised(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256) == some["_sha"])
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows that are not kept; all columns as they were."""
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    same = docs[id_col].eqNullSafe(gone["_gone_id"]) & (
-        F.sha2(normalised(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256) == gone["_gone_sha"])
-    return docs.join(gone, same, "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    return docs.join(gone, same_rows(docs, gone, id_col, text_col), "left_anti")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group; all columns as they were.
+
+    That of the smallest id (null last); of several, the first by a hash of the row.
+    """
+    copies = materialize(exact_dedup(docs, id_col, text_col).where("group_size > 1")
+                         .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies")
+    gone = copies.where("NOT kept").select("_id", "_sha").distinct()
+    twice = materialize(copies.where("kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "repeated")
+    left = docs.join(gone, same_rows(docs, gone, id_col, text_col), "left_anti")
+    if twice.isEmpty():
+        return left
+    several = docs.join(twice, same_rows(docs, twice, id_col, text_col), "left_semi")
+    return left.join(twice, same_rows(docs, twice, id_col, text_col), "left_anti").union(one_row(several, F.sha2(normalised(text_of(text_col)), 256)))
 
 
 def op6_exact_dedup(spark, sf_dir):

@@ -293,6 +293,22 @@ def test_exact_dedup(odd, fingerprint):
     assert left.columns == odd.columns and sorted(texts(left), key=order) == sorted([(i, o) for (i, o), (_, t) in zip(texts(odd), rows) if i == keep[t]], key=order)
 
 
+def test_pipeline_leaves_one_row_of_equal_texts(spark):
+    """Also where ids are null or the smallest is repeated."""
+    import corpus_pipeline
+
+    rows = [(None, "a b", "x"), (None, "a  b", "y"), (None, "c", "x"), (3, "d e", "x"), (3, "d\te", "y"), (3, "d e", "x"), (5, "d e", "x"), (None, "d e", "z"),
+            (3, "f", "x"), (None, "", "x"), (None, None, "x"), (7, "g", "x"), (None, "g", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    left = corpus_pipeline.drop_copies(spark, df, "")
+    assert left.columns == df.columns
+    got = left.collect()
+    assert set(map(tuple, got)) <= set(rows)
+    want = [(None, ""), (None, "a b"), (None, "c"), (3, "d e"), (3, "f"), (7, "g")]
+    assert sorted((r.doc_id, " ".join((r.text or "").split())) for r in got if r.doc_id) == sorted(x for x in want if x[0])
+    assert sorted(" ".join((r.text or "").split()) for r in got if r.doc_id is None) == sorted(t for i, t in want if i is None)
+
+
 # ---------------------------------------------------------------- 7
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
