@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, jaccard, mixing, secrets, suffix_dedup, token_files, token_rollup, toxicity
+from . import ann, bpe, exact_dedup, fill_middle, jaccard, mixing, secrets, suffix_dedup, token_files, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_rollup": token_rollup.op9_token_rollup,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
 
 SQL = {
     "op2_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op11_fill_middle": fill_middle.SQL,
 }
