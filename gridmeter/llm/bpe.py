@@ -39,8 +39,10 @@ KEPT_WORDS = 150_000
 #: characters of text for each batch that a worker gives back
 BATCH_CHARS = 2_000_000
 
-#: texts of these characters alone are split by a plain pattern, others by the library's own splitter
-_OTHER = re.compile("[^\x00-ɏ‐-‧€]")
+#: texts with one of these are split by the library's own splitter, others by a plain pattern;
+#: among them the letters below U+0250 whose lower case lies beyond it
+_AWAY = "".join(chr(i) for i in range(0x250) if any(ord(c) > 0x24F for c in chr(i).lower()))
+_OTHER = re.compile(f"[^\x00-ɏ‐-‧€]|[{_AWAY}]")
 _SPACES = "\t-\r \x85\xa0"
 
 

@@ -488,3 +488,16 @@ def test_empty_tables(spark, none):
     assert toxicity.toxicity(none, labels).count() == 0
     assert token_rollup.counts(none).count() == 0
     assert jaccard.jaccard_classes(none).count() == jaccard.one_of_each(none).count() == 0
+
+
+def test_bpe_of_each_code_point():
+    """Every code point of the BMP beside letters, and letters whose lower case lies elsewhere, as the library has them."""
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path())
+    given = [f"a{chr(i)}b {chr(i)}{chr(i)} 1{chr(i)}" for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    given += ["Əli Ərdoğan ƏKRƏM Ɓauna ƐKƆ İstanbul", "Straße ẞ KÅ"]
+    for lo in range(0, len(given), 2000):
+        some = given[lo:lo + 2000]
+        for x, e in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            ids, text = own.run(x)
+            assert np.frombuffer(ids, np.int32).tolist() == e.ids, x
+            assert text == library.decode(e.ids, skip_special_tokens=False), x
