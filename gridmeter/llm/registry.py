@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, fill_middle, jaccard, mixing, secrets, suffix_dedup, token_files, token_rollup, toxicity
+from . import ann, bpe, exact_dedup, fill_middle, jaccard, mixing, packing, secrets, suffix_dedup, token_files, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_rollup": token_rollup.op9_token_rollup,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_packing": packing.op12_packing,
 }
 
 SQL = {
