@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, fill_middle, jaccard, mixing, packing, secrets, suffix_dedup, token_files, token_rollup, toxicity
+from . import ann, bpe, exact_dedup, fill_middle, jaccard, lexical, mixing, packing, secrets, suffix_dedup, token_files, token_rollup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_packing": packing.op12_packing,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 SQL = {
     "op2_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op11_fill_middle": fill_middle.SQL,
+    "op13_lexical": lexical.SQL,
 }
