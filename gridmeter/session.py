@@ -52,15 +52,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df, name: str = "frame"):
+def materialize(df, name: str = "frame", **options):
     """Cut the lineage of a frame that several branches reuse: write it once
     as a Parquet table under the shared ``spark.checkpoint.dir`` and read it
     back.  Executor loss then costs no recomputation of the upstream
     shuffles, and the frame is computed once (``Dataset.checkpoint`` would
-    compute an unpersisted frame twice)."""
+    compute an unpersisted frame twice).  ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     _WRITTEN.append(path)
     return spark.read.parquet(path)
 
