@@ -15,11 +15,14 @@ are then filled together by the same rule, level by level, until one worker is l
 sequences, a bounded number, are closed without padding: their pieces follow each other, cut
 at capacities, and the tail is cut into powers of two.
 
+Ids are held as little-endian 32-bit integers in a binary column: a row of thousands of ids
+is then moved and written as one value.
+
 Each level is a written table below ``spark.checkpoint.dir``, so a lost executor costs its
 tasks of one level only.
 
 Defined results: a null text counts as empty; with an end id every row has a token, without
-one a row that has none has no piece; null and repeated ``doc_id`` pass through, each row
+one a row that has none has no piece, nor has one with null ids; null and repeated ``doc_id`` pass through, each row
 being a document of its own; an empty table gives no sequence; other columns are not read.
 """
 
@@ -29,12 +32,10 @@ import functools
 import json
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,13 +87,24 @@ def words_of(path: str) -> LibraryWords:
     return LibraryWords(path)
 
 
+def encode(self, text: str) -> bytes:
+        if _OTHER.search(text) or self.special and "<" in text and self.special.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+        return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
+
+
+@functools.lru_cache(2)
+def words_of(path: str) -> LibraryWords:
+    return LibraryWords(path)
+
+
 def list_column(parts: list[bytes]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 2) -> DataFrame:
-    """doc_id, ids array<int> of every row, the end id last."""
+    """doc_id, ids (binary) of every row, the end id last."""
     path = path or default_path()
     end = b"" if end_id is None else np.int32(end_id).tobytes()
 
@@ -101,10 +113,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for whole in batches:
             for b in slices(whole, "text"):
                 ids = [w.encode(x or "") + end for x in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(ids)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return d.mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def slack_of(capacity: int) -> int:
@@ -127,10 +139,10 @@ def cuts(rest: int, capacity: int, slack: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-ROW = [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()),
+ROW = [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
        ("sequence_id", pa.int64()), ("offset", pa.int64()), ("class", pa.int32()), ("worker", pa.int32()), ("number", pa.int64())]
 SCHEMA = pa.schema(ROW)
-KINDS = ("doc_id bigint, start bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint, class int, "
+KINDS = ("doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, class int, "
          "worker int, number bigint")
 
 
@@ -188,18 +200,11 @@ class Worker:
         rows, self.rows, self.tokens = self.rows, [], 0
         col = list(zip(*rows)) if rows else [()] * 7
         return pa.RecordBatch.from_arrays([
-            pa.array(col[0], pa.int64()), pa.array(col[1], pa.int64()), list_column(list(col[2])), pa.array(col[3], pa.int64()),
+            pa.array(col[0], pa.int64()), pa.array(col[1], pa.int64()), pa.array(col[2], pa.binary()), pa.array(col[3], pa.int64()),
             pa.array(col[4], pa.int64()), pa.array(col[5], pa.int64()), pa.array(col[6], pa.int32()),
             pa.array(np.full(len(rows), self.worker), pa.int32()), pa.array(np.arange(len(rows)), pa.int64())], schema=SCHEMA)
 
 
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a column of int lists and where each list begins (one more than there are)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-
-
 def pack(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", capacity: int = CAPACITY, slack: int | None = None,
          fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, start, ids, doc_tokens, sequence_id, offset: a row for each piece."""
@@ -210,11 +215,11 @@ def pack(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", capac
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Worker(0, TaskContext.get().partitionId())
         for b in batches:
-            ids, at = lists(b.column("ids"))
-            for i, lo, hi in zip(b.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist()):
-                start, total = 0, hi - lo
+            for i, ids in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+                ids = ids.as_py() or b""
+                start, total = 0, len(ids) // 4
                 for size, k in ((capacity, 1),) * (total // capacity) + cuts(total % capacity, capacity, slack):
-                    w.add((i, start, ids[lo + start:lo + start + size].tobytes(), total), k)
+                    w.add((i, start, ids[4 * start:4 * (start + size)], total), k)
                     start += size
                 if w.tokens >= BATCH_TOKENS:
                     yield w.batch()
@@ -224,18 +229,16 @@ def pack(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", capac
     def later(key: tuple, t: pa.Table, level: int, last: bool) -> pa.Table:
         w = Worker(level, key[0].as_py())
         t = t.sort_by([("worker", "ascending"), ("class", "ascending"), ("number", "ascending")])
-        ids, at = lists(t["ids"])
-        for i, start, lo, hi, total, k in zip(t["doc_id"].to_pylist(), t["start"].to_pylist(), at.tolist(), at[1:].tolist(),
-                                              t["doc_tokens"].to_pylist(), t["class"].to_pylist()):
-            w.add((i, start, ids[lo:hi].tobytes(), total), k)
+        for i, start, ids, total, k in zip(*(t[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "class"))):
+            w.add((i, start, ids, total), k)
         if last:
             w.close(capacity)
         else:
             w.leave()
         return pa.Table.from_batches([w.batch()])
 
-    d = encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    made = [materialize(d.mapInArrow(first, KINDS), "packed")]
+    d = encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids"))
+    made = [materialize(d.mapInArrow(first, KINDS), "packed", compression="zstd")]
     level, workers = 0, None
     while workers != 1:
         level += 1
@@ -243,7 +246,7 @@ def pack(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", capac
         workers = workers or (left.agg(F.max("worker")).first()[0] or 0) + 1
         workers = -(-workers // fan_in)
         rule = functools.partial(later, level=level, last=workers == 1)
-        made.append(materialize(left.groupBy((F.col("worker") / fan_in).cast("int")).applyInArrow(_two(rule), KINDS), "packed"))
+        made.append(materialize(left.groupBy((F.col("worker") / fan_in).cast("int")).applyInArrow(_two(rule), KINDS), "packed", compression="zstd"))
     every = functools.reduce(DataFrame.unionByName, [m.where("sequence_id IS NOT NULL") for m in made])
     return every.select("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset")
 
@@ -255,18 +258,8 @@ def _two(rule):
 
 def digests(pieces: DataFrame) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of pieces."""
-    kinds = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, at = lists(b.column("ids"))
-            ids = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(ids[4 * x:4 * y]) for x, y in zip(at.tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(np.diff(at)), pa.array(crc, pa.int64()),
-                                              b.column("doc_tokens"), b.column("sequence_id"), b.column("offset")],
-                                             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.mapInArrow(run, kinds)
+    return pieces.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"), F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
 
 
 def op12_packing(spark, sf_dir):

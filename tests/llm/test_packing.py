@@ -15,6 +15,10 @@ from gridmeter.llm import bpe, packing as K  # noqa: E402
 from .test_operators import SF, none, odd, texts  # noqa: F401
 
 
+def binary(ids):
+    return np.array(ids, "<i4").tobytes()
+
+
 def padding(rows, capacity):
     """Tokens of padding and tokens held; checks that every sequence is gapless and within the capacity."""
     held = collections.defaultdict(list)
@@ -37,7 +41,7 @@ def check(pieces, docs, capacity):
     got = pieces.collect()
     parts = collections.defaultdict(list)
     for r in got:
-        parts[r.doc_id, r.doc_tokens].append((r.start, tuple(r.ids)))
+        parts[r.doc_id, r.doc_tokens].append((r.start, tuple(np.frombuffer(r.ids, "<i4").tolist())))
     want = collections.defaultdict(list)
     for i, ids in docs:
         if ids:
@@ -52,7 +56,7 @@ def check(pieces, docs, capacity):
                 assert sum((p for _, p in left), ()) == rows[0] and [s for s, _ in left] == np.cumsum([0] + [len(p) for _, p in left])[:-1].tolist()
         assert sum(len(p) for _, p in left) == sum(map(len, rows))
         assert collections.Counter(x for _, p in left for x in p) == collections.Counter(x for r in rows for x in r)
-    return padding([(r.sequence_id, r.offset, len(r.ids)) for r in got], capacity)
+    return padding([(r.sequence_id, r.offset, len(r.ids) // 4) for r in got], capacity)
 
 
 def test_cuts_are_of_their_class():
@@ -69,7 +73,7 @@ def test_cuts_are_of_their_class():
 def test_sequences(spark, capacity, partitions, fan_in):
     rng = random.Random(capacity)
     docs = [(i, [rng.randrange(50_000) for _ in range(rng.choice([0, 1, 2, 5, 40, 300, 3 * capacity]))]) for i in range(400)]
-    e = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, ids array<int>, class string, worker int").repartition(partitions)
+    e = spark.createDataFrame([(i, binary(x), "x", 1) for i, x in docs], "doc_id long, ids binary, class string, worker int").repartition(partitions)
     pad, total = check(K.pack(e, capacity=capacity, fan_in=fan_in), docs, capacity)
     assert total == sum(len(x) for _, x in docs)
     assert pad <= total * K.slack_of(capacity) / max(1, capacity - K.slack_of(capacity))
@@ -78,7 +82,7 @@ def test_sequences(spark, capacity, partitions, fan_in):
 def test_one_length_for_all(spark):
     """A class that holds all rows."""
     docs = [(i, [i] * 1366) for i in range(3000)]
-    pad, total = check(K.pack(spark.createDataFrame(docs, "doc_id long, ids array<int>").repartition(9)), docs, 4096)
+    pad, total = check(K.pack(spark.createDataFrame([(i, binary(x)) for i, x in docs], "doc_id long, ids binary").repartition(9)), docs, 4096)
     assert pad / (pad + total) < 1 / 64
 
 
@@ -86,13 +90,13 @@ def test_ids_are_those_of_the_library(spark, odd):  # noqa: F811
     library = Tokenizer.from_file(bpe.default_path())
     want = [(i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in texts(odd)]
     got = K.encode(odd).collect()
-    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), x) for i, x in want)
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<i4").tolist()) for r in got) == sorted((str(i), x) for i, x in want)
     check(K.pack(K.encode(odd)), want, 4096)
 
 
 def test_no_end_id_and_empty_table(spark, none):  # noqa: F811
     e = K.encode(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), end_id=None)
-    assert [r.ids for r in e.collect()] == [[], []] and K.pack(e).collect() == []
+    assert [bytes(r.ids) for r in e.collect()] == [b"", b""] and K.pack(e).collect() == []
     assert K.pack(K.encode(none)).collect() == []
     with pytest.raises(ValueError, match="slack"):
         K.pack(e, slack=3)
