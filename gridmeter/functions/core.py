@@ -97,6 +97,26 @@ def round_half_even(c: ColumnOrName, digits: int = 0) -> Column:
     return F.bround(_c(c), digits)
 
 
+# ---------------------------------------------------------------- order
+def ordered_bits(c: ColumnOrName) -> Column:
+    """A double as the 64-bit integer of the same order: the IEEE bits of its
+    size, negated for negative values (both zeros are 0, infinities lie
+    outside all numbers and NaN above them, as Spark orders)."""
+    x, size = _c(c), F.abs(_c(c))
+    whole, half = F.lit(float(2 ** 52)), F.lit(2.0 ** 537)
+    guess = F.floor(F.log2(F.when(size < F.lit(2.0 ** -1022), 1.0).otherwise(F.least(size, F.lit(1.7976931348623157e308)))))
+    guess = F.least(F.greatest(guess, F.lit(-1022)), F.lit(1023))
+    power = F.pow(F.lit(2.0), guess.cast("double"))
+    # the logarithm may be off by one beside a power of two
+    up, down = size / power >= 2, size / power < 1
+    exponent = guess + F.when(up, 1).when(down, -1).otherwise(0)
+    mantissa = size / F.when(up, power * 2).when(down, power / 2).otherwise(power) - 1
+    bits = (F.when(F.isnan(x), F.lit((2047 << 52) + 1)).when(size == float("inf"), F.lit(2047 << 52))
+             .when(size < F.lit(2.0 ** -1022), (size * half * half).cast("long"))      # 2^1074 in two steps
+             .otherwise((exponent + 1023) * F.lit(1 << 52) + (mantissa * whole).cast("long")))
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
 # ---------------------------------------------------------------- time
 def epoch_micros(c: ColumnOrName) -> Column:
     return F.unix_micros(_c(c))

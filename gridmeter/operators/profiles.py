@@ -1,14 +1,13 @@
 """24-hour load profiles in site-local time.
 
-Slot and hour statistics come from one aggregation: every row is emitted
-once per level (``explode`` of two (level, group) pairs) and grouped by
-(level, group), so the data is shuffled once.  Hour statistics are taken
-over the 15-minute values of the hour's four slots (not over hourly sums).
-
-Quantiles are exact by default with :func:`stats.exact_quantiles` (an
-approximate bracket, then an exact rank inside it), so no task holds a whole
-time-of-day group; ``method="map"`` uses ``percentile`` (a value->count map
-per group) and ``method="approx"`` ``percentile_approx``.
+The rows are reduced once to (slot, value, count), which is written; slot and
+hour statistics both come from those counts, an hour from those of its slots
+(so over the 15-minute values, not over hourly sums).
+
+Quantiles are exact by default with :func:`stats.quantiles_of_counts` (radix
+selection), so no task holds a whole time-of-day group; ``method="map"`` uses
+``percentile`` (a value->count map per group) and ``method="approx"``
+``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -68,18 +67,15 @@ def load_profile(clean: DataFrame, offsets: DataFrame, customers: DataFrame | No
                F.raise_error(F.concat(F.lit("no UTC offset for site "), F.coalesce(F.col(site), F.lit("NULL")))).cast("int"))
     c = c.withColumn("utc_offset", F.coalesce(F.col("utc_offset").cast("int"), missing))
     t = time_of_day(c, offset="utc_offset", slot_minutes=slot_minutes)
-    lv = t.select(F.col("energy_kwh").alias("x"), F.explode(F.array(
-        F.struct(F.lit("slot").alias("level"), F.col("tod_slot").alias("grp")),
-        F.struct(F.lit("hour").alias("level"), F.col("tod_hour").alias("grp")))).alias("_l"))
-    lv = lv.select("_l.level", "_l.grp", "x")
+    levels = F.explode(F.array(F.struct(F.lit("slot").alias("level"), F.col("tod_slot").alias("grp")),
+                               F.struct(F.lit("hour").alias("level"), F.col("tod_hour").alias("grp")))).alias("_l")
     if method == "exact":
-        # the values are read by three passes; recomputing them would repeat
-        # the joins and shuffles of the cleaning output, so they are written
-        # once (materialize); the moments ride along in the first pass
-        q = S.exact_quantiles(lv, "x", ["level", "grp"], [0.25, 0.5, 0.75], materialize=True, extra_aggs=[
-            F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.count("_x").alias("n")])
+        vc = S.value_counts(t, "energy_kwh", ["tod_slot", "tod_hour"])
+        vc, by = vc.select(levels, "_x", "_b", "_c").select("_l.level", "_l.grp", "_x", "_b", "_c"), ["level", "grp"]
+        q = S.quantiles_of_counts(vc, by, [0.25, 0.5, 0.75]).drop("n").join(S.moments_of_counts(vc, by), by)
         return q.select("level", "grp", "mean", "std", "n", F.col("q1").alias("median"),
                         F.col("q0").alias("q1"), F.col("q2").alias("q3"))
+    lv = t.select(F.col("energy_kwh").alias("x"), levels).select("_l.level", "_l.grp", "x")
     qf = (F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if method == "approx"
           else F.percentile("x", [0.25, 0.5, 0.75]))
     return (lv.groupBy("level", "grp")

@@ -11,12 +11,13 @@ value across an edge.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import _c
+from ..functions.core import _c, ordered_bits
 from ..session import materialize as _materialize
 
 
@@ -115,10 +116,9 @@ def log_histogram(df: DataFrame, value: str, by: str, cls: str, bins: int = 49,
     counts of in-range values, density ``n/(N_in*width)`` and the class mean.
     The end edges are pinned to the two quantiles exactly.
     """
-    d = df.where(F.col(value).isNotNull())
-    if exclude_classes:
-        d = d.where(~F.col(cls).isin(list(exclude_classes)))
-    q = exact_quantiles(d, value, [by], [q_lo, q_hi])
+    d = df.where(~F.col(cls).isin(list(exclude_classes))) if exclude_classes else df
+    vc = value_counts(d, value, [by, cls])
+    q = quantiles_of_counts(vc, [by], [q_lo, q_hi])
     q = q.select(by, F.greatest("q0", F.lit(floor_lo)).alias("lo"), F.col("q1").alias("hi"))
     # a group whose quantiles coincide keeps its bins, all of width 0
     q = q.withColumn("hi", F.greatest("lo", "hi"))
@@ -128,27 +128,24 @@ def log_histogram(df: DataFrame, value: str, by: str, cls: str, bins: int = 49,
     def edge(i):
         return (F.when(i <= 0, F.col("lo")).when(i >= bins, F.col("hi"))
                  .otherwise(F.least(F.greatest(F.pow(F.lit(10.0), i.cast("double") * step + a), F.col("lo")), F.col("hi"))))
-    j = _with_group(d, q, [by])
-    x = F.col(value)
+    x = F.col("_x")
     i0 = F.floor(F.try_divide(F.log10(x) - a, step))
     i1 = F.when(x < edge(i0), i0 - 1).when(x >= edge(i0 + 1), i0 + 1).otherwise(i0)
     binc = F.when((x >= F.col("lo")) & (x <= F.col("hi")),
                   F.when(x == F.col("hi"), F.lit(bins - 1))
                    .otherwise(F.least(F.greatest(i1, F.lit(0)), F.lit(bins - 1))).cast("int"))
-    jb = j.withColumn("bin", binc)
-    stats = jb.groupBy(by, cls).agg(F.avg(value).alias("class_mean"),
-                                    F.count(value).alias("n_class"),
-                                    F.count("bin").alias("n_in_range"))
-    counts = (jb.where(F.col("bin").isNotNull()).groupBy(by, cls, "bin")
-                .agg(F.count(F.lit(1)).alias("count")))
-    spine = stats.select(by, cls, "n_class", "n_in_range", "class_mean",
-                         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    c = counts.withColumnsRenamed({by: "_by", cls: "_cls", "bin": "_bin"})
-    out = (_with_group(spine.join(c, [spine[by].eqNullSafe(c["_by"]), spine[cls].eqNullSafe(c["_cls"]),
-                                      spine["bin"] == c["_bin"]], "left").drop("_by", "_cls", "_bin"), q, [by])
-                .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
-                .withColumn("edge_lo", edge(F.col("bin")))
-                .withColumn("edge_hi", edge(F.col("bin") + 1)))
+    # one row for each filled bin, the values out of range in one without a bin
+    filled = (_with_group(vc, q, [by]).withColumn("bin", binc).groupBy(by, cls, "bin", "lo", "hi")
+              .agg(F.sum("_c").alias("count"), F.sum(x * F.col("_c")).alias("_sum")))
+    inside = F.col("bin").isNotNull()
+    groups = filled.groupBy(by, cls, "lo", "hi").agg(
+        F.sum("count").alias("n_class"), F.coalesce(F.sum(F.when(inside, F.col("count"))), F.lit(0)).alias("n_in_range"),
+        (F.sum("_sum") / F.sum("count")).alias("class_mean"),
+        F.map_from_entries(F.collect_list(F.when(inside, F.struct("bin", "count")))).alias("_bins"))
+    out = (groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+                 .withColumn("count", F.coalesce(F.try_element_at("_bins", F.col("bin")), F.lit(0)).cast("long"))
+                 .withColumn("edge_lo", edge(F.col("bin")))
+                 .withColumn("edge_hi", edge(F.col("bin") + 1)))
     dens = F.when(F.col("n_in_range") > 0,
                   F.try_divide(F.col("count"), F.col("n_in_range") * (F.col("edge_hi") - F.col("edge_lo"))))
     return out.select(by, cls, "bin", "edge_lo", "edge_hi", "count", dens.alias("density"),
@@ -159,12 +156,11 @@ def clipped_histogram(df: DataFrame, value: str, by: str, bins: int = 60,
                       q_lo: float = 0.01, q_hi: float = 0.99) -> DataFrame:
     """Values clipped to the group's [q01, q99] and put in equal bins, empty
     bins included (H4, J16)."""
-    d = df.where(F.col(value).isNotNull())
-    q = exact_quantiles(d, value, [by], [q_lo, q_hi]).select(by, F.col("q0").alias("lo"), F.col("q1").alias("hi"))
-    j = _with_group(d, q, [by])
-    clipped = F.least(F.greatest(F.col(value), F.col("lo")), F.col("hi"))
+    vc = value_counts(df, value, [by])
+    q = quantiles_of_counts(vc, [by], [q_lo, q_hi]).select(by, F.col("q0").alias("lo"), F.col("q1").alias("hi"))
+    clipped = F.least(F.greatest(F.col("_x"), F.col("lo")), F.col("hi"))
     i = F.when(F.col("hi") > F.col("lo"), bin_index(clipped, F.col("lo"), F.col("hi"), bins)).otherwise(F.lit(0))
-    n = j.select(by, i.alias("bin")).groupBy(by, "bin").agg(F.count(F.lit(1)).alias("count"))
+    n = _with_group(vc, q, [by]).groupBy(by, i.alias("bin")).agg(F.sum("_c").alias("count"))
     n = n.withColumnsRenamed({by: "_by", "bin": "_bin"})
     spine = q.select(by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     edge = F.col("bin").cast("double") * ((F.col("hi") - F.col("lo")) / F.lit(float(bins))) + F.col("lo")
@@ -177,18 +173,18 @@ def boxplot_stats(df: DataFrame, value: str, by) -> DataFrame:
     """q1, median, q3, whiskers (most extreme data within 1.5 IQR), n,
     outlier count per group (H5, A6, O3)."""
     by = list(by)
-    d = df.where(F.col(value).isNotNull())
-    q = exact_quantiles(d, value, by, [0.25, 0.5, 0.75], extra_aggs=[F.count("_x").alias("n")])
+    vc = value_counts(df, value, by)
+    q = quantiles_of_counts(vc, by, [0.25, 0.5, 0.75])
     q = q.select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    x = F.col(value)
-    w = (_with_group(d, q, by)
-          .groupBy(*by)
-          .agg(F.min(F.when(x >= lo, x)).alias("whisker_lo"),
-               F.max(F.when(x <= hi, x)).alias("whisker_hi"),
-               F.count(F.when((x < lo) | (x > hi), x)).alias("n_outliers")))
-    return _with_group(q, w, by)
+    x = F.col("_x")
+    # the quartiles ride along as keys, so nothing is joined back
+    return (_with_group(vc, q, by)
+            .groupBy(*by, "n", "q1", "median", "q3")
+            .agg(F.min(F.when(x >= lo, x)).alias("whisker_lo"),
+                 F.max(F.when(x <= hi, x)).alias("whisker_hi"),
+                 F.sum(F.when((x < lo) | (x > hi), F.col("_c")).otherwise(0)).alias("n_outliers")))
 
 
 def boxplot_outliers(df: DataFrame, value: str, by, id_col: str) -> DataFrame:
@@ -204,9 +200,8 @@ def describe(df: DataFrame, value: str, by, percentiles=(0.25, 0.5, 0.75, 0.95))
     """pandas ``describe(percentiles=...)`` per group."""
     by = list(by)
     ps = list(percentiles)
-    g = exact_quantiles(df, value, by, ps, extra_aggs=[
-        F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max")])
+    vc = value_counts(df, value, by)
+    g = _with_group(quantiles_of_counts(vc, by, ps), moments_of_counts(vc, by).withColumnRenamed("n", "count"), by)
     return g.select(*by, "count", "mean", "std", "min",
                     *[F.col(f"q{i}").alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)], "max")
 
@@ -248,7 +243,8 @@ def t_pvalue(t, dof) -> Column:
         weight = lambda i: F.when((i == 0) | (i == T_STEPS), 1.0).otherwise(2.0 + 2.0 * F.pmod(i, F.lit(2)))
         return F.aggregate(F.sequence(F.lit(0), F.lit(T_STEPS)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(
             F.greatest(F.cos(i * upto / F.lit(float(T_STEPS))), F.lit(0.0)), dof - 1)) * upto
-    return F.when(dof > 0, F.greatest(1 - area(at) / area(end), F.lit(0.0)))
+    # least() and greatest() pass over NULL, so a NULL t has to be told apart
+    return F.when((dof > 0) & t.isNotNull(), F.greatest(1 - area(at) / area(end), F.lit(0.0)))
 
 
 def sql_t_pvalue(t: str, dof: str) -> str:
@@ -259,7 +255,7 @@ def sql_t_pvalue(t: str, dof: str) -> str:
     def area(upto):
         return (f"(list_sum(list_transform(range(0, {T_STEPS + 1}), lambda i: (CASE WHEN i IN (0, {T_STEPS}) THEN 1.0 ELSE 2.0 + 2.0 * (i % 2) END)"
                 f" * pow(greatest(cos(i * {upto} / {float(T_STEPS)}::DOUBLE), 0.0::DOUBLE), {dof} - 1.0))) * {upto})")
-    return f"greatest(1 - {area(at)} / {area(end)}, 0.0)"
+    return f"(CASE WHEN {dof} > 0 AND {t} IS NOT NULL THEN greatest(1 - {area(at)} / {area(end)}, 0.0) END)"
 
 
 def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
@@ -276,58 +272,98 @@ def linear_fit(df: DataFrame, y: str, xs: dict, min_n: int = 2) -> DataFrame:
 
 
 # ------------------------------------------------------------------ exact quantiles at scale
-def exact_quantiles(df: DataFrame, value: str, by, probs, materialize: bool = False, extra_aggs=(),
-                    buckets: int = 256) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, without holding a
-    group, or all rows of one value, in one task (H-1).
-
-    1. rows are reduced to (group, value, count), so a value that repeats is
-       one row whatever its share;
-    2. ``buckets`` cuts per group, approximate quantiles of its distinct
-       values, deal the values into buckets.  Any cuts give right results, as
-       the bucket totals are exact: cuts only even out the buckets;
-    3. running totals over a group's buckets (at most ``buckets + 1`` rows)
-       say which bucket holds the order statistics around ``h = (n-1)p``;
-    4. only those buckets get a running count over their values, and the two
-       order statistics are interpolated as ``percentile`` does.
-
-    Returns ``by`` columns plus ``q0, q1, ...`` (one per probability); NULL
-    group keys are a group.
-    ``materialize``: the input is read several times; when its upstream is
-    expensive, write it once to the checkpoint folder.
-    ``extra_aggs``: further aggregate columns over ``_x`` (the value).
+#: distinct values of a bucket that one task may order
+FEW = 200_000
+#: bits by which a refinement splits a bucket
+DIGIT = 16
+
+
+def value_counts(df: DataFrame, value: str, by) -> DataFrame:
+    """The written frame (by, _x, _b, _c): how often each group holds each
+    value, and the value's bits in order.  NULL values are left out, NULL keys
+    are a group.  A value that most rows share is one row."""
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    c = d.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    return _materialize(c.withColumn("_b", ordered_bits("_x")), "value-counts")
+
+
+def _steps(probs):
+    """For each probability the ranks around ``h = (n-1)p``, and ``h`` (over column ``n``)."""
+    h = [(F.col("n") - 1).cast("double") * F.lit(p) for p in probs]
+    return [(F.floor(x), F.ceil(x), x) for x in h]
+
+
+def _rank_buckets(v: DataFrame, probs, few: int):
+    """Radix selection: (_k, _p, _below, n) of the buckets that hold a wanted
+    rank, and the shift that gives ``_p`` from ``_b``.
+
+    Values are counted by the top digit of their bits; running totals over a
+    group's buckets (at most 2^DIGIT rows) say which hold a rank, and only
+    those are split by the next digit, until none has over ``few`` rows.
+    """
+    shift = 64 - DIGIT
+    upto = lambda *k: Window.partitionBy(*k).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = functools.reduce(lambda a, b: a | b, [(F.col("_below") <= r) & (r < F.col("_below") + F.col("_t"))
+                                                   for lo, hi, _ in _steps(probs) for r in (lo, hi)])
+    c = v.groupBy("_k", F.shiftright("_b", shift).alias("_p")).agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_v"))
+    c = c.withColumn("n", F.sum("_t").over(Window.partitionBy("_k"))) \
+         .withColumn("_below", F.coalesce(F.sum("_t").over(upto("_k")), F.lit(0)))
+    while True:
+        found = _materialize(c.where(wanted).select("_k", "_p", "_below", "n", "_v"), "rank-buckets")
+        most = found.agg(F.max("_v")).first()[0]
+        if not shift or not most or most <= few:
+            return found.drop("_v"), shift
+        at = found.select("_k", F.col("_p").alias("_q"), F.col("_below").alias("_start"), "n")
+        c = v.withColumn("_q", F.shiftright("_b", shift)).join(at, ["_k", "_q"])
+        shift -= DIGIT
+        c = c.groupBy("_k", "_q", "_start", "n", F.shiftright("_b", shift).alias("_p")) \
+             .agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_v"))
+        c = c.withColumn("_below", F.col("_start") + F.coalesce(F.sum("_t").over(upto("_k", "_q")), F.lit(0)))
+
+
+def quantiles_of_counts(vc: DataFrame, by, probs, few: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles from value counts: ``by``, ``n``
+    and ``q0, q1, ...`` (one per probability), without a task that orders
+    over ``few`` values (``FEW``).
+
+    ``vc`` is a written frame (by, _x, _b, _c); a group may hold a value in
+    several rows, so counts by finer groups will do.  With few rows in all a
+    group's values are ordered as they are; else only the buckets that
+    :func:`_rank_buckets` finds.
     """
+    few, probs = few or FEW, [float(p) for p in probs]
+    v = vc.select(F.struct(*by).alias("_k"), "_x", "_b", "_c")
+    if vc.count() <= few:
+        keys = ["_k"]
+        v = v.withColumn("n", F.sum("_c").over(Window.partitionBy("_k"))).withColumn("_below", F.lit(0))
+    else:
+        keys = ["_k", "_p"]
+        found, shift = _rank_buckets(v, probs, few)
+        v = v.withColumn("_p", F.shiftright("_b", shift)).join(found, keys)
+    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    v = v.withColumn("_end", F.col("_below") + F.sum("_c").over(order))
+    at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_x")))
+    steps = _steps(probs)
+    g = v.groupBy("_k", "n").agg(*[at(r).alias(f"_{side}{i}") for i, s in enumerate(steps) for side, r in zip(("lo", "hi"), s)])
+    up = [h - F.floor(h) for _, _, h in steps]
+    return g.select("_k.*", "n", *[F.when(u == 0, F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") * (1 - u) + F.col(f"_hi{i}") * u).alias(f"q{i}")
+                                   for i, u in enumerate(up)])
+
+
+def moments_of_counts(vc: DataFrame, by) -> DataFrame:
+    """n, mean, std (sample), min, max of each group from value counts."""
     by = list(by)
-    probs = [float(p) for p in probs]
-    d = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_k"), F.col(value).cast("double").alias("_x"))
-    if materialize:
-        d = _materialize(d, "quantile-input")
-    vc = d.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    cuts = vc.groupBy("_k").agg(
-        F.sum("_c").alias("_n"),
-        F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"))
-    v = (vc.join(cuts.select("_k", "_cuts"), "_k")
-           .select("_k", "_x", "_c", F.size(F.filter("_cuts", lambda c: c <= F.col("_x"))).alias("_b")))
-    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (v.groupBy("_k", "_b").agg(F.sum("_c").alias("_t"))
-               .withColumn("_below", F.coalesce(F.sum("_t").over(before), F.lit(0))))
-    h = (F.col("_n") - 1).cast("double") * F.col("_p")
-    wanted = (cuts.select("_k", "_n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "_p"))
-                  .select("_k", "_i", h.alias("_h"), F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("_r")))
-    hit = (wanted.join(totals, "_k").where((F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_t")))
-                 .select("_k", "_b", "_i", "_h", "_r", "_below"))
-    upto = Window.partitionBy("_k", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (v.join(hit.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi")
-             .withColumn("_upto", F.sum("_c").over(upto)))
-    at = F.col("_r") - F.col("_below")
-    found = rows.join(hit, ["_k", "_b"]).where((F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto")))
-    lo, hi = (F.max(F.when(F.col("_r") == f("_h"), F.col("_x"))) for f in (F.floor, F.ceil))
-    up = F.max(F.col("_h") - F.floor("_h"))
-    q = (found.groupBy("_k", "_i").agg(F.when(up == 0, lo).otherwise(lo * (1 - up) + hi * up).alias("_q"))
-              .groupBy("_k").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))]))
-    if extra_aggs:
-        q = q.join(d.groupBy("_k").agg(*extra_aggs), "_k")
-    return q.select("_k.*", *[c for c in q.columns if c != "_k"])
+    m = vc.groupBy(*by).agg(F.sum("_c").alias("n"), (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("mean"),
+                            F.min("_x").alias("min"), F.max("_x").alias("max"))
+    apart = F.col("_x") - F.col("mean")
+    return (_with_group(vc, m, by).groupBy(*by, "n", "mean", "min", "max")
+            .agg(F.sqrt(F.try_divide(F.sum(apart * apart * F.col("_c")), F.col("n") - 1)).alias("std")))
+
+
+def exact_quantiles(df: DataFrame, value: str, by, probs) -> DataFrame:
+    """Exact linearly interpolated quantiles per group (H-1): ``by``, ``n`` and
+    ``q0, q1, ...``.  The input is read once, for its value counts."""
+    return quantiles_of_counts(value_counts(df, value, by), by, probs)
 
 
 def _with_group(df: DataFrame, groups: DataFrame, by) -> DataFrame:

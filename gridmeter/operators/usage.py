@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import month_ordinal, neq_nullsafe
+from ..session import materialize
 from .stats import exact_quantiles
 
 RESIDENTIAL = "Residential"
@@ -194,14 +195,14 @@ def quantile_cap(df: DataFrame, value: str, q: float, by=()) -> DataFrame:
     """Keep rows with value <= the q-quantile of their group (FLT14).
 
     The caps are one row per group, joined back on the group key (a
-    constant key when ``by`` is empty).
+    constant key when ``by`` is empty).  The frame is written once and read
+    for the value counts and for the rows.
     """
     by = list(by)
     if not by:
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
-    # exact quantile without a value->count map per group (a country may
-    # hold a third of all rows); one row per group
-    caps = exact_quantiles(df, value, by, [q], materialize=True).select(*by, F.col("q0").alias("_cap"))
+    df = materialize(df, "capped")
+    caps = exact_quantiles(df, value, by, [q]).select(*by, F.col("q0").alias("_cap"))
     out = df.join(caps, by, "inner").where(F.col(value) <= F.col("_cap")).drop("_cap")
     return out.drop("_g") if "_g" in out.columns else out
 

@@ -154,7 +154,7 @@ def q_slope_ttest_pvalue(spark, d):
 
 def q_site_medians(spark, d):
     a = _arpu(spark, d)
-    g = S.exact_quantiles(a, "arpu", ["country", "projectName"], [0.5], extra_aggs=[F.count(F.lit(1)).alias("n")])
+    g = S.exact_quantiles(a, "arpu", ["country", "projectName"], [0.5])
     g = g.withColumnRenamed("q0", "median_arpu")
     # sites ordered by their median within each country (O3)
     return (g.select("country", "projectName", r_("median_arpu", 4).alias("median_arpu"), "n")

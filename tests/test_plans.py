@@ -79,3 +79,10 @@ def test_orders_are_scanned_once_for_tenure(spark):
 def test_no_pairs_in_asof_joins(spark):
     p = _plan(E.queries()["tariff_asof"](spark, "/root/testdata/sf0.001"))
     assert "NestedLoop" not in p and "Generate" not in p
+
+
+@pytest.mark.parametrize("name", ["log_histogram", "boxplot_stats", "load_profile_ci", "slope_histogram", "describe_by_class"])
+def test_quantiles_read_the_counts_once_or_twice(spark, name):
+    """The value counts are written; the plan reads them in few scans and shuffles."""
+    p = _plan(E.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert p.count("FileScan") <= 4 and p.count("Exchange") - p.count("ReusedExchange") < 12, (p.count("FileScan"), p.count("Exchange"))

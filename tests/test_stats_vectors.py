@@ -137,15 +137,17 @@ def test_clipped_histogram_is_dense(spark):
     assert len(h) == 120 and sum(r["count"] for r in h) == 4
 
 
-@pytest.mark.parametrize("buckets", [4, 256])
-def test_exact_quantiles_equal_percentile(spark, buckets):
-    """Also where 60 % of a group are one value, and for a NULL group."""
+@pytest.mark.parametrize("few, digit", [(200_000, 16), (3_000, 16), (50, 4), (1, 8)])
+def test_exact_quantiles_equal_percentile(spark, monkeypatch, few, digit):
+    """Ordered at once or after refinements; also where 60 % of a group are one value, and for a NULL group."""
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "DIGIT", digit)
     rng = np.random.default_rng(1)
     rows = [("a", float(v)) for v in rng.exponential(2.0, 30000)] + \
         [("b", float(v)) for v in rng.integers(0, 5, 200)] + [("c", 1.0)] + \
         [("t", 0.0)] * 6000 + [("t", float(v)) for v in rng.normal(0, 1, 4000)] + [(None, 1.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: (r.q0, r.q1, r.q2) for r in S.exact_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75], buckets=buckets).collect()}
+    got = {r.g: (r.q0, r.q1, r.q2) for r in S.exact_quantiles(df, "x", ["g"], [0.25, 0.5, 0.75]).collect()}
     ref = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("p")).collect()}
     assert got.keys() == ref.keys()
     for g in ref:
@@ -161,3 +163,38 @@ def test_exact_quantiles_with_ties(spark, n):
     r = S.exact_quantiles(df, "x", ["g"], probs).collect()[0]
     got = [r[f"q{i}"] for i in range(len(probs))]
     assert got == pytest.approx(list(np.quantile(vals, probs)), abs=1e-12)
+
+
+def test_ordered_bits_are_those_of_the_number(spark):
+    """Every power of two and its neighbours, subnormals, infinities, NaN and both signs."""
+    from gridmeter.functions.core import ordered_bits
+    powers = np.concatenate([np.ldexp(1.0, np.arange(-1074, 1024)), [np.finfo(float).max, 5e-324, 3e-310]])
+    rng = np.random.default_rng(4)
+    x = np.concatenate([powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), rng.lognormal(0, 200, 3000), rng.uniform(0, 1, 3000)])
+    x = np.concatenate([x, -x, [0.0, np.inf, -np.inf]])
+    want = np.where(x < 0, -np.abs(x).view(np.int64), np.abs(x).view(np.int64))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
+    got = {r.i: r.b for r in df.select("i", ordered_bits("x").alias("b")).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+    nan = spark.sql("SELECT double('NaN') AS x").select(ordered_bits("x").alias("b")).first().b
+    assert nan > max(want)
+
+
+def test_moments_of_counts(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(1e6, 1, 500), 1)
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [(None, 3.0)], "g string, x double")
+    got = {r.g: r for r in S.moments_of_counts(S.value_counts(df, "x", ["g"]), ["g"]).collect()}
+    assert (got["a"].n, got["a"]["min"], got["a"]["max"]) == (500, v.min(), v.max())
+    assert got["a"].mean == pytest.approx(v.mean(), rel=1e-13) and got["a"]["std"] == pytest.approx(v.std(ddof=1), rel=1e-9)
+    assert got[None].n == 1 and got[None]["std"] is None
+
+
+def test_p_value_of_a_group_of_equal_slopes_is_null(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 3 + [("b", 1.0), ("b", 2.0), ("b", 3.0), ("c", 1.0)], "g string, s double")
+    t = S.one_sample_t(df, "s", ["g"]).withColumn("p", S.t_pvalue("t", "dof"))
+    p = {r.g: r.p for r in t.collect()}
+    assert p["a"] is None and p["c"] is None and p["b"] == pytest.approx(0.0742, abs=1e-4)
+    import duckdb
+    sql = S.sql_t_pvalue("t", "dof")
+    assert duckdb.sql(f"SELECT {sql} FROM (SELECT CAST(NULL AS DOUBLE) AS t, 3 AS dof)").fetchall() == [(None,)]
