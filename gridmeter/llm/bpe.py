@@ -9,10 +9,13 @@ runs merge from the left).  49,000 states would hold 2.4 thousand million arcs,
 a gadget is kept as (u, v, order) and an arc is worked out from the gadgets when
 it is first asked for, and then kept in the table.
 
-In that automaton one path spells a word, and one path each prefix of it, so a
-position that leads nowhere is dropped for good and encoding looks at each
-position once.  Decoding emits the labels of the arcs.  A word is encoded once for
-each worker and kept, with a bound on how many are.
+In that automaton one path spells a word, and one path each prefix of it.  The
+different new words of a batch take their steps together (``encode_all``): position by
+position, the tokens that end there are found in a table of the vocabulary, and the one
+whose arc from the state before is in the table of arcs becomes the word's state.  A long
+word is walked by itself; there a position that leads nowhere is dropped for good.
+Decoding emits the labels of the arcs.  A word is encoded once for each worker and kept,
+with a bound on how many are.
 
 Defined results: a null text counts as empty and has no ids; ``doc_id`` and row
 order pass through as they are, repeated rows included.
@@ -35,7 +38,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: words kept by a worker; beyond it the table starts anew
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
+#: bits of a place in the tables of tokens and of arcs
+TOKEN_BITS, ARC_BITS = 18, 21
+#: bytes of a word that takes its steps with others
+WIDE = 24
+#: characters of a text that are split at once
+CHUNK_CHARS = 1_000_000
 #: characters of text for each batch that a worker gives back
 BATCH_CHARS = 2_000_000
 
@@ -50,6 +59,7 @@ def _of_category(first: str) -> str:
     return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == first)
 
 
+_GAP = re.compile("[ \t\n]")
 _LETTERS, _NUMBERS = _of_category("L"), _of_category("N")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
@@ -153,6 +163,130 @@ class Automaton:
         return [self.labels[i] for i in ids]
 
 
+class Steps:
+    """The automaton's tables for many words at once: tokens by a hash of their bytes, arcs by their two states."""
+
+    BASE, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.power = np.array([pow(self.BASE, i, 1 << 64) for i in range(WIDE + 1)], np.uint64)
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        suffix = automaton.suffix
+        tokens: tuple[dict, dict] = ({}, {})       # by their bytes: those inside a word, those at its end
+        for t, i in automaton.vocab.items():
+            end = bool(suffix) and t.endswith(suffix)
+            body = t.removesuffix(suffix) if end else t
+            if len(body) <= WIDE and body and all(c in byte for c in body):
+                tokens[end][bytes(byte[c] for c in body)] = i
+        self.longest = max(map(len, [*tokens[0], *tokens[1], b" "]))
+        self.inside, self.ending = map(self._table, tokens if suffix else (tokens[0], tokens[0]))
+        # an arc lies in one place only; a place holds the arc that was asked for last
+        self.arcs, self.allowed = np.full(1 << ARC_BITS, -1, np.int64), np.zeros(1 << ARC_BITS, bool)
+
+    def _table(self, tokens: dict[bytes, int]) -> list[tuple]:
+        """Layers of (shift, hashes, tokens): a hash lies in the first layer whose place was free for it."""
+        h = self.prefixes(*self.matrix(list(tokens)))
+        h, ids = h[np.arange(len(tokens)), [len(t) for t in tokens]], np.array(list(tokens.values()), np.int64)
+        if len(np.unique(h)) != len(h):
+            raise ValueError("two tokens share a hash")
+        layers = []
+        while len(h) or not layers:
+            if len(layers) > 6:
+                raise ValueError("the hashes of the tokens are not spread")
+            shift = np.uint64(64 - TOKEN_BITS - len(layers))
+            hashes, found = np.zeros(1 << (64 - int(shift)), np.uint64), np.full(1 << (64 - int(shift)), -1, np.int64)
+            place, first = np.unique((h * self.SPREAD) >> shift, return_index=True)
+            hashes[place], found[place] = h[first], ids[first]
+            layers.append((shift, hashes, found))
+            left = np.setdiff1d(np.arange(len(h)), first)
+            h, ids = h[left], ids[left]
+        return layers
+
+    @staticmethod
+    def matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of words, a row each, and their lengths."""
+        size = np.array([len(w) for w in words], np.int64)
+        return np.frombuffer(b"".join([w.ljust(WIDE, b"\0") for w in words]), np.uint8).reshape(-1, WIDE), size
+
+    def prefixes(self, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = np.zeros((len(letters), WIDE + 1), np.uint64)
+        for j in range(WIDE):
+            h[:, j + 1] = h[:, j] * self.power[1] + letters[:, j] + np.uint64(1)
+        return h
+
+    def find(self, layers: list[tuple], h: np.ndarray) -> np.ndarray:
+        """The token of each hash, -1 for none."""
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        for shift, hashes, ids in layers:
+            place = (h[left] * self.SPREAD) >> shift
+            hit = (hashes[place] == h[left]) & (ids[place] >= 0)
+            out[left[hit]] = ids[place[hit]]
+            left = left[~hit & (ids[place] >= 0)]     # a free place: not in any layer
+        return out
+
+    def arc(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether y may follow x; an arc that is not in the table is worked out and put there."""
+        n = len(self.automaton.labels)
+        key = x * n + y
+        place = (key.astype(np.uint64) * self.SPREAD) >> np.uint64(64 - ARC_BITS)
+        miss = np.flatnonzero(self.arcs[place] != key)
+        if not len(miss):
+            return self.allowed[place]
+        new, which = np.unique(key[miss], return_inverse=True)
+        until = len(self.automaton.order)
+        made = np.array([self.automaton._arc(k // n, k % n, until) for k in new.tolist()], bool)[which]
+        out = self.allowed[place]
+        out[miss] = made
+        self.arcs[place[miss]], self.allowed[place[miss]] = key[miss], made
+        # two of the missing may share a place: the last one written there, arc and answer alike
+        clash = miss[self.arcs[place[miss]] == key[miss]]
+        self.allowed[place[clash]] = out[clash]
+        return out
+
+    def encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words of at most ``WIDE`` bytes, one word after the other, and where each begins.
+
+        A word for which a position has not exactly one state is left without tokens.
+        """
+        letters, size = self.matrix(words)
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        h = self.prefixes(letters[order], size)
+        state, back = np.full((len(words), WIDE + 1), -1, np.int64), np.zeros((len(words), WIDE + 1), np.int64)
+        good = size > 0
+        for j in range(1, int(size.max(initial=0)) + 1):
+            n, longer = np.searchsorted(-size, -j, "right"), np.searchsorted(-size, -j, "left")
+            states = np.zeros(n, np.int64)
+            for i in range(max(0, j - self.longest), j):
+                part = h[:n, j] - h[:n, i] * self.power[j - i]
+                token = np.concatenate([self.find(self.inside, part[:longer]), self.find(self.ending, part[longer:])])
+                at = np.flatnonzero((token >= 0) & ((state[:n, i] >= 0) if i else True))
+                if i:
+                    at = at[self.arc(state[at, i], token[at])] if len(at) else at
+                state[at, j], back[at, j] = token[at], i
+                states[at] += 1
+            good[:n] &= states == 1
+        size = np.where(good, size, 0)
+        # from the end of each word backwards
+        steps, rows, at = [], np.flatnonzero(good), size[good]
+        count = np.zeros(len(words), np.int64)
+        while len(rows):
+            steps.append((rows, state[rows, at]))
+            count[rows] += 1
+            at = back[rows, at]
+            rows, at = rows[at > 0], at[at > 0]
+        place = np.empty(len(words), np.int64)      # back to the order in which the words came
+        place[order] = count
+        begin = np.concatenate([[0], np.cumsum(place)])
+        ends = begin[1:][order]
+        out = np.empty(begin[-1], np.int32)
+        for k, (rows, tokens) in enumerate(steps):
+            out[ends[rows] - 1 - k] = tokens
+        return out, begin
+
+
 class _Kept(dict):
     def __init__(self, make):
         super().__init__()
@@ -182,29 +316,88 @@ class WordTokenizer:
         for t, i in self.special.items():
             names[i] = t
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        letters = byte_letters()
-        self.plain = _Kept(lambda w: self._word("".join([letters[b] for b in w.encode()])))
+        self.letters = dict(enumerate(byte_letters()))
+        self.steps = Steps(self.automaton)
+        self.plain: dict[str, tuple[bytes, str]] = {}
         self.mapped = _Kept(self._word)
 
     def _word(self, word: str) -> tuple[bytes, str]:
         ids = self.automaton.encode(word)
         return np.array(ids, np.int32).tobytes(), " ".join(self.automaton.decode(ids))
 
-    def words(self, text: str) -> list[tuple[bytes, str]]:
-        if _OTHER.search(text):
-            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [self.mapped[p] for p, _ in pieces]
-        return list(map(self.plain.__getitem__, _WORDS.findall(text.lower())))
-
-    def run(self, text: str) -> tuple[bytes, str]:
-        """The ids of a text as 32-bit integers, and the text that they decode to."""
-        got: list[tuple[bytes, str]] = []
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that are not kept yet."""
+        new = [w for w in words if w not in self.plain]
+        if len(self.plain) + len(new) > KEPT_WORDS:
+            self.plain.clear()
+            new = list(words)
+        label, suffix, kept = self.automaton.labels.__getitem__, self.automaton.suffix, self.plain
+        for lo in range(0, len(new), 50_000):
+            some = new[lo:lo + 50_000]
+            raw = [w.encode() for w in some]
+            short = [k for k, x in enumerate(raw) if len(x) <= WIDE]
+            ids, at = self.steps.encode_all([raw[k] for k in short])
+            flat, ids, at = ids.tobytes(), ids.tolist(), at.tolist()
+            for k, a, b in zip(short, at, at[1:]):
+                w = some[k]
+                spelt = w if w.isascii() and w.isprintable() else raw[k].decode("latin-1").translate(self.letters)
+                text = " ".join(map(label, ids[a:b]))
+                # two strings may share a hash: the labels have to spell the word
+                if text.replace(" ", "") == spelt + suffix:
+                    kept[w] = flat[4 * a:4 * b], text
+            for w, x in zip(some, raw):
+                if w not in kept:
+                    kept[w] = self._word(x.decode("latin-1").translate(self.letters))
+
+    def segments(self, text: str) -> list:
+        """A text as lists of words that are looked up, and pairs that are ready."""
+        out: list = []
         for part in self.split.split(text) if self.split and "<" in text else [text]:
             if part in self.special:
-                got.append((np.int32(self.special[part]).tobytes(), part))
+                out.append((np.int32(self.special[part]).tobytes(), part))
+            elif part and _OTHER.search(part):
+                out += [self.mapped[p] for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
             elif part:
-                got += self.words(part)
-        return b"".join([a for a, _ in got]), " ".join([b for _, b in got])
+                out.append(_WORDS.findall(part.lower()))
+        return out
+
+    def run_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """The ids of each text as 32-bit integers, and the text that they decode to."""
+        cut = [self.segments(x) for x in texts]
+        new: set[str] = set()
+        for segments in cut:
+            for s in segments:
+                if type(s) is list:
+                    new.update(s)
+        self.learn(new)
+        out = []
+        for segments in cut:
+            got: list[tuple[bytes, str]] = []
+            for s in segments:
+                if type(s) is list:
+                    got += map(self.plain.__getitem__, s)
+                else:
+                    got.append(s)
+            out.append((b"".join([a for a, _ in got]), " ".join([b for _, b in got])))
+        return out
+
+    def run(self, text: str) -> tuple[bytes, str]:
+        """The ids of one text, and the text that they decode to.
+
+        A long text is cut at white space (no word or special token holds any), so that its words are never held at once.
+        """
+        got, at = [], 0
+        while at < len(text):
+            space = _GAP.search(text, at + CHUNK_CHARS)
+            end = space.start() + 1 if space else len(text)
+            got += self.run_all([text[at:end]])
+            at = end
+        return b"".join([a for a, _ in got]), " ".join([b for _, b in got if b])
+
+    def batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        long = [len(x) > CHUNK_CHARS for x in texts]
+        short = iter(self.run_all([x for x, l in zip(texts, long) if not l]))
+        return [self.run(x) if l else next(short) for x, l in zip(texts, long)]
 
 
 @functools.lru_cache(2)
@@ -240,7 +433,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         t = tokenizer(path)
         for whole in batches:
             for b in slices(whole, "text"):
-                got = [t.run(x or "") for x in b.column("text").to_pylist()]
+                got = t.batch([x or "" for x in b.column("text").to_pylist()])
                 ids = np.frombuffer(b"".join([a for a, _ in got]), np.int32)
                 at = np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in got])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(ids)),

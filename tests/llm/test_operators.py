@@ -501,3 +501,39 @@ def test_bpe_of_each_code_point():
             ids, text = own.run(x)
             assert np.frombuffer(ids, np.int32).tolist() == e.ids, x
             assert text == library.decode(e.ids, skip_special_tokens=False), x
+
+
+def test_bpe_steps_of_many_words():
+    """Words that take their steps together, word by word and in small chunks get the library's ids."""
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path())
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abcdeéüßñ'’$%1\x00") for _ in range(rng.randrange(1, 30))) for _ in range(6000)}
+    words |= {"".join(rng.choice(["th", "ing", "er", "ción", "ee", "aa", "a"]) for _ in range(rng.randrange(1, 7))) for _ in range(6000)}
+    words = sorted(words)
+    own.plain.clear()
+    for x, (ids, text), e in zip(words, own.batch(words), library.encode_batch(words, add_special_tokens=False)):
+        assert np.frombuffer(ids, np.int32).tolist() == e.ids, x
+        assert text == library.decode(e.ids, skip_special_tokens=False)
+    many, at = own.steps.encode_all([b"", b"a", b"thing", b"z" * bpe.WIDE])
+    assert at[1] == 0 and at[2] == 1 and (np.diff(at)[1:] > 0).all()
+    n = len(own.automaton.labels)
+    arcs = [(rng.randrange(n - 2), rng.randrange(n - 2)) for _ in range(3000)]
+    x, y = np.array(arcs).T
+    assert own.steps.arc(x, y).tolist() == [own.automaton.arc(a, b) for a, b in arcs] == own.steps.arc(x, y).tolist()
+
+
+def test_bpe_of_a_long_text_in_chunks(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)
+    own, library = bpe.WordTokenizer(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    for text in [x or "" for x in odd_texts()[:28]] + ["ab " * 100 + "日本 é " * 30 + "<|endoftext|> x" + "y" * 300]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        got = own.batch([text, "a"])[0]
+        assert np.frombuffer(got[0], np.int32).tolist() == ids and got[1] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_without_common_steps(monkeypatch):
+    """Words that the steps leave out are walked one by one."""
+    monkeypatch.setattr(bpe.Steps, "encode_all", lambda self, words: (np.empty(0, np.int32), np.zeros(len(words) + 1, np.int64)))
+    own, library = bpe.WordTokenizer(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    text = "whatever words éstas thing's"
+    assert np.frombuffer(own.run(text)[0], np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
