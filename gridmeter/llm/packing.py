@@ -45,7 +45,7 @@ from .common import materialize, table
 
 CAPACITY = 4096
 #: workers whose open sequences one task of the next level takes
-FAN_IN = 32
+FAN_IN = 8
 #: words kept by a worker; beyond it the table starts anew
 KEPT_WORDS = 500_000
 #: tokens for each batch that a task gives back
