@@ -43,14 +43,22 @@ class Rollup:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{folder}")))
 
     def committed(self) -> dict[str, str]:
-        """The attempt that counts of each batch that does: the first by name; none of a batch folded into another."""
+        """The attempt that counts of each batch that does: the first by name; none of a batch folded into another.
+
+        Folds are taken in their order; one that folds a batch that an earlier one has
+        folded (two writers compacted at the same time) stands for nothing.
+        """
         own: dict[str, str] = {}
         for batch, attempt in (n.rsplit("@", 1) for n in self._names("commits")):
             own.setdefault(batch, attempt)
-        for fold in [b for b, a in own.items() if b.startswith("compact-")]:
-            for batch in self._names(f"folds/{fold}"):
-                own.pop(batch, None)
-        return own
+        folded: set[str] = set()
+        for fold in sorted(b for b in own if b.startswith("compact-")):
+            names = set(self._names(f"folds/{fold}"))
+            if names & folded:
+                folded.add(fold)
+            else:
+                folded |= names
+        return {b: a for b, a in own.items() if b not in folded}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add signed ``changes`` (KEYS, docs, tokens); False if the batch was committed before.
@@ -70,19 +78,24 @@ class Rollup:
         rows.write.parquet(f"{self.folder}/deltas/{batch}@{attempt}")
         self._fs.createNewFile(self._path(f"{self.folder}/commits/{batch}@{attempt}"))
 
-    def totals(self) -> DataFrame:
-        """KEYS, docs, tokens over all committed batches."""
-        paths = [f"{self.folder}/deltas/{b}@{a}" for b, a in self.committed().items()]
+    def totals(self, batches: dict[str, str] | None = None) -> DataFrame:
+        """KEYS, docs, tokens over ``batches`` (all that are committed)."""
+        paths = [f"{self.folder}/deltas/{b}@{a}" for b, a in (self.committed() if batches is None else batches).items()]
         d = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         return d.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Fold what is committed into one batch; what it folds is named before its marker is there."""
-        batch = f"compact-{uuid.uuid4().hex}"
+        """Fold what is committed into one batch; what it folds is named before its marker is there.
+
+        The list is taken once: a batch that is committed meanwhile is neither named nor summed.
+        """
+        batches = self.committed()
+        folds = sum(n.startswith("compact-") for n in self._names("commits"))
+        batch = f"compact-{folds:08d}-{uuid.uuid4().hex}"
         self._fs.mkdirs(self._path(f"{self.folder}/folds/{batch}"))
-        for old in self.committed():
+        for old in batches:
             self._fs.createNewFile(self._path(f"{self.folder}/folds/{batch}/{old}"))
-        self._write(batch, self.totals())
+        self._write(batch, self.totals(batches))
 
 
 def counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",

@@ -334,6 +334,56 @@ def test_neighbours(spark):
     assert ann.neighbours(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    """One odd vector with the smallest id hides no others; lengths are searched among themselves."""
+    rng = np.random.default_rng(6)
+    v = {i: rng.normal(size=8 if i % 3 else 5) for i in range(1, 900)} | {0: rng.normal(size=3), -1: rng.normal(size=3)}
+    rows = [(i, x.tolist(), "x", 1) for i, x in v.items()]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, n string, perm int")
+    asked = df.where("vec_id % 30 = 0")
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(df, asked, block_rows=200, candidates=60, pivots=32, posted=6, read=12).collect():
+        got[r.query_id].append((r.rank, r.score, r.vec_id))
+    hit = total = 0
+    for q in (i for i in v if i % 30 == 0):
+        want = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in v if i != q and len(v[i]) == len(v[q]))[:10]
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, len(want) + 1))
+        hit += len({i for _, i in want} & {i for _, _, i in got[q]})
+        total += len(want)
+    assert sorted(got[0]) == [(1, pytest.approx(float(np.sqrt(((v[0] - v[-1]) ** 2).sum()))), -1)] and hit >= 0.9 * total
+
+
+def test_inverted_files_hold_the_posted_alone():
+    rng = np.random.default_rng(1)
+    perm = np.array([rng.permutation(16) for _ in range(50)], np.int16)
+    b = ann.Block(perm, 3)
+    for p in range(16):
+        assert b.file(p).tolist() == [i for i in range(50) if p in perm[i, :3]]
+    order = perm[7]
+    near = [i for i in range(50) if set(perm[i, :3]) & set(order[:2])]
+    assert b.best(order, 2, 100).tolist() == near
+    apart = {i: sum(abs(list(perm[i]).index(p) - k) for k, p in enumerate(order)) for i in near}
+    best = b.best(order, 2, 4)
+    assert 7 in best and sorted(apart[i] for i in best) == sorted(apart.values())[:4]
+
+
+def test_recall_at_two_sizes(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        d = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        v = {r.vec_id: np.array(r.embedding, float) for r in d.collect()}
+        ids, m = np.array(list(v)), np.array(list(v.values()))
+        got = collections.defaultdict(set)
+        for r in ann.op7_ann(spark, f"/root/testdata/{sf}").collect():
+            got[r.query_id].add(r.vec_id)
+        hit = total = 0
+        for q in ids[ids % 100 == 0].tolist():
+            far = ((m - v[q]) ** 2).sum(1)
+            far[ids == q] = np.inf
+            hit += len(set(ids[np.argsort(far, kind="stable")[:10]].tolist()) & got[q])
+            total += min(10, len(ids) - 1)
+        assert total and hit >= 0.9 * total, (sf, hit, total)
+
+
 # ---------------------------------------------------------------- 8
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
@@ -378,6 +428,51 @@ def test_token_rollup(spark, odd, tmp_path):
     assert roll.commit("back", token_rollup.changes(gone, 1, F.col("n"))) and total() == full
 
 
+def test_rollup_compaction_beside_other_writers(spark, tmp_path, monkeypatch):
+    """A batch committed while another writer folds, or two folds at once, count once."""
+    row = lambda n: spark.createDataFrame([("s", "l", "t", 1, n)], token_rollup.DELTA)
+    roll, other = (token_rollup.Rollup(spark, str(tmp_path / "roll")) for _ in range(2))
+    total = lambda: [(r.docs, r.tokens) for r in roll.totals().collect()]
+    roll.commit("a", row(10))
+    write = token_rollup.Rollup._write
+
+    def meanwhile(self, batch, rows):
+        if self is roll and batch.startswith("compact-"):
+            monkeypatch.setattr(token_rollup.Rollup, "_write", write)
+            other.commit("b", row(5))
+            other.compact()
+        write(self, batch, rows)
+
+    monkeypatch.setattr(token_rollup.Rollup, "_write", meanwhile)
+    roll.compact()
+    assert total() == [(2, 15)]
+    roll.commit("c", row(1))
+    roll.compact()
+    assert total() == [(3, 16)] and len(roll.committed()) == 1 and not roll.commit("b", row(5))
+
+
+@pytest.mark.parametrize("rows", [lambda t: t, lambda t: t.limit(0)])
+def test_rollup_query(spark, tmp_path, odd, rows):
+    """The query's batches against counts of what is left in the end."""
+    docs = rows(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    given = [(r.doc_id, r.text or "", r.source, r.lang) for r in docs.collect()]
+    least = {}
+    for i, t, _, _ in given:
+        if i is not None:
+            least[t] = min(least.get(t, i), i)
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, t, source, lang in given:
+        if i is None or t not in least or i <= least[t]:      # copies of an earlier text go
+            clean = re.sub(r"[\x20\x09-\x0D]+", " ", t)
+            for version, n in (("words", len(WORD.findall(t))), ("byte_bpe_50k", len(lib.encode(clean, add_special_tokens=False).ids))):
+                want[source, lang, version][0] += 1
+                want[source, lang, version][1] += n
+    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in token_rollup.op9_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in want.items() if v != [0, 0]}
+
+
 # ---------------------------------------------------------------- 10
 def classes_by_force(rows, n, num, den):
     sets, root, inv = [], [], collections.defaultdict(list)
