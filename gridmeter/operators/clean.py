@@ -122,10 +122,15 @@ def transitions(df: DataFrame, keys=("meter_customer_code", "meter_type"), ts="h
             .select(*keys, "_b", F.col("_p.t").alias("t_prev"), F.col("_n.t").alias("t_next"),
                     F.col("_p.e").alias("e_prev"), F.col("_n.e").alias("e_next"),
                     F.col("_p.s").alias("s_prev"), F.col("_n.s").alias("s_next")))
+    return judged(t, slot_minutes, ok_state)
+
+
+def judged(pairs: DataFrame, slot_minutes=SLOT_MINUTES, ok_state=1) -> DataFrame:
+    """``pairs`` (t_prev, t_next, e_prev, e_next, s_prev, s_next) with diff, n_slots, valid, clean."""
     slot_us = slot_minutes * 60 * 1_000_000
     gap = F.bround((F.unix_micros("t_next") - F.unix_micros("t_prev")) / F.lit(float(slot_us)), 0)
-    t = (t.withColumn("diff", F.col("e_next") - F.col("e_prev"))
-          .withColumn("n_slots", gap.cast("long")))
+    t = (pairs.withColumn("diff", F.col("e_next") - F.col("e_prev"))
+              .withColumn("n_slots", gap.cast("long")))
     ok = F.lit(float(ok_state))
     valid = (F.coalesce(F.col("diff") >= 0, F.lit(False))
              & F.coalesce(F.col("s_prev") == ok, F.lit(False))
@@ -145,10 +150,16 @@ def daily_profile(trans: DataFrame, keys=("meter_customer_code", "meter_type"),
     clean transition get a row.
     """
     keys = list(keys)
-    spd = 24 * 60 // slot_minutes
     per_slot = (trans.where("clean")
                      .groupBy(*keys, slot_of_day("t_prev", slot_minutes).alias("tod"))
                      .agg(F.avg("diff").alias("m")))
+    return profile_of_means(per_slot, keys, slot_minutes)
+
+
+def profile_of_means(per_slot: DataFrame, keys=("meter_customer_code", "meter_type"), slot_minutes=SLOT_MINUTES) -> DataFrame:
+    """:func:`daily_profile` from the mean ``m`` of each slot ``tod`` that has one."""
+    keys = list(keys)
+    spd = 24 * 60 // slot_minutes
     prof = (per_slot.groupBy(*keys)
                     .agg(F.map_from_entries(F.collect_list(F.struct("tod", "m"))).alias("pm"),
                          F.avg("m").alias("fill")))

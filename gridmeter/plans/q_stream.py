@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.core import round_half_up as r_, sql_round as rs
 from ..operators import smooth as SM
 from ..operators import usage as U
+from ..session import materialize
+from ..streaming import cleaning as CL
 from ..streaming import ingest as ST
+from . import bindings as B
+from .q_clean import SQL as CLEAN_SQL
 from .q_usage import _monthly2_c
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -28,30 +32,71 @@ def q_stream_daily_usage(spark, d):
     return t.select("user_id", "window_start", r_("total", 2).alias("total"), "n")
 
 
-def _backfill(spark, d):
+def _events(spark, d):
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{d}/events.parquet")
+
+
+def _gaps(spark, d):
+    """Events some of which lack their id or time."""
+    e = _events(spark, d)
+    return e.withColumns({"event_id": F.when(F.pmod("event_id", F.lit(11)) != 0, F.col("event_id")),
+                          "ts": F.when(F.pmod("event_id", F.lit(13)) != 0, F.col("ts"))})
+
+
+def _parts(e, ts, orders=(3, 2, 1, 0)):
+    """The rows by quarters of their time span, in the given order; those without a time come with the first."""
+    lo, hi = e.agg(F.min(ts), F.max(ts)).first()
+    for n, k in enumerate(orders):
+        if lo is None:
+            yield e if n == 0 else e.limit(0)
+            continue
+        a, b = lo + (hi - lo) * k / 4, lo + (hi - lo) * (k + 1) / 4
+        here = (F.col(ts) >= F.lit(a)) & ((F.col(ts) <= F.lit(b)) if k == 3 else (F.col(ts) < F.lit(b)))
+        yield e.where(here | F.col(ts).isNull() if n == 0 else here)
+
+
+def _backfill(spark, e):
     """The events as files that arrive latest first, one file for each trigger."""
-    e = spark.read.schema(EVENTS_SCHEMA).parquet(f"{d}/events.parquet")
     folder = ST._scratch(spark, "backfill")
-    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
-    for k in (3, 2, 1, 0):
-        a, b = lo + (hi - lo) * k / 4, lo + (hi - lo) * (k + 1) / 4
-        part = e.where((F.col("ts") >= F.lit(a)) & ((F.col("ts") <= F.lit(b)) if k == 3 else (F.col("ts") < F.lit(b))))
-        part.write.parquet(f"{folder}/p{3 - k}")
+    for n, part in enumerate(_parts(e, "ts")):
+        part.write.parquet(f"{folder}/p{n}")
     s = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.parquet").parquet(folder))
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def q_stream_ingest_backfill(spark, d):
-    t = ST.ingest_stream(spark, _backfill(spark, d), "event_id", "ts")
+    t = ST.ingest_stream(spark, _backfill(spark, _events(spark, d)), "event_id", "ts")
     return t.select("event_id", "user_id", "ts", r_("value", 2).alias("value"))
 
 
 def q_stream_daily_usage_backfill(spark, d):
-    t = ST.daily_usage_stream(spark, _backfill(spark, d), "user_id", "ts", "value")
+    t = ST.daily_usage_stream(spark, _backfill(spark, _events(spark, d)), "user_id", "ts", "value")
     return t.select("user_id", "window_start", r_("total", 2).alias("total"), "n")
 
 
+def q_stream_ingest_gaps(spark, d):
+    """A backfill of which some rows lack their id or time: every one of them stays."""
+    t = ST.ingest_stream(spark, _backfill(spark, _gaps(spark, d)), "event_id", "ts")
+    return t.select("event_id", "user_id", "ts", r_("value", 2).alias("value"))
+
+
+def q_stream_usage_gaps(spark, d):
+    """Daily usage of such a backfill, the rows without a time as a day of their own."""
+    t = ST.daily_usage_stream(spark, _backfill(spark, _gaps(spark, d)), "user_id", "ts", "value")
+    return t.select("user_id", "window_start", r_("total", 2).alias("total"), "n")
+
+
+def q_clean_series_by_batches(spark, d):
+    """The clean series from heartbeats that arrive in four parts out of order (G1-G4):
+    each part goes into the cleaning state, which corrects what earlier parts gave."""
+    folder = ST._scratch(spark, "cleaning")
+    for n, part in enumerate(_parts(materialize(B.readings(spark, d), "readings"), "heartbeatStart", (2, 0, 3, 1))):
+        CL.apply_batch(spark, folder, part, n, order_extra=["row_id"])
+    return CL.series(spark, folder).select("meter_customer_code", "meter_type", "slot_start", r_("energy_kwh", 6).alias("energy_kwh"),
+                                           "imputation_method", "tariff")
+
+
 def q_tenure_lowess(spark, d):
     t = U.tenure_curve(_monthly2_c(spark, d), "monthly_kwh", ["country"], 10)
     s = SM.lowess(t, "country", "months_since_first", "mean", frac=0.2)
@@ -73,6 +118,9 @@ QUERIES = {
     "stream_ingest_backfill": q_stream_ingest_backfill,
     "stream_daily_usage_backfill": q_stream_daily_usage_backfill,
     "stream_daily_usage": q_stream_daily_usage,
+    "stream_ingest_gaps": q_stream_ingest_gaps,
+    "stream_usage_gaps": q_stream_usage_gaps,
+    "clean_series_by_batches": q_clean_series_by_batches,
     "tenure_lowess": q_tenure_lowess,
 }
 
@@ -81,6 +129,11 @@ SQL = {
     "stream_daily_usage": f"""SELECT user_id, date_trunc('day', ts) AS window_start, {rs('sum(value)', 2)} AS total,
         count(*) AS n FROM events GROUP BY user_id, date_trunc('day', ts)""",
 }
+_GAPS = """(SELECT CASE WHEN event_id % 11 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 13 <> 0 THEN ts END AS ts,
+    user_id, value FROM events)"""
+SQL["stream_ingest_gaps"] = SQL["stream_ingest"].replace("FROM events", f"FROM {_GAPS}")
+SQL["stream_usage_gaps"] = SQL["stream_daily_usage"].replace("FROM events", f"FROM {_GAPS}")
+SQL["clean_series_by_batches"] = CLEAN_SQL["clean_series"]
 SQL["stream_ingest_backfill"] = SQL["stream_ingest"]
 SQL["stream_daily_usage_backfill"] = SQL["stream_daily_usage"]
 
