@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import contains_ci
+from ..session import materialize
 
 # Fixed values of the accounting rule (small-scale methodology for
 # renewable mini-grids): threshold per residential customer-year and the
@@ -71,7 +72,9 @@ def projects_without_full_years(annual: DataFrame) -> DataFrame:
 
 def carbon_accounting(annual: DataFrame, projects: DataFrame) -> DataFrame:
     """Mean annual co2e over full years, n_years, all-time customer count and
-    project metadata, largest first (R6)."""
+    project metadata, largest first (R6).  Years and customers both come from the
+    annual frame, which is written once."""
+    annual = materialize(annual, "annual")
     py = project_years(annual)
     avg = py.groupBy("project").agg(F.avg("co2e_tonne").alias("avg_annual_co2e"),
                                     F.countDistinct("year").cast("int").alias("n_years"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .series import running_sum
+
 
 def is_blank(col: str):
     """NULL or empty after trimming (FLT16)."""
@@ -76,6 +79,105 @@ def completeness(df: DataFrame, key: str, ts: str, slot_minutes: int = 15, by=()
               .withColumn("completeness", F.col("n_readings") / F.lit(float(spd))))
 
 
+def completeness_matrix(df: DataFrame, site: str, key: str, ts: str, slot_minutes: int = 15, unit: str = "month") -> DataFrame:
+    """Expected and present slots by site and month or year (X2): site, period,
+    n_keys, expected, present, completeness.
+
+    A key is expected in every slot from its first reading to its last, so a
+    period between them without a reading is a cell with 0 present.  A slot
+    counts once however many readings it holds.  Rows without a key or time are
+    left out, a NULL site is a site.
+
+    Present slots are bits of a (site, key, day) row, which partial aggregation
+    combines before the shuffle; spans, calendar and sums work on those rows.
+    """
+    spd = 24 * 60 // slot_minutes
+    words = -(-spd // 60)
+    second = F.unix_seconds(F.col(ts))
+    d = (df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+           .select(F.col(site).alias("site"), F.col(key).alias("key"), F.floor(second / F.lit(86400)).alias("_day"),
+                   F.floor(F.pmod(second, F.lit(86400)) / F.lit(slot_minutes * 60)).cast("int").alias("_s")))
+    bit = lambda w: F.when(F.floor(F.col("_s") / 60) == w, F.expr("shiftleft(1L, _s % 60)")).otherwise(F.lit(0).cast("long"))
+    days = (d.groupBy("site", "key", "_day")
+             .agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), *[F.bit_or(bit(w)).alias(f"_w{w}") for w in range(words)])
+             .select("site", "key", "_day", (F.col("_day") * spd + F.col("_lo")).alias("_a"), (F.col("_day") * spd + F.col("_hi")).alias("_b"),
+                     sum(F.bit_count(f"_w{w}") for w in range(words)).cast("long").alias("_present")))
+    days = materialize(days, "present-slots")
+    start = lambda c: F.trunc(F.date_from_unix_date(F.col(c).cast("int")), unit)
+    spans = days.groupBy("site", "key").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    first, last = (F.trunc(F.date_from_unix_date(F.floor(F.col(c) / F.lit(spd)).cast("int")), unit) for c in ("_a", "_b"))
+    cells = spans.select("site", "_a", "_b", F.explode(F.sequence(first, last, F.expr(f"INTERVAL 1 {unit}"))).alias("period"))
+    begin = F.unix_date("period").cast("long") * spd
+    end = F.unix_date(F.add_months("period", 12 if unit == "year" else 1)).cast("long") * spd
+    inside = F.least(F.col("_b"), end - 1) - F.greatest(F.col("_a"), begin) + 1
+    # expected and present slots meet in one aggregate
+    e = cells.select("site", "period", F.lit(1).cast("long").alias("_k"), inside.alias("_e"), F.lit(0).cast("long").alias("_p"))
+    p = days.select("site", start("_day").alias("period"), F.lit(0).cast("long").alias("_k"), F.lit(0).cast("long").alias("_e"), F.col("_present").alias("_p"))
+    return (e.unionByName(p).groupBy("site", "period")
+             .agg(F.sum("_k").alias("n_keys"), F.sum("_e").alias("expected"), F.sum("_p").alias("present"))
+             .withColumn("completeness", F.col("present") / F.col("expected")))
+
+
+def outage_intervals(df: DataFrame, key: str, ts: str, up, order_extra=(), slot_minutes: int = 15, bucket: str = "day") -> DataFrame:
+    """Outages as intervals (X3): key, outage_start, outage_end, slots, ended.
+
+    An outage is a maximal run of down readings of a key (``up``: a condition;
+    rows for which it is NULL, and those without a key or time, are left out),
+    from its first reading to the next up reading, or to the key's last reading
+    where none follows (``ended`` is then false).
+
+    Each reading is compared with the one before inside (key, day); a day's first
+    reading with the last of the key's day before, from a table of one row for
+    each day.  The k-th start and the k-th end are an outage; they are numbered
+    inside days plus a prefix over days, so no task holds a key.
+    """
+    d = (df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("_k"), F.col(ts).alias("_t"), (~up).cast("int").alias("_down"),
+                                                                         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_extra)])
+           .where("_down IS NOT NULL").withColumn("_bk", F.date_trunc(bucket, F.col("_t"))))
+    order = ["_t", *[f"_o{i}" for i in range(len(order_extra))]]
+    inside = Window.partitionBy("_k", "_bk").orderBy(*order)
+    d = d.withColumns({"_prev": F.lag("_down").over(inside), "_i": F.row_number().over(inside),
+                       "_n": F.count(F.lit(1)).over(Window.partitionBy("_k", "_bk"))})
+    d = materialize(d, "states")
+    days = Window.partitionBy("_k").orderBy("_bk")
+    ends = (d.where("_i = _n").select("_k", "_bk", F.lag("_down").over(days).alias("_before")))
+    j = d.join(ends, ["_k", "_bk"]).withColumn("_prev", F.coalesce(F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("_prev")), F.lit(0)))
+    turns = j.where("_down <> _prev").select("_k", "_t", "_down", *order[1:])
+    turns = materialize(turns, "turns")
+    numbered = running_sum(turns, ["_k"], "_t", [*order[1:]], "_down", "_outage")
+    lasts = d.groupBy("_k").agg(F.max("_t").alias("_last"))
+    o = numbered.groupBy("_k", "_outage").agg(F.max(F.when(F.col("_down") == 1, F.col("_t"))).alias("outage_start"),
+                                              F.max(F.when(F.col("_down") == 0, F.col("_t"))).alias("_end"))
+    o = o.join(lasts, "_k").withColumn("outage_end", F.coalesce("_end", "_last"))
+    seconds = F.unix_seconds("outage_end") - F.unix_seconds("outage_start")
+    return o.select(F.col("_k").alias(key), "outage_start", "outage_end", F.bround(seconds / F.lit(slot_minutes * 60.0), 0).cast("long").alias("slots"),
+                    F.col("_end").isNotNull().alias("ended"))
+
+
+def _by_month(df: DataFrame, by, start: str, end: str, out: str) -> DataFrame:
+    """Seconds of the intervals in each month that they touch: by, ym, ``out``."""
+    m = df.select(*by, start, end, F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    begin, stop = F.unix_micros(F.col("_m").cast("timestamp")), F.unix_micros(F.add_months("_m", 1).cast("timestamp"))
+    return m.select(*by, F.date_format("_m", "yyyy-MM").alias("ym"), ((F.least(at(end), stop) - F.greatest(at(start), begin)) / F.lit(1e6)).alias(out))
+
+
+def uptime_from_outages(df: DataFrame, outages: DataFrame, site: str, key: str, ts: str) -> DataFrame:
+    """Uptime by site and month as covered time (X3): site, ym, covered_s, down_s, uptime.
+
+    A key is covered from its first reading to its last; an outage takes its own
+    time away.  Months in which nothing is covered have no uptime.  ``df`` holds one
+    site for each key.
+    """
+    d = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    spans = d.groupBy(key).agg(F.first(site).alias("site"), F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    spans = materialize(spans, "spans")
+    covered = _by_month(spans, ["site"], "_a", "_b", "covered_s").withColumn("down_s", F.lit(0.0))
+    down = _by_month(outages.join(spans.select(key, "site"), key), ["site"], "outage_start", "outage_end", "down_s").withColumn("covered_s", F.lit(0.0))
+    return (covered.unionByName(down).groupBy("site", "ym").agg(F.sum("covered_s").alias("covered_s"), F.sum("down_s").alias("down_s"))
+            .withColumn("uptime", F.try_divide(F.col("covered_s") - F.col("down_s"), F.col("covered_s"))))
+
+
 def uptime_by_month(df: DataFrame, ts: str, up, by) -> DataFrame:
     """Mean of an up/down indicator by group and month."""
     return (df.groupBy(*by, F.date_format(ts, "yyyy-MM").alias("ym"))
@@ -132,8 +234,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     last right row so far is carried along (among equal times the last in
     ``order_extra`` order wins).  What a bucket carries over from earlier ones
     comes from a table with one row per (key, bucket).  Each side is read and
-    shuffled once, pairs are never formed, and a hot key spreads over its
-    buckets.
+    shuffled once (what the windows give is written, as two branches read it),
+    pairs are never formed, and a hot key spreads over its buckets.  Rows without
+    a key or time match nothing and pass beside the windows.
     """
     values = list(values)
     names = left.columns
@@ -141,15 +244,20 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     extra = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_extra)]
     a = left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), row.alias("_row"))
     b = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), *extra, got.alias("_got"))
+    placed = F.col("_k").isNotNull() & F.col("_ts").isNotNull()
     u = a.unionByName(b, allowMissingColumns=True).withColumn("_bk", F.date_trunc(bucket, F.col("_ts")))
-    inside = Window.partitionBy("_k", "_bk")
+    # a row without a key or time has a window of its own: it matches nothing
+    u = u.where(placed | (F.col("_side") == 1)).withColumn("_spare", F.when(~placed, F.monotonically_increasing_id()))
+    inside = Window.partitionBy("_k", "_bk", "_spare")
     up = inside.orderBy("_ts", "_side", *[f"_o{i}" for i in range(len(extra))])
     u = (u.withColumn("_own", F.last("_got", True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(inside)))
+          .withColumn("_i", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(inside))
+          .select("_k", "_ts", "_bk", "_side", "_row", "_own", (F.col("_i") == F.col("_n")).alias("_end")))
+    u = materialize(u, "asof")
     earlier = Window.partitionBy("_k").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (u.where(F.col("_i") == F.col("_n"))
+    ends = (u.where(placed & F.col("_end"))
              .select(F.col("_k").alias("_ek"), F.col("_bk").alias("_ebk"), F.last("_own", True).over(earlier).alias("_before")))
     u = u.where("_side = 1")
     j = u.join(ends, (u["_k"] == ends["_ek"]) & (u["_bk"] == ends["_ebk"]), "left")
-    v = F.when(F.col("_k").isNotNull() & F.col("_ts").isNotNull(), F.coalesce("_own", "_before"))
+    v = F.when(placed, F.coalesce("_own", "_before"))
     return j.select("_row", v.alias("_v")).select("_row.*", *[F.col("_v")[c].alias(c) for c in values])

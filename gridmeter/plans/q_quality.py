@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import round_half_up as r_, sql_round as rs
 from ..operators import quality as Q
+from ..operators import sketches as K
+from ..session import materialize
 from . import bindings as B
 from .q_grid import _clean_site, _lp_steps
 from .sql_bindings import with_
@@ -109,7 +111,73 @@ def q_readings_with_customer(spark, d):
              .select("row_id", "meter_customer_code", "heartbeatStart", "customerType", "projectName"))
 
 
+def _sited(spark, d):
+    """Heartbeats with the site of their customer."""
+    c = B.customers(spark, d).select(F.col("customerAccountNumber").alias("meter_customer_code"), F.col("projectName").alias("site_name"))
+    return _r(spark, d).join(c, "meter_customer_code", "left")
+
+
+def q_completeness_matrix(spark, d):
+    """Expected and present slots by table, site and month, empty months included."""
+    out = None
+    for name, df, site, key, ts, slot in (
+            ("readings", _sited(spark, d), "site_name", "meter_customer_code", "heartbeatStart", 15),
+            ("payments", B.payments(spark, d), "projectName", "customerAccountNumber", "transactionDatetime", 1440)):
+        m = Q.completeness_matrix(df, site, key, ts, slot).select(
+            F.lit(name).alias("table_name"), "site", F.date_format("period", "yyyy-MM").alias("ym"), "n_keys", "expected", "present",
+            r_("completeness", 6).alias("completeness"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def q_completeness_by_year(spark, d):
+    m = Q.completeness_matrix(B.payments(spark, d), "projectName", "customerAccountNumber", "transactionDatetime", 1440, "year")
+    return m.select("site", F.year("period").alias("year"), "n_keys", "expected", "present", r_("completeness", 6).alias("completeness"))
+
+
+def q_outage_intervals(spark, d):
+    return Q.outage_intervals(_r(spark, d), "meter_customer_code", "heartbeatStart", F.col("state") == 1, ["row_id"])
+
+
+def q_uptime_from_outages(spark, d):
+    r = materialize(_sited(spark, d), "sited")
+    o = Q.outage_intervals(r, "meter_customer_code", "heartbeatStart", F.col("state") == 1, ["row_id"])
+    u = Q.uptime_from_outages(r, o, "site_name", "meter_customer_code", "heartbeatStart")
+    return u.select("site", "ym", r_("covered_s", 0).alias("covered_s"), r_("down_s", 0).alias("down_s"), r_("uptime", 6).alias("uptime"))
+
+
+def q_distinct_meters_by_year(spark, d):
+    """Distinct customers by site and year from monthly sketches, held against the exact count."""
+    c = B.clean_series_long(spark, d).select("site_name", "meter_customer_code", "slot_start")
+    by = ["site_name", F.year("month").alias("year")]
+    est = K.distinct_estimates(K.distinct_sketches(c, ["site_name"], "slot_start", "meter_customer_code"), by)
+    exact = c.groupBy(F.col("site_name").alias("_s"), F.year("slot_start").alias("_y")).agg(F.countDistinct("meter_customer_code").alias("n_exact"))
+    j = est.join(exact, F.col("site_name").eqNullSafe(F.col("_s")) & F.col("year").eqNullSafe(F.col("_y")))
+    off = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.lit(1.0), F.lit(4 * K.HLL_ERROR) * F.col("n_exact"))
+    return j.select("site_name", "year", "n_rows", "n_exact", off.alias("within_error"))
+
+
+def q_usage_quantiles_by_year(spark, d):
+    """Median and quartiles of slot energy by site and year from monthly sketches: is the rank of each within the error (A6, A7)?"""
+    c = materialize(B.clean_series_long(spark, d).select("site_name", "slot_start", F.col("energy_kwh").cast("double").alias("x")), "usage")
+    probs = [0.25, 0.5, 0.75]
+    q = K.quantile_estimates(K.quantile_sketches(c, ["site_name"], "slot_start", "x"), ["site_name", F.year("month").alias("year")], probs)
+    q = q.withColumnsRenamed({"site_name": "_s", "year": "_y"})
+    j = c.join(q, c["site_name"].eqNullSafe(q["_s"]) & F.year("slot_start").eqNullSafe(q["_y"]))
+    ranks = j.groupBy("_s", "_y", "n").agg(*[F.count_if(F.col("x") < F.col(f"q{i}")).alias(f"_b{i}") for i in range(3)],
+                                           *[F.count_if(F.col("x") <= F.col(f"q{i}")).alias(f"_u{i}") for i in range(3)])
+    slack = F.lit(2 * K.KLL_ERROR) * F.col("n") + 1
+    ok = [(F.col(f"_b{i}") - slack <= F.lit(p) * F.col("n")) & (F.lit(p) * F.col("n") <= F.col(f"_u{i}") + slack) for i, p in enumerate(probs)]
+    return ranks.select(F.col("_s").alias("site_name"), F.col("_y").alias("year"), "n", (ok[0] & ok[1] & ok[2]).alias("within_error"))
+
+
 QUERIES = {
+    "completeness_matrix": q_completeness_matrix,
+    "completeness_by_year": q_completeness_by_year,
+    "outage_intervals": q_outage_intervals,
+    "uptime_from_outages": q_uptime_from_outages,
+    "distinct_meters_by_year": q_distinct_meters_by_year,
+    "usage_quantiles_by_year": q_usage_quantiles_by_year,
     "null_blank_profile": q_null_blank_profile,
     "tariff_by_count": q_tariff_by_count,
     "readings_with_customer": q_readings_with_customer,
@@ -143,7 +211,59 @@ def _grid_losses_sql():
         WHERE totalizer_kwh IS NOT NULL AND customer_kwh IS NOT NULL""", steps)
 
 
+def _matrix_sql(src: str, site: str, key: str, ts: str, slot_minutes: int, unit: str = "MONTH") -> str:
+    us = slot_minutes * 60 * 1_000_000
+    return f"""(
+        WITH x AS (SELECT {site} AS site, {key} AS key, epoch_us({ts}) // {us} AS slot FROM {src} WHERE {key} IS NOT NULL AND {ts} IS NOT NULL),
+        sp AS (SELECT site, key, min(slot) AS a, max(slot) AS b FROM x GROUP BY site, key),
+        ce AS (SELECT site, a, b, unnest(generate_series(date_trunc('{unit}', make_timestamp(a * {us})), make_timestamp(b * {us}), INTERVAL 1 {unit})) AS m FROM sp),
+        ex AS (SELECT site, CAST(m AS DATE) AS period, count(*) AS n_keys,
+                      CAST(sum(least(b, epoch_us(CAST(m AS TIMESTAMP) + INTERVAL 1 {unit}) // {us} - 1) - greatest(a, epoch_us(CAST(m AS TIMESTAMP)) // {us}) + 1) AS BIGINT) AS expected
+               FROM ce GROUP BY site, m),
+        ob AS (SELECT site, CAST(date_trunc('{unit}', make_timestamp(slot * {us})) AS DATE) AS period, count(*) AS present
+               FROM (SELECT DISTINCT site, key, slot FROM x) GROUP BY ALL)
+        SELECT ex.site, ex.period, n_keys, expected, coalesce(present, 0) AS present
+        FROM ex LEFT JOIN ob ON ob.period = ex.period AND ob.site IS NOT DISTINCT FROM ex.site)"""
+
+
+_SITED = {"sited": """SELECT r.*, c.projectName AS site_name FROM readings r LEFT JOIN customers c ON c.customerAccountNumber = r.meter_customer_code"""}
+_OUTAGES = {
+    "st": "SELECT meter_customer_code AS k, heartbeatStart AS t, row_id, state <> 1 AS down FROM readings WHERE state IS NOT NULL AND heartbeatStart IS NOT NULL AND meter_customer_code IS NOT NULL",
+    "pv": "SELECT *, coalesce(lag(down) OVER (PARTITION BY k ORDER BY t, row_id), false) AS prev FROM st",
+    "tu": "SELECT *, sum(CAST(down AS INTEGER)) OVER (PARTITION BY k ORDER BY t, row_id) AS o FROM pv WHERE down <> prev",
+    "la": "SELECT k, max(t) AS last_t FROM st GROUP BY k",
+    "og": """SELECT k AS meter_customer_code, outage_start, coalesce(e, last_t) AS outage_end, e IS NOT NULL AS ended FROM (
+        SELECT k, o, max(CASE WHEN down THEN t END) AS outage_start, max(CASE WHEN NOT down THEN t END) AS e FROM tu GROUP BY k, o) JOIN la USING (k)""",
+}
+
+
+def _overlap_sql(src: str, a: str, b: str) -> str:
+    return f"""SELECT site, strftime(m, '%Y-%m') AS ym, epoch(least({b}, CAST(m AS TIMESTAMP) + INTERVAL 1 MONTH)) - epoch(greatest({a}, CAST(m AS TIMESTAMP))) AS s
+        FROM (SELECT *, unnest(generate_series(date_trunc('MONTH', {a}), {b}, INTERVAL 1 MONTH)) AS m FROM {src})"""
+
+
 SQL = {
+    "completeness_matrix": with_(["readings", "customers", "payments"], " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, site, strftime(period, '%Y-%m') AS ym, n_keys, expected, present,
+        {rs('CAST(present AS DOUBLE) / expected', 6)} AS completeness FROM {_matrix_sql(*a)}""" for name, a in (
+            ("readings", ("sited", "site_name", "meter_customer_code", "heartbeatStart", 15)),
+            ("payments", ("payments", "projectName", "customerAccountNumber", "transactionDatetime", 1440)))), _SITED),
+    "completeness_by_year": with_(["payments"], f"""SELECT site, CAST(year(period) AS INTEGER) AS year, n_keys, expected, present,
+        {rs('CAST(present AS DOUBLE) / expected', 6)} AS completeness
+        FROM {_matrix_sql("payments", "projectName", "customerAccountNumber", "transactionDatetime", 1440, "YEAR")}"""),
+    "outage_intervals": with_(["readings"], """SELECT meter_customer_code, outage_start, outage_end,
+        CAST(round_even((epoch(outage_end) - epoch(outage_start)) / 900.0, 0) AS BIGINT) AS slots, ended FROM og""", _OUTAGES),
+    "uptime_from_outages": with_(["readings", "customers"], f"""SELECT site, ym, {rs('sum(c)', 0)} AS covered_s, {rs('sum(d)', 0)} AS down_s,
+        {rs('CASE WHEN sum(c) <> 0 THEN (sum(c) - sum(d)) / sum(c) END', 6)} AS uptime FROM (
+        SELECT site, ym, s AS c, 0.0 AS d FROM ({_overlap_sql("spn", "a", "b")}) UNION ALL
+        SELECT site, ym, 0.0, s FROM ({_overlap_sql("ogs", "outage_start", "outage_end")})) GROUP BY site, ym""",
+        {**_SITED, **_OUTAGES,
+         "spn": "SELECT meter_customer_code, any_value(site_name) AS site, min(heartbeatStart) AS a, max(heartbeatStart) AS b FROM sited GROUP BY meter_customer_code",
+         "ogs": "SELECT og.*, spn.site FROM og JOIN spn USING (meter_customer_code)"}),
+    "distinct_meters_by_year": with_(["clean_long"], """SELECT site_name, CAST(year(slot_start) AS INTEGER) AS year, count(*) AS n_rows,
+        count(DISTINCT meter_customer_code) AS n_exact, true AS within_error FROM clean_long GROUP BY ALL"""),
+    "usage_quantiles_by_year": with_(["clean_long"], """SELECT site_name, CAST(year(slot_start) AS INTEGER) AS year, count(energy_kwh) AS n, true AS within_error
+        FROM clean_long GROUP BY ALL"""),
     "null_blank_profile": with_(["payments"], """SELECT c AS "column", n_rows, n_null_or_blank FROM (
         SELECT count(*) AS n_rows,
           CAST(sum(CASE WHEN isTest IS NULL OR trim(CAST(isTest AS VARCHAR)) = '' THEN 1 ELSE 0 END) AS BIGINT) AS a,

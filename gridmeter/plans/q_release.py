@@ -10,6 +10,8 @@ from ..functions.core import round_half_up as r_, sql_round as rs, to_number
 from ..operators import quality as Q
 from ..operators import release as R
 from ..session import checkpoint_dir
+from ..sources import commits as W
+from ..sources import footers as FT
 from ..sources import io as IO
 from . import bindings as B
 from .sql_bindings import with_
@@ -20,6 +22,8 @@ STATION_SAFE = ["meteringSiteId", "meteringBaseStation", "projectName", "timezon
                 "olderMeteringSiteIds"]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+TABLE_KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
+              "events": "event_id", "documents": "doc_id", "embeddings": "vec_id"}
 EXCLUDED_PROJECTS = ["NATION_3", "NATION_4"]
 
 
@@ -124,6 +128,25 @@ def q_incremental_write_rerun(spark, d):
     return spark.read.schema(o.schema).parquet(path)
 
 
+def q_resumable_after_kill(spark, d):
+    """Partitions go by commit markers (SNK2, SNK5): one half is committed, a run that is
+    killed before its markers leaves files, and a rerun writes what is not committed."""
+    o = B.table(spark, d, "orders").select(
+        "o_orderkey", r_("o_totalprice", 2).alias("o_totalprice"),
+        F.when(F.pmod("o_orderkey", F.lit(3)) > 0, F.concat(F.lit("site "), F.pmod("o_orderkey", F.lit(3)))).alias("site_name"),
+        F.year("o_orderdate").alias("year"))
+    path, keys = _folder(spark, "committed"), ["site_name", "year"]
+    W.committed_write(o.where("year < 1996 OR site_name IS NULL"), path, keys)
+    W.write_attempt(o.where("year < 1998"), path, keys)          # killed: no markers
+    W.committed_write(o, path, keys)
+    return W.read_committed(spark, path, keys)
+
+
+def q_table_key_ranges(spark, d):
+    """Rows and key range of each table, from the footers."""
+    return FT.ranges(spark, {n: (f"{d}/{n}.parquet", k) for n, k in TABLE_KEYS.items()})
+
+
 def q_write_read_csv(spark, d):
     c = B.table(spark, d, "customer").select("c_custkey", "c_name", r_("c_acctbal", 2).alias("c_acctbal"))
     path = _folder(spark, "csv")
@@ -172,7 +195,7 @@ def q_table_profile(spark, d):
 
 
 def q_table_bytes(spark, d):
-    return IO.table_profile({n: B.table(spark, d, n) for n in TABLES})
+    return FT.table_profile(spark, {n: f"{d}/{n}.parquet" for n in TABLES})
 
 
 def q_tariff_history(spark, d):
@@ -235,6 +258,8 @@ QUERIES = {
     "exclude_uuid_sites": q_exclude_uuid_sites,
     "uuid_site_flags": q_uuid_site_flags,
     "incremental_write_rerun": q_incremental_write_rerun,
+    "resumable_after_kill": q_resumable_after_kill,
+    "table_key_ranges": q_table_key_ranges,
     "write_read_csv": q_write_read_csv,
     "write_read_series": q_write_read_series,
     "safe_site_name": q_safe_site_name,
@@ -313,6 +338,8 @@ SQL = {
           AND NOT coalesce(length(site_file) = 36 AND length(site_file) - length(replace(site_file, '-', '')) = 4, false)"""),
     "incremental_write_rerun": f"""SELECT o_orderkey, {rs('o_totalprice', 2)} AS o_totalprice,
         CASE WHEN o_orderkey % 3 > 0 THEN 'site ' || (o_orderkey % 3) END AS site_name, year(o_orderdate)::INTEGER AS year FROM orders""",
+    "table_key_ranges": " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS n_rows, min({k}) AS first_key, max({k}) AS last_key FROM {n}" for n, k in TABLE_KEYS.items()),
     "write_read_csv": f"SELECT c_custkey, c_name, {rs('c_acctbal', 2)} AS c_acctbal FROM customer",
     "write_read_series": f"""SELECT l_orderkey, l_linenumber, {rs('l_quantity', 2)} AS l_quantity, l_returnflag AS site_name FROM lineitem""",
     "uuid_site_flags": with_(["stations"], """SELECT site_file,
@@ -352,3 +379,4 @@ SQL["table_profile"] = " UNION ALL ".join(
     f"""SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS n_rows, c.n_columns, c.columns FROM (
         SELECT count(*)::INTEGER AS n_columns, string_agg(column_name, ',' ORDER BY ordinal_position) AS columns
         FROM information_schema.columns WHERE table_name = '{n}') c""" for n in TABLES)
+SQL["resumable_after_kill"] = SQL["incremental_write_rerun"]

@@ -27,25 +27,60 @@ def read_table(spark: SparkSession, name: str, *, path: str | None = None, url:
     return df.select(*columns) if columns else df
 
 
-def read_query(spark: SparkSession, url: str, query: str, props: dict | None = None) -> DataFrame:
-    """Projected database query (SRC2)."""
-    r = spark.read.format("jdbc").option("url", url).option("query", query)
-    for k, v in (props or {}).items():
-        r = r.option(k, v)
-    return r.load()
-
-
-def year_predicates(column: str, years) -> list[str]:
-    """Half-open ``[y, y+1)`` ranges, one per year (SRC3)."""
-    return [f"{column} >= '{y}-01-01' AND {column} < '{y + 1}-01-01'" for y in years]
+def read_query(spark: SparkSession, url: str, query: str, props: dict | None = None, predicates=None, fetchsize: int = 200_000) -> DataFrame:
+    """Projected database query (SRC2); ``predicates`` over its columns read it in as
+    many tasks."""
+    p = {"fetchsize": str(fetchsize), **(props or {})}
+    if predicates:
+        return spark.read.jdbc(url, f"({query}) q", predicates=list(predicates), properties=p)
+    return spark.read.format("jdbc").options(url=url, query=query, **p).load()
+
+
+def year_predicates(column: str, years, rest: bool = False) -> list[str]:
+    """Half-open ``[y, y+1)`` ranges, one per year (SRC3); with ``rest`` one more for
+    NULL and all other times, so that every row is in exactly one."""
+    years = sorted(set(years))
+    p = [f"{column} >= '{y}-01-01' AND {column} < '{y + 1}-01-01'" for y in years]
+    if rest:
+        p.append(" OR ".join([f"{column} IS NULL", *(["NOT (" + " OR ".join(f"({x})" for x in p) + ")"] if p else [f"{column} IS NOT NULL"])]))
+    return p
+
+
+def range_predicates(column: str, counts, rows: int) -> list[str]:
+    """Ranges of about ``rows`` rows each, from (day or month, count) pairs (SRC1, SRC3).
+
+    ``counts``: the first day of each period (as text or date) and its rows, in any
+    order; periods that are not named belong to the range before them.  The first
+    range has no lower and the last no upper end, and NULL has a range of its own, so
+    every row is in exactly one whatever the counts say: they only even out the tasks.
+    """
+    starts, held = [], 0
+    for period, n in sorted((str(p)[:10], n) for p, n in counts if p is not None):
+        if held and held + n > rows:
+            starts.append(period)
+            held = 0
+        held += n
+    if not starts:
+        return [f"{column} IS NOT NULL", f"{column} IS NULL"]
+    inner = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(starts, starts[1:])]
+    return [f"{column} < '{starts[0]}'", *inner, f"{column} >= '{starts[-1]}'", f"{column} IS NULL"]
+
+
+def read_by_ranges(spark: SparkSession, url: str, table: str, ts: str, counts, rows: int = 5_000_000, props: dict | None = None,
+                   fetchsize: int = 200_000) -> DataFrame:
+    """Database scan of ranges of like size, a task each (SRC1, SRC3)."""
+    p = dict(props or {})
+    p.setdefault("fetchsize", str(fetchsize))
+    return spark.read.jdbc(url, table, predicates=range_predicates(ts, counts, rows), properties=p)
 
 
 def read_by_years(spark: SparkSession, url: str, table: str, ts: str, years,
                   props: dict | None = None, fetchsize: int = 200_000) -> DataFrame:
-    """Time-range partitioned database scan: one task per year (SRC3)."""
+    """Time-range partitioned database scan: one task per year, and one for NULL and
+    other times (SRC3)."""
     p = dict(props or {})
     p.setdefault("fetchsize", str(fetchsize))
-    return spark.read.jdbc(url, table, predicates=year_predicates(ts, years), properties=p)
+    return spark.read.jdbc(url, table, predicates=year_predicates(ts, years, rest=True), properties=p)
 
 
 def read_sites(spark: SparkSession, paths, name_pattern: str = r"^(.*)\.parquet$",
@@ -76,7 +111,9 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows, columns (number and list) and file bytes per table (SRC8, SRC9).
 
     File bytes are summed over the distinct files of the scan (from the
-    ``_metadata`` column); the row count reads no data columns.
+    ``_metadata`` column); the row count reads no data columns.  For tables
+    that are plain Parquet, :func:`gridmeter.sources.footers.table_profile`
+    reads the footers alone.
     """
     parts = []
     for name, df in tables.items():
