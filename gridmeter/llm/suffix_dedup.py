@@ -65,28 +65,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def _powers(base: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64, as many as a slice needs."""
+    out = np.full(2 * SLICE, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWER, _BACK = _powers(_BASE), _powers(pow(_BASE, -1, 2 ** 64))
+
+
+def prefixes(b: np.ndarray) -> np.ndarray:
+    """Sums of byte values times powers up to each place of at most ``2 * SLICE`` bytes.
+
+    The difference of two, times the power that takes the first place back to 0, is a hash of the bytes between.
+    """
+    out = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_RANDOM[b] * _POWER[:len(b)], dtype=np.uint64, out=out[1:])
+    return out
+
+
 def rolling(b: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from each place on (the last places have none)."""
-    x, known, part = _RANDOM[b], 1, None
-    left, done = size, 0
-    while True:  # doubling: x hashes the next ``known`` bytes
-        if left & 1:
-            part = x if part is None else part[:len(x) - done] * _U(pow(_BASE, known, 2 ** 64)) + x[done:]
-            done += known
-        left >>= 1
-        if not left:
-            return _mix(part)
-        x = x[:-known] * _U(pow(_BASE, known, 2 ** 64)) + x[known:]
-        known *= 2
-
-
-def hashes_at(b: np.ndarray, at: np.ndarray, size: int, stride: int) -> np.ndarray:
+    n = len(b) - size + 1
+    out = np.empty(max(0, n), np.uint64)
+    for a in range(0, n, SLICE):
+        p = prefixes(b[a:min(a + SLICE, n) + size - 1])
+        out[a:a + SLICE] = _mix((p[size:] - p[:-size]) * _BACK[:len(p) - size])
+    return out
+
+
+def hashes_at(b: np.ndarray, at: np.ndarray, size: np.ndarray | int, stride: int) -> np.ndarray:
     """The hashes of the ``size`` bytes from each place in ``at`` (ascending) on, slice by slice."""
-    out = np.empty(len(at), np.uint64)
-    for a in range(0, len(b) - size + 1, stride):
+    out, size = np.empty(len(at), np.uint64), np.broadcast_to(size, len(at))
+    stride = min(stride, SLICE)
+    for a in range(0, len(b), stride):
         i, j = np.searchsorted(at, (a, a + stride))
         if i < j:
-            out[i:j] = rolling(b[a:a + stride + size - 1], size)[at[i:j] - a]
+            here, n = at[i:j] - a, size[i:j]
+            p = prefixes(b[a:a + int((here + n).max())])
+            out[i:j] = _mix((p[here + n] - p[here]) * _BACK[here])
     return out
 
 
@@ -148,9 +166,9 @@ class Pieces:
     def __init__(self, block: Block, length: int, m: int, buckets: int, stride: int = SLICE):
         self.block, self.length, self.m, self.buckets = block, length, m, buckets
         self.key, self.start, self.count = block.windows(length, m, stride)
-        # a piece's bytes are known by the hashes of its first and last window
-        self.hash = lambda at: hashes_at(block.bytes, at, length, stride)
-        self.same = _mix(self.hash(self.start) + self.hash(self.start + self.count - 1) * _U(3) + self.count.astype(np.uint64))
+        # a piece is known by the hash of its bytes, and how many they are
+        self.hash = lambda at, size: hashes_at(block.bytes, at, size, stride)
+        self.same = _mix(self.hash(self.start, self.count + length - 1) + self.count.astype(np.uint64) * _U(3))
 
     def told(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """bucket, keys, whether in two documents, distinct pieces (up to 65535) of this block."""
@@ -178,14 +196,13 @@ class Pieces:
         single = np.repeat(self.start[cut], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.start_of = np.concatenate([self.start[whole], single])
         self.count_of = np.concatenate([self.count[whole], np.ones(len(single), np.int64)])
-        own = self.hash(single)
+        own = self.hash(single, self.length)
         key = np.concatenate([self.key[whole], own])
         same = np.concatenate([self.same[whole], _mix(own + _U(5))])
         bucket = self.bucket(key)
         o = np.lexsort((self.start_of, same, bucket))
         new = (np.diff(bucket[o], prepend=-1) != 0) | (np.diff(same[o], prepend=same[o][:1] + _U(1)) != 0)
         self.order, self.first = o, np.flatnonzero(new)
-        self.piece = np.cumsum(new) - 1  # of each occurrence in order
         self.bucket_of = bucket[o][self.first] if len(o) else np.empty(0, np.int64)
 
     def sent(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -202,19 +219,32 @@ class Pieces:
             take = np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             yield i, n.astype(np.uint8).tobytes(), zlib.compress(least[rows].tobytes(), 1), zlib.compress(self.block.bytes[take].tobytes(), 3), several[rows].tobytes()
 
-    def cover(self, answers: dict[int, np.ndarray]) -> np.ndarray:
-        """Which bytes go, from the smallest id of each window of each piece, by bucket."""
-        gone = np.zeros(len(self.block.bytes) + 1, np.int64)
-        if len(self.order):
-            least = np.concatenate([answers[i] for i, _ in grouped(self.bucket_of)])
-            n = self.count_of[self.order]
-            at = (np.cumsum(n[self.first]) - n[self.first])[self.piece]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = self.start_of[self.order]
-            hit = least[np.repeat(at, n) + inside] < np.repeat(self.block.ids[self.block.doc(start)], n)
-            place = (np.repeat(start, n) + inside)[hit]
-            gone += np.bincount(place, minlength=len(gone)) - np.bincount(place + self.length, minlength=len(gone))
-        return np.cumsum(gone)[:-1] > 0
+    def layout(self) -> bytes:
+        """Where the chosen pieces lie, for :func:`cover`: starts, windows, which begin a distinct piece, buckets of those."""
+        new = np.zeros(len(self.order), np.uint8)
+        new[self.first] = 1
+        return zlib.compress(b"".join([np.int64(len(self.order)).tobytes(), self.start_of[self.order].astype(np.int64).tobytes(),
+                                       self.count_of[self.order].astype(np.uint8).tobytes(), new.tobytes(),
+                                       self.bucket_of.astype(np.int64).tobytes()]), 1)
+
+
+def cover(block: Block, layout: bytes, answers: dict[int, np.ndarray], length: int) -> np.ndarray:
+    """Which bytes of a block go, from the smallest id of each window of each chosen piece, by bucket."""
+    raw = zlib.decompress(layout)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    gone = np.zeros(len(block.bytes) + 1, np.int64)
+    if n:
+        start = np.frombuffer(raw, np.int64, n, 8)
+        count = np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
+        new = np.frombuffer(raw, np.uint8, n, 8 + 9 * n)
+        first, piece = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.concatenate([answers[i] for i, _ in grouped(np.frombuffer(raw, np.int64, len(first), 8 + 10 * n))])
+        at = (np.cumsum(count[first]) - count[first])[piece]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        hit = least[np.repeat(at, count) + inside] < np.repeat(block.ids[block.doc(start)], count)
+        place = (np.repeat(start, count) + inside)[hit]
+        gone += np.bincount(place, minlength=len(gone)) - np.bincount(place + length, minlength=len(gone))
+    return np.cumsum(gone)[:-1] > 0
 
 
 def grouped(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -236,15 +266,15 @@ class CollectionBwt:
 
     Rows of ``text`` hold the strings flush right.  Strings end in terminators of
     their own, smaller than any symbol; symbol 0 of the transform stands before a
-    string's start.  A round's file holds both, 16 bits for each suffix (the symbol
-    before it, and the prefix that it shares with the one above); it is read and
-    the next one written in order.
+    string's start.  A round's file holds a byte of each for every suffix (the symbols
+    before them, then the prefixes that they share with the ones above); it is read
+    and the next one written in order.
     """
 
     def __init__(self, text: np.ndarray, size: np.ndarray, folder: str):
         self.text, self.size, self.n = text, size, len(text)
         self.name = os.path.join(folder, "round")
-        text[:, -1].astype(np.uint16).tofile(f"{self.name}.0")
+        self._put(0, text[:, -1], np.zeros(self.n, np.uint8))
         # places of the transform by symbol (0 left out), each symbol's ascending, and where a symbol's begin
         self.by = np.argsort(text[:, -1], kind="stable").astype(np.int32)
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(text[:, -1], minlength=256))])
@@ -254,32 +284,37 @@ class CollectionBwt:
         for j in range(1, self.rounds + 1):
             self._insert(j)
 
-    def _get(self, j: int) -> np.ndarray:
-        return np.fromfile(f"{self.name}.{j}", np.uint16)
+    def _put(self, j: int, symbol: np.ndarray, lcp: np.ndarray) -> None:
+        with open(f"{self.name}.{j}", "wb") as f:
+            np.ascontiguousarray(symbol).tofile(f)
+            lcp.tofile(f)
+
+    def _get(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.fromfile(f"{self.name}.{j}", np.uint8)
+        return both[:len(both) // 2], both[len(both) // 2:]
 
     def _insert(self, j: int) -> None:
         """Put the suffixes of j symbols in: their symbols before, and the prefixes around them."""
-        state = self._get(j - 1)
+        before, lcp = self._get(j - 1)
         own, r, i = self.new
-        by, c = self.by, (state[r] & 255).astype(np.int64)
+        by, c = self.by, before[r].astype(np.int64)
         q = self.n + i  # ascending places in the new array
         symbol = np.where(self.size[own] > j, self.text[own, -j - 1 if j < self.text.shape[1] else 0], 0).astype(np.uint8)
-        padded = np.append((state >> 8).astype(np.uint8), 0)
         has, more = i > self.begin[c], i + 1 < self.begin[c + 1]
-        up = np.zeros(len(r), np.uint16)
-        up[has] = least(padded, by[i[has] - 1] + 1, r[has] + 1) + 1
-        down = least(padded, r[more] + 1, by[i[more] + 1] + 1) + 1
-        old = np.ones(len(state) + len(q), bool)
+        up = np.zeros(len(r), np.uint8)
+        up[has] = least(lcp, by[i[has] - 1] + 1, r[has] + 1) + 1
+        down = least(lcp, r[more] + 1, by[i[more] + 1] + 1) + 1
+        old = np.ones(len(lcp) + len(q), bool)
         old[q] = False
-        moved = np.flatnonzero(old).astype(np.int32)
-        new = np.empty(len(old), np.uint16)
-        new[moved], new[q] = state, symbol | (up << 8)
-        below = q[more] + 1
-        new[below] = (new[below] & 255) | (down.astype(np.uint16) << 8)
-        new.tofile(f"{self.name}.{j}")
+        symbols, shared = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+        symbols[old], shared[old] = before, lcp
+        symbols[q], shared[q] = symbol, up
+        shared[q[more] + 1] = down
+        self._put(j, symbols, shared)
         os.remove(f"{self.name}.{j - 1}")
+        moved = np.flatnonzero(old)
         # the old places move, and the new ones come in among those of their symbol
-        by = moved[by]
+        by = moved[by].astype(np.int32)
         o = np.argsort(symbol, kind="stable")
         o = o[np.count_nonzero(symbol == 0):]
         own, q, symbol = own[o], q[o], symbol[o]
@@ -299,7 +334,7 @@ class CollectionBwt:
 
     def least_of_windows(self, value: np.ndarray, length: int) -> np.ndarray:
         """For each window of each string in order, the least value of a string with the same window."""
-        lcp = self._get(self.rounds) >> 8
+        lcp = self._get(self.rounds)[1]
         to = np.zeros(len(lcp), np.int32)  # from a suffix to the one that is a symbol longer
         to[self.by] = np.arange(self.n, self.n + len(self.by), dtype=np.int32)
         group = np.cumsum(lcp < length)
@@ -322,12 +357,14 @@ class CollectionBwt:
 
 
 def least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of x[a:b] for each a < b (x has one entry more than any b needs)."""
+    """The least of x[a:b] for each a < b."""
     if not len(a):
         return np.empty(0, x.dtype)
     o = np.argsort(a, kind="stable")
     both = np.stack([a[o], b[o]], 1).ravel()
     out = np.empty(len(a), x.dtype)
+    if both.max() == len(x):      # reduceat takes no end beyond the last entry
+        x = np.append(x, x.dtype.type(0))
     out[o] = np.minimum.reduceat(x, both)[::2]
     return out
 
@@ -336,7 +373,11 @@ def answer(rows: list[tuple[bytes, bytes, bytes, bytes]], length: int) -> list[n
     """For each block's pieces (lengths, ids, texts, several), the smallest id of each window.
 
     A piece that one document has, and none of whose windows has the hash of
-    another piece's, repeats nothing; the others make up the collection.
+    another piece's, repeats nothing; the others make up the collection.  Windows
+    at a piece's ends that no other piece has are repeated as the piece is, and so
+    are all of a piece that has no such window: its last window stands in a
+    collection of such; of the others the run from the first to the last shared
+    window stands in another.
     """
     size = [np.frombuffer(r[0], np.uint8).astype(np.int64) for r in rows]
     ids = np.concatenate([np.frombuffer(zlib.decompress(r[1]), np.int64) for r in rows])
@@ -354,18 +395,40 @@ def answer(rows: list[tuple[bytes, bytes, bytes, bytes]], length: int) -> list[n
     windows = size_of - length + 1
     begin = np.cumsum(windows) - windows
     got = np.repeat(low, windows)
-    meets = (np.bincount(of) > 1) | (np.bincount(of, several) > 0) | meeting(text, size_of, length)
-    if meets.any():
-        with tempfile.TemporaryDirectory() as folder:
-            least_ = CollectionBwt(text[meets], size_of[meets], folder).least_of_windows(low[meets], length)
-        got[np.repeat(meets, windows)] = least_
+    row, twice = meeting(text, size_of, length)
+    inner = np.arange(len(row)) - begin[row]
+    run_from, run_to = np.full(len(first), wide, np.int64), np.full(len(first), -1, np.int64)
+    np.minimum.at(run_from, row[twice], inner[twice])
+    np.maximum.at(run_to, row[twice], inner[twice])
+    met = run_to >= 0
+    alike = np.flatnonzero(~met & ((np.bincount(of) > 1) | (np.bincount(of, several) > 0)))
+    if len(alike):
+        least_ = transformed(np.ascontiguousarray(text[alike, wide - length:]), np.full(len(alike), length), low[alike], length)
+        got[spread(begin[alike], windows[alike])] = np.repeat(least_, windows[alike])
+    met = np.flatnonzero(met)
+    if len(met):
+        run_from, run_to = run_from[met], run_to[met]
+        held = run_to - run_from + length
+        columns = np.arange(wide) - (size_of[met] - run_to - length)[:, None]     # the run flush right
+        strings = np.take_along_axis(text[met], np.maximum(columns, 0), 1)[:, wide - int(held.max()):]
+        got[spread(begin[met] + run_from, held - length + 1)] = transformed(np.ascontiguousarray(strings), held, low[met], length)
     w = n - length + 1
     all_ = got[np.repeat(begin[of], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)]
     return np.split(all_, np.cumsum([int((s - length + 1).sum()) for s in size])[:-1])
 
 
-def meeting(text: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-    """Which strings (rows, flush right) have a window whose hash another one's, or another of its own, has too."""
+def transformed(text: np.ndarray, size: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    with tempfile.TemporaryDirectory() as folder:
+        return CollectionBwt(text, size, folder).least_of_windows(low, length)
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of ``n`` numbers."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def meeting(text: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The string of each window (strings are rows, flush right), and whether another window has its hash too."""
     h = rolling(text.ravel(), length) if text.size >= length else np.empty(0, np.uint64)
     windows = size - length + 1
     row = np.repeat(np.arange(len(text)), windows)
@@ -375,7 +438,7 @@ def meeting(text: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     same = np.diff(h[o]) == 0
     twice = np.zeros(len(h), bool)
     twice[o[1:][same]] = twice[o[:-1][same]] = True
-    return np.bincount(row, twice, len(text)) > 0
+    return row, twice
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, m: int = MINIMIZER,
@@ -417,17 +480,20 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return p
 
     def send(t: pa.Table, s: pa.Table) -> pa.Table:
-        rows = list(chosen(t, s).sent()) if t.num_rows else []
+        p = chosen(t, s) if t.num_rows else None
+        rows = list(p.sent()) if p else []
         block = t["block"][0].as_py() if t.num_rows else 0
+        if p:      # a group of its own, which ``transform`` hands on to the block
+            rows.append((-1 - block, b"", b"", p.layout(), b""))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()),
                          **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "sizes"), (2, "ids"), (3, "texts"), (4, "several"))}})
 
     def transform(t: pa.Table) -> pa.Table:
+        if t["bucket"][0].as_py() < 0:
+            return pa.table({"block": t["block"].cast(pa.int64()), "bucket": t["bucket"].cast(pa.int64()), "told": t["texts"].cast(pa.binary())})
         got = answer(list(zip(*(t[c].to_pylist() for c in ("sizes", "ids", "texts", "several")))), length)
         return pa.table({"block": t["block"].cast(pa.int64()), "bucket": t["bucket"].cast(pa.int64()),
-                         "kind": pa.array([1] * len(got), pa.int32()),
-                         "shared": pa.array([zlib.compress(x.tobytes(), 1) for x in got], pa.binary()),
-                         "hot": pa.nulls(len(got), pa.binary())})
+                         "told": pa.array([zlib.compress(x.tobytes(), 1) for x in got], pa.binary())})
 
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                      ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -435,12 +501,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def cut(t: pa.Table, s: pa.Table) -> pa.Table:
         if not t.num_rows:
             return out.empty_table()
-        first = pc.equal(s["kind"], 0)
-        p = chosen(t, s.filter(first))
-        late = s.filter(pc.invert(first))
-        answers = {b: np.frombuffer(zlib.decompress(x), np.int64) for b, x in zip(late["bucket"].to_pylist(), late["shared"].to_pylist())}
-        gone = p.cover(answers)
-        b = p.block
+        b = Block(t)
+        told = dict(zip(s["bucket"].to_pylist(), s["told"].to_pylist()))
+        layout = told.pop(-1 - t["block"][0].as_py())
+        gone = cover(b, layout, {i: np.frombuffer(zlib.decompress(x), np.int64) for i, x in told.items()}, length)
         kept, spans, less = [], [], []
         for a, e in zip(b.at[:-1], b.at[1:]):
             g = gone[a:e]
@@ -454,9 +518,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     shared = told.groupBy("bucket").applyInArrow(compare, "block bigint, shared binary, hot binary")
     shared = materialize(shared, "shared-keys")
     sent = d.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "bucket bigint, block bigint, sizes binary, ids binary, texts binary, several binary")
-    answers = sent.groupBy("bucket").applyInArrow(transform, "block bigint, bucket bigint, kind int, shared binary, hot binary")
-    both = shared.select("block", F.lit(-1).cast("bigint").alias("bucket"), F.lit(0).alias("kind"), "shared", "hot").union(answers)
-    return d.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(
+    answers = sent.groupBy("bucket").applyInArrow(transform, "block bigint, bucket bigint, told binary")
+    return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 
