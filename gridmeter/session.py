@@ -68,13 +68,19 @@ def materialize(df, name: str = "frame", **options):
 _WRITTEN: list[str] = []
 
 
-def release_materialized(spark: SparkSession) -> int:
+def materialized() -> int:
+    """How many folders this process has materialized and not released."""
+    return len(_WRITTEN)
+
+
+def release_materialized(spark: SparkSession, keep: int = 0) -> int:
     """Delete the folders this process materialized (call when the frames
-    that read them are no longer used, e.g. after a job); returns the count."""
+    that read them are no longer used, e.g. after a job), but for the first
+    ``keep``; returns the count."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _WRITTEN:
+    while len(_WRITTEN) > keep:
         p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         if p.getFileSystem(conf).delete(p, True):
             n += 1
