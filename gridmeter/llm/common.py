@@ -34,9 +34,14 @@ def one_row(df: DataFrame, *keys: Column) -> DataFrame:
     return df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, row_hash(df)).alias("_row")).select("_row.*")
 
 
+#: the folders that ``shared_folder`` has named in this process
+NAMED: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}"
+    NAMED.append(f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-{name}-{uuid.uuid4().hex}")
+    return NAMED[-1]
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

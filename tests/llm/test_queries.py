@@ -1,15 +1,18 @@
 """Registered queries against their SQL, and the pipeline stage by stage."""
 
 import collections
+import os
 
 import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as P  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
 from gridmeter.llm import bpe, registry, toxicity  # noqa: E402
 from tools.check_oracle import compare, duck  # noqa: E402
 
-from .test_operators import classes_by_force, goal_by_force, texts, WORD  # noqa: E402
+from .test_operators import classes_by_force, goal_by_force, odd, texts, WORD  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +65,35 @@ def test_pipeline_by_stages(spark):
     goal = goal_by_force(dict(size))
     assert all(abs(taken[s] - goal[s]) <= most[s] for s in size)
     before, after = out["bpe"]
-    t = bpe.tokenizer(bpe.default_path())
-    want = collections.Counter((i, len(t.run(x)[0]) // 4) for i, x in texts(before))
-    assert collections.Counter((r.doc_id, r.n_tokens) for r in after.collect()) == want
+    library = Tokenizer.from_file(bpe.default_path())
+    want = collections.Counter()
+    for i, x in texts(before):
+        ids = library.encode(x or "", add_special_tokens=False).ids
+        want[i, len(ids), tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in after.collect()) == want
+
+
+def scratch(spark):
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    return {x for x in os.listdir(top) if x.startswith("gridmeter-")} if os.path.isdir(top) else set()
+
+
+@pytest.mark.parametrize("some", [lambda d: d, lambda d: d.limit(0)])
+def test_pipeline_run_on_odd_tables(spark, odd, tmp_path, some):  # noqa: F811
+    """Nulls in any column, repeated ids and rows, long texts, clashing names; and no rows at all."""
+    folder = str(tmp_path)
+    some(odd).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, None, i % 2) for i in range(40)] + [(None, 1, 1), (3, 0, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    before = scratch(spark)
+    got = P.run(spark, folder)
+    left = {x for x in scratch(spark) - before}
+    assert len(left) == 1 and left.pop().startswith("gridmeter-pipeline-mixing")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = docs.columns
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, folder).cache()
+        assert name == "bpe" or docs.columns == names
+    key = lambda d: collections.Counter((r.doc_id, r.n_tokens, r.decoded) for r in d.collect())
+    rows = key(got)
+    assert rows == key(docs) and bool(rows) == (some(odd).count() > 0)
