@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.core import round_half_up as r_, sql_round as rs
 from ..operators import stats as S
+from ..operators import totals as N
 from ..operators import usage as U
+from ..session import checkpoint_dir
 from . import bindings as B
 from .sql_bindings import COUNTRIES_SQL, with_
 
@@ -65,6 +69,30 @@ def q_monthly_consumption(spark, d):
                     r_("monthly_kwh", 4).alias("monthly_kwh"))
 
 
+def _totals_by_batches(spark, d):
+    """Monthly totals after two batches: in the first some values are wrong and some rows
+    missing; the second takes the wrong ones back and brings the right ones, and runs twice."""
+    c = B.clean_series_long(spark, d)
+    part = F.pmod(F.xxhash64("meter_customer_code", "slot_start", "energy_kwh"), F.lit(10))
+    wrong = c.where(part < 2).withColumn("energy_kwh", F.col("energy_kwh") + 1.5)
+    plus, minus = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/gridmeter-totals-{uuid.uuid4().hex}"
+    N.apply_batch(folder, 0, c.where(part >= 3).select("*", plus).unionByName(wrong.select("*", plus)))
+    for _ in range(2):
+        N.apply_batch(folder, 1, c.where(part < 3).select("*", plus).unionByName(wrong.select("*", minus)))
+    return N.monthly_consumption(spark, folder)
+
+
+def q_monthly_totals_by_batches(spark, d):
+    return _totals_by_batches(spark, d).select("meter_customer_code", "cust_class", "ym", "site_name", r_("monthly_kwh", 4).alias("monthly_kwh"))
+
+
+def q_consumption_slopes_by_batches(spark, d):
+    m = U.map_sites(_totals_by_batches(spark, d), B.site_map(spark, d)).where(F.col("monthly_kwh") * 1000.0 > 0)
+    s = S.group_slopes(U.months_since_first(m, "meter_customer_code"), "monthly_kwh", "months_since_first", ["meter_customer_code", "country"])
+    return s.select("meter_customer_code", "country", "n", r_("slope", 6).alias("slope"))
+
+
 def q_map_site_project(spark, d):
     m = _monthly_mapped(spark, d)
     return m.select("meter_customer_code", "cust_class", "ym", "projectName", "country",
@@ -261,6 +289,8 @@ QUERIES = {
     "slope_ttest": q_slope_ttest,
     "slope_ttest_pvalue": q_slope_ttest_pvalue,
     "site_medians": q_site_medians,
+    "monthly_totals_by_batches": q_monthly_totals_by_batches,
+    "consumption_slopes_by_batches": q_consumption_slopes_by_batches,
     "describe_by_class": q_describe_by_class,
     "log_histogram": q_log_histogram,
     "slope_histogram": q_slope_histogram,
@@ -436,6 +466,7 @@ def _build_sql():
         HAVING count(monthly_kwh) >= 10""", _C2)
     sql["consumption_slopes"] = _sql(f"""SELECT meter_customer_code, country, n, {rs('slope', 6)} AS slope
         FROM cs""", _C2 + ["cs"])
+    sql["monthly_totals_by_batches"], sql["consumption_slopes_by_batches"] = sql["monthly_consumption"], sql["consumption_slopes"]
     sql["revenue_payments"] = _sql(f"""SELECT customerAccountNumber, {rs('amount', 2)} AS amount, country,
         projectName, transactionDatetime FROM rev""", ["rev"])
     sql["payments_with_class"] = _sql(f"""SELECT customerAccountNumber, {rs('amount', 2)} AS amount, country,
