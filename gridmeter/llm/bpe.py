@@ -38,15 +38,17 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: words kept by a worker; beyond it the table starts anew
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: new words that take their steps together
+STEP_WORDS = 20_000
 #: bits of a place in the tables of tokens and of arcs
-TOKEN_BITS, ARC_BITS = 18, 21
+TOKEN_BITS, ARC_BITS = 18, 20
 #: bytes of a word that takes its steps with others
 WIDE = 24
 #: characters of a text that are split at once
 CHUNK_CHARS = 1_000_000
 #: characters of text for each batch that a worker gives back
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 #: texts with one of these are split by the library's own splitter, others by a plain pattern;
 #: among them the letters below U+0250 whose lower case lies beyond it
@@ -229,7 +231,7 @@ class Steps:
     def arc(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether y may follow x; an arc that is not in the table is worked out and put there."""
         n = len(self.automaton.labels)
-        key = x * n + y
+        key = x.astype(np.int64) * n + y
         place = (key.astype(np.uint64) * self.SPREAD) >> np.uint64(64 - ARC_BITS)
         miss = np.flatnonzero(self.arcs[place] != key)
         if not len(miss):
@@ -254,7 +256,7 @@ class Steps:
         order = np.argsort(-size, kind="stable")
         size = size[order]
         h = self.prefixes(letters[order], size)
-        state, back = np.full((len(words), WIDE + 1), -1, np.int64), np.zeros((len(words), WIDE + 1), np.int64)
+        state, back = np.full((len(words), WIDE + 1), -1, np.int32), np.zeros((len(words), WIDE + 1), np.int8)
         good = size > 0
         for j in range(1, int(size.max(initial=0)) + 1):
             n, longer = np.searchsorted(-size, -j, "right"), np.searchsorted(-size, -j, "left")
@@ -332,8 +334,8 @@ class WordTokenizer:
             self.plain.clear()
             new = list(words)
         label, suffix, kept = self.automaton.labels.__getitem__, self.automaton.suffix, self.plain
-        for lo in range(0, len(new), 50_000):
-            some = new[lo:lo + 50_000]
+        for lo in range(0, len(new), STEP_WORDS):
+            some = new[lo:lo + STEP_WORDS]
             raw = [w.encode() for w in some]
             short = [k for k, x in enumerate(raw) if len(x) <= WIDE]
             ids, at = self.steps.encode_all([raw[k] for k in short])
