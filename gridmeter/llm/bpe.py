@@ -48,7 +48,7 @@ WIDE = 24
 #: characters of a text that are split at once
 CHUNK_CHARS = 1_000_000
 #: characters of text for each batch that a worker gives back
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 
 #: texts with one of these are split by the library's own splitter, others by a plain pattern;
 #: among them the letters below U+0250 whose lower case lies beyond it
@@ -434,7 +434,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", BATCH_CHARS // 2):
                 got = t.batch([x or "" for x in b.column("text").to_pylist()])
                 ids = np.frombuffer(b"".join([a for a, _ in got]), np.int32)
                 at = np.concatenate([[0], np.cumsum([len(a) // 4 for a, _ in got])]).astype(np.int32)
