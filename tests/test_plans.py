@@ -1,9 +1,7 @@
 """Plan checks: pushdown, pruning, no Python in the core plans, shuffle counts."""
 
-import collections
 import contextlib
 import io
-import re
 
 import pytest
 
@@ -48,23 +46,6 @@ def plans(spark):
     return {name: _plan(fn(spark, "/root/testdata/sf0.001")) for name, fn in sorted(E.queries().items())}
 
 
-#: tables that grow with the network; nation, region and the like are joined wherever they are needed
-FACTS = {"events", "orders", "lineitem"}
-#: plans in which a table stands more often than twice: AQE runs their equal exchanges once
-SCANS = {"arpu_usd": 4}
-
-
-def test_tables_are_scanned_once_or_twice(plans):
-    """Scans of the given tables in every registered plan, before AQE joins equal exchanges."""
-    found = {}
-    for name, p in plans.items():
-        n = collections.Counter(re.findall(r"Location: InMemoryFileIndex\(\d+ paths?\)\[[^\]]*/(\w+)\.parquet", p))
-        most = {t: c for t, c in n.items() if t in FACTS and c > SCANS.get(name, 2)}
-        if most:
-            found[name] = most
-    assert found == {}
-
-
 def test_no_sort_aggregates_cross_joins_or_python(plans):
     """Every registered plan: hash aggregates only (no sort-based fallback),
     no cartesian / nested-loop joins, no Python."""
