@@ -54,12 +54,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def written_ids(spark: SparkSession, out: str, before: int, id_col: str, dates: list | None) -> DataFrame:
+def written_ids(spark: SparkSession, out: str, before: int, id_col: str, dates: list | None, schema: T.StructType | None = None) -> DataFrame:
     """(_seen, _day): the ids that batches before ``before`` wrote, of ``dates`` (None: all) alone.
 
     The dates are literals, so that they prune partitions when the read is planned.
+    ``schema``: that of the folder; without files (batches without rows write none) it
+    cannot be told from them.
     """
-    seen = spark.read.option("basePath", out).parquet(out).where(F.col("_batch") < before)
+    read = spark.read.option("basePath", out)
+    seen = (read.schema(schema) if schema else read).parquet(out).where(F.col("_batch") < before)
     if dates is not None:
         day = F.col("_date").isin([d for d in dates if d is not None])
         seen = seen.where(day | F.col("_date").isNull() if None in dates else day)
@@ -74,20 +77,20 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, id_col: str, ts_col: s
     """
     out = out or _scratch(spark, "ingest")
     names = stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_date", T.DateType())])
 
     def write(batch: DataFrame, batch_id: int):
         b = batch.withColumn("_date", F.to_date(ts_col))
         known = b.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_date"])
         if _exists(spark, out):
             dates = [r[0] for r in b.select("_date").distinct().limit(MOST_DATES + 1).collect()]
-            seen = written_ids(batch.sparkSession, out, batch_id, id_col, dates if len(dates) <= MOST_DATES else None)
+            seen = written_ids(batch.sparkSession, out, batch_id, id_col, dates if len(dates) <= MOST_DATES else None, schema)
             known = known.join(seen, (known[id_col] == seen["_seen"]) & known["_date"].eqNullSafe(seen["_day"]), "left_anti")
         b = known.unionByName(b.where(F.col(id_col).isNull()))
         b.write.mode("overwrite").partitionBy("_date").parquet(f"{out}/_batch={batch_id}")
 
     _run(stream, write, out)
     # a stream without files has written nothing
-    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_date", T.DateType())])
     if not _exists(spark, out):
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(schema).option("basePath", out).parquet(out).select(*names)

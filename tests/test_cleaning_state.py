@@ -109,3 +109,12 @@ def test_ingest_keeps_rows_without_id_or_time(spark, tmp_path):
     assert got == [1.0, 2.0, 2.0, 2.0, 3.0, 3.0, 4.0, 5.0]
     usage = {(r.id, r.window_start): (r.total, r.n) for r in I.daily_usage_stream(spark, read(), "id", "ts", "v").collect()}
     assert usage[None, None] == (6.0, 2) and usage[2, None] == (8.0, 2) and usage[1, day] == (3.0, 3)
+
+
+def test_ingest_goes_on_after_files_without_rows(spark, tmp_path):
+    """A part's first file is empty where its first split holds no rows."""
+    kinds = "id long, ts timestamp, v double"
+    for n, rows in enumerate(([], [(1, dt.datetime(2024, 1, 1), 1.0)], [], [(1, dt.datetime(2024, 1, 1), 1.0), (1, dt.datetime(2024, 1, 2), 2.0)])):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    s = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    assert sorted(r.v for r in I.ingest_stream(spark, s, "id", "ts").collect()) == [1.0, 2.0]
