@@ -118,3 +118,18 @@ def test_ingest_goes_on_after_files_without_rows(spark, tmp_path):
         spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     s = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     assert sorted(r.v for r in I.ingest_stream(spark, s, "id", "ts").collect()) == [1.0, 2.0]
+
+
+def test_gaps_over_a_table_whose_first_split_lacks_the_latest_rows(spark, tmp_path):
+    from gridmeter.plans import q_stream as Q
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 40, i % 20), i % 3, "e", float(i), None) for i in range(1, 160)]
+    early = [r for r in rows if r[1].day < 3 and r[0] % 13]
+    for k, part in enumerate((early, [r for r in rows if r not in early])):
+        spark.createDataFrame(part, Q.EVENTS_SCHEMA).coalesce(1).write.mode("append").option("compression", ("none", "gzip")[k]).parquet(str(tmp_path / "events.parquet"))
+    lay = spark.read.parquet(str(tmp_path / "events.parquet")).select(F.spark_partition_id().alias("p"), "event_id").collect()
+    assert {r.event_id for r in lay if r.p == 0} == {r[0] for r in early}
+    got = Q.q_stream_ingest_gaps(spark, str(tmp_path))
+    assert sorted(r.value for r in got.collect()) == [r[4] for r in rows]
+    assert got.where("event_id IS NULL").count() == sum(r[0] % 11 == 0 for r in rows)
+    assert got.where("ts IS NULL").count() == sum(r[0] % 13 == 0 for r in rows)
