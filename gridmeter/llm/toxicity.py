@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -41,7 +42,8 @@ EPOCHS, RATE, BATCH, SCALE = 5, 0.3, 64, 60.0
 HOLD, CLEAN = 4, 3.0
 #: null features that every document has besides, so that a few words alone decide nothing
 PADDING = 300
-KEPT_WORDS = 300_000
+#: words kept by a worker that scores and by the task that trains; others are worked out again
+KEPT_WORDS, KEPT_IN_TRAINING = 150_000, 50_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -57,6 +59,8 @@ def bag(text: str, kept: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     for w in sorted(set(_WORDS.findall(text.lower()))):
         f = kept.get(w)
         if f is None:
+            if len(kept) >= KEPT_IN_TRAINING:
+                kept.clear()
             f = kept[w] = np.array(features(w), np.int32).tobytes()
         parts.append(f)
     ids = np.frombuffer(b"".join(parts), np.int32)
@@ -108,7 +112,10 @@ def prune(weight: np.ndarray, bags: list, y: np.ndarray) -> tuple[np.ndarray, fl
 def fit(bags: list, y: np.ndarray, seed: int) -> np.ndarray:
     """The weight of each feature for label 1 over label 0, from joint training."""
     rng = np.random.default_rng(seed)
-    table_, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    table_ = np.empty((BUCKETS, DIM), np.float32)
+    for part in np.array_split(table_, 64):  # the doubles of a part alone lie in memory
+        part[:] = rng.normal(0, 0.1, part.shape)
+    soft, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     g_table, g_soft, g_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(EPOCHS):
@@ -135,7 +142,8 @@ def fit(bags: list, y: np.ndarray, seed: int) -> np.ndarray:
             soft -= RATE * 0.3 * gs / np.sqrt(g_soft)
             bias -= RATE * 0.3 * gb / np.sqrt(g_bias)
     seen = np.zeros(BUCKETS, bool)
-    seen[np.concatenate([c for c, _ in bags])] = True
+    for c, _ in bags:
+        seen[c] = True
     return np.where(seen, table_ @ (soft[:, 1] - soft[:, 0]) * SCALE, 0.0)
 
 
@@ -144,7 +152,7 @@ class Scorer(dict):
 
     def __init__(self, weight: np.ndarray, bias: float):
         super().__init__()
-        self.weight, self.bias = weight.tolist(), bias
+        self.weight, self.bias = array("f", weight.astype(np.float32).tobytes()), bias  # 4 bytes each, where a list takes 32
 
     def __missing__(self, word: str) -> complex:
         if len(self) >= KEPT_WORDS:
@@ -217,7 +225,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Scorer(weight, bias)
         for b in batches:
-            yield b.filter(pa.array([m.score(x or "") < 0.5 for x in b.column(text_col).cast(pa.string()).to_pylist()], pa.bool_()))
+            texts = pa.RecordBatch.from_arrays([b.column(text_col).cast(pa.string())], ["text"])
+            keep = [m.score(x or "") < 0.5 for part in slices(texts, "text") for x in part.column("text").to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

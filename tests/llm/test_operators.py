@@ -632,3 +632,18 @@ def test_bpe_without_common_steps(monkeypatch):
     own, library = bpe.WordTokenizer(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
     text = "whatever words éstas thing's"
     assert np.frombuffer(own.run(text)[0], np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_weights_and_words_kept_are_small(monkeypatch):
+    import sys
+
+    import numpy as np
+    weight = np.linspace(-1, 1, toxicity.BUCKETS).astype(np.float32)
+    m = toxicity.Scorer(weight, 0.25)
+    assert sys.getsizeof(m.weight) < 5 * toxicity.BUCKETS
+    assert m["abc"] == complex(sum(weight.tolist()[i] for i in toxicity.features("abc")), len(toxicity.features("abc")))
+    texts, labels = [f"w{i} common x{i * 7} {'bad' if i % 2 else 'good'}" for i in range(60)], [i % 2 for i in range(60)]
+    want = toxicity.train(texts, labels)
+    monkeypatch.setattr(toxicity, "KEPT_IN_TRAINING", 5)
+    got = toxicity.train(texts, labels)
+    assert (got[0] == want[0]).all() and got[1] == want[1]
