@@ -3,7 +3,8 @@
 A state folder holds, written by each micro-batch under its own ``_batch``:
 
     rows/     the heartbeats of every (meter, day) that the batch touched, whole, each
-              with its successor inside the day (partitioned by day)
+              with its successor inside the day and whether it is the day's first
+              (partitioned by day)
     ends/     first and last heartbeat of those days
     links/    the pair that leads from a day to the meter's next day with data, for the
               days whose link the batch changed (a touched day, or the day before one)
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,7 @@ KEYS = ["meter_customer_code", "meter_type"]
 _METER = "meter_customer_code string, meter_type string"
 _POINT = "struct<t: timestamp, e: double, s: double>"
 SCHEMAS = {
-    "rows": f"{_METER}, _p {_POINT}, _n {_POINT}, _b bigint, _batch bigint",
+    "rows": f"{_METER}, heartbeatStart timestamp, energy double, state double, _n {_POINT}, _first boolean, _b bigint, _batch bigint",
     "ends": f"{_METER}, _b bigint, _first {_POINT}, _last {_POINT}, _batch bigint",
     "links": f"{_METER}, _b bigint, _p {_POINT}, _n {_POINT}, _batch bigint",
     "changes": f"{_METER}, t_prev timestamp, t_next timestamp, diff double, n_slots bigint, clean boolean, sign bigint, _batch bigint",
@@ -64,6 +65,10 @@ def _days(ends: DataFrame) -> DataFrame:
     return _latest(ends).select(*KEYS, "_b", "_batch")
 
 
+def _point() -> Column:
+    return F.struct(F.col("heartbeatStart").alias("t"), F.col("energy").alias("e"), F.col("state").alias("s"))
+
+
 def _pairs(d: DataFrame) -> DataFrame:
     """Pairs with both ends: meter, day, and the columns that ``clean.judged`` takes."""
     ends = [F.col(f"_{side}.{c}").alias(f"{c}_{name}") for side, name in (("p", "prev"), ("n", "next")) for c in ("t", "e", "s")]
@@ -80,7 +85,7 @@ def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, batch_id: in
     order = ["heartbeatStart", "energy", *order_extra]
     payload = [*order, "state"]
     kinds = {f.name: f for f in new.schema.fields}
-    rows_schema = T.StructType([*(kinds[c] for c in payload), *T._parse_datatype_string(SCHEMAS["rows"]).fields])
+    rows_schema = T.StructType([*(kinds[c] for c in order_extra if c != "energy"), *T._parse_datatype_string(SCHEMAS["rows"]).fields])
 
     def write(d: DataFrame, table: str, *by: str) -> DataFrame:
         w = (d.hint("rebalance", *by) if by else d).write.mode("overwrite")
@@ -103,17 +108,15 @@ def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, batch_id: in
     known = known.join(touched, [*KEYS, "_b"], "left_semi").join(_days(before("ends")), [*KEYS, "_b", "_batch"], "left_semi")
     every = known.select(*KEYS, "_b", *payload).unionByName(new.select(*KEYS, "_b", *payload))
     w = Window.partitionBy(*KEYS, "_b").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    point = F.struct(F.col("heartbeatStart").alias("t"), F.col("energy").alias("e"), F.col("state").alias("s"))
-    every = every.withColumns({"_p": point, "_n": F.lead(point).over(w)})
-    rows = write(every.select(*payload, *KEYS, "_p", "_n", "_b"), "rows", "_b")
+    every = every.withColumns({"_n": F.lead(_point()).over(w), "_first": F.row_number().over(w) == 1})
+    rows = write(every.select(*payload, *KEYS, "_n", "_first", "_b"), "rows", "_b")
 
-    # 2. first and last heartbeat of each touched day: the first is nobody's successor
-    w = Window.partitionBy(*KEYS, "_b").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    first = here("rows", rows_schema).withColumn("_r", F.row_number().over(w)).where("_r = 1 OR _n IS NULL")
-    ends = (first.groupBy(*KEYS, "_b")
-                 .agg(F.max(F.when(F.col("_r") == 1, F.struct("_p"))).alias("_f"), F.max(F.when(F.col("_n").isNull(), F.struct("_p"))).alias("_l"))
-                 .select(*KEYS, "_b", F.col("_f._p").alias("_first"), F.col("_l._p").alias("_last")))
-    write(ends, "ends")
+    # 2. first and last heartbeat of each touched day, by the order of the rows just written
+    side = rows.where("_first OR _n IS NULL").withColumn("_p", _point())
+    ends = (side.groupBy(*KEYS, "_b")
+                .agg(F.max(F.when(F.col("_first"), F.struct("_p"))).alias("_f"), F.max(F.when(F.col("_n").isNull(), F.struct("_p"))).alias("_l"))
+                .select(*KEYS, "_b", F.col("_f._p").alias("_first"), F.col("_l._p").alias("_last")))
+    touched = write(ends, "ends").select(*KEYS, "_b")    # the same days, without another pass over the batch
 
     # 3. links of the touched days and of the days before them
     ends = _latest(_read(spark, folder, "ends").where(F.col("_batch") <= batch_id)).join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
@@ -125,6 +128,7 @@ def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, batch_id: in
     old_rows = (before("rows").where(F.col("_b").isin(days)) if len(days) <= MOST_DATES else before("rows")) \
         .join(touched, [*KEYS, "_b"], "left_semi").join(_days(before("ends")), [*KEYS, "_b", "_batch"], "left_semi")
     old_links = _latest(before("links")).join(links.select(*KEYS, "_b"), [*KEYS, "_b"], "left_semi")
+    rows, old_rows = rows.withColumn("_p", _point()), old_rows.withColumn("_p", _point())
     signed = reduce(DataFrame.unionByName, [_pairs(d).withColumn("sign", F.lit(s)) for d, s in ((rows, 1), (links, 1), (old_rows, -1), (old_links, -1))])
     changes = (C.judged(signed, slot_minutes).where("valid").groupBy(*KEYS, "t_prev", "t_next", "diff", "n_slots", "clean")
                 .agg(F.sum("sign").alias("sign")).where("sign <> 0"))
@@ -154,7 +158,7 @@ def profile(spark: SparkSession, folder: str, slot_minutes: int = C.SLOT_MINUTES
 
 def series(spark: SparkSession, folder: str, slot_minutes: int = C.SLOT_MINUTES) -> DataFrame:
     """The clean series of all heartbeats so far, as ``clean.clean_readings`` gives it."""
-    rows = _read(spark, folder, "rows").join(_days(_read(spark, folder, "ends")), [*KEYS, "_b", "_batch"], "left_semi")
+    rows = _read(spark, folder, "rows").join(_days(_read(spark, folder, "ends")), [*KEYS, "_b", "_batch"], "left_semi").withColumn("_p", _point())
     t = C.judged(_pairs(rows).unionByName(_pairs(_latest(_read(spark, folder, "links")))), slot_minutes).where("valid")
     meta = (_read(spark, folder, "changes").select(*KEYS).distinct().join(profile(spark, folder, slot_minutes), KEYS, "left")
             .join(modal_tariff(spark, folder), "meter_customer_code", "left"))

@@ -133,3 +133,13 @@ def test_gaps_over_a_table_whose_first_split_lacks_the_latest_rows(spark, tmp_pa
     assert sorted(r.value for r in got.collect()) == [r[4] for r in rows]
     assert got.where("event_id IS NULL").count() == sum(r[0] % 11 == 0 for r in rows)
     assert got.where("ts IS NULL").count() == sum(r[0] % 13 == 0 for r in rows)
+
+
+def test_rows_tell_the_first_of_each_day(spark, tmp_path):
+    """The ends of a day come from the rows as written, without ordering them again."""
+    folder = str(tmp_path / "state")
+    S.apply_batch(spark, folder, spark.createDataFrame(heartbeats(40), KINDS), 0, order_extra=["row_id"])
+    rows, ends = S._read(spark, folder, "rows"), S._read(spark, folder, "ends")
+    day = lambda d, t: sorted((r.meter_customer_code, r.meter_type, r._b, r.t) for r in d.select(*S.KEYS, "_b", F.col(t).alias("t")).collect())
+    assert day(rows.where("_first"), "heartbeatStart") == day(ends, "_first.t")
+    assert day(rows.where("_n IS NULL"), "heartbeatStart") == day(ends, "_last.t")
