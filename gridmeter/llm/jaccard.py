@@ -18,11 +18,18 @@ result is the class (connected component) of each document.
     node is at most the sum of the coordinate minima; where that is too small for the
     threshold the node is dropped.  Pairs that survive are verified on the sets,
     unless earlier links have joined them already.
-3.  Components of up to ``BLOCK`` sets are packed into tasks.  A larger one is cut into
-    blocks: all its sets meet its first ``LEADERS`` sets; then the sets outside of the
-    largest class so far meet all sets, block by block.  A link between two others
-    cannot change a class.  So a large group of near copies costs time in proportion
-    to its size, and no task holds it whole.
+3.  Components of up to ``BLOCK`` sets are packed into tasks.  In a larger one passages
+    chain sets that are unlike each other, the more of them the more documents there
+    are.  It falls into finer components first: of two linked sets each has a shingle
+    of the other among its rarest, so many that the rest falls short of the threshold,
+    whatever the order is as long as it is one for all.  The order is by how many sets
+    of such components have a shingle, counted on ``SLOTS`` places by hash, so what it
+    takes does not grow with the input.
+4.  What is larger even then is mostly of one class, and is cut into blocks: all its
+    sets meet its first ``LEADERS`` sets; then the sets outside of the largest class so
+    far meet all sets, block by block.  A link between two others cannot change a
+    class.  So a large group of near copies costs time in proportion to its size, and
+    no task holds it whole.
 
 D and the number of parts go by bands of sizes, each 1.12 times the one below; a set
 has keys in the bands of all sizes that may be linked with its own.
@@ -36,7 +43,7 @@ smallest id; a class whose ids are all null has a null ``component_id``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +61,8 @@ BLOCK, LEADERS = 3000, 256
 BAND, BUCKET_BYTES = 1.12, 8 << 20
 #: the bounded sample that frequent shingles are taken from
 SAMPLE, SAMPLE_CHARS, FREQUENT = 3000, 20_000, 4
+#: places that the shingles of large components are counted on, and rows that a task hands them on in
+SLOTS, SLOT_ROWS = 1 << 22, 256
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -313,7 +322,13 @@ def contracted(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(docs: DataFrame, t: Threshold, n: int, text_col: str) -> DataFrame:
-    """(u, v): nodes that share keys, each with the smallest node that its bucket connects it with.
+    """(u, v): nodes that share a part, each with the smallest node that its bucket connects it with."""
+    frequent = frequent_shingles(docs, n, text_col)
+    return meeting(docs.select(F.col(text_col).cast("string").alias("text")), n, lambda b, sets: part_keys(sets, t, frequent))
+
+
+def meeting(d: DataFrame, n: int, keys_of: Callable[[pa.RecordBatch, list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """(u, v): nodes of rows (text, and what ``keys_of`` reads) that share keys, each with the smallest that its bucket connects it with.
 
     A task joins the nodes that share a key in its own batch and sends the key
     on with the smallest of them only, so a key that very many sets share costs
@@ -321,10 +336,8 @@ def stars(docs: DataFrame, t: Threshold, n: int, text_col: str) -> DataFrame:
     arrays, 40 bits of each beside the bucket: keys that agree by chance add
     candidates, nothing else.
     """
-    d = docs.select(F.col(text_col).cast("string").alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = -(-size // BUCKET_BYTES) or 1
-    frequent = frequent_shingles(docs, n, text_col)
     packed = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary()), ("edges", pa.binary())])
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -334,7 +347,7 @@ def stars(docs: DataFrame, t: Threshold, n: int, text_col: str) -> DataFrame:
             for part in slices(b, "text"):
                 sets = shingle_sets(part.column("text"), n)
                 nodes += [signature(s) for s in sets]
-                parts += part_keys(sets, t, frequent)
+                parts += keys_of(part, sets)
             key = np.concatenate(parts)
             if not len(key):
                 continue
@@ -380,6 +393,57 @@ def stars(docs: DataFrame, t: Threshold, n: int, text_col: str) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, "u bigint, v bigint")
 
 
+def slots(s: np.ndarray) -> np.ndarray:
+    return (scramble(s, 8) % _U(SLOTS)).astype(np.int64)
+
+
+def shingle_counts(d: DataFrame, n: int) -> np.ndarray:
+    """How many rows of ``text`` have a shingle that falls on each place (65,535 at most)."""
+    out = pa.schema([("part", pa.int64()), ("counts", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(SLOTS, np.uint32)
+        for b in (part for whole in batches for part in slices(whole, "text")):
+            at, many = np.unique(slots(np.concatenate(shingle_sets(b.column("text"), n))), return_counts=True)
+            c[at] += many.astype(np.uint32)
+        c = c.reshape(SLOT_ROWS, -1)
+        has = np.flatnonzero(c.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int64()), pa.array([c[i].tobytes() for i in has], pa.binary())], schema=out)
+
+    def add(rows: pa.Table) -> pa.Table:
+        c = np.zeros(SLOTS // SLOT_ROWS, np.uint64)
+        for x in rows["counts"]:
+            c += np.frombuffer(x.as_buffer(), np.uint32)
+        return pa.table([rows["part"].slice(0, 1).combine_chunks(), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes()], pa.binary())], schema=out)
+
+    got = np.zeros((SLOT_ROWS, SLOTS // SLOT_ROWS), np.uint16)
+    for r in d.select("text").mapInArrow(count, "part bigint, counts binary").groupBy("part").applyInArrow(add, "part bigint, counts binary").collect():
+        got[r.part] = np.frombuffer(r.counts, np.uint16)
+    return got.ravel()
+
+
+def rare_keys(sets: list[np.ndarray], t: Threshold, counts: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """The rarest shingles of each set, as keys of its component; linked sets share one.
+
+    The overlap of linked sets is at least the threshold's part of either, so what
+    comes first in an order of all shingles, one more than may be missing, holds the
+    first that they share.  A place that was counted once meets nothing.
+    """
+    out = []
+    for s, own in zip(sets, scramble(label.view(np.uint64), 9)):
+        seen = counts[slots(s)]
+        o = np.lexsort((s, seen))[:len(s) - -(-t.num * len(s) // t.den) + 1]
+        out.append(scramble(s[o[seen[o] > 1]] ^ own, 10))
+    return out
+
+
+def finer(large: DataFrame, t: Threshold, n: int) -> DataFrame:
+    """(node, label, count) of the sets of large components (label, node, text) that may be linked, by the rarest shingles."""
+    counts = shingle_counts(large, n)
+    got = components(meeting(large.select("label", "text"), n, lambda b, sets: rare_keys(sets, t, counts, b.column("label").to_numpy())))
+    return got.join(got.groupBy("label").count(), "label").select("node", "label", "count")
+
+
 def linked(rows: DataFrame, t: Threshold, n: int) -> DataFrame:
     """(node, root) from rows (unit, side, part, node, text).
 
@@ -424,14 +488,19 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, de
     d = d.join(stand, d["doc_id"].eqNullSafe(stand["_id"]) & (F.xxhash64(d["text"]) == stand["_seen"]))
     d = materialize(d.select("label", "node", "count", "text"), "candidate-texts")
     total = may.count()
+    small, large = (d.where(c) for c in (F.col("count") <= BLOCK, F.col("count") > BLOCK))
+    if not large.isEmpty():
+        large = materialize(large.select("node", "text").join(finer(large, t, n), "node").select(*d.columns), "finer")
+        small = small.union(large.where(F.col("count") <= BLOCK))
+        large = large.where(F.col("count") > BLOCK)
+    else:
+        large = None
     # small components, packed into units of about BLOCK sets
     units = max(1, -(-total // BLOCK))
-    small = d.where(F.col("count") <= BLOCK).select(
-        F.pmod(F.xxhash64("label"), F.lit(units)).alias("unit"), F.lit(1).alias("side"), F.col("label").alias("part"), "node", "text")
+    small = small.select(F.pmod(F.xxhash64("label"), F.lit(units)).alias("unit"), F.lit(1).alias("side"), F.col("label").alias("part"), "node", "text")
     done = linked(small, t, n).select("node", "root")
-    large = d.where(F.col("count") > BLOCK)
-    if not large.isEmpty():
-        done = done.unionByName(large_classes(materialize(large, "large"), t, n))
+    if large is not None and not large.isEmpty():
+        done = done.unionByName(large_classes(large, t, n))
     done = materialize(done.distinct(), "classes")
     ids = scan.join(done, "node", "left").select("doc_id", "seen", "n_shingles", F.coalesce("root", "node").alias("node"))
     return materialize(ids, "nodes")

@@ -521,6 +521,45 @@ def test_jaccard_classes(spark, odd, monkeypatch, block, leaders):
     assert sorted(map(tuple, jaccard.jaccard_classes(df).collect()), key=order) == classes_by_force(texts(df), 3, 90, 100)
 
 
+def test_jaccard_blocks_hold_one_class(spark, monkeypatch):
+    """Where candidates chain unlike documents, only what may be of one class is cut into blocks, whose texts are copied."""
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    monkeypatch.setattr(jaccard, "LEADERS", 4)
+    rng, handed, cut = random.Random(13), [], jaccard.large_classes
+    common, copied = passage(rng, 12), passage(rng, 90)
+    rows = [(i, f"{common} {passage(rng, 50)}") for i in range(60)] + [(100 + i, f"{copied} x{i}") for i in range(20)]
+    rows += [(200, rows[7][1] + " y"), (201, "z " + rows[8][1])]
+
+    def chained(docs, t, n, text_col):
+        nodes = jaccard.scanned(docs, t, n, "doc_id", text_col).where("n_shingles > 0").select(F.col("node").alias("u"))
+        return nodes.crossJoin(nodes.agg(F.min("u").alias("v")))
+
+    monkeypatch.setattr(jaccard, "stars", chained)
+    monkeypatch.setattr(jaccard, "large_classes", lambda large, t, n: handed.append(sorted(r.text for r in large.collect())) or cut(large, t, n))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.jaccard_classes(df).collect()), key=order) == classes_by_force(texts(df), 3, 90, 100)
+    assert handed == [sorted(t for i, t in rows if 100 <= i < 200)]
+
+
+@pytest.mark.parametrize("num", [90, 80])
+def test_rarest_shingles_keep_every_pair(num):
+    """Two sets at the threshold share a key, whatever the counts say, but for places that were counted once."""
+    t, rng, met = jaccard.Threshold(num, 100), np.random.default_rng(9), 0
+    for size in [1, 2, 5, 9, 10, 11, 19, 20, 37, 64, 129, 311, 700]:
+        for _ in range(40):
+            a = rng.integers(0, 2 ** 63, size).astype(np.uint64)
+            b = np.unique(np.concatenate([a[int(rng.integers(0, size // 5 + 1)):], rng.integers(0, 2 ** 63, int(rng.integers(0, size // 5 + 1))).astype(np.uint64)]))
+            a = np.unique(a)
+            both = len(np.intersect1d(a, b))
+            if 100 * both < num * (len(a) + len(b) - both):
+                continue
+            met += 1
+            counts = rng.integers(2, 2 + int(rng.integers(1, 65533)), jaccard.SLOTS).astype(np.uint16)
+            x, y, other = (set(k.tolist()) for k in jaccard.rare_keys([a, b, b], t, counts, np.array([5, 5, -6])))
+            assert x & y and not x & other
+    assert met > 50
+
+
 @pytest.mark.parametrize("num", [90, 80])
 def test_parts_keep_every_pair(num):
     """Two sets at the threshold share a key, whatever their sizes and whatever is left out of both."""
