@@ -10,9 +10,10 @@ prefix between them.
 
 A document may be long and rounds go with the longest string, so the collection is
 not the documents but short pieces that together hold every window once, dealt so
-that equal windows meet: a window goes where the smallest hash of its 16-byte
+that equal windows meet: a window goes where the smallest hash of its 24-byte
 strings sends it (its minimizer), and windows in a row with the same one form a
-piece of at most 84 bytes.
+piece of at most 76 bytes.  Shorter strings recur by chance, in ever more of the
+pieces as the input grows.
 
 1.  Documents are dealt into blocks of about ``BLOCK_BYTES``.  A block tells each
     bucket of minimizers which it has, and gets back which are in two documents or
@@ -24,6 +25,10 @@ piece of at most 84 bytes.
     windows are pieces of their own, dealt by all their bytes.
 3.  A block removes what starts in a smaller id elsewhere.
 
+Blocks and buckets both grow with the input, so what goes between them is handed over
+by groups of buckets: one row, compressed as a whole, for each block and group.  A
+group's buckets are worked on one after the other.
+
 Copies meet inside a block before anything moves, so a passage of a third of all
 documents is one piece for each block, and no key gathers more than ``HOT`` pieces
 or one for each block.
@@ -50,9 +55,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-LENGTH, MINIMIZER = 50, 16
+LENGTH, MINIMIZER = 50, 24
 BLOCK_BYTES, BUCKET_BYTES, SLICE = 12 << 20, 4 << 20, 1 << 17
 HOT = 100_000
+#: a group is one bucket up to so many buckets, then several, so that there are about so many groups; and at most how many
+GROUPS, GROUP_MOST = 256, 8
 
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
@@ -161,17 +168,17 @@ class Block:
 
 
 class Pieces:
-    """The distinct pieces of a block whose minimizers are shared, by bucket."""
+    """The distinct pieces of a block whose minimizers are shared, by group of buckets and bucket."""
 
     def __init__(self, block: Block, length: int, m: int, buckets: int, stride: int = SLICE):
-        self.block, self.length, self.m, self.buckets = block, length, m, buckets
+        self.block, self.length, self.m, self.buckets, self.group = block, length, m, buckets, group_of(buckets)
         self.key, self.start, self.count = block.windows(length, m, stride)
         # a piece is known by the hash of its bytes, and how many they are
         self.hash = lambda at, size: hashes_at(block.bytes, at, size, stride)
         self.same = _mix(self.hash(self.start, self.count + length - 1) + self.count.astype(np.uint64) * _U(3))
 
     def told(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """bucket, keys, whether in two documents, distinct pieces (up to 65535) of this block."""
+        """group, keys, whether in two documents, distinct pieces (up to 65535) of this block."""
         o = np.lexsort((self.same, self.key))
         k, doc, same = self.key[o], self.block.ids[self.block.doc(self.start[o])], self.same[o]
         at = np.flatnonzero(np.diff(k, prepend=k[:1] + _U(1)) != 0) if len(k) else np.empty(0, np.int64)
@@ -180,8 +187,7 @@ class Pieces:
         two = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
         other = np.add.reduceat((np.diff(same, prepend=same[:1] + _U(1)) != 0).astype(np.int64), at)
         k = k[at]
-        bucket = self.bucket(k)
-        for i, rows in grouped(bucket):
+        for i, rows in grouped(self.bucket(k) // self.group):
             yield i, k[rows].tobytes(), two[rows].astype(np.uint8).tobytes(), np.minimum(other[rows], 65535).astype(np.uint16).tobytes()
 
     def bucket(self, k: np.ndarray) -> np.ndarray:
@@ -205,8 +211,8 @@ class Pieces:
         self.order, self.first = o, np.flatnonzero(new)
         self.bucket_of = bucket[o][self.first] if len(o) else np.empty(0, np.int64)
 
-    def sent(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """bucket, lengths, smallest ids, texts of the distinct pieces, and whether several documents have them."""
+    def sent(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
+        """group, lengths, smallest ids, texts of the distinct pieces, whether several documents have them, how many each bucket has."""
         if not len(self.order):
             return
         start, size = self.start_of[self.order], self.count_of[self.order] + self.length - 1
@@ -214,22 +220,23 @@ class Pieces:
         least = np.minimum.reduceat(ids, self.first)
         several = (least != np.maximum.reduceat(ids, self.first)).astype(np.uint8)
         start, size = start[self.first], size[self.first]
-        for i, rows in grouped(self.bucket_of):
+        for i, rows in grouped(self.bucket_of // self.group):
+            many = np.bincount(self.bucket_of[rows] - i * self.group, minlength=self.group).astype(np.int64)
             n = size[rows]
             take = np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield i, n.astype(np.uint8).tobytes(), zlib.compress(least[rows].tobytes(), 1), zlib.compress(self.block.bytes[take].tobytes(), 3), several[rows].tobytes()
+            yield i, n.astype(np.uint8).tobytes(), zlib.compress(least[rows].tobytes(), 1), zlib.compress(self.block.bytes[take].tobytes(), 3), several[rows].tobytes(), many.tobytes()
 
     def layout(self) -> bytes:
-        """Where the chosen pieces lie, for :func:`cover`: starts, windows, which begin a distinct piece, buckets of those."""
+        """Where the chosen pieces lie, for :func:`cover`: starts, windows, which begin a distinct piece, groups of those."""
         new = np.zeros(len(self.order), np.uint8)
         new[self.first] = 1
         return zlib.compress(b"".join([np.int64(len(self.order)).tobytes(), self.start_of[self.order].astype(np.int64).tobytes(),
                                        self.count_of[self.order].astype(np.uint8).tobytes(), new.tobytes(),
-                                       self.bucket_of.astype(np.int64).tobytes()]), 1)
+                                       (self.bucket_of // self.group).astype(np.int64).tobytes()]), 1)
 
 
 def cover(block: Block, layout: bytes, answers: dict[int, np.ndarray], length: int) -> np.ndarray:
-    """Which bytes of a block go, from the smallest id of each window of each chosen piece, by bucket."""
+    """Which bytes of a block go, from the smallest id of each window of each chosen piece, by group."""
     raw = zlib.decompress(layout)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     gone = np.zeros(len(block.bytes) + 1, np.int64)
@@ -247,6 +254,11 @@ def cover(block: Block, layout: bytes, answers: dict[int, np.ndarray], length: i
     return np.cumsum(gone)[:-1] > 0
 
 
+def group_of(buckets: int) -> int:
+    """How many buckets a group has."""
+    return min(GROUP_MOST, -(-buckets // GROUPS))
+
+
 def grouped(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of an array and where it is, by value."""
     o = np.argsort(of, kind="stable")
@@ -370,7 +382,36 @@ def least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def answer(rows: list[tuple[bytes, bytes, bytes, bytes]], length: int) -> list[np.ndarray]:
-    """For each block's pieces (lengths, ids, texts, several), the smallest id of each window.
+    """For each block's pieces (lengths, ids, texts, several; ids and texts compressed), the smallest id of each window."""
+    return solved([unpacked(*r) for r in rows], length)
+
+
+def unpacked(size: bytes, ids: bytes, texts: bytes, several: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (np.frombuffer(size, np.uint8).astype(np.int64), np.frombuffer(zlib.decompress(ids), np.int64),
+            np.frombuffer(zlib.decompress(texts), np.uint8), np.frombuffer(several, np.uint8))
+
+
+def answered(rows: list[tuple[bytes, bytes, bytes, bytes, bytes]], length: int) -> list[bytes]:
+    """The same for rows of a group of buckets, each bucket for itself; compressed."""
+    parts = [unpacked(*r[:4]) for r in rows]
+    many = np.stack([np.frombuffer(r[4], np.int64) for r in rows])
+    end = np.cumsum(many, 1)
+    place = [np.concatenate([[0], np.cumsum(p[0])]) for p in parts]
+    out: list[list[np.ndarray]] = [[] for _ in rows]
+    for k in np.flatnonzero(many.sum(0)).tolist():
+        has = np.flatnonzero(many[:, k]).tolist()
+        own = []
+        for i in has:
+            a, b = int(end[i, k] - many[i, k]), int(end[i, k])
+            size, ids, flat, several = parts[i]
+            own.append((size[a:b], ids[a:b], flat[place[i][a]:place[i][b]], several[a:b]))
+        for i, x in zip(has, solved(own, length)):
+            out[i].append(x)
+    return [zlib.compress(b"".join(x.tobytes() for x in got), 1) for got in out]
+
+
+def solved(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
+    """For each block's pieces (lengths, ids, texts, several) of one bucket, the smallest id of each window.
 
     A piece that one document has, and none of whose windows has the hash of
     another piece's, repeats nothing; the others make up the collection.  Windows
@@ -379,11 +420,8 @@ def answer(rows: list[tuple[bytes, bytes, bytes, bytes]], length: int) -> list[n
     collection of such; of the others the run from the first to the last shared
     window stands in another.
     """
-    size = [np.frombuffer(r[0], np.uint8).astype(np.int64) for r in rows]
-    ids = np.concatenate([np.frombuffer(zlib.decompress(r[1]), np.int64) for r in rows])
-    flat = np.concatenate([np.frombuffer(zlib.decompress(r[2]), np.uint8) for r in rows])
-    several = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
-    n = np.concatenate(size)
+    size = [r[0] for r in rows]
+    n, ids, flat, several = (np.concatenate([r[k] for r in rows]) for k in range(4))
     flat = np.where(flat == 0, np.uint8(255), flat)  # 255 is in no UTF-8 text, and 0 means something here
     wide = int(n.max())
     text = np.zeros((len(n), wide), np.uint8)
@@ -461,12 +499,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def compare(t: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
         k = np.concatenate(keys)
-        two, other = (np.frombuffer(b"".join(t[c].to_pylist()), kind).astype(np.int64) for c, kind in (("two", np.uint8), ("other", np.uint16)))
+        two, other = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("two", np.uint8), ("other", np.uint16)))
         o = np.argsort(k, kind="stable")
         at = np.flatnonzero(np.diff(k[o], prepend=k[o][:1] + _U(1)) != 0)
         many = np.diff(np.append(at, len(o)))
-        shared = (many > 1) | (np.add.reduceat(two[o], at) > 0)
-        state = np.where(shared, np.where(np.add.reduceat(other[o], at) > hot, 2, 1), 0)
+        shared = (many > 1) | (np.maximum.reduceat(two[o], at) > 0)
+        state = np.where(shared, np.where(np.add.reduceat(other[o], at, dtype=np.int64) > hot, 2, 1), 0)
         back = np.empty(len(k), np.uint8)
         back[o] = np.repeat(state, many)
         parts = np.split(back, np.cumsum([len(x) for x in keys])[:-1])
@@ -484,16 +522,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         rows = list(p.sent()) if p else []
         block = t["block"][0].as_py() if t.num_rows else 0
         if p:      # a group of its own, which ``transform`` hands on to the block
-            rows.append((-1 - block, b"", b"", p.layout(), b""))
+            rows.append((-1 - block, b"", b"", p.layout(), b"", b""))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()),
-                         **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "sizes"), (2, "ids"), (3, "texts"), (4, "several"))}})
+                         **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "sizes"), (2, "ids"), (3, "texts"), (4, "several"), (5, "many"))}})
 
     def transform(t: pa.Table) -> pa.Table:
         if t["bucket"][0].as_py() < 0:
             return pa.table({"block": t["block"].cast(pa.int64()), "bucket": t["bucket"].cast(pa.int64()), "told": t["texts"].cast(pa.binary())})
-        got = answer(list(zip(*(t[c].to_pylist() for c in ("sizes", "ids", "texts", "several")))), length)
+        got = answered(list(zip(*(t[c].to_pylist() for c in ("sizes", "ids", "texts", "several", "many")))), length)
         return pa.table({"block": t["block"].cast(pa.int64()), "bucket": t["bucket"].cast(pa.int64()),
-                         "told": pa.array([zlib.compress(x.tobytes(), 1) for x in got], pa.binary())})
+                         "told": pa.array(got, pa.binary())})
 
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                      ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -517,7 +555,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     told = d.groupBy("block").applyInArrow(tell, "bucket bigint, block bigint, keys binary, two binary, other binary")
     shared = told.groupBy("bucket").applyInArrow(compare, "block bigint, shared binary, hot binary")
     shared = materialize(shared, "shared-keys")
-    sent = d.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "bucket bigint, block bigint, sizes binary, ids binary, texts binary, several binary")
+    sent = d.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "bucket bigint, block bigint, sizes binary, ids binary, texts binary, several binary, many binary")
     answers = sent.groupBy("bucket").applyInArrow(transform, "block bigint, bucket bigint, told binary")
     return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")

@@ -86,6 +86,28 @@ def test_suffix_dedup(odd, monkeypatch, block, bucket, hot, stride):
     assert sorted(map(tuple, got.drop("kept").collect()), key=order) == removed_by_force(texts(odd), 50)
 
 
+def test_suffix_dedup_by_groups_of_buckets(odd, monkeypatch):
+    """Buckets of a group share a row of each block, whatever that does to the last group; rows follow the input, not its square."""
+    for name, x in (("BLOCK_BYTES", 60_000), ("BUCKET_BYTES", 8_000), ("GROUPS", 5), ("GROUP_MOST", 4)):
+        monkeypatch.setattr(suffix_dedup, name, x)
+    got = suffix_dedup.removed(odd, hot=2, stride=1000)
+    assert sorted(map(tuple, got.drop("kept").collect()), key=order) == removed_by_force(texts(odd), 50)
+    rng = random.Random(14)
+    block = suffix_dedup.Block(pa.table({"doc_id": [1, 2, 3], "text": [passage(rng, 9000), passage(rng, 9000), ""]}))
+    for buckets, most in ((5, 5), (20, 5), (19, 5), (60, 15)):
+        p = suffix_dedup.Pieces(block, 50, 16, buckets)
+        p.chosen(np.unique(p.key), np.empty(0, np.uint64))
+        told, sent = list(p.told()), list(p.sent())
+        assert len(told) == len(sent) == most and {r[0] for r in told} == {r[0] for r in sent}
+        assert sum(int(np.frombuffer(r[5], np.int64).sum()) for r in sent) == sum(len(r[1]) for r in sent)
+        one = suffix_dedup.Pieces(block, 50, 16, buckets)
+        one.group = 1
+        one.chosen(np.unique(p.key), np.empty(0, np.uint64))
+        apart = [suffix_dedup.answer([r[1:5]], 50)[0] for r in one.sent()]
+        together = [np.frombuffer(zlib.decompress(suffix_dedup.answered([r[1:]], 50)[0]), np.int64) for r in sent]
+        assert np.array_equal(np.concatenate(apart), np.concatenate(together))
+
+
 def test_collection_transform_on_small_alphabets(tmp_path):
     rng = random.Random(1)
     for trial in range(20):
